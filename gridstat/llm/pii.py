@@ -45,7 +45,7 @@ FORMS: list[tuple[str, str]] = [
     (
         "phone",
         r"\+1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|\+1[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}"
-        r"|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+        r"|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,8}\)?){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
     ),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("card", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}"),
@@ -82,11 +82,12 @@ def _permuted_digits(key: str, tweak: str, digits: Column) -> Column:
     """A string of digits of the same length, permuted among all of that length."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
+    number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))  # noqa: E731  no digit at all: 0
     power = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
     out = F.transform(
         F.array(digits),
         lambda d: feistel(
-            key, F.concat(F.lit(tweak), n.cast("string")), F.substring(d, F.lit(1), u), F.substring(d, u + 1, n - u), power(u), power(n - u)
+            key, F.concat(F.lit(tweak), n.cast("string")), number(F.substring(d, F.lit(1), u)), number(F.substring(d, u + 1, n - u)), power(u), power(n - u)
         ),
     )[0]
     return F.concat(F.lpad(out["a"].cast("string"), u, F.lit("0")), F.lpad(out["b"].cast("string"), n - u, F.lit("0")))
@@ -283,3 +284,90 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymize(docs, kinds="kinds")
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_pii"), *[count(k) for k in KINDS])
+
+
+def _oracle() -> str:
+    """DuckDB SQL of op1: each different candidate is a row, a round is a step of nested selects."""
+    shape = {name: p.replace("'", "''") for name, p in FORMS}
+    candidate, goes_on = CANDIDATE.replace("'", "''"), GOES_ON
+    luhn = "list_sum(list_transform(string_split(reverse({0}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END))"
+    mod97 = "list_reduce(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 65 THEN unicode(c) - 48 ELSE unicode(c) - 55 END), lambda s, v: (s * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0)"
+    turned = "substr({0}, 5) || substr({0}, 1, 4)"
+    day = "CASE WHEN {0} BETWEEN '1900' AND '2099' THEN try_cast({0} || '-' || lpad({1}, 2, '0') || '-' || lpad({2}, 2, '0') AS DATE) END"
+    part = [rf"regexp_extract(x, '^([0-9]+)[./-]([0-9]+)[./-]([0-9]+)$', {i})" for i in (1, 2, 3)]
+    is_ = lambda name: f"regexp_full_match(x, '{shape[name]}')"
+    octet = [f"try_cast(split_part(x, '.', {i}) AS INT)" for i in (1, 2, 3, 4)]
+    rounds = "h"
+    for i in range(ROUNDS):
+        rounds = (
+            f"(SELECT x, kind, tweak, b AS a, (a + CAST('0x' || substr(sha256(concat_ws(':', '{KEY}', tweak, '{i}', CAST(b AS VARCHAR))), 1, 15) AS BIGINT)) % ma AS b, "
+            f"mb AS ma, ma AS mb FROM {rounds})"
+        )
+    with_digits = "array_to_string(list_transform(string_split({0}, ''), lambda c, i: CASE WHEN c BETWEEN '0' AND '9' THEN substr({1}, length(regexp_replace(substr({0}, 1, i), '[^0-9]', '', 'g')), 1) ELSE c END), '')"
+    return rf"""
+WITH p AS (
+  SELECT doc_id, text, CASE WHEN regexp_matches(text, '[0-9@]') THEN string_split(regexp_replace(replace(text, chr(1), chr(1) || chr(2)), '{candidate}', '\1' || chr(1) || chr(3) || '\2' || chr(1) || chr(3), 'g'), chr(1) || chr(3))
+         ELSE [replace(text, chr(1), chr(1) || chr(2))] END AS parts FROM documents
+), f AS (
+  SELECT doc_id, i, parts[i] AS x, i % 2 = 0 AND NOT regexp_matches(parts[i + 1], '{goes_on}') AS apart FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM p)
+), v AS (
+  SELECT x, regexp_replace(x, '[^0-9]', '', 'g') AS d, replace(x, ' ', '') AS plain, {day.format(part[0], part[1], part[2])} AS ymd,
+         {day.format(part[2], part[1], part[0])} AS dmy, CASE WHEN contains(x, '/') THEN {day.format(part[2], part[0], part[1])} END AS mdy
+  FROM (SELECT DISTINCT x FROM f WHERE apart)
+), k AS (
+  SELECT *, CASE
+    WHEN {is_("email")} THEN 'email'
+    WHEN {is_("iban")} THEN CASE WHEN length(plain) <= 34 AND {mod97.format(turned.format("plain"))} = 1 THEN 'iban' END
+    WHEN {is_("ymd")} THEN CASE WHEN ymd IS NOT NULL THEN 'date' END
+    WHEN {is_("dmy")} THEN CASE WHEN dmy IS NOT NULL OR mdy IS NOT NULL THEN 'date' END
+    WHEN {is_("ip")} THEN CASE WHEN greatest({", ".join(octet)}) <= 255 AND concat_ws('.', {", ".join(octet)}) = x THEN 'ip' END
+    WHEN {is_("phone")} THEN CASE WHEN length(d) BETWEEN 7 AND 15 THEN 'phone' END
+    WHEN {is_("ssn")} THEN CASE WHEN substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000' THEN 'ssn' END
+    WHEN {is_("card")} THEN CASE WHEN length(d) BETWEEN 13 AND 19 AND {luhn.format("d")} % 10 = 0 THEN 'card' END END AS kind,
+    regexp_extract(x, '^\+([0-9]{{1,3}})', 1) AS code
+  FROM v
+), s AS (
+  SELECT *, CASE kind WHEN 'phone' THEN substr(d, length(code) + 1) WHEN 'card' THEN substr(d, 1, length(d) - 1) WHEN 'iban' THEN regexp_replace(substr(plain, 5), '[^0-9]', '', 'g') END AS own,
+         CASE WHEN {is_("ymd")} THEN 'ymd' WHEN dmy IS NOT NULL THEN 'dmy' ELSE 'mdy' END AS read,
+         date_diff('day', DATE '1900-01-01', CASE WHEN {is_("ymd")} THEN ymd ELSE coalesce(dmy, mdy) END) AS day,
+         CAST(substr(x, 1, 3) AS VARCHAR) AS area3
+  FROM k WHERE kind IS NOT NULL
+), h AS (
+  SELECT x, kind,
+    CASE kind WHEN 'ip' THEN 'ip' WHEN 'ssn' THEN 'ssn' WHEN 'date' THEN CASE WHEN read = 'mdy' THEN 'datetrue' ELSE 'datefalse' END ELSE kind || length(own) END AS tweak,
+    CASE kind WHEN 'ip' THEN {octet[0]} * 256 + {octet[1]} WHEN 'ssn' THEN (try_cast(area3 AS INT) - 1 - CASE WHEN area3 > '666' THEN 1 ELSE 0 END) * 99 + try_cast(substr(x, 5, 2) AS INT) - 1
+      WHEN 'date' THEN day // {DAYS_B} ELSE coalesce(try_cast(substr(own, 1, length(own) // 2) AS BIGINT), 0) END AS a,
+    CASE kind WHEN 'ip' THEN {octet[2]} * 256 + {octet[3]} WHEN 'ssn' THEN try_cast(substr(x, 8, 4) AS INT) - 1
+      WHEN 'date' THEN day % {DAYS_B} ELSE coalesce(try_cast(substr(own, length(own) // 2 + 1) AS BIGINT), 0) END AS b,
+    CASE kind WHEN 'ip' THEN 65536 WHEN 'ssn' THEN {898 * 99} WHEN 'date' THEN {DAYS_A} ELSE CAST(rpad('1', CAST(length(own) // 2 + 1 AS INT), '0') AS BIGINT) END AS ma,
+    CASE kind WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 9999 WHEN 'date' THEN {DAYS_B} ELSE CAST(rpad('1', CAST(length(own) - length(own) // 2 + 1 AS INT), '0') AS BIGINT) END AS mb
+  FROM s WHERE kind <> 'email'
+), r AS (SELECT * FROM {rounds}
+), o AS (
+  SELECT s.*, r.a, r.b, CASE WHEN s.kind = 'date' THEN DATE '1900-01-01' + CAST(r.a * {DAYS_B} + r.b AS INT) END AS moved,
+    CASE WHEN s.own IS NOT NULL THEN lpad(CAST(r.a AS VARCHAR), CAST(length(own) // 2 AS INT), '0') || lpad(CAST(r.b AS VARCHAR), CAST(length(own) - length(own) // 2 AS INT), '0') END AS n
+  FROM s LEFT JOIN r ON s.x = r.x
+), q AS (
+  SELECT *, substr(x, 1, 2) || '00' || {with_digits.format("substr(plain, 5)", "n")} AS bare FROM o
+), y AS (
+  SELECT x, kind, CASE kind
+    WHEN 'email' THEN 'u' || substr(sha256('{KEY}:email:' || translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 20) || '@' || split_part(x, '@', 2)
+    WHEN 'ip' THEN concat_ws('.', a // 256, a % 256, b // 256, b % 256)
+    WHEN 'ssn' THEN lpad(CAST(a // 99 + 1 + CASE WHEN a // 99 >= 665 THEN 1 ELSE 0 END AS VARCHAR), 3, '0') || '-' || lpad(CAST(a % 99 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(b + 1 AS VARCHAR), 4, '0')
+    WHEN 'phone' THEN {with_digits.format("x", "(code || n)")}
+    WHEN 'card' THEN {with_digits.format("x", f"(n || CAST((10 - {luhn.format('(n || 0)')} % 10) % 10 AS VARCHAR))")}
+    WHEN 'iban' THEN CASE WHEN contains(x, ' ') THEN rtrim(regexp_replace(substr(bare, 1, 2) || lpad(CAST(98 - {mod97.format(turned.format("bare"))} AS VARCHAR), 2, '0') || substr(bare, 5), '(.{{4}})', '\1 ', 'g'))
+      ELSE substr(bare, 1, 2) || lpad(CAST(98 - {mod97.format(turned.format("bare"))} AS VARCHAR), 2, '0') || substr(bare, 5) END
+    WHEN 'date' THEN CASE read WHEN 'ymd' THEN strftime(moved, '%Y-%m-%d')
+      WHEN 'dmy' THEN strftime(moved, '%d') || regexp_extract(x, '[./-]') || strftime(moved, '%m') || regexp_extract(x, '[./-]') || strftime(moved, '%Y')
+      ELSE strftime(moved, '%m') || regexp_extract(x, '[./-]') || strftime(moved, '%d') || regexp_extract(x, '[./-]') || strftime(moved, '%Y') END END AS new
+  FROM q
+), j AS (SELECT f.doc_id, f.i, coalesce(y.new, f.x) AS x, y.kind FROM f LEFT JOIN y ON f.apart AND f.x = y.x)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE t.text END AS text, coalesce(t.n_pii, 0) AS n_pii, {", ".join(f"coalesce(t.n_{k}, 0) AS n_{k}" for k in KINDS)}
+FROM documents d LEFT JOIN (
+  SELECT doc_id, replace(string_agg(x, '' ORDER BY i), chr(1) || chr(2), chr(1)) AS text, count(kind) AS n_pii, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)} FROM j GROUP BY doc_id
+) t ON d.doc_id = t.doc_id
+"""
+
+
+OP1_SQL = _oracle()

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_pii": pii.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
 }
