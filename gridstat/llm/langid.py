@@ -35,7 +35,7 @@ GRAMS = 20_000  # known n-grams a language, all orders
 ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.7  # weight of each order relative to the one above
 CERTAIN_WORDS = 25.0  # words from which a mean counts in full
-MIN_SCORE = 0.5  # the filter's threshold
+MIN_LIFT = 1.05  # the filter wants a score of so many times the chance of a guess
 CACHED_WORDS = 150_000
 
 UNKNOWN = "und"
@@ -187,8 +187,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), task, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a known language; undetermined and doubtful ones go. All columns are kept."""
+def keep_known(docs: DataFrame, model: Model, min_lift: float = MIN_LIFT) -> DataFrame:
+    """The documents with a known language; undetermined ones and mere guesses go. All columns are kept.
+
+    Short clean texts score low but above chance, and stay.
+    """
+    least = min(1.0, min_lift / max(1, len(model.languages)))
     make = _scorer_task(model, docs.sparkSession)
 
     def task():
@@ -196,7 +200,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> D
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [scorer.predict(t) for t in texts_of(batch)]
-            return batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
+            return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found]))
 
         return one
 
