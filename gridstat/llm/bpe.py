@@ -25,7 +25,9 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -43,8 +45,12 @@ WORD_END = "</w>"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
-CACHED_CHARS = 48  # longer pre-tokens are not cached
-CACHED_WORDS = 200_000  # entries of a worker's cache; the older half goes beyond that
+CACHED_CHARS = 48  # longer parts are not cached
+CACHED_PARTS = 300_000  # entries of a worker's caches: parts between white space, and pre-tokens
+CACHED_WORDS = 200_000
+
+#: White space for str.split() that the pre-tokenizer doesn't count as such.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @functools.cache
@@ -56,23 +62,43 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class MergeTable:
-    """Vocabulary and merge rules, and what the transducer derives from them."""
+    """Vocabulary and merge rules, and what the transducer derives from them.
+
+    Inside, a symbol is one character: its byte, or its byte plus 256 at the end
+    of a word; so a token is a plain string with a character a symbol.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.strings = {i: s for s, i in self.ids.items()}
+        self.byte_of = {c: b for b, c in byte_alphabet().items()}
+        self.strings: dict[int, str] = {i: s for s, i in spec["model"]["vocab"].items()}
+        self.ids: dict[str, int] = {self.inner(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        pairs = [(self.inner(a), self.inner(b)) for a, b in merges]
         self.rank: dict[tuple[str, str], int] = {p: r for r, p in enumerate(pairs)}
         self.parts: dict[str, tuple[str, str, int]] = {a + b: (a, b, r) for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(symbols_in, self.parts), default=1)
+        #: A token's bytes, and whether a word ends with it.
+        self.bytes_of = {i: (bytes(ord(c) % 256 for c in t), ord(t[-1]) > 255) for t, i in self.ids.items()}
+        self.longest = max(map(len, self.parts), default=1)
+        #: Longest token that ends with two given symbols.
+        self.reach: dict[str, int] = {}
+        for token in self.parts:
+            self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
         self.lookahead = self._sufficient_lookahead(pairs)
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}  # at most an entry a token
 
+    def inner(self, token: str) -> str:
+        """A token of the file with a character a symbol."""
+        ends = token.endswith(WORD_END) and len(token) > len(WORD_END)
+        symbols = [self.byte_of[c] for c in (token[: -len(WORD_END)] if ends else token)]
+        if ends:
+            symbols[-1] += 256
+        return "".join(map(chr, symbols))
+
     @staticmethod
     def _sufficient_lookahead(pairs: list[tuple[str, str]]) -> int:
         """Symbols after a token beyond which nothing can change it.
@@ -86,7 +112,7 @@ class MergeTable:
         made: dict[str, int] = {}
         most = 1
         for a, b in pairs:
-            reach = symbols_in(a + b) + max(taken.get(b, 0), made.get(b, 0))
+            reach = len(a + b) + max(taken.get(b, 0), made.get(b, 0))
             taken[a] = max(taken.get(a, 0), reach)
             made[a + b] = reach
             most = max(most, reach)
@@ -100,14 +126,14 @@ class MergeTable:
             out.append((token, found[2]))
         return out[::-1]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart side by side: no rule joins their edges before each is finished."""
-        key = (a, b)
-        known = self._fits.get(key)
-        if known is None:
-            known = self._fits[key] = self._stay_apart(a, b)
-            if len(self._fits) > 4 * CACHED_WORDS:
-                self._fits.clear()
+    def fits(self, a: str | None, b: str) -> bool:
+        """Whether b is a token that may follow a: no rule joins their edges before each is finished."""
+        if a is None:
+            return self.whole(b)
+        known = self.whole(b) and self._stay_apart(a, b)
+        if len(self.apart) > 2 * CACHED_WORDS:
+            self.apart.clear()
+        self.apart[a, b] = known
         return known
 
     def whole(self, token: str) -> bool:
@@ -137,118 +163,123 @@ class MergeTable:
         return True
 
 
-def symbols_in(token: str) -> int:
-    return len(token) - len(WORD_END) if token.endswith(WORD_END) and len(token) > len(WORD_END) else len(token)
-
-
 class PreTokenTransducer:
     """Symbols of one pre-token in, stable tokens out."""
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self.symbols: list[str] = []
+        self.held = ""  # symbols that are not emitted yet
         self.last: list[str | None] = [None]  # last[n]: the last token of the first n symbols held
         self.before: str | None = None  # the token before the symbols held
 
-    def feed(self, symbols: Iterable[str]) -> list[str]:
+    def feed(self, symbols: str) -> list[str]:
         out: list[str] = []
         room = 2 * self.table.lookahead + self.table.longest
-        for s in symbols:
-            self._step(s)
-            if len(self.symbols) > room:
+        for at in range(0, len(symbols), room):
+            self._extend(symbols[at : at + room])
+            if len(self.held) > room:
                 out += self._release(self.table.lookahead)
         return out
 
     def finish(self) -> list[str]:
         return self._release(0)
 
-    def _step(self, symbol: str) -> None:
-        held, last, ids, fits = self.symbols, self.last, self.table.ids, self.table.fits
-        held.append(symbol)
-        n, token = len(held), ""
-        for k in range(1, min(n, self.table.longest) + 1):
-            token = held[n - k] + token
-            if token not in ids:
-                continue
-            at = n - k
-            neighbour = last[at] if at else self.before
-            if at and neighbour is None:
-                continue
-            if (neighbour is None or fits(neighbour, token)) and self.table.whole(token):
-                last.append(token)
-                return
-        last.append(None)
+    def _extend(self, symbols: str) -> None:
+        """Find the last token of each longer prefix: the one that ends there and fits the last token before it."""
+        last, before, table = self.last, self.before, self.table
+        ids, reach, apart, fits = table.ids, table.reach, table.apart, table.fits
+        begin, held = len(self.held), self.held + symbols
+        self.held = held
+        for n in range(begin + 1, len(held) + 1):
+            found = None
+            for at in range(n - 1, max(-1, n - 1 - reach.get(held[n - 2 : n] if n > 1 else "", 1)), -1):
+                token = held[at:n]
+                if token in ids:
+                    neighbour = last[at] if at else before
+                    if neighbour is None:
+                        if at == 0 and fits(None, token):
+                            found = token
+                            break
+                    else:
+                        known = apart.get((neighbour, token))
+                        if fits(neighbour, token) if known is None else known:
+                            found = token
+                            break
+            last.append(found)
 
     def _release(self, keep: int) -> list[str]:
         """Emit the tokens that end at least `keep` symbols before the end."""
-        at, path = len(self.symbols), []
+        at, path = len(self.held), []
         while at > 0:
             token = self.last[at]
             if token is None:
                 raise ValueError("symbols that the vocabulary lacks")
             path.append((at, token))
-            at -= symbols_in(token)
+            at -= len(token)
         path.reverse()
-        stable = [(end, token) for end, token in path if end <= len(self.symbols) - keep]
+        stable = [(end, token) for end, token in path if end <= len(self.held) - keep]
         if stable:
             cut, self.before = stable[-1]
-            del self.symbols[:cut]
+            self.held = self.held[cut:]
             del self.last[1 : cut + 1]
         return [token for _, token in stable]
 
 
 class StreamingEncoder:
-    """Text chunks in, lists of token strings out, one list a pre-token."""
+    """Text in, chunk by chunk; pre-tokens and their tokens out."""
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self.alphabet = byte_alphabet()
         self.pattern = regex.compile(PRE_TOKEN)
         self.stop = regex.compile(f"[{SPACES}]")
         self.specials = regex.compile("|".join(map(regex.escape, table.special))) if table.special else None
 
-    def pre_tokens(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(pre-token, whether it is a special token) of a text, worked on in chunks that end before white space."""
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """(normalised part without white space, whether it is a special token) of a text.
+
+        Pre-tokens never hold white space, so each part has its own. Text is
+        worked on in chunks that end before white space.
+        """
         at = 0
         while at < len(text):
             end = min(len(text), at + CHUNK_CHARS)
             if end < len(text):
                 cut = self.stop.search(text, end)
                 end = cut.start() if cut else len(text)
-            yield from self._pre_tokens(text[at:end])
+            chunk = text[at:end]
+            if self.specials and any(s in chunk for s in self.table.special):
+                begin = 0
+                for m in self.specials.finditer(chunk):
+                    for part in self._split(chunk[begin : m.start()]):
+                        yield part, False
+                    yield m[0], True
+                    begin = m.end()
+                chunk = chunk[begin:]
+            for part in self._split(chunk):
+                yield part, False
             at = end
 
-    def _pre_tokens(self, text: str) -> Iterator[tuple[str, bool]]:
-        if self.specials and any(s in text for s in self.table.special):
-            at = 0
-            for m in self.specials.finditer(text):
-                for word in self.normal_words(text[at : m.start()]):
-                    yield word, False
-                yield m[0], True
-                at = m.end()
-            text = text[at:]
-        for word in self.normal_words(text):
-            yield word, False
-
-    def normal_words(self, text: str) -> list[str]:
-        """Normalised pre-tokens: NFC, each character in lower case on its own (no final sigma)."""
+    def _split(self, text: str) -> list[str]:
+        """Parts of a text in NFC, each character in lower case on its own (no final sigma)."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
+        if _SEPARATORS.search(text):  # white space for str.split() alone
+            return [p for p in self.stop.split(text) if p]
+        return text.split()
 
     def encode_word(self, word: str) -> list[str]:
         """The tokens of one pre-token, of any length, through the transducer."""
-        machine, alphabet = PreTokenTransducer(self.table), self.alphabet
+        machine = PreTokenTransducer(self.table)
         raw = word.encode("utf-8")
         out: list[str] = []
         for at in range(0, len(raw) - 1, CHUNK_CHARS):
-            out += machine.feed(alphabet[b] for b in raw[at : min(at + CHUNK_CHARS, len(raw) - 1)])
-        out += machine.feed([alphabet[raw[-1]] + WORD_END])
+            out += machine.feed(raw[at : min(at + CHUNK_CHARS, len(raw) - 1)].decode("latin-1"))
+        out += machine.feed(chr(256 + raw[-1]))
         return out + machine.finish()
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for word, special in self.pre_tokens(text):
-            out += [self.table.special[word]] if special else [self.table.ids[t] for t in self.encode_word(word)]
+        for part, special in self.parts(text):
+            out += [self.table.special[part]] if special else [self.table.ids[t] for w in self.pattern.findall(part) for t in self.encode_word(w)]
         return out
 
 
@@ -257,12 +288,12 @@ class StreamingDecoder:
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self.bytes_of = {c: b for b, c in byte_alphabet().items()}
         self.special = set(table.special.values())
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.reset()
 
     def reset(self) -> None:
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.utf8.reset()
         self.started = False
         self.gap = False
 
@@ -276,84 +307,97 @@ class StreamingDecoder:
 
     def text(self, ids: Iterable[int]) -> str:
         """Characters that are complete; a token with a word's end owes a space to the next one."""
-        out = []
+        out, bytes_of = [], self.table.bytes_of
         for i in ids:
             if self.gap:
-                out.append(self.utf8.decode(b"", True) + " ")
-                self.utf8.reset()
+                out.append(self.finish() + " ")
                 self.gap = False
-            s = self.table.strings[i]
             if i in self.special:
-                out.append(self.utf8.decode(b"", True) + s)
-                self.utf8.reset()
+                out.append(self.finish() + self.table.strings[i])
                 self.gap = True
-                continue
-            if s.endswith(WORD_END):
-                s, self.gap = s[: -len(WORD_END)], True
-            out.append(self.utf8.decode(bytes(map(self.bytes_of.__getitem__, s))))
+            else:
+                raw, self.gap = bytes_of[i]
+                out.append(self.utf8.decode(raw))
         return "".join(out)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
 
 
-class WordCache:
-    """What encoding and decoding give for short pre-tokens: (tokens, ids, pieces, text), the ids space-joined."""
+class TwoAges(dict):
+    """A bounded cache: what is used again moves from the older half to the younger one."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+Entry = tuple[int, str, str, str]
+
+
+class PartCache:
+    """What encoding and decoding give for parts of text: (tokens, ids, pieces, text), all space-joined."""
 
     def __init__(self, table: MergeTable):
         self.encoder, self.decoder = StreamingEncoder(table), StreamingDecoder(table)
         self.table = table
-        self.known: dict[str, tuple[int, str, str, str]] = {}
+        self.known, self.words = TwoAges(CACHED_PARTS), TwoAges(CACHED_WORDS)
         self.special = {s: self._decoded([i]) for s, i in table.special.items()}
 
-    def _decoded(self, ids: list[int]) -> tuple[int, str, str, str]:
+    def _decoded(self, ids: list[int]) -> Entry:
         d = self.decoder
         d.reset()
-        pieces = d.pieces(ids)
-        return len(ids), " ".join(map(str, ids)), pieces, d.text(ids) + d.finish()
+        return len(ids), " ".join(map(str, ids)), d.pieces(ids), d.text(ids) + d.finish()
 
-    def of(self, word: str) -> tuple[int, str, str, str]:
-        got = self.known.get(word)
+    def _word(self, word: str) -> Entry:
+        got = self.words.get(word) or self.words.old.get(word)
         if got is None:
             got = self._decoded([self.table.ids[t] for t in self.encoder.encode_word(word)])
-            if len(word) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_WORDS:
-                    for old in list(self.known)[: CACHED_WORDS // 2]:
-                        del self.known[old]
-                self.known[word] = got
-        return got
-
-    def chunks(self, text: str) -> Iterator[list[tuple[int, str, str, str]]]:
-        """Entries of the pre-tokens, some thousands at a time."""
-        held: list[tuple[int, str, str, str]] = []
-        of, known, special = self.of, self.known, self.special
-        for word, is_special in self.encoder.pre_tokens(text):
-            held.append(special[word] if is_special else known.get(word) or of(word))
-            if len(held) >= 8192:
-                yield held
-                held = []
-        if held:
+        return self.words.keep(word, got) if len(word) <= CACHED_CHARS else got
+
+    def of(self, part: str) -> Entry:
+        """The entry of a part that is not in the younger half of the cache."""
+        got = self.known.old.get(part)
+        if got is None:
+            entries = [self._word(w) for w in self.encoder.pattern.findall(part)]
+            if len(entries) == 1:
+                got = entries[0]
+            else:
+                n, *columns = zip(*entries, strict=True)
+                got = (sum(n), *map(" ".join, columns))
+        return self.known.keep(part, got) if len(part) <= CACHED_CHARS else got
+
+    def entries(self, text: str) -> Iterator[list[Entry]]:
+        """Entries of the parts of a text, some thousands at a time."""
+        of, known, special, parts = self.of, self.known, self.special, self.encoder.parts(text)
+        while held := [special[p] if is_special else known.get(p) or of(p) for p, is_special in itertools.islice(parts, 8192)]:
             yield held
 
 
 @functools.cache
-def cache_of(path: str) -> WordCache:
+def cache_of(path: str) -> PartCache:
     """One table and cache for each worker process and vocabulary."""
-    return WordCache(MergeTable(path))
+    return PartCache(MergeTable(path))
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
 
 
-def digest(cache: WordCache, text: str) -> tuple[int, str, str, str]:
+def digest(cache: PartCache, text: str) -> tuple[int, str, str, str]:
     """Token count and SHA-256 of ids, decoded pieces and decoded text, updated as tokens become stable."""
-    n, hashes, first = 0, [hashlib.sha256() for _ in range(3)], True
-    for entries in cache.chunks(text):
-        counts, *columns = zip(*entries, strict=True)
-        n += sum(counts)
-        for h, column in zip(hashes, columns, strict=True):
-            h.update((("" if first else " ") + " ".join(column)).encode("utf-8"))
-        first = False
+    n, hashes, gap = 0, [hashlib.sha256() for _ in range(3)], ""
+    for held in cache.entries(text):
+        n += sum([e[0] for e in held])
+        for k, h in enumerate(hashes, 1):
+            h.update((gap + " ".join([e[k] for e in held])).encode("utf-8"))
+        gap = " "
     return n, *(h.hexdigest() for h in hashes)
 
 
@@ -383,7 +427,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [
-                [int(i) for entries in cache.chunks(t) for e in entries for i in e[1].split(" ")]
+                [int(i) for held in cache.entries(t) for e in held for i in e[1].split(" ")]
                 for t in texts_of(batch)
             ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["a", "b"])
