@@ -1,0 +1 @@
+"""Operators: functions of DataFrames."""

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from gridstat.plans import registry
+
+MODULES = ["descriptive"]
+for _m in MODULES:
+    importlib.import_module(f"gridstat.plans.{_m}")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return registry.QUERIES["growth_summary"](spark, sf_dir)
