@@ -1,0 +1,349 @@
+"""Synthetic fields: each grid comes from its own id and a seed, whatever the partitioning.
+
+A generator is a function of (random generator, side) that returns one grid.
+Random Gaussian fields are made by filtering white noise in frequency space.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+Generator = Callable[[np.random.Generator, int], np.ndarray]
+GENERATORS: dict[str, Generator] = {}
+
+
+def generator(f: Generator) -> Generator:
+    GENERATORS[f.__name__] = f
+    return f
+
+
+def _axes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    y, x = np.mgrid[:n, :n] / n
+    return y, x
+
+
+def _filtered(rng: np.random.Generator, n: int, gain: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """White noise with a gain on each frequency (cycles a field), zero mean and unit deviation."""
+    k = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n)[None, :]) * n
+    spectrum = np.fft.fft2(rng.normal(size=(n, n))) * gain(k)
+    spectrum[0, 0] = 0
+    out = np.fft.ifft2(spectrum).real
+    return out / (out.std() + 1e-12)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / (np.abs(x).max() + 1e-12)
+
+
+def _blob(n: int, cy: float, cx: float, width: float) -> np.ndarray:
+    y, x = _axes(n)
+    return np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * width**2))
+
+
+@generator
+def gaussian_random_field(rng, n):
+    length = rng.uniform(0.05, 0.3)
+    return _filtered(rng, n, lambda k: np.exp(-0.5 * (2 * np.pi * k * length / 2) ** 2))
+
+
+@generator
+def structured(rng, n):
+    y, x = _axes(n)
+    kind = rng.integers(3)
+    if kind == 0:
+        return (np.hypot(y - rng.uniform(), x - rng.uniform()) < rng.uniform(0.1, 0.4)).astype(float)
+    if kind == 1:
+        angle = rng.uniform(0, np.pi)
+        return np.sign(np.sin(2 * np.pi * rng.integers(1, 5) * (np.cos(angle) * x + np.sin(angle) * y)))
+    return sum(_blob(n, rng.uniform(), rng.uniform(), 0.1) for _ in range(4))
+
+
+@generator
+def multiscale_field(rng, n):
+    return sum(w * _filtered(rng, n, lambda k, s=s: np.exp(-0.5 * (k * s) ** 2)) for w, s in ((1.0, 1.0), (0.5, 0.5), (0.25, 0.25)))
+
+
+@generator
+def localized_features(rng, n):
+    return sum(rng.uniform(0.5, 1) * _blob(n, rng.uniform(), rng.uniform(), rng.uniform(0.03, 0.1)) for _ in range(rng.integers(2, 8)))
+
+
+@generator
+def composite_field(rng, n):
+    y, x = _axes(n)
+    base = [np.sin(6 * np.pi * x), np.sin(6 * np.pi * x) * np.sin(6 * np.pi * y), np.sin(12 * np.pi * np.hypot(y - 0.5, x - 0.5))][rng.integers(3)]
+    return base + 0.2 * gaussian_random_field(rng, n)
+
+
+@generator
+def heavy_tailed(rng, n):
+    alpha = rng.uniform(1, 3)
+    return _filtered(rng, n, lambda k: np.maximum(k, 1) ** (-alpha / 2))
+
+
+@generator
+def wave_packet(rng, n):
+    y, x = _axes(n)
+    cy, cx, s, a = rng.uniform(0.3, 0.7), rng.uniform(0.3, 0.7), rng.uniform(0.05, 0.15), rng.uniform(0, 2 * np.pi)
+    k = 2 * np.pi * rng.integers(2, 6)
+    return np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (4 * s**2)) * np.cos(k * (np.cos(a) * x + np.sin(a) * y))
+
+
+@generator
+def turing_pattern(rng, n):
+    y, x = _axes(n)
+    k = 2 * np.pi / rng.uniform(0.1, 0.3)
+    angles = [[0, 2 * np.pi / 3, 4 * np.pi / 3], [rng.uniform(0, np.pi)], list(rng.uniform(0, np.pi, rng.integers(2, 5)))][rng.integers(3)]
+    return sum(np.cos(k * (np.cos(a) * x + np.sin(a) * y)) for a in angles) + 0.1 * gaussian_random_field(rng, n)
+
+
+@generator
+def thermal_gradient(rng, n):
+    y, x = _axes(n)
+    place = [x, y, (x + y) / 2][rng.integers(3)]
+    return rng.uniform(0, 0.2) + rng.uniform(0.5, 1) * place ** rng.uniform(0.5, 2) + 0.05 * gaussian_random_field(rng, n)
+
+
+@generator
+def morphogen_gradient(rng, n):
+    y, x = _axes(n)
+    out, kind = np.zeros((n, n)), rng.integers(3)
+    for _ in range(rng.integers(1, 4)):
+        d, s = np.hypot(y - rng.uniform(), x - rng.uniform()), rng.uniform(0.1, 0.4)
+        out += [np.exp(-d / s), 1 / (1 + (d / s) ** 2), 1 / (1 + np.exp((d - s) / 0.05))][kind]
+    out += 0.05 * gaussian_random_field(rng, n)
+    return (out - out.min()) / (np.ptp(out) + 1e-12)
+
+
+@generator
+def reaction_front(rng, n):
+    y, x = _axes(n)
+    d = [x - rng.uniform(0.2, 0.8), rng.uniform(0.1, 0.4) - np.hypot(y - 0.5, x - 0.5), 0.2 * gaussian_random_field(rng, n)][rng.integers(3)]
+    return 0.5 * (1 + np.tanh(d / rng.uniform(0.02, 0.1)))
+
+
+@generator
+def light_cone(rng, n):
+    y, x = _axes(n)
+    out = np.zeros((n, n))
+    for _ in range(rng.integers(1, 4)):
+        out += 1 / (1 + np.exp((np.hypot(y - rng.uniform(), x - rng.uniform()) - rng.uniform(0.1, 0.4)) / 0.03))
+    return out * gaussian_random_field(rng, n)
+
+
+@generator
+def critical_fluctuation(rng, n):
+    xi, eta = rng.uniform(2, 20), 0.04
+    return _filtered(rng, n, lambda k: (k**2 + xi**-2) ** (-(2 - eta) / 4))
+
+
+@generator
+def phase_boundary(rng, n):
+    y, x = _axes(n)
+    a = rng.uniform(0, 2 * np.pi)
+    d = np.cos(a) * (x - 0.5) + np.sin(a) * (y - 0.5) - rng.uniform(-0.2, 0.2)
+    return np.tanh(d / (np.sqrt(2) * rng.uniform(0.02, 0.1))) + 0.05 * gaussian_random_field(rng, n)
+
+
+@generator
+def oscillating_reaction(rng, n):
+    y, x = _axes(n)
+    out = np.zeros((n, n))
+    kind = rng.integers(3)
+    for _ in range(1 if kind < 2 else rng.integers(3, 8)):
+        cy, cx, k = rng.uniform(), rng.uniform(), 2 * np.pi * rng.uniform(3, 8)
+        r, theta = np.hypot(y - cy, x - cx), np.arctan2(y - cy, x - cx)
+        out += np.cos((0 if kind == 1 else rng.choice([-1, 1])) * theta - k * r)
+    return _scaled(out)
+
+
+@generator
+def entropy_mosaic(rng, n):
+    y, x = _axes(n)
+    level = [x, (np.floor(4 * x) + np.floor(4 * y)) % 2, rng.uniform(size=(n, n))][rng.integers(3)]
+    return gaussian_random_field(rng, n) + rng.normal(size=(n, n)) * np.exp(level) * 0.3
+
+
+@generator
+def interference_pattern(rng, n):
+    y, x = _axes(n)
+    out = np.zeros((n, n))
+    for _ in range(rng.integers(2, 5)):
+        r = np.hypot(y - rng.uniform(), x - rng.uniform())
+        out += np.cos(2 * np.pi * rng.uniform(5, 12) * r + rng.uniform(0, 2 * np.pi)) * np.exp(-((r / 0.5) ** 2))
+    return _scaled(out)
+
+
+@generator
+def cell_population(rng, n):
+    radius, places = 0.05, []
+    for _ in range(200):  # tries
+        p = rng.uniform(size=2)
+        if all(np.hypot(*(p - q)) >= 2 * radius for q in places):
+            places.append(p)
+        if len(places) >= 20:
+            break
+    out = sum(rng.uniform(0.5, 1) * _blob(n, *p, radius) for p in places)
+    return out / (out.max() + 1e-12)
+
+
+@generator
+def chromatin_domain(rng, n):
+    y, x = _axes(n)
+    if rng.integers(2):
+        return np.sign(np.sin(4 * np.pi * x) * np.sin(4 * np.pi * y))
+    edges = np.sort(np.concatenate([[0, 1], rng.uniform(size=3)]))
+    side = lambda v, a, b: 1 / (1 + np.exp(-(v - a) / 0.02)) / (1 + np.exp((v - b) / 0.02))
+    return sum(rng.uniform(-1, 1) * side(y, a, b) * side(x, a, b) for a, b in zip(edges, edges[1:], strict=False))
+
+
+@generator
+def shock_front(rng, n):
+    y, x = _axes(n)
+    a = rng.uniform(0, 2 * np.pi)
+    d = np.cos(a) * (x - 0.5) + np.sin(a) * (y - 0.5)
+    before, after = rng.uniform(0, 0.5), rng.uniform(0.8, 1.5)
+    return before + (after - before) * 0.5 * (1 + np.tanh(d / 0.03)) + 0.05 * gaussian_random_field(rng, n)
+
+
+@generator
+def gene_expression(rng, n):
+    y, x = _axes(n)
+    base = [x, np.cos(8 * np.pi * x) * np.cos(8 * np.pi * y), np.sin(8 * np.pi * x), np.hypot(y - 0.5, x - 0.5), np.ones((n, n))][rng.integers(5)]
+    out = 0.7 * base + 0.3 * gaussian_random_field(rng, n) + 0.05 * rng.normal(size=(n, n))
+    return (out - out.min()) / (np.ptp(out) + 1e-12)
+
+
+@generator
+def coherent_state(rng, n):
+    y, x = _axes(n)
+    out = 0.1 * gaussian_random_field(rng, n)
+    for _ in range(rng.integers(1, 4)):
+        k = 2 * np.pi * rng.uniform(2, 6, 2)
+        out += rng.uniform(0.5, 1) * _blob(n, rng.uniform(), rng.uniform(), 0.1) * np.cos(k[0] * x + k[1] * y)
+    return out
+
+
+@generator
+def contracted_packet(rng, n):
+    y, x = _axes(n)
+    speed, a = rng.uniform(0.1, 0.9), rng.uniform(0, 2 * np.pi)
+    gamma = 1 / np.sqrt(1 - speed**2)
+    u, v = np.cos(a) * (x - 0.5) + np.sin(a) * (y - 0.5), -np.sin(a) * (x - 0.5) + np.cos(a) * (y - 0.5)
+    return np.exp(-((gamma * u) ** 2 + v**2) / (2 * 0.1**2)) * np.cos(2 * np.pi * 5 * u + rng.uniform(0, 2 * np.pi))
+
+
+@generator
+def shared_latent(rng, n):
+    alpha = rng.uniform(0, 1)
+    return alpha * gaussian_random_field(rng, n) + np.sqrt(1 - alpha**2) * rng.normal(size=(n, n))
+
+
+@generator
+def regulatory_network(rng, n):
+    nodes = 12
+    w = np.where(rng.uniform(size=(nodes, nodes)) < 0.3, rng.normal(size=(nodes, nodes)), 0)
+    state = rng.normal(size=nodes)
+    for _ in range(5):
+        state = np.tanh(w @ state + 0.1 * rng.normal(size=nodes))
+    return _scaled(sum(s * _blob(n, rng.uniform(), rng.uniform(), 0.1) for s in state))
+
+
+@generator
+def aggregation_cluster(rng, n):
+    b = np.zeros((n, n))
+    b[n // 2, n // 2] = 1
+    for _ in range(n):
+        near = sum(np.roll(np.roll(b, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)) > 0
+        b = np.maximum(b, near & (rng.uniform(size=(n, n)) < 0.2))
+    blur = sum(np.roll(np.roll(b, i, 0), j, 1) for i in range(-2, 3) for j in range(-2, 3)) / 25
+    out = np.exp(blur)
+    return out / out.max()
+
+
+@generator
+def error_correcting_code(rng, n):
+    bits = rng.integers(0, 2, n)
+    word = [np.repeat(bits[: max(1, n // 3)], 3)[:n], np.concatenate([bits[:-1], [bits[:-1].sum() % 2]]), bits][rng.integers(3)]
+    word = np.resize(word, n)
+    grid = np.resize(word, (n, n)) ^ (rng.uniform(size=(n, n)) < 0.05)
+    return 2.0 * grid - 1
+
+
+@generator
+def zeros(rng, n):
+    return np.zeros((n, n))
+
+
+@generator
+def white_noise(rng, n):
+    return rng.normal(size=(n, n))
+
+
+def generate(spark: SparkSession, kind: str, n: int, side: int = 8, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """n fields of a kind: sample_id, h, w, data. `mixed` deals kinds by id."""
+    if kind != "mixed" and kind not in GENERATORS:
+        raise ValueError(f"no kind {kind!r}; there are {sorted(GENERATORS)} and 'mixed'")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sorted(GENERATORS)
+        for batch in batches:
+            ids, grids, kinds = batch.column(0).to_pylist(), [], []
+            for i in ids:
+                name = names[i % len(names)] if kind == "mixed" else kind
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode()), i])
+                grids.append(np.asarray(GENERATORS[name](rng, side), dtype=np.float64).ravel().tolist())
+                kinds.append(name)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kinds), pa.array([side] * len(ids), pa.int32()), pa.array([side] * len(ids), pa.int32()), pa.array(grids, pa.list_(pa.float64()))],
+                names=["sample_id", "kind", "h", "w", "data"],
+            )
+
+    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    return ids.mapInArrow(run, "sample_id long, kind string, h int, w int, data array<double>")
+
+
+def noise_scale(step: np.ndarray | int, schedule: str, scale: float, total: int, period: float = 20.0):
+    """Scale of the noise at a step: constant, annealing to zero, or periodic."""
+    if schedule == "constant":
+        return scale + 0.0 * step
+    if schedule == "annealing":
+        return scale * (1 - step / max(1, total))
+    if schedule == "periodic":
+        return scale * (0.5 + 0.5 * np.sin(2 * np.pi * step / period))
+    raise ValueError(f"no schedule {schedule!r}")
+
+
+def rollout(initial: DataFrame, steps: int, realizations: int, policy: str = "residual", dt: float = 0.1, alpha: float = 0.5, noise: float = 0.01, schedule: str = "constant", seed: int = 0) -> DataFrame:
+    """Stochastic trajectories of a diffusion operator from each grid: a row for each realization and step.
+
+    State is a grid in a task; seeds come from the sample, the realization and
+    the step, so that results do not depend on partitions or batches.
+    """
+    rules = {"autoregressive": lambda x, o: o, "residual": lambda x, o: x + dt * (o - x), "convex": lambda x, o: alpha * x + (1 - alpha) * o}
+    if policy not in rules:
+        raise ValueError(f"no policy {policy!r}")
+    noise_scale(0, schedule, noise, steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            for sample, h, w, data in zip(*(batch.column(at[c]).to_pylist() for c in ("sample_id", "h", "w", "data")), strict=True):
+                rows = []
+                for m in range(realizations):
+                    x = np.array(data, dtype=float).reshape(h, w)
+                    for t in range(steps):
+                        rng = np.random.default_rng([seed, sample, m, t])
+                        o = (x + np.roll(x, 1, 0) + np.roll(x, -1, 0) + np.roll(x, 1, 1) + np.roll(x, -1, 1)) / 5
+                        x = rules[policy](x, o) + noise_scale(t, schedule, noise, steps) * rng.normal(size=x.shape)
+                        rows.append((sample, m, t, h, w, x.ravel().tolist()))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sample_id", "realization", "t", "h", "w", "data"])
+
+    source = initial.selectExpr("cast(sample_id as long) sample_id", "h", "w", "data")
+    return source.mapInArrow(run, "sample_id long, realization int, t int, h int, w int, data array<double>")

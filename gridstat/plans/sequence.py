@@ -94,11 +94,11 @@ def series_time_to_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{with_relations("user_series")}, n AS (SELECT sample_id, greatest(2, CAST(floor(count(*) * 0.1) AS INT)) AS w, count(*) AS n FROM user_series GROUP BY sample_id),
 w AS (SELECT a.sample_id, a.t, avg(b.y) AS m, stddev_samp(b.y) AS sd, max(b.y) AS mx, min(b.y) AS mn FROM user_series a JOIN n USING (sample_id)
   JOIN user_series b ON a.sample_id = b.sample_id AND b.t BETWEEN a.t AND a.t + w - 1 WHERE a.t + w <= n GROUP BY a.sample_id, a.t)
-SELECT sample_id, {r("avg(m)", 7)} AS mean, {r("avg(sd)", 7)} AS std, {r("avg(mx)", 7)} AS max, {r("avg(mn)", 7)} AS min, {r("stddev_samp(m)", 7)} AS std_of_means, {r("stddev_samp(sd)", 7)} AS std_of_stds
+SELECT sample_id, {r("avg(m)", 9)} AS mean, {r("avg(sd)", 9)} AS std, {r("avg(mx)", 9)} AS max, {r("avg(mn)", 9)} AS min, {r("stddev_samp(m)", 9)} AS std_of_means, {r("stddev_samp(sd)", 9)} AS std_of_stds
 FROM w GROUP BY sample_id""",
 )
 def series_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Q.rolling(R.user_series(spark, sf_dir), ["sample_id"], 0.1), ["sample_id"], 7)
+    return rounded(Q.rolling(R.user_series(spark, sf_dir), ["sample_id"], 0.1), ["sample_id"], 9)
 
 
 _ACF = """z AS (SELECT sample_id, t, y - avg(y) OVER (PARTITION BY sample_id) AS z FROM user_series),
