@@ -22,6 +22,7 @@ to learn from, or no example of one label, every score is the share of label 1
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -41,7 +42,7 @@ BUCKETS = 1 << 13  # hashed word and unit vectors
 UNITS = 20_000  # units with evidence that are kept
 EVIDENCE_DOCS = 4  # documents with a unit from which its evidence counts
 EPOCHS, BATCH, RATE = 12, 128, 0.01
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 SCORE_WINDOWS = 1024  # windows scored at once
 THRESHOLD = 0.5
 SEED = 11
@@ -53,18 +54,20 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def units_of(word: str) -> list[str]:
-    """A word's character units: prefixes, suffixes and the whole, with boundary marks."""
-    n = len(word)
-    out = [f"^{word}$"]
-    for k in range(3, 7):
-        if n > k:
-            out += [f"^{word[:k]}", f"{word[-k:]}$"]
-    return out
+_BEGIN = zlib.crc32(b"^")
 
 
-def bucket(unit: str) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % BUCKETS
+def units_of(word: str) -> list[int]:
+    """Hashes of a word's character units: the whole first, then prefixes and suffixes, with boundary marks."""
+    raw, n = word.encode("utf-8", "surrogatepass"), len(word)
+    out = [zlib.crc32(raw + b"$", _BEGIN)]
+    if len(raw) == n:
+        for k in range(3, min(n, 7)):
+            out += (zlib.crc32(raw[:k], _BEGIN), zlib.crc32(raw[-k:] + b"$"))
+    else:
+        for k in range(3, min(n, 7)):
+            out += (zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), _BEGIN), zlib.crc32(word[-k:].encode("utf-8", "surrogatepass") + b"$"))
+    return out
 
 
 def windows_of(n_words: int) -> list[int]:
@@ -80,7 +83,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    evidence: dict[str, float] = field(default_factory=dict)
+    evidence: dict[int, float] = field(default_factory=dict)  # by hash of the unit
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     slope: float = 1.0  # logistic calibration of documents' logits
     offset: float = 0.0
@@ -89,20 +92,20 @@ class Model:
 
     def features(self, words: list[str]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
         """Word buckets, unit buckets and the two evidence inputs of words."""
-        own, units, seen = [], [], np.zeros((len(words), 2), dtype=np.float32)
-        get = self.evidence.get
-        for i, w in enumerate(words):
+        get, units, seen = self.evidence.get, [], []
+        for w in words:
             u = units_of(w)
-            own.append(bucket(u[0]))
-            units.append([bucket(x) for x in u[1:]] or [own[-1]])
-            seen[i] = get(u[0], 0.0), max([get(x, 0.0) for x in u], key=abs)
-        return np.array(own), units, seen
+            e = [get(x, 0.0) for x in u]
+            units.append(u[1:] or u)
+            seen.append((e[0], max(e, key=abs) if any(e) else 0.0))
+        own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=len(words)) % BUCKETS
+        return own, units, np.array(seen, dtype=np.float32).reshape(-1, 2)
 
 
 def _inputs(w: dict[str, np.ndarray], own: np.ndarray, units: list[list[int]], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word inputs, flat unit buckets, units a word)."""
     sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-    flat = np.fromiter((u for us in units for u in us), dtype=np.int64, count=int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(units), dtype=np.int64, count=int(sizes.sum())) % BUCKETS
     sums = np.add.reduceat(w["unit"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
     return np.hstack([w["word"][own], sums / sizes[:, None], seen]).astype(np.float32), flat, sizes
 
@@ -246,18 +249,34 @@ def _logits_of(w, own, units, seen, ids: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Largest window logits of documents; projected word inputs are cached in a bounded table."""
+    """Largest window logits of documents; projected word inputs are cached in a bounded table.
+
+    Both directions run as one batch, gate by gate, so that all arrays of a step
+    are contiguous: a row of a gate's table is a word's input forward, the one
+    CACHED_WORDS + 1 rows on its input backward. Signs and factors of the
+    sigmoids and of tanh(x) = 2 / (1 + exp(-2x)) - 1 are in tables and weights.
+    The last row of each half is padding, whose update gate keeps the state.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = np.zeros((CACHED_WORDS, 6 * HIDDEN), dtype=np.float32)
         self.at: dict[str, int] = {}
+        h, rows = HIDDEN, CACHED_WORDS + 1
+        self.factor = (-1.0, -1.0, -2.0)  # reset, update, candidate
+        self.tables = [np.zeros((2 * rows, h), dtype=np.float32) for _ in range(3)]
+        self.tables[1][[rows - 1, 2 * rows - 1]] = -1e4
+        if model.weights:
+            u = model.weights["u"]
+            self.u = [np.ascontiguousarray(u[:, :, h * g : h * (g + 1)] * np.float32(f)) for g, f in enumerate(self.factor)]
 
     def _add(self, words: list[str]) -> None:
-        """Give words rows of the table; callers make room first."""
-        x, _, _ = _inputs(self.model.weights, *self.model.features(words))
-        begin = len(self.at)
-        self.table[begin : begin + len(words)] = x @ self.model.weights["w"] + self.model.weights["b"]
+        """Give words rows of the tables; callers make room first."""
+        w, h, rows = self.model.weights, HIDDEN, CACHED_WORDS + 1
+        x, _, _ = _inputs(w, *self.model.features(words))
+        made, begin = x @ w["w"] + w["b"], len(self.at)
+        for d in range(2):
+            for g, f in enumerate(self.factor):
+                self.tables[g][rows * d + begin : rows * d + begin + len(words)] = made[:, 3 * h * d + h * g : 3 * h * d + h * (g + 1)] * np.float32(f)
         self.at.update(zip(words, range(begin, begin + len(words)), strict=True))
 
     def _numbers(self, words: list[str]) -> list[int]:
@@ -275,38 +294,68 @@ class Scorer:
     def logits(self, texts: list[str]) -> np.ndarray:
         """The largest logit of each text's windows; -inf without a word."""
         out = np.full(len(texts), -np.inf)
-        held: list[np.ndarray] = []
-        owners: list[int] = []
+        parts: list[tuple[int, int, list[str]]] = []  # document, windows, their words
+        n = 0
         for d, text in enumerate(texts):
             words = words_of(text)
             starts = windows_of(len(words))
-            # The table has room for the windows that are scored together.
             for i in range(0, len(starts), SCORE_WINDOWS):
                 group = starts[i : i + SCORE_WINDOWS]
-                part = words[group[0] : group[-1] + STEPS]
-                if len(self.at) + len(part) > CACHED_WORDS:  # else rows that wait would lose their words
-                    self._flush(held, owners, out)
-                    held, owners = [], []
-                row = np.full(len(group) * STRIDE + STEPS, -1, dtype=np.int64)
-                row[: len(part)] = self._numbers(part)
-                held.append(np.lib.stride_tricks.sliding_window_view(row, STEPS)[:: STRIDE][: len(group)])
-                owners += [d] * len(group)
-                if len(owners) >= SCORE_WINDOWS:
-                    self._flush(held, owners, out)
-                    held, owners = [], []
-        self._flush(held, owners, out)
+                parts.append((d, len(group), words[group[0] : group[-1] + STEPS]))
+                n += len(group)
+                if n >= SCORE_WINDOWS:
+                    self._score(parts, out)
+                    parts, n = [], 0
+        self._score(parts, out)
         return out
 
-    def _flush(self, held: list[np.ndarray], owners: list[int], out: np.ndarray) -> None:
-        if not owners:
+    def _score(self, parts: list[tuple[int, int, list[str]]], out: np.ndarray) -> None:
+        """Windows of some parts, together: unseen words of all are looked at once."""
+        if not parts:
             return
-        ids = np.concatenate(held)
-        w, to = self.model.weights, np.array(owners)
+        numbers = np.array(self._numbers([w for _, _, words in parts for w in words]))
+        held, at = [], 0
+        for _, n, words in parts:
+            row = np.full(n * STRIDE + STEPS, CACHED_WORDS, dtype=np.int64)
+            row[: len(words)] = numbers[at : at + len(words)]
+            at += len(words)
+            held.append(np.lib.stride_tricks.sliding_window_view(row, STEPS)[::STRIDE][:n])
+        ids, owner = np.concatenate(held), np.repeat([d for d, _, _ in parts], [n for _, n, _ in parts])
         for i in range(0, len(ids), SCORE_WINDOWS):
-            part = ids[i : i + SCORE_WINDOWS]
-            mask = (part >= 0).astype(np.float32)
-            states, _ = _directions(w, self.table[np.maximum(part, 0)], mask, False)
-            np.maximum.at(out, to[i : i + SCORE_WINDOWS], _pooled(w, states, mask)[0])
+            np.maximum.at(out, owner[i : i + SCORE_WINDOWS], self._window_logits(ids[i : i + SCORE_WINDOWS]))
+
+    def _window_logits(self, ids: np.ndarray) -> np.ndarray:
+        n, t, h = len(ids), STEPS, HIDDEN
+        steps = np.ascontiguousarray(ids.T)
+        both = np.concatenate([steps, steps[::-1] + CACHED_WORDS + 1], axis=1)
+        forward, backward = np.empty((t, n, h), dtype=np.float32), np.empty((t, n, h), dtype=np.float32)
+        s = np.zeros((2, n, h), dtype=np.float32)
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                reset, update, candidate = (table.take(both[i], axis=0).reshape(2, n, h) for table in self.tables)
+                for gate, u in ((reset, self.u[0]), (update, self.u[1])):
+                    gate += s @ u
+                    np.exp(gate, out=gate)
+                    gate += 1
+                a = s @ self.u[2]
+                a /= reset
+                candidate += a
+                np.exp(candidate, out=candidate)
+                candidate += 1
+                np.divide(2, candidate, out=candidate)
+                candidate -= 1
+                s -= candidate
+                s /= update
+                s += candidate
+                forward[i], backward[t - 1 - i] = s[0], s[1]
+        w = self.model.weights
+        a = forward @ w["attend"][:h] + backward @ w["attend"][h:]
+        a[steps == CACHED_WORDS] = -1e4
+        np.exp(a - a.max(axis=0), out=a)
+        a /= a.sum(axis=0)
+        forward *= a[:, :, None]
+        backward *= a[:, :, None]
+        return forward.sum(axis=0) @ w["out"][:h] + backward.sum(axis=0) @ w["out"][h:] + w["bias"][0]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         m = self.model
@@ -316,7 +365,7 @@ class Scorer:
         return np.where(np.isinf(logits), m.lowest, _sigmoid(m.slope * np.where(np.isinf(logits), 0.0, logits) + m.offset))
 
 
-def _evidence(sample: DataFrame, n: dict[int, int]) -> dict[str, float]:
+def _evidence(sample: DataFrame, n: dict[int, int]) -> dict[int, float]:
     """Log odds of units by documents that have them, for the strongest UNITS ones."""
 
     def task():
@@ -326,12 +375,12 @@ def _evidence(sample: DataFrame, n: dict[int, int]) -> dict[str, float]:
                 seen[y].update({u for w in set(words_of(text)) for u in units_of(w)})
             units = list(seen[0] | seen[1])
             return pa.RecordBatch.from_arrays(
-                [pa.array(units, pa.string()), pa.array([seen[0][u] for u in units], pa.int64()), pa.array([seen[1][u] for u in units], pa.int64())], names=["unit", "n0", "n1"]
+                [pa.array(units, pa.int64()), pa.array([seen[0][u] for u in units], pa.int64()), pa.array([seen[1][u] for u in units], pa.int64())], names=["unit", "n0", "n1"]
             )
 
         return one
 
-    counts = map_arrow(sample.select("text", "y"), task, "unit string, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = map_arrow(sample.select("text", "y"), task, "unit long, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (n[0] + 1.0))
     # Shrunk: what few documents show counts less.
     odds = odds * (1 - F.exp(-(F.col("n0") + F.col("n1")) / 8.0))
