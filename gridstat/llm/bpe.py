@@ -25,7 +25,6 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
-import itertools
 import json
 import re
 import unicodedata
@@ -46,8 +45,10 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts are not cached
-CACHED_PARTS = 300_000  # entries of a worker's caches: parts between white space, and pre-tokens
-CACHED_WORDS = 200_000
+CACHED_PARTS = 1_000_000  # entries of a worker's caches, some 300 MB: parts between white space, pre-tokens, prefixes
+CACHED_WORDS = 500_000
+CACHED_PREFIXES = 800_000
+SHORT_BYTES = 64
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -61,6 +62,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class TwoAges(dict):
+    """A bounded cache: what is used again moves from the older half to the younger one."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class MergeTable:
     """Vocabulary and merge rules, and what the transducer derives from them.
 
@@ -90,6 +106,7 @@ class MergeTable:
         self.lookahead = self._sufficient_lookahead(pairs)
         self.apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}  # at most an entry a token
+        self.lasts = TwoAges(CACHED_PREFIXES)
 
     def inner(self, token: str) -> str:
         """A token of the file with a character a symbol."""
@@ -146,6 +163,44 @@ class MergeTable:
             )
         return known
 
+    def last(self, prefix: str, keep: bool = True) -> str | None:
+        """The last token of a string of symbols; None if it can't be cut into tokens.
+
+        Prefixes recur from word to word, so what was found for them is kept.
+        """
+        known = self.lasts.get(prefix) or self.lasts.old.get(prefix)
+        if known is not None:
+            return known
+        n, ids, lasts, apart = len(prefix), self.ids, self.lasts, self.apart
+        found = None
+        for at in range(n - 1, max(-1, n - 1 - self.reach.get(prefix[-2:], 1)), -1):
+            token = prefix[at:]
+            if token not in ids:
+                continue
+            if at == 0:
+                if self.whole(token):
+                    found = token
+                break
+            head = prefix[:at]
+            neighbour = lasts.get(head) or self.last(head)
+            if neighbour is not None:
+                fits = apart.get((neighbour, token))
+                if self.fits(neighbour, token) if fits is None else fits:
+                    found = token
+                    break
+        return lasts.keep(prefix, found) if keep and found is not None else found
+
+    def tokens(self, symbols: str) -> list[str]:
+        """The tokens of a short string of symbols, back from its last one."""
+        out, rest = [], symbols
+        while rest:
+            token = self.last(rest, rest is not symbols)
+            if token is None:
+                raise ValueError("symbols that the vocabulary lacks")
+            out.append(token)
+            rest = rest[: -len(token)]
+        return out[::-1]
+
     def _stay_apart(self, a: str, b: str, until: float = float("inf")) -> bool:
         """Whether no rule before rank `until` joins the edges of a and b."""
         left, right = self._spine(a, True), self._spine(b, False)
@@ -234,11 +289,11 @@ class StreamingEncoder:
         self.stop = regex.compile(f"[{SPACES}]")
         self.specials = regex.compile("|".join(map(regex.escape, table.special))) if table.special else None
 
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(normalised part without white space, whether it is a special token) of a text.
+    def parts(self, text: str) -> Iterator[tuple[list[str], bool]]:
+        """(normalised parts without white space, whether they are special tokens) of a text, chunk by chunk.
 
-        Pre-tokens never hold white space, so each part has its own. Text is
-        worked on in chunks that end before white space.
+        Pre-tokens never hold white space, so each part has its own. Chunks end
+        before white space.
         """
         at = 0
         while at < len(text):
@@ -246,17 +301,15 @@ class StreamingEncoder:
             if end < len(text):
                 cut = self.stop.search(text, end)
                 end = cut.start() if cut else len(text)
-            chunk = text[at:end]
+            chunk = text[at:end] if at or end < len(text) else text
             if self.specials and any(s in chunk for s in self.table.special):
                 begin = 0
                 for m in self.specials.finditer(chunk):
-                    for part in self._split(chunk[begin : m.start()]):
-                        yield part, False
-                    yield m[0], True
+                    yield self._split(chunk[begin : m.start()]), False
+                    yield [m[0]], True
                     begin = m.end()
                 chunk = chunk[begin:]
-            for part in self._split(chunk):
-                yield part, False
+            yield self._split(chunk), False
             at = end
 
     def _split(self, text: str) -> list[str]:
@@ -267,9 +320,15 @@ class StreamingEncoder:
         return text.split()
 
     def encode_word(self, word: str) -> list[str]:
-        """The tokens of one pre-token, of any length, through the transducer."""
-        machine = PreTokenTransducer(self.table)
+        """The tokens of one pre-token, of any length.
+
+        One shorter than the lookahead is decided at its end and needs no buffer:
+        it reads the table of prefixes that words share. A longer one streams.
+        """
         raw = word.encode("utf-8")
+        if len(raw) <= SHORT_BYTES:
+            return self.table.tokens(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
+        machine = PreTokenTransducer(self.table)
         out: list[str] = []
         for at in range(0, len(raw) - 1, CHUNK_CHARS):
             out += machine.feed(raw[at : min(at + CHUNK_CHARS, len(raw) - 1)].decode("latin-1"))
@@ -278,8 +337,9 @@ class StreamingEncoder:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part, special in self.parts(text):
-            out += [self.table.special[part]] if special else [self.table.ids[t] for w in self.pattern.findall(part) for t in self.encode_word(w)]
+        for parts, special in self.parts(text):
+            for p in parts:
+                out += [self.table.special[p]] if special else [self.table.ids[t] for w in self.pattern.findall(p) for t in self.encode_word(w)]
         return out
 
 
@@ -299,15 +359,15 @@ class StreamingDecoder:
 
     def pieces(self, ids: Iterable[int]) -> str:
         """The tokens' strings, each after the first with a space before it."""
-        out = []
-        for i in ids:
-            out.append((" " if self.started else "") + self.table.strings[i])
-            self.started = True
-        return "".join(out)
+        said = " ".join([self.table.strings[i] for i in ids])
+        if said and self.started:
+            said = " " + said
+        self.started = self.started or bool(said)
+        return said
 
     def text(self, ids: Iterable[int]) -> str:
         """Characters that are complete; a token with a word's end owes a space to the next one."""
-        out, bytes_of = [], self.table.bytes_of
+        out, bytes_of, decode = [], self.table.bytes_of, self.utf8.decode
         for i in ids:
             if self.gap:
                 out.append(self.finish() + " ")
@@ -317,28 +377,13 @@ class StreamingDecoder:
                 self.gap = True
             else:
                 raw, self.gap = bytes_of[i]
-                out.append(self.utf8.decode(raw))
+                out.append(decode(raw))
         return "".join(out)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
 
 
-class TwoAges(dict):
-    """A bounded cache: what is used again moves from the older half to the younger one."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most // 2, {}
-
-    def keep(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 Entry = tuple[int, str, str, str]
 
 
@@ -354,6 +399,8 @@ class PartCache:
     def _decoded(self, ids: list[int]) -> Entry:
         d = self.decoder
         d.reset()
+        if len(ids) == 1:
+            return 1, str(ids[0]), self.table.strings[ids[0]], d.text(ids) + d.finish()
         return len(ids), " ".join(map(str, ids)), d.pieces(ids), d.text(ids) + d.finish()
 
     def _word(self, word: str) -> Entry:
@@ -375,10 +422,11 @@ class PartCache:
         return self.known.keep(part, got) if len(part) <= CACHED_CHARS else got
 
     def entries(self, text: str) -> Iterator[list[Entry]]:
-        """Entries of the parts of a text, some thousands at a time."""
-        of, known, special, parts = self.of, self.known, self.special, self.encoder.parts(text)
-        while held := [special[p] if is_special else known.get(p) or of(p) for p, is_special in itertools.islice(parts, 8192)]:
-            yield held
+        """Entries of the parts of a text, a chunk at a time."""
+        of, known = self.of, self.known
+        for parts, special in self.encoder.parts(text):
+            if parts:
+                yield [self.special[p] for p in parts] if special else [known.get(p) or of(p) for p in parts]
 
 
 @functools.cache

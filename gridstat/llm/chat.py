@@ -264,7 +264,7 @@ def _block(parts: list[str], at: int, ends: tuple[str, ...]) -> tuple[list, int]
                 return out, at
             at += 1
             if word == "for":
-                m = re.fullmatch(r"(\w+)\s+in\s+(.+)", rest.strip(), re.S)
+                m = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest.strip(), re.S)
                 if not m:
                     raise TemplateError(f"can't read {part!r}")
                 body, at = _block(parts, at, ("endfor",))

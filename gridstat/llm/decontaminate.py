@@ -34,7 +34,8 @@ BLOCK_WORDS = 200_000
 #: A document with a larger share of hit words goes as a whole.
 MAX_COVERAGE = 0.5
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: A word of a text that is not in lower case yet.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: A-Z in lower case, ASCII outside a-z and 0-9 as white space; other bytes belong to words.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)

@@ -181,7 +181,7 @@ def pseudonym(kind: Column, x: Column, key: str = KEY) -> Column:
     address = F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), address), 256), 1, 20), F.lit("@"), F.split_part(x, F.lit("@"), F.lit(2)))
     # phone: the country code stays
-    code = F.regexp_extract(x, r"^\+([0-9]{1,3})", 1)
+    code = F.regexp_extract(x, r"^\+([17]|[0-9]{2})", 1)  # two digits stand for longer codes too
     own = F.substring(_digits(x), F.length(code) + 1, F.lit(15))
     phone = _with_digits(x, F.concat(code, _permuted_digits(key, "phone", own)))
     # card: the check digit follows
@@ -324,7 +324,7 @@ WITH p AS (
     WHEN {is_("phone")} THEN CASE WHEN length(d) BETWEEN 7 AND 15 THEN 'phone' END
     WHEN {is_("ssn")} THEN CASE WHEN substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000' THEN 'ssn' END
     WHEN {is_("card")} THEN CASE WHEN length(d) BETWEEN 13 AND 19 AND {luhn.format("d")} % 10 = 0 THEN 'card' END END AS kind,
-    regexp_extract(x, '^\+([0-9]{{1,3}})', 1) AS code
+    regexp_extract(x, '^\+([17]|[0-9]{{2}})', 1) AS code
   FROM v
 ), s AS (
   SELECT *, CASE kind WHEN 'phone' THEN substr(d, length(code) + 1) WHEN 'card' THEN substr(d, 1, length(d) - 1) WHEN 'iban' THEN regexp_replace(substr(plain, 5), '[^0-9]', '', 'g') END AS own,
