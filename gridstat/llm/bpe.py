@@ -45,9 +45,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts are not cached
-CACHED_PARTS = 1_000_000  # entries of a worker's caches, some 300 MB: parts between white space, pre-tokens, prefixes
-CACHED_WORDS = 500_000
-CACHED_PREFIXES = 800_000
+CACHED_PARTS = 600_000  # entries of a worker's caches, some 200 MB: parts between white space with their pre-tokens, and prefixes
+CACHED_PREFIXES = 400_000
 SHORT_BYTES = 64
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
@@ -104,7 +103,9 @@ class MergeTable:
         for token in self.parts:
             self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
         self.lookahead = self._sufficient_lookahead(pairs)
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.inner_of = {i: t for t, i in self.ids.items()}
+        self.size_of = {i: len(t) for t, i in self.ids.items()}
         self._whole: dict[str, bool] = {}  # at most an entry a token
         self.lasts = TwoAges(CACHED_PREFIXES)
 
@@ -143,16 +144,6 @@ class MergeTable:
             out.append((token, found[2]))
         return out[::-1]
 
-    def fits(self, a: str | None, b: str) -> bool:
-        """Whether b is a token that may follow a: no rule joins their edges before each is finished."""
-        if a is None:
-            return self.whole(b)
-        known = self.whole(b) and self._stay_apart(a, b)
-        if len(self.apart) > 2 * CACHED_WORDS:
-            self.apart.clear()
-        self.apart[a, b] = known
-        return known
-
     def whole(self, token: str) -> bool:
         """Whether the rules build the token out of its own symbols."""
         known = self._whole.get(token)
@@ -163,42 +154,61 @@ class MergeTable:
             )
         return known
 
-    def last(self, prefix: str, keep: bool = True) -> str | None:
+    def last(self, prefix: str, keep: bool = True) -> int | None:
         """The last token of a string of symbols; None if it can't be cut into tokens.
 
         Prefixes recur from word to word, so what was found for them is kept.
+        Tokens are numbers here, and so is the key of a pair of them.
         """
-        known = self.lasts.get(prefix) or self.lasts.old.get(prefix)
-        if known is not None:
-            return known
-        n, ids, lasts, apart = len(prefix), self.ids, self.lasts, self.apart
+        n, ids, lasts, apart = len(prefix), self.ids.get, self.lasts, self.apart.get
         found = None
-        for at in range(n - 1, max(-1, n - 1 - self.reach.get(prefix[-2:], 1)), -1):
-            token = prefix[at:]
-            if token not in ids:
+        for at in range(max(0, n - self.reach.get(prefix[-2:], 1)), n):  # a longer token is likelier
+            token = ids(prefix[at:])
+            if token is None:
                 continue
             if at == 0:
-                if self.whole(token):
+                if self.whole(prefix):
                     found = token
-                break
+                    break
+                continue
             head = prefix[:at]
-            neighbour = lasts.get(head) or self.last(head)
+            neighbour = lasts.get(head)
+            if neighbour is None:
+                neighbour = lasts.old.get(head)
+                neighbour = self.last(head) if neighbour is None else lasts.keep(head, neighbour)
             if neighbour is not None:
-                fits = apart.get((neighbour, token))
-                if self.fits(neighbour, token) if fits is None else fits:
+                fits = apart(neighbour << 20 | token)
+                if self._fit(neighbour, token) if fits is None else fits:
                     found = token
                     break
         return lasts.keep(prefix, found) if keep and found is not None else found
 
-    def tokens(self, symbols: str) -> list[str]:
+    def _fit(self, a: int, b: int) -> bool:
+        known = self.whole(self.inner_of[b]) and self._stay_apart(self.inner_of[a], self.inner_of[b])
+        if len(self.apart) > CACHED_PREFIXES:
+            self.apart.clear()
+        self.apart[a << 20 | b] = known
+        return known
+
+    def fits(self, a: str | None, b: str) -> bool:
+        """Whether b is a token that may follow a: no rule joins their edges before each is finished."""
+        if a is None:
+            return self.whole(b)
+        x, y = self.ids[a], self.ids[b]
+        known = self.apart.get(x << 20 | y)
+        return self._fit(x, y) if known is None else known
+
+    def tokens(self, symbols: str) -> list[int]:
         """The tokens of a short string of symbols, back from its last one."""
-        out, rest = [], symbols
+        out, rest, lasts = [], symbols, self.lasts
         while rest:
-            token = self.last(rest, rest is not symbols)
+            token = lasts.get(rest)
             if token is None:
-                raise ValueError("symbols that the vocabulary lacks")
+                token = self.last(rest, rest is not symbols)
+                if token is None:
+                    raise ValueError("symbols that the vocabulary lacks")
             out.append(token)
-            rest = rest[: -len(token)]
+            rest = rest[: -self.size_of[token]]
         return out[::-1]
 
     def _stay_apart(self, a: str, b: str, until: float = float("inf")) -> bool:
@@ -242,7 +252,7 @@ class PreTokenTransducer:
     def _extend(self, symbols: str) -> None:
         """Find the last token of each longer prefix: the one that ends there and fits the last token before it."""
         last, before, table = self.last, self.before, self.table
-        ids, reach, apart, fits = table.ids, table.reach, table.apart, table.fits
+        ids, reach, fits = table.ids, table.reach, table.fits
         begin, held = len(self.held), self.held + symbols
         self.held = held
         for n in range(begin + 1, len(held) + 1):
@@ -255,11 +265,9 @@ class PreTokenTransducer:
                         if at == 0 and fits(None, token):
                             found = token
                             break
-                    else:
-                        known = apart.get((neighbour, token))
-                        if fits(neighbour, token) if known is None else known:
-                            found = token
-                            break
+                    elif fits(neighbour, token):
+                        found = token
+                        break
             last.append(found)
 
     def _release(self, keep: int) -> list[str]:
@@ -319,7 +327,7 @@ class StreamingEncoder:
             return [p for p in self.stop.split(text) if p]
         return text.split()
 
-    def encode_word(self, word: str) -> list[str]:
+    def encode_word(self, word: str) -> list[int]:
         """The tokens of one pre-token, of any length.
 
         One shorter than the lookahead is decided at its end and needs no buffer:
@@ -333,13 +341,13 @@ class StreamingEncoder:
         for at in range(0, len(raw) - 1, CHUNK_CHARS):
             out += machine.feed(raw[at : min(at + CHUNK_CHARS, len(raw) - 1)].decode("latin-1"))
         out += machine.feed(chr(256 + raw[-1]))
-        return out + machine.finish()
+        return [self.table.ids[t] for t in out + machine.finish()]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for parts, special in self.parts(text):
             for p in parts:
-                out += [self.table.special[p]] if special else [self.table.ids[t] for w in self.pattern.findall(p) for t in self.encode_word(w)]
+                out += [self.table.special[p]] if special else [i for w in self.pattern.findall(p) for i in self.encode_word(w)]
         return out
 
 
@@ -393,32 +401,30 @@ class PartCache:
     def __init__(self, table: MergeTable):
         self.encoder, self.decoder = StreamingEncoder(table), StreamingDecoder(table)
         self.table = table
-        self.known, self.words = TwoAges(CACHED_PARTS), TwoAges(CACHED_WORDS)
-        self.special = {s: self._decoded([i]) for s, i in table.special.items()}
+        self.known = TwoAges(CACHED_PARTS)  # parts, and the pre-tokens that they consist of
+        self.special = {s: self._decoded(s, [i]) for s, i in table.special.items()}
 
-    def _decoded(self, ids: list[int]) -> Entry:
+    def _decoded(self, word: str, ids: list[int]) -> Entry:
         d = self.decoder
         d.reset()
-        if len(ids) == 1:
-            return 1, str(ids[0]), self.table.strings[ids[0]], d.text(ids) + d.finish()
-        return len(ids), " ".join(map(str, ids)), d.pieces(ids), d.text(ids) + d.finish()
+        text = d.text(ids) + d.finish()
+        return len(ids), " ".join(map(str, ids)), d.pieces(ids), word if text == word else text  # one string, not two
 
     def _word(self, word: str) -> Entry:
-        got = self.words.get(word) or self.words.old.get(word)
+        got = self.known.get(word) or self.known.old.get(word)
         if got is None:
-            got = self._decoded([self.table.ids[t] for t in self.encoder.encode_word(word)])
-        return self.words.keep(word, got) if len(word) <= CACHED_CHARS else got
+            got = self._decoded(word, self.encoder.encode_word(word))
+        return self.known.keep(word, got) if len(word) <= CACHED_CHARS else got
 
     def of(self, part: str) -> Entry:
         """The entry of a part that is not in the younger half of the cache."""
         got = self.known.old.get(part)
         if got is None:
-            entries = [self._word(w) for w in self.encoder.pattern.findall(part)]
-            if len(entries) == 1:
-                got = entries[0]
-            else:
-                n, *columns = zip(*entries, strict=True)
-                got = (sum(n), *map(" ".join, columns))
+            words = self.encoder.pattern.findall(part)
+            if len(words) == 1:
+                return self._word(words[0])
+            n, *columns = zip(*map(self._word, words), strict=True)
+            got = (sum(n), *map(" ".join, columns))
         return self.known.keep(part, got) if len(part) <= CACHED_CHARS else got
 
     def entries(self, text: str) -> Iterator[list[Entry]]:
