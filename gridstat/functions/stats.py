@@ -67,6 +67,11 @@ def with_group_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(bounds, keys)
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    """Distance of two vectors."""
+def euclidean(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Distance of two vectors; with a known number of dimensions (256 at most) the sum is written out, which Spark compiles."""
+    if dims and dims <= 256:
+        terms = [(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(dims)]
+        while len(terms) > 1:  # a shallow tree of sums
+            terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
+        return F.sqrt(terms[0])
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))

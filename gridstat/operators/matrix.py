@@ -318,4 +318,5 @@ def distance_agreement(df: DataFrame, a: str, b: str, n_samples: int = 1000) ->
     y = some.select(F.col("id").alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = x.repartition(n, "i").join(F.broadcast(y), F.col("i") < F.col("j"))  # y: n_samples rows
-    return pairs.agg(F.corr(S.euclidean(F.col("a1"), F.col("a2")), S.euclidean(F.col("b1"), F.col("b2"))).alias("similarity"))
+    sizes = some.select(F.size(a), F.size(b)).first() or (None, None)
+    return pairs.agg(F.corr(S.euclidean(F.col("a1"), F.col("a2"), sizes[0]), S.euclidean(F.col("b1"), F.col("b2"), sizes[1])).alias("similarity"))
