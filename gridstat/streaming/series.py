@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event times as instants: a time without a zone is one of the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Count, mean and deviation of each type in event-time windows; later rows than `late` are left out."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(
+    out = _timed(events).withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "mean", "std")
@@ -22,7 +27,7 @@ def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each user: rows closer than a gap."""
     s = F.session_window("ts", gap)
-    out = events.withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _timed(events).withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "user_id", "n", "total")
 
 

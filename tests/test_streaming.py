@@ -17,7 +17,7 @@ def run(spark, df, name, mode, tmp_path):
 def test_windows_agree_with_batch(spark, data, tmp_path):
     s, events = stream(spark, data)
     got = run(spark, T.windowed(s, "1 day"), "windows", "complete", tmp_path)
-    want = events.groupBy(F.window("ts", "1 day"), "event_type").count()
+    want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").count()
     assert got.count() == want.count() and got.agg(F.sum("n")).first()[0] == events.count()
 
 
