@@ -55,9 +55,9 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed grids of each label's realizations, numbered by id."""
-    w = Window.partitionBy("label").orderBy("sample_id")
-    f = fields(spark, sf_dir)
-    return f.select(F.col("label").alias("sample_id"), (F.row_number().over(w) - 1).alias("realization"), "h", "w", "data")
+    w = Window.partitionBy("sample_id").orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("sample_id"), "vec_id", F.col("embedding").cast("array<double>").alias("data"))
+    return e.select("sample_id", (F.row_number().over(w) - 1).alias("realization"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), "data")
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +65,16 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("c"), (F.row_number().over(w) - 1).alias("t"), F.col("value").alias("y"))
+    """Sequences of each user and event type. Keys are named before the window, so that later groupings reuse its partitions."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("c"), "ts", "event_id", F.col("value").alias("y"))
+    w = Window.partitionBy("sample_id", "c").orderBy("ts", "event_id")
+    return e.select("sample_id", "c", (F.row_number().over(w) - 1).alias("t"), "y")
 
 
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("sample_id"), (F.row_number().over(w) - 1).alias("t"), F.col("value").alias("y"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), "ts", "event_id", F.col("value").alias("y"))
+    w = Window.partitionBy("sample_id").orderBy("ts", "event_id")
+    return e.select("sample_id", (F.row_number().over(w) - 1).alias("t"), "y")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
