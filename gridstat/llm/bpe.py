@@ -45,8 +45,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts are not cached
-CACHED_PARTS = 600_000  # entries of a worker's caches, some 200 MB: parts between white space with their pre-tokens, and prefixes
-CACHED_PREFIXES = 400_000
+CACHED_PARTS = 500_000  # entries of a worker's caches, some 160 MB: parts between white space with their pre-tokens, and prefixes
+CACHED_PREFIXES = 300_000
 SHORT_BYTES = 64
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
