@@ -7,8 +7,9 @@ window of an item; the state's place in the tree of suffix links names the
 items. Documents pass row by row: no shuffle, memory of one document.
 
 The benchmark is a stated query set. Items are packed into automata of at most
-BLOCK_WORDS words; with more than one, documents pass each in turn and the
-results are merged by document.
+BLOCK_WORDS words; with more than one, each is matched with the original texts
+and what they find is merged by document: coverage is judged, and texts are cut,
+once and by the union of their spans.
 
 Defined results: null and empty texts have no words and no hits; items without
 words are left out; repeated items and repeated item_ids count once by id; an
@@ -260,24 +261,33 @@ def remove_contamination(
 ) -> DataFrame:
     """Documents with hit spans cut out; those with more than `max_coverage` of their words hit are dropped.
 
+    Spans are those of all blocks on the original text, so results don't depend on the size of blocks.
     All columns are kept; n_chars, where there is such a column, follows the new text.
     """
     spark = docs.sparkSession
-    fields, has_n = docs.schema, "n_chars" in docs.columns
-    out = docs
-    for automaton in automata(benchmark, WINDOW, block_words):
-        out = _cut(out, spark.sparkContext.broadcast(automaton), fields, max_coverage, has_n)
+    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, WINDOW, block_words)]
+    return _cut(docs, blocks, docs.schema, max_coverage, "n_chars" in docs.columns)
+
+
+def union_of(spans: Iterable[list[int]]) -> list[list[int]]:
+    """Disjoint spans in order; those that overlap or touch become one."""
+    out: list[list[int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
     return out
 
 
-def _cut(docs: DataFrame, automaton, schema, max_coverage: float, has_n: bool) -> DataFrame:
+def _cut(docs: DataFrame, blocks: list, schema, max_coverage: float, has_n: bool) -> DataFrame:
     def task():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             at = batch.schema.get_field_index("text")
             texts, keep, changed = batch.column(at).to_pylist(), [], {}
             for r, text in enumerate(texts):
                 words = words_of(text or "")
-                spans, _ = automaton.value.match(words)
+                spans = union_of(s for b in blocks for s in b.value.match(words)[0])
                 hit = sum(e - s for s, e in spans)
                 if hit and hit > max_coverage * len(words):
                     continue

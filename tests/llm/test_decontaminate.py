@@ -63,3 +63,16 @@ def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     assert D.matches(odd, none).where("size(spans) > 0").count() == 0
     assert D.remove_contamination(odd, bench).count() == odd.count() - 1
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    # Items overlap across blocks (a, b), hit a document together (c, d), would meet once one is cut (e, f), or touch (g, h).
+    items = [("a", words(0, 14)), ("b", words(8, 22)), ("c", words(100, 112)), ("d", words(200, 212)), ("e", words(300, 310)), ("f", words(400, 405) + " " + words(500, 505)), ("g", words(600, 610)), ("h", words(610, 620))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rest = words(1000, 1040)
+    rows = [(1, f"{words(0, 22)}, {rest}"), (2, f"{words(100, 112)} {words(1000, 1016)} {words(200, 212)}"), (3, f"{words(400, 405)} {words(300, 310)} {words(500, 505)} {rest}"), (4, f"{words(600, 610)} -- {words(610, 620)}; {rest}"), (5, rest)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda n: sorted((r["doc_id"], r["text"]) for r in D.remove_contamination(docs, bench, block_words=n).collect())
+    want = [(1, f", {rest}"), (3, f"{words(400, 405)}  {words(500, 505)} {rest}"), (4, f"; {rest}"), (5, rest)]
+    assert key(1000) == want and key(1) == want and key(30) == want
