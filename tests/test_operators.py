@@ -50,6 +50,37 @@ def test_constant_sequence_recurs_everywhere():
     assert math.isnan(C.correlation_dimension(np.ones(20)))
 
 
+def plain_nonlinear(y):
+    """The same measures with the whole matrix in memory."""
+    p = np.stack([y[:-1], y[1:]], axis=1)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    r = d <= 0.1 * d.max()
+    runs = lambda line: (lambda e: e[1::2] - e[::2])(np.flatnonzero(np.diff(np.concatenate([[0], line.astype(int), [0]]))))
+    diagonals = np.concatenate([runs(np.diagonal(r, k)) for k in range(1 - len(r), len(r))])
+    columns = np.concatenate([runs(c) for c in r.T])
+    long = diagonals[diagonals >= 2]
+    q = np.histogram(long, bins=20)[0] / len(long)
+    q = q[q > 0]
+    pair = d[np.triu_indices(len(p), 1)]
+    radii = np.geomspace(np.percentile(pair, 1), np.percentile(pair, 99), 10)
+    c = np.array([(pair < x).mean() for x in radii])
+    slope = np.polyfit(np.log(radii[c > 0]), np.log(c[c > 0]), 1)[0]
+    return r.mean(), long.sum() / r.sum(), columns[columns >= 2].sum() / r.sum(), -(q * np.log(q)).sum(), slope
+
+
+@pytest.mark.parametrize(("n", "cells"), [(60, 150), (60, 10), (300, 2_000), (2_300, C.BLOCK_CELLS)])
+def test_nonlinear_measures_use_every_point(n, cells):
+    y = np.random.default_rng(n).normal(size=n).round(3) + np.sin(np.arange(n) / 5)
+    got = (*C.recurrence(y, cells=cells), C.correlation_dimension(y, cells=cells))
+    assert got == pytest.approx(plain_nonlinear(y), rel=1e-9)
+
+
+def test_ranks_of_tied_distances():
+    p = np.array([[0.0], [1], [1], [2], [3], [3], [3]])
+    want = np.sort(np.abs(p - p.T)[np.triu_indices(7, 1)])
+    assert [C._ranked(p, k, 2) for k in range(21)] == list(want)
+
+
 def test_monotone_sequence_has_one_pattern(spark):
     assert Q.permutation_entropy(series(spark, range(20)), ["sample_id"]).first()[1] == pytest.approx(0)
 
