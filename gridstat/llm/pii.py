@@ -17,6 +17,12 @@ becomes a keyed hash, so that it stays linked; the domain stays. A slash date
 that is valid either way counts as day-first; dates of the two readings are
 permuted separately, and so may rarely share a pseudonym.
 
+A candidate may take in a neighbour. IBANs are therefore first tried at their
+country's length and phone numbers up to where another form begins; and of a
+rejected candidate only the first word is passed over: the rest is cut again,
+with what follows, until nothing in it is a candidate. OP1_SQL has the single
+pass with the wider forms, so it differs where such neighbours meet.
+
 Defined results: a null text stays null with counts 0; empty texts stay empty;
 candidates that fail validation or touch other letters or digits stay as they
 are; rows that repeat a doc_id give a row each; the operator keeps all other
@@ -55,8 +61,40 @@ CANDIDATE = r"(^|[^\p{L}\p{N}_])(" + "|".join(p for _, p in FORMS) + ")"
 #: What must not follow a candidate: it would be part of something longer.
 GOES_ON = r"^(?:[\p{L}\p{N}_]|\.[0-9])"
 
-# A cut is \x01\x03; an own \x01 of the text is \x01\x02 meanwhile.
-_ESCAPE, _ESCAPED, _CUT = "\x01", "\x01\x02", "\x01\x03"
+#: Lengths of IBANs by country; others are taken as long as they go.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _nearer() -> str:
+    """Candidates that leave their neighbours alone: IBANs of their country's length, phone numbers of 7 to 15 digits
+    that end before a date, address, card or number of its own. Look-around, so Spark only; the wider forms follow."""
+    form = dict(FORMS)
+    end = rf"(?!{GOES_ON[1:]})"
+    ibans = "|".join(
+        f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" [A-Z0-9]{{{n % 4}}})" if n % 4 else ")")
+        for n, c in IBAN_LENGTHS.items()
+    )
+    card = rf"(?:{form['card']}){end}(?! [0-9]{{4}}(?![0-9-]))"  # not four groups out of more: the last ones are the card
+    others = "|".join(form[k] for k in ("email", "ymd", "dmy", "ip", "ssn"))
+    digit = "[ .()-]{0,3}[0-9]"  # spelt out below: Java wants a look-behind of an evident length
+    group = r"[ .-]\(?[0-9]{1,8}\)?"
+    phone = rf"\+[0-9]{{1,3}}(?! {card}){group}(?:(?! (?:(?:{others}){end}|{card})){group}){{0,3}}(?<=\+{7 * digit}{8 * f'(?:{digit})?'}\)?){end}"
+    wide = form["phone"].split(r"|\+[0-9]{1,3}(?:")
+    form["iban"] = f"(?:{ibans}){end}|{form['iban']}"
+    form["phone"] = f"{wide[0]}|{phone}|" + r"\+[0-9]{1,3}(?:" + wide[1]
+    return "(" + "|".join(form.values()) + ")"
+
+
+NEARER = r"(^|[^\p{L}\p{N}_])" + _nearer()
+#: In what is left of a text, a start needs something before it.
+LATER = r"([^\p{L}\p{N}_])" + _nearer()
+
+# A cut is \x01\x03; after it, \x01\x04 is a new candidate and \x01\x05 one that was rejected; an own \x01 of the text is \x01\x02 meanwhile.
+_ESCAPE, _ESCAPED, _CUT, _NEW, _DEAD = "\x01", "\x01\x02", "\x01\x03", "\x01\x04", "\x01\x05"
 
 DAYS_A, DAYS_B = 17, 4297  # 17 * 4297 = 73049 days from 1900 to 2099
 
@@ -241,6 +279,43 @@ def pseudonym(kind: Column, x: Column, key: str = KEY) -> Column:
     )
 
 
+def _settled(parts: Column) -> Column:
+    """Parts in one text again: of a rejected candidate only the first word stays cut, the rest may hold others."""
+
+    def one(x: Column, i: Column) -> Column:
+        c = F.substring(x, F.lit(3), F.length(x))
+        valid = ~F.get(parts, i + 1).rlike(GOES_ON) & kind_of(c).isNotNull()
+        head = F.substring_index(c, " ", 1)
+        dead = F.concat(F.lit(_CUT + _DEAD), head, F.lit(_CUT), F.substring(c, F.length(head) + 1, F.length(c)))
+        return (
+            F.when(i % 2 == 0, x).when(~F.startswith(x, F.lit(_NEW)), F.concat(F.lit(_CUT), x, F.lit(_CUT)))
+            .when(valid, F.concat(F.lit(_CUT), c, F.lit(_CUT))).otherwise(dead)
+        )
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def _again(parts: Column) -> Column:
+    """Parts of a text with rejected candidates, cut until what is left has no candidate."""
+    first = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit(_NEW), x)).otherwise(x))
+    start = F.struct(_settled(first).alias("s"), F.lit(True).alias("more"))
+
+    def step(a: Column, _: Column) -> Column:
+        cut = F.array_join(
+            F.transform(
+                F.split(a["s"], _CUT),
+                lambda x, i: F.when(i % 2 == 1, F.concat(F.lit(_CUT), x, F.lit(_CUT))).otherwise(F.regexp_replace(x, LATER, f"$1{_CUT}{_NEW}$2{_CUT}")),
+            ),
+            "",
+        )
+        now = F.struct(_settled(F.split(cut, _CUT)).alias("s"), F.contains(cut, F.lit(_CUT + _NEW)).alias("more"))
+        return F.when(a["more"], now).otherwise(a)
+
+    # Every round takes a word at least.
+    words = F.sequence(F.lit(0), F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit(" ")))))
+    return F.split(F.aggregate(words, start, step)["s"], _CUT)
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, into: str = "text", kinds: str | None = None) -> DataFrame:
     """`text` with pseudonyms; with `kinds`, also that column: an array of the kinds found, in order.
 
@@ -248,7 +323,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, into: str = "text", kinds: str
     """
     text = F.col("text")
     cut = F.split(
-        F.regexp_replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPED)), CANDIDATE, f"$1{_CUT}$2{_CUT}"), _CUT
+        F.regexp_replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPED)), NEARER, f"$1{_CUT}$2{_CUT}"), _CUT
     )
     # A text without a digit or @ has no candidate.
     parts = F.when(text.rlike("[0-9@]"), cut).otherwise(F.array(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPED))))
@@ -261,6 +336,14 @@ def pseudonymize(docs: DataFrame, key: str = KEY, into: str = "text", kinds: str
         ),
     )
     out = out.withColumn("__marked", marked)
+    # Rejected candidates of several words may hide others.
+    hidden = F.exists(F.transform("__marked", lambda m, i: (i % 2 == 1) & m["kind"].isNull() & F.contains(m["x"], F.lit(" "))), lambda h: h)
+    retried = F.transform(
+        _again(F.col("__parts")),
+        lambda x, i: F.when(F.startswith(x, F.lit(_DEAD)), F.struct(F.lit(None).cast("string").alias("kind"), F.substring(x, F.lit(3), F.length(x)).alias("x")))
+        .otherwise(F.struct(F.when(i % 2 == 1, kind_of(x)).alias("kind"), x.alias("x"))),
+    )
+    out = out.withColumn("__marked", F.when(hidden, retried).otherwise(F.col("__marked")))
     new = F.array_join(F.transform("__marked", lambda m: F.when(m["kind"].isNull(), m["x"]).otherwise(pseudonym(m["kind"], m["x"], key))), "")
     found = F.filter(F.transform("__marked", lambda m: m["kind"]), lambda k: k.isNotNull())
     out = out.withColumn("__new", F.when(text.isNotNull(), F.replace(new, F.lit(_ESCAPED), F.lit(_ESCAPE))))

@@ -64,3 +64,22 @@ def test_odd_rows(spark, odd, empty):
     assert r[3]["text"] is None and list(r[3]["found"]) == [] and list(r[4]["found"]) == ["ip"]
     assert r[10]["text"].startswith("\x00\x01\x02\x03\x1c\x85  a\x1fb ") and r[4]["n_chars"] == len(r[4]["text"])
     assert pii.pseudonymize(empty).count() == 0
+
+
+def test_neighbours_do_not_hide_each_other(spark):
+    cases = {
+        "+49 30 1234567 2024-01-15": ["phone", "date"], "+49 30 12345 2024-01-15": ["phone", "date"], "+49 30 1234567 15.01.2024": ["phone", "date"],
+        "+49 30 1234567 10.1.2.3": ["phone", "ip"], "+49 30 1234567 123-45-6789": ["phone", "ssn"], "+49 30 1234567 12th": ["phone"],
+        "+44 20 7946 0958 4111 1111 1111 1111": ["phone", "card"], "+44 4111 1111 1111 1111": ["card"], "+49 30 1234567 4111 1111 1111 1111 12/27": ["phone", "card"], "+49 30 1234567 4111111111111111": ["phone", "card"],
+        "AT61 1904 3002 3457 3201 BIC": ["iban"], "BE68 5390 0754 7034 EUR": ["iban"], "AT61 1904 3002 3457 3201 BANK BE68 5390 0754 7034 EUR": ["iban", "iban"],
+        "1234 4111 1111 1111 1111": ["card"], "1234 1234 1234 1234 1234 1234 4111 1111 1111 1111 and 10.1.2.3": ["card", "ip"],
+        "4111111111111112 111111111111111111141111111111111111": [], "1.2.3.4.5 and 2024-01-15": ["date"],
+    }
+    df = spark.createDataFrame([(i, f"see {t}, so") for i, t in enumerate(cases)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(df, kinds="found").collect()}
+    for i, (t, kinds) in enumerate(cases.items()):
+        text = out[i]["text"]
+        assert list(out[i]["found"]) == kinds, t
+        assert len(text) == len(t) + 8 and re.sub("[0-9]+", "0", text.replace(" ", "")) == re.sub("[0-9]+", "0", f"see {t}, so".replace(" ", "")) or "ip" in kinds, t
+        for secret in ("1234567", "2024-01-15", "15.01.2024", "4111 1111", "4111111111111111 ", "7946 0958", "3002 3457", "5390 0754", "10.1.2.3", "123-45-6789"):
+            assert not kinds or secret not in text, t
