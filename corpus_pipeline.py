@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridstat.llm import bpe, decontaminate, langid, pii, simhash
 from gridstat.llm.common import read_table, shared_folder
 
+#: Session setting that holds the secret of the pseudonyms; without it, the documented key of op1.
+KEY_SETTING = "spark.gridstat.pii.key"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(langid.learnable(docs)))
@@ -34,7 +37,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pseudonymize_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(docs)
+    return pii.pseudonymize(docs, key=spark.conf.get(KEY_SETTING, pii.KEY))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
