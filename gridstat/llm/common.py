@@ -28,8 +28,24 @@ def crc_mod(doc_id: Column | str, m: int) -> Column:
 
 
 def hash_share(key: Column, share: float) -> Column:
-    """True for about `share` of the keys, always the same ones."""
-    return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    """True for about `share` of the keys, always the same ones, however small the share."""
+    return below_share(F.xxhash64(key), F.lit(float(share)))
+
+
+def below_share(h: Column, share: Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest `share` of its range."""
+    return (h.cast("double") + 2.0**63) < share * 2.0**64
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def map_arrow(
@@ -70,10 +86,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a local session without one, a temporary folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -13,8 +13,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Those rows with columns whose names operators use themselves."""
-    rows = [(i, t, "en" if i and i % 2 else None, "s", len(t) if t is not None else None, 7, 8, True, "f") for i, t in ODD]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, fp int, guest boolean, kinds string"
+    rows = [(i, t, "en" if i and i % 2 else None, "s", len(t) if t is not None else None, 7, 8, True, "f", "p", [1], "m", "n") for i, t in ODD]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, fp int, guest boolean, kinds string, parts string, Marked array<int>, made string, spans string"
     return spark.createDataFrame(rows, schema)
 
 
