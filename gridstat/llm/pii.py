@@ -36,9 +36,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstat.llm.common import read_table
+from gridstat.llm.common import free_names, read_table
 
-KEY = "pseudonym-key"  # a parameter: production runs pass their own secret
+KEY = "pseudonym-key"  # of op1 and of tests; the operator itself takes its secret from the caller
 ROUNDS = 10
 
 #: Candidates by kind, in the order in which they are tried. No look-around: SQL engines share these.
@@ -212,7 +212,7 @@ def kind_of(x: Column) -> Column:
     return out
 
 
-def pseudonym(kind: Column, x: Column, key: str = KEY) -> Column:
+def pseudonym(kind: Column, x: Column, key: str) -> Column:
     """The pseudonym of a valid value of a kind."""
     number = lambda v, size: F.lpad(v.cast("string"), size, "0")
     # email
@@ -316,7 +316,7 @@ def _again(parts: Column) -> Column:
     return F.split(F.aggregate(words, start, step)["s"], _CUT)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, into: str = "text", kinds: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, into: str = "text", kinds: str | None = None) -> DataFrame:
     """`text` with pseudonyms; with `kinds`, also that column: an array of the kinds found, in order.
 
     All columns are kept; n_chars, where there is such a column, follows the new text.
@@ -327,44 +327,44 @@ def pseudonymize(docs: DataFrame, key: str = KEY, into: str = "text", kinds: str
     )
     # A text without a digit or @ has no candidate.
     parts = F.when(text.rlike("[0-9@]"), cut).otherwise(F.array(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPED))))
-    columns = docs.columns
-    out = docs.withColumn("__parts", parts)
+    cut_parts, marks, made, seen = free_names(docs, "parts", "marked", "made", "seen")
+    out = docs.withColumn(cut_parts, parts)
     marked = F.transform(
-        "__parts",
+        cut_parts,
         lambda x, i: F.struct(
-            F.when((i % 2 == 1) & ~F.get(F.col("__parts"), i + 1).rlike(GOES_ON), kind_of(x)).alias("kind"), x.alias("x")
+            F.when((i % 2 == 1) & ~F.get(F.col(cut_parts), i + 1).rlike(GOES_ON), kind_of(x)).alias("kind"), x.alias("x")
         ),
     )
-    out = out.withColumn("__marked", marked)
+    out = out.withColumn(marks, marked)
     # Rejected candidates of several words may hide others.
-    hidden = F.exists(F.transform("__marked", lambda m, i: (i % 2 == 1) & m["kind"].isNull() & F.contains(m["x"], F.lit(" "))), lambda h: h)
+    hidden = F.exists(F.transform(marks, lambda m, i: (i % 2 == 1) & m["kind"].isNull() & F.contains(m["x"], F.lit(" "))), lambda h: h)
     retried = F.transform(
-        _again(F.col("__parts")),
+        _again(F.col(cut_parts)),
         lambda x, i: F.when(F.startswith(x, F.lit(_DEAD)), F.struct(F.lit(None).cast("string").alias("kind"), F.substring(x, F.lit(3), F.length(x)).alias("x")))
         .otherwise(F.struct(F.when(i % 2 == 1, kind_of(x)).alias("kind"), x.alias("x"))),
     )
-    out = out.withColumn("__marked", F.when(hidden, retried).otherwise(F.col("__marked")))
-    new = F.array_join(F.transform("__marked", lambda m: F.when(m["kind"].isNull(), m["x"]).otherwise(pseudonym(m["kind"], m["x"], key))), "")
-    found = F.filter(F.transform("__marked", lambda m: m["kind"]), lambda k: k.isNotNull())
-    out = out.withColumn("__new", F.when(text.isNotNull(), F.replace(new, F.lit(_ESCAPED), F.lit(_ESCAPE))))
-    out = out.withColumn("__kinds", found)
+    out = out.withColumn(marks, F.when(hidden, retried).otherwise(F.col(marks)))
+    new = F.array_join(F.transform(marks, lambda m: F.when(m["kind"].isNull(), m["x"]).otherwise(pseudonym(m["kind"], m["x"], key))), "")
+    found = F.filter(F.transform(marks, lambda m: m["kind"]), lambda k: k.isNotNull())
+    out = out.withColumn(made, F.when(text.isNotNull(), F.replace(new, F.lit(_ESCAPED), F.lit(_ESCAPE))))
+    out = out.withColumn(seen, found)
     picked = []
-    for c in columns:
+    for c in docs.columns:
         if c == into:
-            picked.append(F.col("__new").alias(into))
+            picked.append(F.col(made).alias(into))
         elif c == "n_chars" and into == "text":
-            picked.append(F.when(F.size("__kinds") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            picked.append(F.when(F.size(seen) > 0, F.length(made).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             picked.append(F.col(f"`{c}`"))
     if kinds:
-        picked.append(F.coalesce("__kinds", F.array().cast("array<string>")).alias(kinds))
+        picked.append(F.coalesce(seen, F.array().cast("array<string>")).alias(kinds))
     return out.select(*picked)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymise all of `documents`."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymize(docs, kinds="kinds")
+    out = pseudonymize(docs, KEY, kinds="kinds")
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_pii"), *[count(k) for k in KINDS])
 

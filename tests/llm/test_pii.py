@@ -54,16 +54,16 @@ def test_what_is_not_valid_stays(spark):
 def test_permutation_has_no_collisions(spark):
     days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"), F.col("id").alias("doc_id"))
     sample = days.where("doc_id % 9 = 0")
-    assert pii.pseudonymize(sample).select("text").distinct().count() == sample.count()
+    assert pii.pseudonymize(sample, pii.KEY).select("text").distinct().count() == sample.count()
 
 
 def test_odd_rows(spark, odd, empty):
-    out = pii.pseudonymize(odd.withColumn("text", F.concat("text", F.lit(" 10.1.2.3"))), kinds="found")
+    out = pii.pseudonymize(odd.withColumn("text", F.concat("text", F.lit(" 10.1.2.3"))), pii.KEY, kinds="found")
     assert out.columns == [*odd.columns, "found"] and out.count() == odd.count()
     r = {x["doc_id"]: x for x in out.collect()}
     assert r[3]["text"] is None and list(r[3]["found"]) == [] and list(r[4]["found"]) == ["ip"]
     assert r[10]["text"].startswith("\x00\x01\x02\x03\x1c\x85  a\x1fb ") and r[4]["n_chars"] == len(r[4]["text"])
-    assert pii.pseudonymize(empty).count() == 0
+    assert pii.pseudonymize(empty, pii.KEY).count() == 0
 
 
 def test_neighbours_do_not_hide_each_other(spark):
@@ -76,7 +76,7 @@ def test_neighbours_do_not_hide_each_other(spark):
         "4111111111111112 111111111111111111141111111111111111": [], "1.2.3.4.5 and 2024-01-15": ["date"],
     }
     df = spark.createDataFrame([(i, f"see {t}, so") for i, t in enumerate(cases)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in pii.pseudonymize(df, kinds="found").collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(df, pii.KEY, kinds="found").collect()}
     for i, (t, kinds) in enumerate(cases.items()):
         text = out[i]["text"]
         assert list(out[i]["found"]) == kinds, t

@@ -31,7 +31,7 @@ def test_run_agrees_with_plain_stages(spark, data, documents):
                     inside = not inside
             clean[i] = decontaminate.cut_spans(t, spans)
     df = spark.createDataFrame(list(clean.items()), "doc_id long, text string")
-    private = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df).collect()}
+    private = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df, pii.KEY).collect()}
     library = Tokenizer.from_file(bpe.default_vocabulary())
     want = {i: hashlib.sha256(" ".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in private.items()}
     got = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, data).collect()}
