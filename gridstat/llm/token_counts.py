@@ -1,7 +1,8 @@
 """Operator 2: token counts that follow edits.
 
-A document's pre-tokens stand in a segment tree: leaves hold some of them with
-their lengths and token counts, inner nodes the sums of both. An edit re-encodes
+A document's pre-tokens stand in a segment tree, kept balanced by height: leaves
+hold some of them with their lengths and token counts, inner nodes the sums of
+both. An edit re-encodes
 from the pre-token before the touched one (its end depends on what follows it)
 up to the first cut beyond the edit that is a cut of the old text as well: the
 pre-token pattern reads left to right and looks ahead only, so all after it
@@ -12,7 +13,8 @@ Defined results: a null text counts as empty; edits beyond the end act at the
 end, a stop before its start counts as the start, null edits and a null
 replacement insert nothing; edits act in order, each on the text as the ones
 before left it; rows that repeat a doc_id give a row each; extra columns are
-ignored.
+ignored. A log of edits streams through its document's tree: edits of an unknown
+or null doc_id act on nothing, those of equal seq go by start, stop and text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstat.llm.common import map_arrow, read_table, texts_of
+from gridstat.llm.common import map_arrow, materialize, read_table, small_batches, texts_of
 
 LEAF = 64  # pre-tokens of a leaf
 CACHED_CHARS = 48
@@ -62,40 +64,70 @@ class Counter:
 
 
 class Node:
-    """A leaf (words with their counts) or an inner node; sums of characters, tokens and leaves below."""
+    """A leaf (words with their counts) or an inner node; sums of characters, tokens and leaves below, and the height."""
 
-    __slots__ = ("chars", "counts", "leaves", "left", "right", "tokens", "words")
+    __slots__ = ("chars", "counts", "height", "leaves", "left", "right", "tokens", "words")
 
     def __init__(self, words=None, counts=None, left=None, right=None):
         self.words, self.counts, self.left, self.right = words, counts, left, right
         if left is None:
-            self.chars, self.tokens, self.leaves = sum(map(len, words)), sum(counts), 1
+            self.chars, self.tokens, self.leaves, self.height = sum(map(len, words)), sum(counts), 1, 0
         else:
             self.chars, self.tokens, self.leaves = left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves
+            self.height = 1 + max(left.height, right.height)
 
 
 def _grown(leaves: list[Node]) -> Node | None:
     """A balanced tree of nodes in order."""
     while len(leaves) > 1:
         pairs = [Node(left=a, right=b) for a, b in zip(leaves[::2], leaves[1::2], strict=False)]
-        leaves = pairs + leaves[len(pairs) * 2 :]
+        if len(leaves) % 2:  # the odd one joins the last pair, so that heights stay close
+            pairs[-1] = _joined(pairs[-1], leaves[-1])
+        leaves = pairs
     return leaves[0] if leaves else None
 
 
+def _joined(a: Node | None, b: Node | None) -> Node | None:
+    """The tree of two balanced trees in order: the lower one goes down the edge of the higher one, which is turned where it leans."""
+    if a is None or b is None:
+        return b if a is None else a
+    if a.height > b.height + 1:
+        return _turned(a.left, _joined(a.right, b))
+    if b.height > a.height + 1:
+        return _turned(_joined(a, b.left), b.right)
+    return Node(left=a, right=b)
+
+
+def _turned(a: Node, b: Node) -> Node:
+    """A node over two trees whose heights differ by two at most."""
+    if a.height > b.height + 1:
+        if a.left.height >= a.right.height:
+            return Node(left=a.left, right=Node(left=a.right, right=b))
+        return Node(left=Node(left=a.left, right=a.right.left), right=Node(left=a.right.right, right=b))
+    if b.height > a.height + 1:
+        if b.right.height >= b.left.height:
+            return Node(left=Node(left=a, right=b.left), right=b.right)
+        return Node(left=Node(left=a, right=b.left.left), right=Node(left=b.left.right, right=b.right))
+    return Node(left=a, right=b)
+
+
+def _parted(node: Node | None, k: int) -> tuple[Node | None, Node | None]:
+    """Trees of the first k leaves and of the others; subtrees are shared."""
+    if node is None or k <= 0:
+        return None, node
+    if k >= node.leaves:
+        return node, None
+    if k < node.left.leaves:
+        first, rest = _parted(node.left, k)
+        return first, _joined(rest, node.right)
+    first, rest = _parted(node.right, k - node.left.leaves)
+    return _joined(node.left, first), rest
+
+
 def _spliced(node: Node | None, first: int, end: int, new: Node | None) -> Node | None:
-    """The tree with leaves [first, end) replaced; subtrees outside are shared, sums on the path computed anew."""
-    if node is None or (first <= 0 and end >= node.leaves):
-        return new
-    if node.left is None:  # a leaf that stays, beside an insertion at its edge
-        return node if new is None else Node(left=new, right=node) if end <= 0 else Node(left=node, right=new)
-    cut = node.left.leaves
-    if end <= cut and first < cut:
-        left, right = _spliced(node.left, first, end, new), node.right
-    elif first >= cut:
-        left, right = node.left, _spliced(node.right, first - cut, end - cut, new)
-    else:
-        left, right = _spliced(node.left, first, cut, new), _spliced(node.right, 0, end - cut, None)
-    return right if left is None else left if right is None else Node(left=left, right=right)
+    """The tree with leaves [first, end) replaced; sums on the paths to the cuts are computed anew."""
+    before, rest = _parted(node, first)
+    return _joined(_joined(before, new), _parted(rest, end - first)[1])
 
 
 class CountedText:
@@ -237,19 +269,62 @@ def count_through_edits(docs: DataFrame, ranks_path: str, pattern: str) -> DataF
                         counted.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
                 sha = hashlib.sha256(counted.text().encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((before, counted.tokens, counted.chars, counted.encoded_chars, sha))
-            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], names=[c.split()[0] for c in OUT.split(", ")])
+            return _counted([(i, *r) for i, r in zip(batch.column(0).to_pylist(), rows, strict=True)])
 
         return one
 
     return map_arrow(docs.select("doc_id", "text", "edits"), task, OUT)
 
 
-def with_edit_log(docs: DataFrame, log: DataFrame) -> DataFrame:
-    """Documents with the edits of a log (doc_id, seq, start, stop, text), in order of seq."""
-    edit = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "text")
-    own = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-    own = own.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["text"].alias("text"))).alias("edits"))
-    return docs.select("doc_id", "text").join(own, "doc_id", "left")
+def count_through_log(docs: DataFrame, log: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Counts of every row before and after the edits of a log (doc_id, seq, start, stop, text), in order of seq.
+
+    Rows get a number, which the edits of their document take over; both are
+    dealt by it and sorted, and tasks stream: a task holds one document's tree
+    and one edit at a time, however long the log.
+    """
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()))
+    place = lambda c: F.col(c).cast("long").alias(c)
+    edits = log.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), place("start"), place("stop"), "text")
+    edits = edits.join(rows.where("doc_id is not null").select("doc_id", "row"), "doc_id").withColumn("edit", F.lit(True))
+    none = F.lit(None).cast("long")
+    first = rows.select("doc_id", none.alias("seq"), none.alias("start"), none.alias("stop"), "text", "row", F.lit(False).alias("edit"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(edits).repartition(n, "row").sortWithinPartitions("row", "edit", "seq", "start", "stop", "text")
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        counter, held, out = counter_of(ranks_path, pattern), None, []
+
+        def done():
+            doc_id, counted, before = held
+            sha = hashlib.sha256(counted.text().encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((doc_id, before, counted.tokens, counted.chars, counted.encoded_chars, sha))
+
+        for batch in batches:
+            at = batch.schema.get_field_index
+            for doc_id, start, stop, text, edit in zip(*(batch.column(at(c)).to_pylist() for c in ("doc_id", "start", "stop", "text", "edit")), strict=True):
+                if edit:
+                    held[1].edit(start or 0, stop or 0, text or "")
+                    continue
+                if held is not None:
+                    done()
+                counted = CountedText(text or "", counter)
+                held = doc_id, counted, counted.tokens
+            if len(out) >= 256:
+                yield _counted(out)
+                out = []
+        if held is not None:
+            done()
+        if out:
+            yield _counted(out)
+
+    return dealt.mapInArrow(run, OUT)
+
+
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
 
 def sample_edits(text: F.Column) -> F.Column:

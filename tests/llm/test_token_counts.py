@@ -52,10 +52,43 @@ def test_query(spark, data, counter, texts):
         assert r["n_tokens_edited"] == whole(counter, e) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
 
 
+def balanced(node):
+    if node is None or node.left is None:
+        return True
+    return abs(node.left.height - node.right.height) <= 1 and balanced(node.left) and balanced(node.right)
+
+
+def test_thousands_of_edits_keep_the_tree_balanced(counter):
+    c, want = T.CountedText("in the middle", counter), "in the middle"
+    for i in range(10_000):
+        at = (0, len(want), len(want) // 2)[i % 3]
+        new = f" w{i}" * (1 + i % 5)
+        c.edit(at, at, new)
+        want = want[:at] + new + want[at:]
+    assert c.text() == want and c.tokens == whole(counter, want) and balanced(c.root)
+    for _ in range(3_000):
+        c.edit(0, 40, "")
+    assert c.text() == want[120_000:] and c.tokens == whole(counter, want[120_000:]) and balanced(c.root)
+
+
 def test_log_and_odd_rows(spark, odd, empty, counter):
-    log = spark.createDataFrame([(1, 2, 0, 3, "A"), (1, 1, 0, 0, "x "), (4, 1, 9, 2, "new text"), (99, 1, 0, 1, "y")], "doc_id long, seq int, start long, stop long, text string")
+    log = spark.createDataFrame([(1, 2, 0, 3, "A"), (1, 1, 0, 0, "x "), (4, 1, 9, 2, "new text"), (99, 1, 0, 1, "y"), (None, 1, 0, 9, "n")], "doc_id long, seq int, start long, stop long, text string")
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    out = {r["doc_id"]: r for r in T.count_through_edits(T.with_edit_log(odd, log), path, public_tokenizers.PATTERN).collect()}
+    rows = T.count_through_log(odd, log, path, public_tokenizers.PATTERN).collect()
+    assert len(rows) == odd.count()
+    out = {r["doc_id"]: r for r in rows}
     assert out[1]["edited_sha256"] == hashlib.sha256(b"Ahe quick brown fox jumps over the lazy dog and runs away from it at once.").hexdigest()
     assert out[4]["n_tokens_edited"] == whole(counter, "new text") and out[3]["n_tokens"] == 0
-    assert T.count_through_edits(T.with_edit_log(empty, log), path, public_tokenizers.PATTERN).count() == 0
+    assert T.count_through_log(empty, log, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_long_log_of_one_document(spark, counter):
+    edits = [(7, i, i, i, f"{i % 10} ") for i in range(3_000)]
+    log = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, text string")
+    docs = spark.createDataFrame([(7, "end"), (8, "other"), (7, "")], "doc_id long, text string")
+    rows = sorted(T.count_through_log(docs, log, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).collect(), key=lambda r: r["n_chars_edited"])
+    want = ""
+    for _, _, a, b, new in edits:
+        want = want[:a] + new + want[b:]
+    assert [r["n_chars_edited"] for r in rows] == [5, 6_000, 6_003]
+    assert rows[1]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest() and rows[1]["n_tokens_edited"] == whole(counter, want)
