@@ -6,32 +6,38 @@ of words up to there that occurs in some item. A run of ten or more ends a
 window of an item; the state's place in the tree of suffix links names the
 items. Documents pass row by row: no shuffle, memory of one document.
 
-The benchmark is a stated query set. Items are packed into automata of at most
-BLOCK_WORDS words; with more than one, each is matched with the original texts
-and what they find is merged by document: coverage is judged, and texts are cut,
-once and by the union of their spans.
+The benchmark is a stated query set. Its items are cut into overlapping pieces
+that keep every window, and dealt by a hash into blocks of about BLOCK_WORDS
+words. One block at a time is sent to the tasks, which build its automaton; with
+more than one, each is matched with the original texts and what they find is
+merged by row: coverage is judged, and texts are cut, once and by the union of
+their spans.
 
 Defined results: null and empty texts have no words and no hits; items without
 words are left out; repeated items and repeated item_ids count once by id; an
-item shorter than a window counts where it occurs whole; rows that repeat a
-doc_id give a row each; extra columns are ignored.
+item without an id hits words but isn't counted or named; an item shorter than a
+window counts where it occurs whole; rows that repeat a doc_id give a row each;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstat.llm.common import map_arrow, materialize, read_table, texts_of
+from gridstat.llm.common import free_names, map_arrow, materialize, read_table, texts_of
 
 WINDOW = 10
-#: Words of items in one automaton: some 100 MB in a worker at most.
+#: Words of items in one automaton, about: some 100 MB in a worker.
 BLOCK_WORDS = 200_000
+#: Words of a piece of an item.
+PIECE_WORDS = 20_000
 #: A document with a larger share of hit words goes as a whole.
 MAX_COVERAGE = 0.5
 
@@ -50,7 +56,7 @@ def words_of(text: str) -> list[bytes]:
 class SuffixAutomaton:
     """All runs of words of the items, and for each state the items that a window ending there belongs to."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -156,19 +162,52 @@ class SuffixAutomaton:
         return spans, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata of the items, each of a bounded number of words (or of one longer item)."""
-    held: list[tuple[str, list[bytes]]] = []
-    n = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
-    for r in rows.toLocalIterator():
-        words = words_of(r["text"])
-        if held and n + len(words) > block_words:
-            yield SuffixAutomaton(held, window)
-            held, n = [], 0
-        held.append((r["item_id"], words))
-        n += len(words)
-    yield SuffixAutomaton(held, window)
+def pieces_of(words: list[bytes], window: int = WINDOW, most: int = PIECE_WORDS) -> Iterator[list[bytes]]:
+    """An item's words in pieces that overlap by a window less one: each window is in one of them."""
+    step = max(1, most - window + 1)
+    for at in range(0, max(1, len(words) - window + 1), step):
+        yield words[at : at + step + window - 1]
+
+
+class Blocks:
+    """The benchmark in blocks of bounded size; no more than one is held by the driver at a time."""
+
+    def __init__(self, benchmark: DataFrame, window: int, block_words: int):
+        def task():
+            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                items = batch.column(0).to_pylist()
+                rows = [(i, b" ".join(p), len(p)) for i, t in zip(items, texts_of(batch), strict=True) for p in pieces_of(words_of(t), window) if p]
+                item, piece, n = zip(*rows, strict=True) if rows else ((), (), ())
+                return pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(piece, pa.binary()), pa.array(n, pa.int64())], names=["item", "piece", "n"])
+
+            return one
+
+        self.window, self.spark = window, benchmark.sparkSession
+        items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+        pieces = map_arrow(items, task, "item string, piece binary, n long")
+        total = pieces.agg(F.sum("n")).first()[0] or 0
+        self.n = max(1, math.ceil(total / block_words))
+        self.pieces = materialize(pieces) if self.n > 1 else pieces
+
+    def __iter__(self) -> Iterator:
+        """Broadcasts of (name, items) of each block."""
+        block = F.pmod(F.xxhash64("item", "piece"), F.lit(self.n))
+        for k in range(self.n):
+            rows = self.pieces.where(block == k).select("item", "piece").distinct().collect()
+            items = sorted(((r["item"], bytes(r["piece"])) for r in rows), key=lambda r: (r[0] is not None, r))
+            yield self.spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+
+_HELD: dict[str, SuffixAutomaton] = {}  # the block that a worker process works with
+
+
+def _automaton(shared, window: int) -> SuffixAutomaton:
+    """The automaton of a block, built once a worker process."""
+    name, items = shared.value
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = SuffixAutomaton([(i, p.split(b" ")) for i, p in items], window)
+    return _HELD[name]
 
 
 MATCHES = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
@@ -176,34 +215,44 @@ MATCHES = "doc_id long, n_words long, spans array<array<long>>, items array<stri
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans, items) of every row: word spans that are hit, and whose windows they are."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    blocks = Blocks(benchmark, window, block_words)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) == 1:
-        return _pass(docs, blocks[0], MATCHES)
+    if blocks.n == 1:
+        return _pass(docs, next(iter(blocks)), window)
     # Every block over the same rows: a number for each row merges what the blocks find.
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
-    passes = [_pass(docs, b, MATCHES + ", row long") for b in blocks]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return merged.select("doc_id", "n_words", "spans", "items")
-
-
-def _pass(docs: DataFrame, automaton, schema: str) -> DataFrame:
+    found = _all_passes(docs, blocks)
+    none = F.array().cast("array<array<long>>"), F.array().cast("array<string>")
+    sizes = docs.select("row", "doc_id", _n_words().alias("n_words"))
+    return sizes.join(found, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+
+
+def _n_words() -> F.Column:
+    return F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), F.lit(0))).cast("long")
+
+
+def _all_passes(docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """(row, spans, items) of the rows that any block hits; each pass is written before the next block is sent."""
+    every = None
+    for shared in blocks:
+        hits = materialize(_pass(docs, shared, blocks.window).where("size(spans) > 0").select("row", "spans", "items"))
+        shared.destroy()
+        every = hits if every is None else every.unionByName(hits)
+    return every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
     extra = [c for c in docs.columns if c == "row"]
 
     def task():
+        automaton = _automaton(shared, window)
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
             for text in texts_of(batch):
                 words = words_of(text)
-                spans, items = automaton.value.match(words)
-                found.append((len(words), spans, sorted(items)))
+                spans, items = automaton.match(words)
+                found.append((len(words), spans, sorted(i for i in items if i is not None)))
             n, spans, items = zip(*found, strict=True)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
             columns += [batch.column(batch.schema.get_field_index(c)) for c in extra]
@@ -211,7 +260,7 @@ def _pass(docs: DataFrame, automaton, schema: str) -> DataFrame:
 
         return one
 
-    return map_arrow(docs, task, schema)
+    return map_arrow(docs, task, MATCHES + (", row long" if extra else ""))
 
 
 def hit_words(spans: F.Column) -> F.Column:
@@ -264,9 +313,14 @@ def remove_contamination(
     Spans are those of all blocks on the original text, so results don't depend on the size of blocks.
     All columns are kept; n_chars, where there is such a column, follows the new text.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, WINDOW, block_words)]
-    return _cut(docs, blocks, docs.schema, max_coverage, "n_chars" in docs.columns)
+    blocks = Blocks(benchmark, WINDOW, block_words)
+    if blocks.n == 1:
+        return _cut(docs, docs.schema, max_coverage, shared=next(iter(blocks)))
+    row, spans = free_names(docs, "row", "spans")
+    docs = docs.select("*", F.monotonically_increasing_id().alias(row))
+    held = materialize(docs)
+    found = _all_passes(held.select("doc_id", "text", F.col(row).alias("row")), blocks).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    return _cut(held.join(found, row, "left"), docs.drop(row).schema, max_coverage, spans=spans)
 
 
 def union_of(spans: Iterable[list[int]]) -> list[list[int]]:
@@ -280,27 +334,34 @@ def union_of(spans: Iterable[list[int]]) -> list[list[int]]:
     return out
 
 
-def _cut(docs: DataFrame, blocks: list, schema, max_coverage: float, has_n: bool) -> DataFrame:
+def _cut(docs: DataFrame, schema, max_coverage: float, shared=None, spans: str | None = None) -> DataFrame:
+    """Cut what the automaton of a block finds, or what a column of spans says."""
+    names = schema.names
+
     def task():
+        automaton = _automaton(shared, WINDOW) if shared is not None else None
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            at = batch.schema.get_field_index("text")
-            texts, keep, changed = batch.column(at).to_pylist(), [], {}
+            said = None if automaton else batch.column(batch.schema.get_field_index(spans)).to_pylist()
+            batch = batch.select(names)
+            texts, keep, changed = batch.column(batch.schema.get_field_index("text")).to_pylist(), [], {}
             for r, text in enumerate(texts):
                 words = words_of(text or "")
-                spans = union_of(s for b in blocks for s in b.value.match(words)[0])
-                hit = sum(e - s for s, e in spans)
+                found = automaton.match(words)[0] if automaton else union_of(said[r] or ())
+                hit = sum(e - s for s, e in found)
                 if hit and hit > max_coverage * len(words):
                     continue
                 keep.append(r)
-                if spans:
-                    changed[r] = cut_spans(text, spans)
+                if found:
+                    changed[r] = cut_spans(text, found)
             if changed:
-                for name, of in (("text", lambda t: t), *([("n_chars", len)] if has_n else [])):
-                    c = batch.schema.get_field_index(name)
-                    values = batch.column(c).to_pylist()
-                    for r, t in changed.items():
-                        values[r] = of(t)
-                    batch = batch.set_column(c, name, pa.array(values, batch.schema.field(c).type))
+                for name, of in (("text", lambda t: t), ("n_chars", len)):
+                    if name in names:
+                        c = batch.schema.get_field_index(name)
+                        values = batch.column(c).to_pylist()
+                        for r, t in changed.items():
+                            values[r] = of(t)
+                        batch = batch.set_column(c, name, pa.array(values, batch.schema.field(c).type))
             return batch.take(pa.array(keep, pa.int64()))
 
         return one
@@ -315,7 +376,7 @@ WITH d AS (
   FROM documents
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), bw AS (
   SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
   FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
@@ -327,7 +388,7 @@ WITH d AS (
 ), h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM m) GROUP BY doc_id
 ), t AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated

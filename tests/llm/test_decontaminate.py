@@ -1,6 +1,7 @@
 import re
 
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from gridstat.llm import decontaminate as D
 
@@ -76,3 +77,21 @@ def test_removal_does_not_depend_on_blocks(spark):
     key = lambda n: sorted((r["doc_id"], r["text"]) for r in D.remove_contamination(docs, bench, block_words=n).collect())
     want = [(1, f", {rest}"), (3, f"{words(400, 405)}  {words(500, 505)} {rest}"), (4, f"; {rest}"), (5, rest)]
     assert key(1000) == want and key(1) == want and key(30) == want
+
+
+def test_long_items_come_in_pieces_that_keep_every_window():
+    words = [str(i).encode() for i in range(57)]
+    for window, most in ((10, 12), (10, 10), (3, 20), (10, 100)):
+        pieces = list(D.pieces_of(words, window, most))
+        windows = {tuple(p[i : i + window]) for p in pieces for i in range(len(p) - window + 1)}
+        assert windows == {tuple(words[i : i + window]) for i in range(len(words) - window + 1)} and all(len(p) <= max(most, window) for p in pieces)
+    assert list(D.pieces_of(words[:4])) == [words[:4]] and list(D.pieces_of([])) == [[]]
+
+
+def test_items_without_an_id_hit_but_have_no_name(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, item), ("a", item.replace("w", "v"))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, f"{item} {item.replace('w', 'v')}")], "doc_id long, text string")
+    for block_words in (5, 1000):
+        got = {r["doc_id"]: (r["items"], r["n"]) for r in D.matches(docs, bench, block_words=block_words).withColumn("n", D.hit_words(F.col("spans"))).collect()}
+        assert got == {1: ([], 12), 2: (["a"], 24)}
