@@ -32,6 +32,10 @@ from gridstat.llm.common import discard, map_arrow, materialize, read_table, tex
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
+#: Fingerprints under one triple of blocks above which pairs are not listed: a member has some 500 midpoints there.
+HOT_FAMILY = 1_000
+#: Ids of dropped documents up to which they are broadcast: a table of some 100 MB at most.
+BROADCAST_IDS = 2_000_000
 #: (first bit, bits) of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
@@ -82,16 +86,32 @@ def _lowest(mask: Column) -> Column:
     return mask.bitwiseAND(-mask)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): nodes of all pairs of different fingerprints within the distance, each pair once."""
-    fp = F.col("fp")
-    keys = []
+def _filed(classes: DataFrame) -> DataFrame:
+    """(fp, node, blocks, value): each fingerprint under its twenty triples of blocks."""
+    fp, keys = F.col("fp"), []
     for three in itertools.combinations(range(len(BLOCKS)), 3):
         key = F.lit(sum(1 << b for b in three)).cast("long")  # which blocks, then their values
         for b in three:
             key = F.shiftleft(key, BLOCKS[b][1]).bitwiseOR(_block(fp, *BLOCKS[b]))
         keys.append(F.struct(F.lit(sum(1 << b for b in three)).alias("blocks"), key.alias("value")))
-    filed = classes.select("fp", "node", F.explode(F.array(*keys)).alias("key")).select("fp", "node", "key.*")
+    return classes.select("fp", "node", F.explode(F.array(*keys)).alias("key")).select("fp", "node", "key.*")
+
+
+def links(classes: DataFrame, hot: int = HOT_FAMILY) -> DataFrame:
+    """(a, b): links between nodes whose components are those of all pairs within the distance.
+
+    Families (fingerprints under one triple) of up to `hot` give each close pair
+    once. Larger ones would give a number of pairs that grows with their square;
+    they link through midpoints instead, a fixed number of rows a member.
+    """
+    filed = _filed(classes)
+    large = filed.groupBy("blocks", "value").count().where(F.col("count") > hot).select("blocks", "value")
+    small = filed.join(large, ["blocks", "value"], "left_anti")
+    return _pairs(small).unionByName(_through_midpoints(filed.join(large, ["blocks", "value"], "left_semi")))
+
+
+def _pairs(filed: DataFrame) -> DataFrame:
+    """All close pairs of families; one that agrees in more triples comes from the lowest of those at hand."""
     a, b = filed.alias("a"), filed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     same = F.lit(0)
@@ -110,18 +130,42 @@ def links(classes: DataFrame) -> DataFrame:
     return a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _through_midpoints(filed: DataFrame) -> DataFrame:
+    """Links of large families, as stars around midpoints.
+
+    Two fingerprints within three bits have a midpoint one bit (or none) from the
+    one and two bits at most from the other. So each member goes to every point
+    within two bits of it; all that reach a point which some member is within one
+    bit of are within three bits of that member, and are linked to it alone. A
+    point that several are near has the least of them as its middle: they are
+    within two bits of each other. Only bits outside the triple's blocks can differ.
+    """
+    ones = None
+    for three in itertools.combinations(range(len(BLOCKS)), 3):
+        free = [str(bit) for i, (first, n) in enumerate(BLOCKS) if i not in three for bit in range(first, first + n)]
+        own = F.expr(f"transform(array({', '.join(free)}), bit -> shiftleft(1L, bit))")
+        here = F.col("blocks") == sum(1 << b for b in three)
+        ones = F.when(here, own) if ones is None else ones.when(here, own)
+    two = F.flatten(F.transform("ones", lambda x: F.transform(F.filter("ones", lambda y: y > x), lambda y: x.bitwiseOR(y))))
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.col("ones"), two)
+    reached = filed.withColumn("ones", ones).select("blocks", "node", "fp", F.explode(flips).alias("flip"))
+    point = F.col("fp").bitwiseXOR(F.col("flip"))
+    reached = reached.select("blocks", "node", point.alias("point"), (F.bit_count("flip") <= 1).alias("near"))
+    middle = reached.where("near").groupBy("blocks", "point").agg(F.min("node").alias("middle"))
+    return reached.join(middle, ["blocks", "point"]).where("node <> middle").select(F.col("middle").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for the nodes that have an edge and aren't it.
 
     Large-star hangs each larger neighbour of a node on the smallest one, then
     small-star does so with the smaller neighbours, until nothing changes; the
-    edges are then stars. Hubs are split by the adaptive join, not gathered.
+    edges are then stars. Rounds grow with the square of the logarithm of the
+    nodes at most. Hubs are split by the adaptive join, not gathered.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -132,8 +176,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now, before, mark = new, mark, _mark(new)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -169,8 +211,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's; rows without an id stay. All columns are kept."""
-    roots = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+def keep_one_of_each(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The documents whose id is their component's; rows without an id stay. All columns are kept.
+
+    Of rows that repeat a doc_id the one with the least text stays (null first,
+    then the least of its other columns), in whatever order they come. Texts are
+    shuffled only where ids repeat, or where more documents go than may be broadcast.
+    """
+    rows = near_duplicates(docs)
+    gone = materialize(rows.where("doc_id <> component_id").select("doc_id").distinct())
+    several = materialize(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    kept = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    if several.isEmpty():
+        return kept
+    several = few(several)
+    once = kept.join(several, "doc_id", "left_anti").select(docs.columns)
+    row, order = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    least = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("kept_row"))
+    return once.unionByName(least.select("kept_row.*"))

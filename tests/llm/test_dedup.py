@@ -90,3 +90,47 @@ def test_one_of_each_stays(odd):
     ids = [r["doc_id"] for r in kept.orderBy("doc_id").collect()]
     assert ids == [None, None, 1, 3, 6, 7, 8, 9, 10]
     assert kept.where(F.col("doc_id") == 1).first()["fp"] == 8
+
+
+def test_large_families_link_through_midpoints(spark):
+    rng = np.random.default_rng(5)
+    centres = [int(x) for x in rng.integers(0, 2**63, 3)]
+    fps = set(centres)
+    for c in centres:
+        for _ in range(100):
+            x = c
+            for bit in rng.choice(64, int(rng.integers(1, 6)), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
+    ids = list(range(len(fps)))
+    classes = spark.createDataFrame(list(zip(fps, ids, strict=True)), "fp long, node long")
+    want = brute_components([f % (1 << 64) for f in fps], ids)
+    for hot in (20, 10_000):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes, hot)).collect()}
+        assert [roots.get(i, i) for i in ids] == want, hot
+
+
+def test_a_family_of_thousands_gives_rows_in_proportion(spark):
+    rng = np.random.default_rng(6)
+    base = 0x1234_5678_9ABC_DEF0
+    fps = {base}
+    while len(fps) < 5_000:
+        x = base
+        for bit in rng.choice(64, 3, replace=False):
+            x ^= 1 << int(bit)
+        fps.add(x)
+    fps = sorted(fps)
+    classes = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    out = simhash.links(classes)
+    roots = simhash.components(out)
+    assert roots.count() == len(fps) - 1 and roots.where("root <> 0").isEmpty()
+
+
+def test_what_stays_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, "f g h i j", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "w"), (2, None, "z"), (2, "k l m n o", "z"), (None, "p", "q"), (4, "p", "q")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)
+        for most in (0, 100):  # joined by a shuffle or a broadcast
+            got = sorted(map(tuple, simhash.keep_one_of_each(df, broadcast_ids=most).collect()), key=str)
+            assert got == [(1, "a b c d e", "w"), (2, None, "z"), (4, "p", "q"), (None, "p", "q")]
