@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridstat.llm.common import map_arrow, read_table, small_batches, texts_of
 
-GRAM = 16  # code points of a hashed run; a power of two, hashed by doubling
+GRAM = 16  # code points of a hashed run
 WINDOW = 64  # hashes of a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -49,13 +49,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hashes of all runs of `gram` points: the hash of a run is that of its first half times a power, plus the second's."""
-    h, n, power = points + np.uint64(1), 1, _BASE
+    """Hashes of all runs of `gram` points: a polynomial of each run, rolled over all runs at once.
+
+    The polynomial of a run is that of its beginning times a power, plus that of
+    its end; so runs of 1, 2, 4, ... points make up runs of any length.
+    """
+    if gram < 1:
+        raise ValueError("a gram has a code point at least")
+    if len(points) < gram:
+        return np.zeros(0, dtype=np.uint64)
+    part, size, power = points + np.uint64(1), 1, _BASE  # of all runs of `size` points
+    whole, done = None, 0
     with np.errstate(over="ignore"):
-        while n < gram:
-            h = h[:-n] * power + h[n:]
-            n, power = 2 * n, power * power
-        return _mixed(h)
+        while True:
+            if gram & size:
+                n = len(points) - done - size + 1
+                whole = part if whole is None else whole[:n] * power + part[done : done + n]
+                done += size
+            if done == gram:
+                return _mixed(whole)
+            part = part[:-size] * power + part[size:]
+            size, power = 2 * size, power * power
 
 
 def _short_hash(points: np.ndarray) -> np.ndarray:
@@ -101,7 +115,8 @@ def chosen(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
 
 
 def render(hashes: np.ndarray, places: np.ndarray) -> str:
-    return " ".join([f"{h:x}@{p}" for h, p in zip((hashes >> np.uint64(32)).tolist(), places.tolist(), strict=True)])
+    """`hash@position` of each choice: the whole hash, as it is compared."""
+    return " ".join([f"{h:x}@{p}" for h, p in zip(hashes.tolist(), places.tolist(), strict=True)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

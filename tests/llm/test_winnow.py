@@ -68,3 +68,25 @@ def test_odd_rows(spark, odd, empty):
     one = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert W.compare_with_next(one).first()["near_next"] == 1.0
     assert W.fingerprints(odd).count() == odd.count()
+
+
+def test_hashes_of_runs_of_any_length():
+    text = "".join(random.Random(8).choice("abcdé ") for _ in range(200))
+    points = W._points(text)
+    for gram in (1, 3, 5, 16, 20, 31):
+        got = W.gram_hashes(points, gram)
+        want = []
+        for i in range(len(points) - gram + 1):
+            h = 0
+            for p in points[i : i + gram].tolist():
+                h = (h * int(W._BASE) + p + 1) % 2**64
+            want.append(h)
+        assert got.tolist() == W._mixed(np.array(want, dtype=np.uint64)).tolist()
+    for gram, window in ((5, 9), (20, 7)):
+        assert list(W.chosen(text, gram, window)[1]) == brute(text, gram, window)
+
+
+def test_likeness_is_that_of_the_printed_fingerprints(spark, data):
+    for r in W.op10_winnow(spark, data).limit(50).collect():
+        a, b = (np.array([int(x.split("@")[0], 16) for x in r[c].split()], dtype=np.uint64) for c in ("fingerprint", "edited_fingerprint"))
+        assert W.likeness(a, b) == r["near_edited"]
