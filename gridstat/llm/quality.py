@@ -87,10 +87,10 @@ class Model:
     steps_y: np.ndarray
 
     def mapped(self, x: np.ndarray) -> np.ndarray:
-        """Random Fourier features, the statistics themselves and a constant."""
+        """Random Fourier features of the standardised statistics, and a constant."""
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         fourier = np.cos(z @ self.weights + self.phases) * np.sqrt(2.0 / len(self.phases))
-        return np.hstack([fourier, z, np.ones((len(z), 1))])
+        return np.hstack([fourier, np.ones((len(z), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.mapped(x) @ self.beta, self.steps_x, self.steps_y), 0.0, 1.0)
@@ -112,7 +112,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][1] += n
             blocks[-1][3] = last
     xs = [v for b in blocks for v in (b[2], b[3])]
-    ys = [v for b in blocks for v in ((b[0] + 0.5 * b[0] / b[1]) / (b[1] + 0.5),) * 2]
+    ys = [v for b in blocks for v in (b[0] / b[1],) * 2]
     return np.array(xs), np.array(ys)
 
 
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rng = np.random.default_rng(SEED)
     model = Model(
         np.array([moments[f"avg{i}"] or 0.0 for i in range(k)]), np.array([max(moments[f"stddev_pop{i}"] or 0.0, 1e-6) for i in range(k)]),
-        rng.normal(0.0, 1.0 / WIDTH, (k, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + k + 1), np.array([0.0]), np.array([1.0]),
+        rng.normal(0.0, 1.0 / WIDTH, (k, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0]), np.array([1.0]),
     )
     if not moments["n"]:
         return model
