@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridstat.llm.common import crc_mod, map_arrow, materialize, read_table, texts_of
+from gridstat.llm.common import below_share, crc_mod, map_arrow, materialize, read_table, texts_of
 
 SAMPLE_DOCS = 2_500  # labelled documents a language to learn from, about
 WORDS = 30_000  # known words a language
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, n_words: int = WORD
     if not sizes:
         return Model([], {}, {})
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(min(1.0, sample_docs / n)))])
-    taken = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    taken = below_share(F.xxhash64("doc_id"), share[F.col("lang")])
 
     def count(words: bool):
         def task():
@@ -153,11 +153,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, n_words: int = WORD
 def _log_frequencies(counts: DataFrame, languages: list[str], most: int, least: int) -> dict[str, np.ndarray]:
     """Log frequency of the most frequent units, smoothed, less the mean over languages."""
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    number = {lang: k for k, lang in enumerate(languages)}
     n_by: dict[str, np.ndarray] = {}
-    for k, lang in enumerate(languages):  # a top-k for each language: bounded, and no window over a language
-        own = counts.where((F.col("lang") == lang) & (F.col("n") >= least)).orderBy(F.desc("n"), "unit").limit(most)
-        for unit, n in own.select("unit", "n").collect():
-            n_by.setdefault(unit, np.zeros(len(languages)))[k] = n
+    # One pass for all languages: tasks keep the top of their own rows, so that a language's merge is of bounded size.
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "unit"))
+    for lang, unit, n in counts.where(F.col("n") >= least).select("lang", "unit", "n", top.alias("top")).where(F.col("top") <= most).select("lang", "unit", "n").collect():
+        n_by.setdefault(unit, np.zeros(len(languages)))[number[lang]] = n
     totals = np.array([float(total.get(lang, 1)) for lang in languages])
     out = {}
     for unit, n in n_by.items():
