@@ -1,31 +1,35 @@
 """Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A document's words are cut into overlapping windows, every one of which is
-scored. A word enters as a learned word vector and the mean of learned vectors
-of its character units (its prefixes and suffixes and itself, between boundary
-marks, hashed into buckets), with two counts-based inputs: the evidence of the
-word and of its strongest unit. Two gated recurrent networks read a window in
-either direction, attention weighs their states, and the pooled state gives a
-logit. The document's logit is its windows' largest, turned into a share of
-label 1 by logistic calibration on labelled documents.
-
-Evidence is counted in Spark over a bounded sample of labelled documents: at
-most about SAMPLE_EACH of either label, taken by a hash of the id. From each,
-tasks send at most four windows to the driver, where the network is trained
-(back-propagation written out, Adam). Scoring is row-local over whole texts.
+scored. A word enters twice: as a learned vector of its own (words that few
+sampled documents hold share one), and by its characters, which two gated
+recurrent networks read in order, one in either direction. Two more such
+networks read a window's words in either direction, attention weighs their
+states, and the pooled state gives a logit. The document's logit is its windows'
+largest, turned into a share of label 1 by logistic calibration on labelled
+documents. Nothing else enters: no counts of labels, no word lists.
+
+Learning takes at most about SAMPLE_EACH documents of either label, by a hash of
+the id, and all of their windows. The sample is dealt over up to TRAIN_PARTS tasks;
+in each epoch every task runs back-propagation (written out, with Adam) over its
+own documents from the same weights, and the driver averages what they return:
+iterative parameter mixing. Only weights pass through the driver. Scoring is
+row-local over whole texts.
 
 Defined results: null, empty and wordless texts have no window and get the
-lowest score that calibration knows of; null labels teach nothing; with nothing
-to learn from, or no example of one label, every score is the share of label 1
-(0 if there is no row at all); extra columns are ignored.
+lowest score that calibration knows of; null labels and labels without a doc_id
+teach nothing; with nothing to learn from, or no example of one label, every
+score is the share of label 1 (0 if there is no row at all); a row without a
+doc_id is scored, its held_out is null; words of more than PIECE characters are
+read as several; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
+import pickle
 import re
-import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,15 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstat.llm.common import crc_mod, map_arrow, materialize, read_table, texts_of
+from gridstat.llm.common import below_share, crc_mod, discard, map_arrow, materialize, read_table, texts_of
 
 SAMPLE_EACH = 2_500  # labelled documents of either label to learn from, about
 STEPS, STRIDE = 48, 32  # words of a window, and from one window to the next
-HIDDEN, VECTOR = 8, 8  # state of a direction; length of word and unit vectors
-BUCKETS = 1 << 13  # hashed word and unit vectors
-UNITS = 20_000  # units with evidence that are kept
-EVIDENCE_DOCS = 4  # documents with a unit from which its evidence counts
-EPOCHS, BATCH, RATE = 12, 128, 0.01
+HIDDEN, VECTOR = 8, 8  # state of a direction over words; length of a word's own vector
+CHAR_HIDDEN, CHAR_VECTOR = 8, 8  # the same over characters
+CHARS = 1 << 10  # hashed characters
+PIECE = 24  # characters of a step
+VOCABULARY, WORD_DOCS = 20_000, 3  # words with a vector of their own, and sampled documents that hold one
+TRAIN_PARTS, PART_DOCS = 8, 250  # tasks of an epoch at most, and documents a task at least
+EPOCHS, MOST_EPOCHS, LEAST_UPDATES = 4, 10, 150  # epochs; more, while a small sample made few updates
+ALL_WINDOWS, BATCH, RATE = 1, 128, 0.03  # epochs that take all windows of label 1; windows of an update
 CACHED_WORDS = 300_000
 SCORE_WINDOWS = 1024  # windows scored at once
 THRESHOLD = 0.5
@@ -51,23 +58,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-_BEGIN = zlib.crc32(b"^")
-
-
-def units_of(word: str) -> list[int]:
-    """Hashes of a word's character units: the whole first, then prefixes and suffixes, with boundary marks."""
-    raw, n = word.encode("utf-8", "surrogatepass"), len(word)
-    out = [zlib.crc32(raw + b"$", _BEGIN)]
-    if len(raw) == n:
-        for k in range(3, min(n, 7)):
-            out += (zlib.crc32(raw[:k], _BEGIN), zlib.crc32(raw[-k:] + b"$"))
-    else:
-        for k in range(3, min(n, 7)):
-            out += (zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), _BEGIN), zlib.crc32(word[-k:].encode("utf-8", "surrogatepass") + b"$"))
-    return out
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 def windows_of(n_words: int) -> list[int]:
@@ -81,171 +75,265 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-@dataclass
-class Model:
-    evidence: dict[int, float] = field(default_factory=dict)  # by hash of the unit
-    weights: dict[str, np.ndarray] = field(default_factory=dict)
-    slope: float = 1.0  # logistic calibration of documents' logits
-    offset: float = 0.0
-    constant: float | None = 0.0  # the score of everything, where nothing could be learned
-    lowest: float = 0.0
-
-    def features(self, words: list[str]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-        """Word buckets, unit buckets and the two evidence inputs of words."""
-        get, units, seen = self.evidence.get, [], []
-        for w in words:
-            u = units_of(w)
-            e = [get(x, 0.0) for x in u]
-            units.append(u[1:] or u)
-            seen.append((e[0], max(e, key=abs) if any(e) else 0.0))
-        own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=len(words)) % BUCKETS
-        return own, units, np.array(seen, dtype=np.float32).reshape(-1, 2)
-
-
-def _inputs(w: dict[str, np.ndarray], own: np.ndarray, units: list[list[int]], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word inputs, flat unit buckets, units a word)."""
-    sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-    flat = np.fromiter(itertools.chain.from_iterable(units), dtype=np.int64, count=int(sizes.sum())) % BUCKETS
-    sums = np.add.reduceat(w["unit"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-    return np.hstack([w["word"][own], sums / sizes[:, None], seen]).astype(np.float32), flat, sizes
-
-
-def _directions(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States of both directions (windows, steps, 2 * HIDDEN) from projected inputs; with keep, what training needs."""
-    n, t, h = x.shape[0], x.shape[1], HIDDEN
-    states, kept = np.zeros((n, t, 2 * h), dtype=np.float32), []
-    for d in range(2):
-        u, s = w["u"][d], np.zeros((n, h), dtype=np.float32)
-        own = x[:, :, 3 * h * d : 3 * h * (d + 1)]
-        trail = []
-        for i in range(t) if d == 0 else range(t - 1, -1, -1):
-            a = s @ u
-            gates = _sigmoid(own[:, i, : 2 * h] + a[:, : 2 * h])
-            r, z = gates[:, :h], gates[:, h:]
-            c = np.tanh(own[:, i, 2 * h :] + r * a[:, 2 * h :])
-            m = mask[:, i, None]
-            new = s + m * (1 - z) * (c - s)  # padding keeps the state
-            if keep:
-                trail.append((i, s, a[:, 2 * h :], r, z, c, m))
-            s = new
-            states[:, i, h * d : h * (d + 1)] = s
-        kept.append(trail)
-    return states, kept
-
-
-def _pooled(w: dict[str, np.ndarray], states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits, attention, pooled states)."""
-    a = states @ w["attend"] + (mask - 1) * 1e4
-    a = np.exp(a - a.max(axis=1, keepdims=True))
-    a /= a.sum(axis=1, keepdims=True)
-    pooled = np.einsum("nt,nth->nh", a, states)
-    return pooled @ w["out"] + w["bias"][0], a, pooled
+Weights = dict[str, np.ndarray]
+#: Weights of which a batch touches some rows only.
+SPARSE = ("word", "char")
 
 
-def start_weights() -> dict[str, np.ndarray]:
-    rng, h, d = np.random.default_rng(SEED), HIDDEN, 2 * VECTOR + 2
+def start_weights(n_words: int) -> Weights:
+    """Vectors of words (the first: all others) and characters, two networks a level, attention and output."""
+    rng, h, k = np.random.default_rng(SEED), HIDDEN, CHAR_HIDDEN
     draw = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
+    d = VECTOR + 2 * k
     return {
-        "word": draw(BUCKETS, VECTOR, scale=0.1), "unit": draw(BUCKETS, VECTOR, scale=0.1), "w": draw(d, 6 * h, scale=d**-0.5),
-        "b": np.zeros(6 * h, np.float32), "u": draw(2, h, 3 * h, scale=h**-0.5), "attend": draw(2 * h, scale=h**-0.5),
-        "out": draw(2 * h, scale=h**-0.5), "bias": np.array([-1.0], np.float32),
+        "word": draw(n_words + 1, VECTOR, scale=0.1), "char": draw(CHARS, CHAR_VECTOR, scale=0.5),
+        "char_w": draw(CHAR_VECTOR, 6 * k, scale=CHAR_VECTOR**-0.5), "char_b": np.zeros(6 * k, np.float32), "char_u": draw(2, k, 3 * k, scale=k**-0.5),
+        "w": draw(d, 6 * h, scale=d**-0.5), "b": np.zeros(6 * h, np.float32), "u": draw(2, h, 3 * h, scale=h**-0.5),
+        "attend": draw(2 * h, scale=h**-0.5), "out": draw(2 * h, scale=h**-0.5), "bias": np.array([-1.0], np.float32),
     }
 
 
-def gradients(w: dict[str, np.ndarray], own, units, seen, ids: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients over windows of word numbers (-1: padding) with labels y."""
-    mask = (ids >= 0).astype(np.float32)
-    x, flat, sizes = _inputs(w, own, units, seen)
-    projected = x @ w["w"] + w["b"]
-    steps = projected[np.maximum(ids, 0)]
-    states, kept = _directions(w, steps, mask, True)
-    logits, a, pooled = _pooled(w, states, mask)
+def _gru(x: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (steps, rows, size) over projected inputs, and what back-propagation needs. A masked step keeps the state."""
+    h = len(u)
+    s, states, tape = np.zeros((x.shape[1], h), x.dtype), np.empty((*x.shape[:2], h), x.dtype), []
+    for i in range(len(x)):
+        a = s @ u
+        gates = _sigmoid(x[i, :, : 2 * h] + a[:, : 2 * h])
+        r, z = gates[:, :h], gates[:, h:]
+        c = np.tanh(x[i, :, 2 * h :] + r * a[:, 2 * h :])
+        tape.append((s, a[:, 2 * h :], r, z, c))
+        s = s + mask[i, :, None] * (1 - z) * (c - s)
+        states[i] = s
+    return states, tape
+
+
+def _gru_back(d_states: np.ndarray, tape: list, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the projected inputs and of the recurrent weights."""
+    h = len(u)
+    d_x, d_u, d_s = np.empty((*d_states.shape[:2], 3 * h), d_states.dtype), np.zeros_like(u), np.zeros_like(d_states[0])
+    for i in range(len(tape) - 1, -1, -1):
+        s, ac, r, z, c = tape[i]
+        d_s = d_s + d_states[i]
+        moved = d_s * mask[i, :, None]
+        d_c = moved * (1 - z) * (1 - c * c)
+        d_z = moved * (s - c) * z * (1 - z)
+        d_r = d_c * ac * r * (1 - r)
+        d_x[i] = np.hstack([d_r, d_z, d_c])
+        d_rec = np.hstack([d_r, d_z, d_c * r])
+        d_u += s.T @ d_rec
+        d_s = d_s - moved * (1 - z) + d_rec @ u.T
+    return d_x, d_u
+
+
+def _scattered(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows of values by their place."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+        out[own[first]] = np.add.reduceat(values[order], first)
+    return out
+
+
+def _groups(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words by length, so that few steps are padding: (their places, hashed characters (steps, words), mask)."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    every = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) % CHARS
+    begin, out, low = np.cumsum(lengths) - lengths, [], 0
+    for high in (5, 8, 12, 16, PIECE):
+        at = np.flatnonzero((lengths > low) & (lengths <= high))
+        if len(at):
+            steps = np.arange(lengths[at].max())[:, None]
+            mask = steps < lengths[at]
+            out.append((at, every[np.where(mask, begin[at] + steps, 0)], mask.astype(np.float32)))
+        low = high
+    return out
+
+
+def _spelt(w: Weights, words: list[str]) -> tuple[np.ndarray, list]:
+    """Vectors of words by their characters: the last states of both directions."""
+    k, out, tapes = CHAR_HIDDEN, np.zeros((len(words), 2 * CHAR_HIDDEN), w["char_w"].dtype), []
+    table = w["char"] @ w["char_w"] + w["char_b"]
+    for at, codes, mask in _groups(words):
+        both = []
+        for d in range(2):
+            c, m = (codes, mask) if d == 0 else (codes[::-1], mask[::-1])
+            states, tape = _gru(table[:, 3 * k * d : 3 * k * (d + 1)][c], w["char_u"][d], m)
+            out[at, k * d : k * (d + 1)] = states[-1]
+            both.append((c, m, tape))
+        tapes.append((at, both))
+    return out, tapes
+
+
+def _spelt_back(w: Weights, tapes: list, d_out: np.ndarray, g: Weights) -> None:
+    k, d_table = CHAR_HIDDEN, np.zeros((CHARS, 6 * CHAR_HIDDEN), d_out.dtype)
+    g["char_u"] = np.zeros_like(w["char_u"])
+    for at, both in tapes:
+        for d, (codes, mask, tape) in enumerate(both):
+            d_states = np.zeros((*codes.shape, k), d_out.dtype)
+            d_states[-1] = d_out[at, k * d : k * (d + 1)]
+            d_x, d_u = _gru_back(d_states, tape, w["char_u"][d], mask)
+            g["char_u"][d] += d_u
+            d_table[:, 3 * k * d : 3 * k * (d + 1)] += _scattered(codes.ravel(), d_x.reshape(-1, 3 * k), CHARS)
+    g["char"], g["char_w"], g["char_b"] = d_table @ w["char_w"].T, w["char"].T @ d_table, d_table.sum(axis=0)
+
+
+def _forward(w: Weights, words: list[str], own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Logits of windows given as places in a list of words (-1: padding), and what back-propagation needs."""
+    h, mask = HIDDEN, (ids.T >= 0).astype(np.float32)
+    spelt, tapes = _spelt(w, words)
+    x = np.hstack([w["word"][own], spelt])
+    steps = (x @ w["w"] + w["b"])[np.maximum(ids.T, 0)]
+    forward, tape_f = _gru(steps[:, :, : 3 * h], w["u"][0], mask)
+    backward, tape_b = _gru(steps[::-1, :, 3 * h :], w["u"][1], mask[::-1])
+    states = np.concatenate([forward, backward[::-1]], axis=2)
+    a = states @ w["attend"] + (mask - 1) * 1e4
+    a = np.exp(a - a.max(axis=0))
+    a /= a.sum(axis=0)
+    pooled = np.einsum("tn,tnh->nh", a, states)
+    return pooled @ w["out"] + w["bias"][0], (x, mask, tapes, states, tape_f, tape_b, a, pooled)
+
+
+def gradients(w: Weights, words: list[str], own: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple[float, Weights]:
+    """Mean logistic loss and its gradients over windows of word places with labels y."""
+    h = HIDDEN
+    logits, (x, mask, tapes, states, tape_f, tape_b, a, pooled) = _forward(w, words, own, ids)
     p = _sigmoid(logits)
-    n, h = len(y), HIDDEN
     loss = float(-(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)).mean())
-    g = {"out": pooled.T @ (p - y) / n, "bias": np.array([(p - y).mean()])}
-    d_pooled = (p - y)[:, None] / n * w["out"]
-    d_a = np.einsum("nh,nth->nt", d_pooled, states)
-    d_a = a * (d_a - (a * d_a).sum(axis=1, keepdims=True))
-    g["attend"] = np.einsum("nt,nth->h", d_a, states)
-    d_states = a[:, :, None] * d_pooled[:, None, :] + d_a[:, :, None] * w["attend"]
-    d_steps, g["u"] = np.zeros_like(steps), np.zeros_like(w["u"])
-    for d in range(2):
-        u, d_s = w["u"][d], np.zeros((n, h), dtype=np.float32)
-        for i, s, ac, r, z, c, m in reversed(kept[d]):
-            d_s = d_s + d_states[:, i, h * d : h * (d + 1)]
-            d_c = d_s * m * (1 - z) * (1 - c * c)
-            d_z = d_s * m * (s - c) * z * (1 - z)
-            d_r = d_c * ac * r * (1 - r)
-            d_in = np.hstack([d_r, d_z, d_c])
-            d_steps[:, i, 3 * h * d : 3 * h * (d + 1)] = d_in
-            d_rec = np.hstack([d_r, d_z, d_c * r])
-            g["u"][d] += s.T @ d_rec
-            d_s = d_s * (1 - m * (1 - z)) + d_rec @ u.T
-    d_projected = np.zeros_like(projected)
-    at = ids >= 0
-    np.add.at(d_projected, ids[at], d_steps[at])
+    off = (p - y) / len(y)
+    g = {"out": pooled.T @ off, "bias": np.array([off.sum()])}
+    d_pooled = off[:, None] * w["out"]
+    d_a = np.einsum("nh,tnh->tn", d_pooled, states)
+    d_a = a * (d_a - (a * d_a).sum(axis=0))
+    g["attend"] = np.einsum("tn,tnh->h", d_a, states)
+    d_states = a[:, :, None] * d_pooled + d_a[:, :, None] * w["attend"]
+    d_f, u_f = _gru_back(d_states[:, :, :h], tape_f, w["u"][0], mask)
+    d_b, u_b = _gru_back(d_states[::-1, :, h:], tape_b, w["u"][1], mask[::-1])
+    g["u"] = np.stack([u_f, u_b])
+    d_steps = np.concatenate([d_f, d_b[::-1]], axis=2)
+    used = ids.T >= 0
+    d_projected = _scattered(ids.T[used], d_steps[used], len(words))
     g["w"], g["b"] = x.T @ d_projected, d_projected.sum(axis=0)
     d_x = d_projected @ w["w"].T
-    g["word"], g["unit"] = np.zeros_like(w["word"]), np.zeros_like(w["unit"])
-    np.add.at(g["word"], own, d_x[:, :VECTOR])
-    np.add.at(g["unit"], flat, np.repeat(d_x[:, VECTOR : 2 * VECTOR] / sizes[:, None], sizes, axis=0))
+    g["word"] = _scattered(own, d_x[:, :VECTOR], len(w["word"]))
+    _spelt_back(w, tapes, d_x[:, VECTOR:], g)
     return loss, g
 
 
-def train(model: Model, windows: list[list[list[str]]], labels: list[int], epochs: int = EPOCHS) -> None:
-    """Fit the weights to documents given as a few windows of words each.
+@dataclass
+class State:
+    """Weights with Adam's moments and the number of steps so far."""
+
+    w: Weights
+    m: Weights
+    v: Weights
+    step: int = 0
+
+    @classmethod
+    def new(cls, n_words: int) -> State:
+        w = start_weights(n_words)
+        return cls(w, {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()})
+
+    def copy(self) -> State:
+        return State(*({k: x.copy() for k, x in part.items()} for part in (self.w, self.m, self.v)), self.step)
+
+    def update(self, g: Weights, rate: float, touched: dict[str, np.ndarray]) -> None:
+        """A step of Adam; of sparse weights, over the touched rows alone."""
+        self.step += 1
+        for k, grad in g.items():
+            at = touched.get(k, slice(None))
+            grad = np.clip(grad[at], -1, 1).astype(np.float32)
+            self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * grad
+            self.v[k][at] = 0.99 * self.v[k][at] + 0.01 * grad * grad
+            lean = self.m[k][at] / (1 - 0.9**self.step)
+            self.w[k][at] -= rate * lean / (np.sqrt(self.v[k][at] / (1 - 0.99**self.step)) + 1e-6)
+
+
+@dataclass
+class Model:
+    vocabulary: dict[str, int] = field(default_factory=dict)  # words with a vector of their own, from 1 on
+    weights: Weights = field(default_factory=dict)
+    slope: float = 1.0  # logistic calibration of documents' logits
+    offset: float = 0.0
+    constant: float | None = 0.0  # the score of everything, where nothing could be learned
+    lowest: float = 0.0
 
-    A document of label 1 need not be toxic in all its windows: each epoch takes
-    the one with the largest logit (at first, the strongest evidence, which comes
-    first). All windows of documents of label 0 are examples of label 0.
+    def own(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self.vocabulary.get(x, 0) for x in words), dtype=np.int64, count=len(words))
+
+
+def train_part(state: State, vocabulary: dict[str, int], docs: list[tuple[list[str], int]], epoch: int) -> tuple[State, dict[str, np.ndarray]]:
+    """One epoch over a task's documents (words, label): the new state, and which rows of sparse weights it touched.
+
+    All windows of documents of label 0 are examples of label 0. A document of
+    label 1 need not be toxic in all its windows: in the first epochs all of them
+    are examples, then the one with the largest logit of all.
     """
-    words = sorted({w for doc in windows for win in doc for w in win})
-    number = {w: i for i, w in enumerate(words)}
-    own, units, seen = model.features(words)
-    owner = np.array([d for d, doc in enumerate(windows) for _ in doc])
-    ids = np.full((len(owner), STEPS), -1, dtype=np.int64)
-    for row, win in zip(ids, (win for doc in windows for win in doc), strict=True):
-        row[: len(win)] = [number[w] for w in win]
-    y_doc = np.array(labels)
-    first = np.searchsorted(owner, np.arange(len(windows)))
-    w, rng = start_weights(), np.random.default_rng(SEED)
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    v = {k: np.zeros_like(x) for k, x in w.items()}
-    step, chosen = 0, first[y_doc == 1]
-    rows0 = np.flatnonzero(y_doc[owner] == 0)
-    for epoch in range(epochs):
-        if epoch >= 2:
-            logits = np.concatenate([_logits_of(w, own, units, seen, ids[i : i + 2048]) for i in range(0, len(ids), 2048)])
-            order = np.lexsort((logits, owner))
-            best = order[np.searchsorted(owner[order], np.arange(len(windows)), side="right") - 1]
-            chosen = best[y_doc == 1]
-        rows = rng.permutation(np.concatenate([chosen, rows0]))
-        for i in range(0, len(rows), BATCH):
-            part = rows[i : i + BATCH]
-            used, local = np.unique(ids[part], return_inverse=True)
-            shift = int(used[0] < 0)
-            used = used[shift:]
-            if not len(used):
-                continue
-            _, g = gradients(w, own[used], [units[k] for k in used], seen[used], local.reshape(len(part), STEPS) - shift, y_doc[owner[part]].astype(np.float32))
-            step += 1
-            for k, grad in g.items():
-                grad = np.clip(grad, -1, 1).astype(np.float32)
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                v[k] = 0.99 * v[k] + 0.01 * grad * grad
-                w[k] -= RATE * (0.97**epoch) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    model.weights, model.constant = w, None
-
-
-def _logits_of(w, own, units, seen, ids: np.ndarray) -> np.ndarray:
+    state, model = state.copy(), Model(vocabulary)
+    words = sorted({w for doc, _ in docs for w in doc})
+    number, own = {w: i for i, w in enumerate(words)}, model.own(words)
+    seen = {"word": np.zeros(len(state.w["word"]), bool), "char": np.zeros(CHARS, bool)}
+    rows, owner = [], []
+    for d, (doc, _) in enumerate(docs):
+        place = np.array([number[w] for w in doc] + [-1] * STEPS, dtype=np.int32)
+        for s in windows_of(len(doc)):
+            row = place[s : s + STEPS].copy()
+            row[max(0, len(doc) - s) :] = -1
+            rows.append(row)
+            owner.append(d)
+    if not rows:
+        return state, seen
+    ids, owner, y = np.stack(rows), np.array(owner), np.array([label for _, label in docs])
+    positive = np.flatnonzero(y[owner] == 1)
+    if epoch >= ALL_WINDOWS and len(positive):
+        logits = np.concatenate([_local_logits(state.w, words, own, ids[positive[i : i + 512]]) for i in range(0, len(positive), 512)])
+        order = np.lexsort((logits, owner[positive]))
+        last = np.flatnonzero(np.diff(owner[positive][order], append=-1))
+        positive = positive[order[last]]
+    chosen = np.concatenate([positive, np.flatnonzero(y[owner] == 0)])
+    chosen = np.random.default_rng([SEED, epoch]).permutation(chosen)
+    size = min(BATCH, max(16, len(chosen) // 16))  # some updates even of a small part
+    for i in range(0, len(chosen), size):
+        part = chosen[i : i + size]
+        used, local = _used(ids[part])
+        names = [words[k] for k in used]
+        _, g = gradients(state.w, names, own[used], local, y[owner[part]].astype(np.float32))
+        touched = {"word": np.unique(own[used]), "char": np.unique(np.concatenate([c.ravel() for _, c, _ in _groups(names)]))}
+        for k, at in touched.items():
+            seen[k][at] = True
+        state.update(g, RATE * 0.8**epoch, touched)
+    return state, seen
+
+
+def _used(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words that windows use, windows as places among those)."""
     used, local = np.unique(ids, return_inverse=True)
     shift = int(used[0] < 0)
-    used, local = used[shift:], local.reshape(ids.shape) - shift
-    x, _, _ = _inputs(w, own[used], [units[k] for k in used], seen[used])
-    mask = (local >= 0).astype(np.float32)
-    states, _ = _directions(w, (x @ w["w"] + w["b"])[np.maximum(local, 0)], mask, False)
-    return _pooled(w, states, mask)[0]
+    return used[shift:], local.reshape(ids.shape) - shift
+
+
+def _local_logits(w: Weights, words: list[str], own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    used, local = _used(ids)
+    return _forward(w, [words[k] for k in used], own[used], local)[0]
+
+
+def mixed(states: list[tuple[State, dict[str, np.ndarray]]]) -> State:
+    """The average of states: of sparse weights, each row's over the parts that touched it."""
+    out = states[0][0].copy()
+    for name in ("w", "m", "v"):
+        for k in out.w:
+            every = np.stack([getattr(s, name)[k] for s, _ in states])
+            share = np.ones(len(states)) if k not in SPARSE else None
+            if share is None:
+                hit = np.stack([seen[k] for _, seen in states]).astype(np.float32)
+                hit[:, hit.sum(axis=0) == 0] = 1
+                getattr(out, name)[k] = ((every * hit[:, :, None]).sum(axis=0) / hit.sum(axis=0)[:, None]).astype(np.float32)
+            else:
+                getattr(out, name)[k] = every.mean(axis=0).astype(np.float32)
+    out.step = max(s.step for s, _ in states)
+    return out
 
 
 class Scorer:
@@ -272,7 +360,7 @@ class Scorer:
     def _add(self, words: list[str]) -> None:
         """Give words rows of the tables; callers make room first."""
         w, h, rows = self.model.weights, HIDDEN, CACHED_WORDS + 1
-        x, _, _ = _inputs(w, *self.model.features(words))
+        x = np.hstack([w["word"][self.model.own(words)], _spelt(w, words)[0]])
         made, begin = x @ w["w"] + w["b"], len(self.at)
         for d in range(2):
             for g, f in enumerate(self.factor):
@@ -365,57 +453,45 @@ class Scorer:
         return np.where(np.isinf(logits), m.lowest, _sigmoid(m.slope * np.where(np.isinf(logits), 0.0, logits) + m.offset))
 
 
-def _evidence(sample: DataFrame, n: dict[int, int]) -> dict[int, float]:
-    """Log odds of units by documents that have them, for the strongest UNITS ones."""
+def _vocabulary(sample: DataFrame) -> dict[str, int]:
+    """Words that enough sampled documents hold, the most frequent first, numbered from 1."""
 
     def task():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({u for w in set(words_of(text)) for u in units_of(w)})
-            units = list(seen[0] | seen[1])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(units, pa.int64()), pa.array([seen[0][u] for u in units], pa.int64()), pa.array([seen[1][u] for u in units], pa.int64())], names=["unit", "n0", "n1"]
-            )
+            seen = Counter(w for t in texts_of(batch) for w in set(words_of(t)))
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         return one
 
-    counts = map_arrow(sample.select("text", "y"), task, "unit long, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (n[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (n[0] + 1.0))
-    # Shrunk: what few documents show counts less.
-    odds = odds * (1 - F.exp(-(F.col("n0") + F.col("n1")) / 8.0))
-    strong = counts.where(F.col("n0") + F.col("n1") >= EVIDENCE_DOCS).select("unit", odds.alias("odds")).orderBy(F.desc(F.abs("odds")), "unit").limit(UNITS)
-    return {u: float(o) for u, o in strong.collect()}
+    counts = map_arrow(sample.select("text"), task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_DOCS)
+    return {r["word"]: i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").collect(), 1)}
 
 
-def _windows(sample: DataFrame, model: Model) -> list:
-    """At most four windows of each sampled document: the two of strongest evidence, then two by a hash."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def _epoch(dealt: DataFrame, state: State, vocabulary: dict[str, int], epoch: int) -> State:
+    """One epoch in tasks, each over its own documents, and the average of their weights."""
+    shared = dealt.sparkSession.sparkContext.broadcast((state, vocabulary))
 
-    def task():
-        m, known = shared.value, {}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        docs = []
+        for batch in batches:
+            docs += [(words_of(t), y) for t, y in zip(texts_of(batch), batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True)]
+        if docs:
+            made = train_part(*shared.value, docs, epoch)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["state"])
 
-        def weigh(w: str) -> float:
-            if w not in known:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                known[w] = max(m.evidence.get(u, 0.0) for u in units_of(w))
-            return known[w]
+    states = [pickle.loads(bytes(r["state"])) for r in dealt.select("text", "y").mapInArrow(run, "state binary").collect()]
+    shared.destroy()
+    return mixed(states)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text in texts_of(batch):
-                words = words_of(text)
-                starts = windows_of(len(words))
-                value = np.cumsum([0.0, *(max(0.0, weigh(w) - 1.0) for w in words)])
-                strong = sorted(starts, key=lambda s: value[s] - value[min(s + STEPS, len(words))])[:3]
-                other = sorted(starts, key=lambda s: zlib.crc32(f"{len(words)}:{s}".encode()))[:2]
-                out.append([words[s : s + STEPS] for s in list(dict.fromkeys(strong + other))[:4]])
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["y", "windows"])
 
-        return one
+def parts_of(n_docs: int) -> int:
+    """Tasks of an epoch: small samples are not torn up, or averages would blur what few documents show."""
+    return min(TRAIN_PARTS, max(1, n_docs // PART_DOCS))
 
-    return map_arrow(sample.select("text", "y", "doc_id"), task, "y int, windows array<array<string>>").collect()
+
+def goes_on(epoch: int, state: State) -> bool:
+    """Whether another epoch follows."""
+    return epoch < EPOCHS or (epoch < MOST_EPOCHS and state.step < LEAST_UPDATES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> Model:
@@ -424,21 +500,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> M
     n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
     if not n[0] or not n[1]:
         return Model(constant=float(bool(n[1])))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
-    share = F.when(F.col("y") == 1, min(1.0, sample_each / n[1])).otherwise(min(1.0, sample_each / n[0]))
-    taken = labels.where(part < share * 1_000_000)
+    part, share = F.xxhash64("doc_id", F.lit("toxicity")), {k: min(1.0, sample_each / c) for k, c in n.items()}
+    taken = labels.where(below_share(part, F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
     # What no label takes needn't be dealt out.
-    some = docs.where(part < max(min(1.0, sample_each / k) for k in n.values()) * 1_000_000)
+    some = docs.where(below_share(part, F.lit(max(share.values()))))
     sample = materialize(some.select("doc_id", "text").join(taken, "doc_id"))
     found = {0: 0, 1: 0} | {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not found[0] or not found[1]:
         return Model(constant=n[1] / (n[0] + n[1]))
-    model = Model(evidence=_evidence(sample, found))
-    rows = sorted((r for r in _windows(sample, model) if r["windows"]), key=lambda r: (r["y"], r["windows"]))
-    if not any(r["y"] for r in rows):
-        return Model(constant=n[1] / (n[0] + n[1]))
-    train(model, [r["windows"] for r in rows], [r["y"] for r in rows])
+    model = Model(_vocabulary(sample))
+    state = State.new(len(model.vocabulary))
+    dealt = sample.repartition(parts_of(found[0] + found[1]), "doc_id").sortWithinPartitions("doc_id", "y", "text")
+    epoch = 0
+    while goes_on(epoch, state):
+        state, epoch = _epoch(dealt, state, model.vocabulary, epoch), epoch + 1
+    model.weights, model.constant = state.w, None
     _calibrate(model, sample, n, found)
+    discard(sample)
     return model
 
 
@@ -456,6 +534,9 @@ def _calibrate(model: Model, sample: DataFrame, n: dict[int, int], found: dict[i
 
     rows = map_arrow(sample.select("text", "y"), task, "y int, logit double").collect()
     x = np.array([r["logit"] for r in rows if np.isfinite(r["logit"])])
+    if not len(x):  # no sampled document has a word
+        model.constant = n[1] / (n[0] + n[1])
+        return
     y = np.array([r["y"] for r in rows if np.isfinite(r["logit"])], dtype=float)
     weight = np.where(y == 1, n[1] / found[1], n[0] / found[0])
     weight /= weight.sum()
