@@ -7,8 +7,14 @@ if each pair of neighbours is; so the last token of a prefix is the one that
 fits the last token of the prefix before it.) A token is emitted as soon as
 `lookahead` symbols follow it: merges pass news leftwards only along chains of
 ever later rules that share a piece, so the longest such chain of the merge
-list bounds how far a later symbol can reach back. Memory is constant: a bounded
-cache of short pre-tokens, a bounded table of symbols, one input chunk.
+list bounds how far a later symbol can reach back. What the machine finds for the
+first symbols of a pre-token is kept in a bounded table, since words share their
+beginnings; what it says of a whole short part, in a bounded cache.
+
+Memory is constant: those tables, one input chunk, and the machine's buffer.
+Texts without white space are cut within a part, before a character that can't
+join the one before it, and pre-tokens that span chunks stream through the
+machine. Only a run of combining marks is held whole, as their order needs it.
 
 Decoding is a state machine over token ids: `pieces` gives the tokens'
 strings with a space between them, as the tokenizers library does for a
@@ -44,10 +50,9 @@ WORD_END = "</w>"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
-CACHED_CHARS = 48  # longer parts are not cached
-CACHED_PARTS = 500_000  # entries of a worker's caches, some 160 MB: parts between white space with their pre-tokens, and prefixes
+CACHED_CHARS = 48  # longer parts, and symbols beyond so many, are not cached
+CACHED_PARTS = 400_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
 CACHED_PREFIXES = 300_000
-SHORT_BYTES = 64
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -154,63 +159,39 @@ class MergeTable:
             )
         return known
 
-    def last(self, prefix: str, keep: bool = True) -> int | None:
-        """The last token of a string of symbols; None if it can't be cut into tokens.
-
-        Prefixes recur from word to word, so what was found for them is kept.
-        Tokens are numbers here, and so is the key of a pair of them.
-        """
+    def last(self, prefix: str) -> int | None:
+        """The last token of some symbols (CACHED_CHARS at most); None if they can't be cut into tokens."""
         n, ids, lasts, apart = len(prefix), self.ids.get, self.lasts, self.apart.get
-        found = None
-        for at in range(max(0, n - self.reach.get(prefix[-2:], 1)), n):  # a longer token is likelier
-            token = ids(prefix[at:])
-            if token is None:
-                continue
-            if at == 0:
-                if self.whole(prefix):
-                    found = token
-                    break
-                continue
-            head = prefix[:at]
-            neighbour = lasts.get(head)
-            if neighbour is None:
-                neighbour = lasts.old.get(head)
-                neighbour = self.last(head) if neighbour is None else lasts.keep(head, neighbour)
-            if neighbour is not None:
-                fits = apart(neighbour << 20 | token)
-                if self._fit(neighbour, token) if fits is None else fits:
-                    found = token
-                    break
-        return lasts.keep(prefix, found) if keep and found is not None else found
+        found = lasts.old.get(prefix)
+        if found is None:
+            for at in range(max(0, n - self.reach.get(prefix[-2:], 1)), n):  # a longer token is likelier
+                token = ids(prefix[at:])
+                if token is None:
+                    continue
+                if at == 0:
+                    if self.whole(prefix):
+                        found = token
+                        break
+                    continue
+                head = prefix[:at]
+                neighbour = lasts.get(head)
+                if neighbour is None:
+                    neighbour = self.last(head)
+                if neighbour is not None:
+                    fits = apart(neighbour << 20 | token)
+                    if self.fit(neighbour, token) if fits is None else fits:
+                        found = token
+                        break
+        return found if found is None else lasts.keep(prefix, found)
 
-    def _fit(self, a: int, b: int) -> bool:
+    def fit(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a: no rule joins their edges before each is finished."""
         known = self.whole(self.inner_of[b]) and self._stay_apart(self.inner_of[a], self.inner_of[b])
         if len(self.apart) > CACHED_PREFIXES:
             self.apart.clear()
         self.apart[a << 20 | b] = known
         return known
 
-    def fits(self, a: str | None, b: str) -> bool:
-        """Whether b is a token that may follow a: no rule joins their edges before each is finished."""
-        if a is None:
-            return self.whole(b)
-        x, y = self.ids[a], self.ids[b]
-        known = self.apart.get(x << 20 | y)
-        return self._fit(x, y) if known is None else known
-
-    def tokens(self, symbols: str) -> list[int]:
-        """The tokens of a short string of symbols, back from its last one."""
-        out, rest, lasts = [], symbols, self.lasts
-        while rest:
-            token = lasts.get(rest)
-            if token is None:
-                token = self.last(rest, rest is not symbols)
-                if token is None:
-                    raise ValueError("symbols that the vocabulary lacks")
-            out.append(token)
-            rest = rest[: -self.size_of[token]]
-        return out[::-1]
-
     def _stay_apart(self, a: str, b: str, until: float = float("inf")) -> bool:
         """Whether no rule before rank `until` joins the edges of a and b."""
         left, right = self._spine(a, True), self._spine(b, False)
@@ -229,16 +210,28 @@ class MergeTable:
 
 
 class PreTokenTransducer:
-    """Symbols of one pre-token in, stable tokens out."""
+    """Symbols of one pre-token in, stable tokens (as numbers) out.
+
+    Its state after some symbols is their last token. States after the first
+    CACHED_CHARS symbols of a pre-token are those of all texts: they are found when
+    asked for, and kept in the table.
+    """
+
+    __slots__ = ("before", "held", "last", "table")
 
     def __init__(self, table: MergeTable):
         self.table = table
         self.held = ""  # symbols that are not emitted yet
-        self.last: list[str | None] = [None]  # last[n]: the last token of the first n symbols held
-        self.before: str | None = None  # the token before the symbols held
+        self.last: list[int | None] = [None]  # last[n]: the last token of the first n symbols held
+        self.before: int | None = None  # the token before the symbols held
 
-    def feed(self, symbols: str) -> list[str]:
-        out: list[str] = []
+    def feed(self, symbols: str) -> list[int]:
+        out: list[int] = []
+        if self.before is None and len(self.last) == 1:
+            if len(self.held) + len(symbols) <= CACHED_CHARS:
+                self.held += symbols  # no token is stable yet, and no state needed
+                return out
+            symbols, self.held = self.held + symbols, ""
         room = 2 * self.table.lookahead + self.table.longest
         for at in range(0, len(symbols), room):
             self._extend(symbols[at : at + room])
@@ -246,80 +239,187 @@ class PreTokenTransducer:
                 out += self._release(self.table.lookahead)
         return out
 
-    def finish(self) -> list[str]:
-        return self._release(0)
+    def finish(self) -> list[int]:
+        return self._back(self.held) if len(self.last) == 1 else self._release(0)
+
+    def _back(self, symbols: str) -> list[int]:
+        """The tokens of a beginning, from its last one back."""
+        out, lasts, size_of = [], self.table.lasts, self.table.size_of
+        while symbols:
+            token = lasts.get(symbols)
+            if token is None:
+                token = self.table.last(symbols)
+                if token is None:
+                    raise ValueError("symbols that the vocabulary lacks")
+            out.append(token)
+            symbols = symbols[: -size_of[token]]
+        return out[::-1]
 
     def _extend(self, symbols: str) -> None:
         """Find the last token of each longer prefix: the one that ends there and fits the last token before it."""
         last, before, table = self.last, self.before, self.table
-        ids, reach, fits = table.ids, table.reach, table.fits
+        ids, reach, apart = table.ids.get, table.reach.get, table.apart.get
         begin, held = len(self.held), self.held + symbols
         self.held = held
         for n in range(begin + 1, len(held) + 1):
             found = None
-            for at in range(n - 1, max(-1, n - 1 - reach.get(held[n - 2 : n] if n > 1 else "", 1)), -1):
-                token = held[at:n]
-                if token in ids:
-                    neighbour = last[at] if at else before
-                    if neighbour is None:
-                        if at == 0 and fits(None, token):
-                            found = token
-                            break
-                    elif fits(neighbour, token):
+            for at in range(max(0, n - reach(held[n - 2 : n], 1) if n > 1 else 0), n):  # a longer token is likelier
+                token = ids(held[at:n])
+                if token is None:
+                    continue
+                neighbour = last[at] if at else before
+                if neighbour is None:
+                    if at == 0 and table.whole(held[:n]):
                         found = token
                         break
+                    continue
+                fits = apart(neighbour << 20 | token)
+                if table.fit(neighbour, token) if fits is None else fits:
+                    found = token
+                    break
             last.append(found)
 
-    def _release(self, keep: int) -> list[str]:
+    def _release(self, keep: int) -> list[int]:
         """Emit the tokens that end at least `keep` symbols before the end."""
+        last, size_of = self.last, self.table.size_of
         at, path = len(self.held), []
         while at > 0:
-            token = self.last[at]
+            token = last[at]
             if token is None:
                 raise ValueError("symbols that the vocabulary lacks")
             path.append((at, token))
-            at -= len(token)
+            at -= size_of[token]
         path.reverse()
         stable = [(end, token) for end, token in path if end <= len(self.held) - keep]
         if stable:
             cut, self.before = stable[-1]
             self.held = self.held[cut:]
-            del self.last[1 : cut + 1]
+            del last[1 : cut + 1]
         return [token for _, token in stable]
 
 
+@functools.cache
+def joins_before(char: str) -> bool:
+    """Whether a character may change what stands before it when both are composed: it mustn't begin a chunk."""
+    first = unicodedata.normalize("NFD", char)[0]
+    return unicodedata.combining(first) != 0 or 0x1161 <= ord(first) <= 0x11FF or first in _seconds()
+
+
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that are the second of a canonical pair."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x80, 0x110000))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<"))
+
+
+class LongPart:
+    """A part without white space that spans chunks: normalised pieces in, (tokens, whether they go on a pre-token) out."""
+
+    def __init__(self, encoder: StreamingEncoder):
+        self.encoder = encoder
+        self.rest = ""  # what may still belong to an unfinished pre-token
+        self.machine: PreTokenTransducer | None = None  # inside a pre-token longer than a chunk
+        self.goes_on: regex.Pattern | None = None  # what such a one consists of
+        self.tail = b""  # its last byte: whether the word ends with it isn't known yet
+        self.said = False
+
+    def feed(self, piece: str) -> Iterator[tuple[list[int], bool]]:
+        if self.machine is not None:
+            end = self.goes_on.match(piece).end()
+            yield from self._stream(piece[:end])
+            if end == len(piece):
+                return
+            yield from self._end_of_word()
+            piece = piece[end:]
+        text, self.rest = self.rest + piece, ""
+        for m in self.encoder.pattern.finditer(text):
+            if m.end() > len(text) - 3:  # contractions look two characters ahead
+                self.rest = text[m.start() :]
+                break
+            yield self.encoder.encode_word(m[0]), False
+        if len(self.rest) > CHUNK_CHARS:
+            self.machine, self.said = PreTokenTransducer(self.encoder.table), False
+            self.goes_on = self.encoder.letters if self.encoder.letters.match(self.rest).end() else self.encoder.marks
+            text, self.rest = self.rest, ""
+            end = self.goes_on.match(text).end()
+            yield from self._stream(text[:end])
+            if end < len(text):
+                yield from self._end_of_word()
+                self.rest = text[end:]
+
+    def finish(self) -> Iterator[tuple[list[int], bool]]:
+        if self.machine is not None:
+            yield from self._end_of_word()
+        for w in self.encoder.pattern.findall(self.rest):
+            yield self.encoder.encode_word(w), False
+        self.rest = ""
+
+    def _stream(self, piece: str) -> Iterator[tuple[list[int], bool]]:
+        raw = self.tail + piece.encode("utf-8")
+        self.tail = raw[-1:]
+        yield from self._emitted(self.machine.feed(raw[:-1].decode("latin-1")))
+
+    def _end_of_word(self) -> Iterator[tuple[list[int], bool]]:
+        ids = self.machine.feed(chr(256 + self.tail[0])) + self.machine.finish()
+        yield from self._emitted(ids)
+        self.machine, self.tail = None, b""
+
+    def _emitted(self, ids: list[int]) -> Iterator[tuple[list[int], bool]]:
+        if ids:
+            yield ids, self.said
+            self.said = True
+
+
 class StreamingEncoder:
     """Text in, chunk by chunk; pre-tokens and their tokens out."""
 
     def __init__(self, table: MergeTable):
         self.table = table
         self.pattern = regex.compile(PRE_TOKEN)
+        self.letters, self.marks = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
         self.stop = regex.compile(f"[{SPACES}]")
         self.specials = regex.compile("|".join(map(regex.escape, table.special))) if table.special else None
+        self.special_chars = max(map(len, table.special), default=0)
 
-    def parts(self, text: str) -> Iterator[tuple[list[str], bool]]:
-        """(normalised parts without white space, whether they are special tokens) of a text, chunk by chunk.
+    def parts(self, text: str) -> Iterator[tuple[list[str], bool, bool]]:
+        """(normalised parts without white space, whether they are special tokens, whether the last one goes on in the next chunk).
 
         Pre-tokens never hold white space, so each part has its own. Chunks end
-        before white space.
+        before white space, if there is some within another chunk's length.
         """
-        at = 0
-        while at < len(text):
-            end = min(len(text), at + CHUNK_CHARS)
-            if end < len(text):
-                cut = self.stop.search(text, end)
-                end = cut.start() if cut else len(text)
-            chunk = text[at:end] if at or end < len(text) else text
+        at, size = 0, len(text)
+        while at < size:
+            end, goes_on = min(size, at + CHUNK_CHARS), False
+            if end < size:
+                cut = self.stop.search(text, end, min(size, end + CHUNK_CHARS))
+                if cut:
+                    end = cut.start()
+                elif end + CHUNK_CHARS >= size:
+                    end = size
+                else:
+                    end = self._cut(text, end)
+                    goes_on = end < size
+            chunk = text[at:end] if at or end < size else text
             if self.specials and any(s in chunk for s in self.table.special):
                 begin = 0
                 for m in self.specials.finditer(chunk):
-                    yield self._split(chunk[begin : m.start()]), False
-                    yield [m[0]], True
+                    yield self._split(chunk[begin : m.start()]), False, False
+                    yield [m[0]], True, False
                     begin = m.end()
                 chunk = chunk[begin:]
-            yield self._split(chunk), False
+            goes_on = goes_on and bool(chunk) and not self.stop.match(chunk[-1])
+            yield self._split(chunk), False, goes_on
             at = end
 
+    def _cut(self, text: str, end: int) -> int:
+        """A place near `end` where a text may be cut: outside special tokens, before a character that joins none before it."""
+        for m in self.specials.finditer(text, max(0, end - self.special_chars), end + self.special_chars) if self.specials else ():
+            if m.start() < end < m.end():
+                end = m.end()
+        while end < len(text) and joins_before(text[end]):
+            end += 1
+        return end
+
     def _split(self, text: str) -> list[str]:
         """Parts of a text in NFC, each character in lower case on its own (no final sigma)."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -328,26 +428,39 @@ class StreamingEncoder:
         return text.split()
 
     def encode_word(self, word: str) -> list[int]:
-        """The tokens of one pre-token, of any length.
-
-        One shorter than the lookahead is decided at its end and needs no buffer:
-        it reads the table of prefixes that words share. A longer one streams.
-        """
-        raw = word.encode("utf-8")
-        if len(raw) <= SHORT_BYTES:
-            return self.table.tokens(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
-        machine = PreTokenTransducer(self.table)
-        out: list[str] = []
-        for at in range(0, len(raw) - 1, CHUNK_CHARS):
-            out += machine.feed(raw[at : min(at + CHUNK_CHARS, len(raw) - 1)].decode("latin-1"))
-        out += machine.feed(chr(256 + raw[-1]))
-        return [self.table.ids[t] for t in out + machine.finish()]
+        """The tokens of one pre-token."""
+        raw, machine = word.encode("utf-8"), PreTokenTransducer(self.table)
+        return machine.feed(raw[:-1].decode("latin-1") + chr(256 + raw[-1])) + machine.finish()
+
+    def stream(self, text: str) -> Iterator[tuple[list[str], bool] | tuple[None, tuple[list[int], bool]]]:
+        """(parts, whether special) of a text; for parts that span chunks, (None, (tokens, whether they go on a pre-token))."""
+        long: LongPart | None = None
+        for parts, special, goes_on in self.parts(text):
+            if long is not None:
+                if parts:
+                    yield from ((None, got) for got in long.feed(parts[0]))
+                if len(parts) != 1 or special or not goes_on:
+                    yield from ((None, got) for got in long.finish())
+                    long = None
+                parts = parts[1:]
+            if goes_on and long is None and parts:
+                if parts[:-1]:
+                    yield parts[:-1], special
+                long = LongPart(self)
+                yield from ((None, got) for got in long.feed(parts[-1]))
+            elif parts:
+                yield parts, special
+        if long is not None:
+            yield from ((None, got) for got in long.finish())
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for parts, special in self.parts(text):
-            for p in parts:
-                out += [self.table.special[p]] if special else [i for w in self.pattern.findall(p) for i in self.encode_word(w)]
+        for parts, special in self.stream(text):
+            if parts is None:
+                out += special[0]
+            else:
+                for p in parts:
+                    out += [self.table.special[p]] if special else [i for w in self.pattern.findall(p) for i in self.encode_word(w)]
         return out
 
 
@@ -427,12 +540,18 @@ class PartCache:
             got = (sum(n), *map(" ".join, columns))
         return self.known.keep(part, got) if len(part) <= CACHED_CHARS else got
 
-    def entries(self, text: str) -> Iterator[list[Entry]]:
-        """Entries of the parts of a text, a chunk at a time."""
-        of, known = self.of, self.known
-        for parts, special in self.encoder.parts(text):
-            if parts:
-                yield [self.special[p] for p in parts] if special else [known.get(p) or of(p) for p in parts]
+    def entries(self, text: str) -> Iterator[tuple[list[Entry], bool]]:
+        """Entries of the parts of a text, a chunk at a time, and whether their text goes on the one before."""
+        of, known, decoder = self.of, self.known, StreamingDecoder(self.table)
+        for parts, said in self.encoder.stream(text):
+            if parts is None:
+                ids, goes_on = said
+                if not goes_on:
+                    decoder.reset()
+                decoder.started = False
+                yield [(len(ids), " ".join(map(str, ids)), decoder.pieces(ids), decoder.text(ids))], goes_on
+            else:
+                yield [self.special[p] for p in parts] if said else [known.get(p) or of(p) for p in parts], False
 
 
 @functools.cache
@@ -447,10 +566,10 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, tex
 def digest(cache: PartCache, text: str) -> tuple[int, str, str, str]:
     """Token count and SHA-256 of ids, decoded pieces and decoded text, updated as tokens become stable."""
     n, hashes, gap = 0, [hashlib.sha256() for _ in range(3)], ""
-    for held in cache.entries(text):
+    for held, goes_on in cache.entries(text):
         n += sum([e[0] for e in held])
         for k, h in enumerate(hashes, 1):
-            h.update((gap + " ".join([e[k] for e in held])).encode("utf-8"))
+            h.update((("" if goes_on and k == 3 else gap) + " ".join([e[k] for e in held])).encode("utf-8"))
         gap = " "
     return n, *(h.hexdigest() for h in hashes)
 
@@ -481,7 +600,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [
-                [int(i) for held in cache.entries(t) for e in held for i in e[1].split(" ")]
+                [int(i) for held, _ in cache.entries(t) for e in held for i in e[1].split(" ")]
                 for t in texts_of(batch)
             ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["a", "b"])

@@ -45,10 +45,43 @@ def test_long_words_stream_with_bounded_memory(library):
             out += machine.feed(c)
             most = max(most, len(machine.held))
         out += machine.feed(chr(256 + ord(word[-1]))) + machine.finish()
-        assert [table.ids[t] for t in out] == library.encode(word, add_special_tokens=False).ids
+        assert out == library.encode(word, add_special_tokens=False).ids
         assert most <= 2 * table.lookahead + table.longest + 1 < len(word)
 
 
+UNSPACED = {
+    "letters": "abcdéß中", "marks": "!?-'\"…", "mixed": "a'sb1!中é'r", "composed": "e\u0301a\u0300\u0316x", "hangul": "\u1100\u1161\u11a8가",
+    "special": ["<|endoftext|>", "ab", "!", "1"], "spaced": "abc def'll ", "long words": ["word" * 40, "x" * 90, " "],
+}
+
+
+@pytest.mark.parametrize("kind", UNSPACED)
+def test_chunks_do_not_show(library, monkeypatch, kind):
+    cache = bpe.cache_of(bpe.default_vocabulary())
+    rng = random.Random(kind)
+    texts = ["".join(rng.choice(UNSPACED[kind]) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    whole = [bpe.digest(cache, t) for t in texts]
+    for size in (7, 20, 64):
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", size)
+        for t, before in zip(texts, whole, strict=True):
+            assert (got := bpe.digest(cache, t)) == before and got[:3] == expected(library, t)
+            assert cache.encoder.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_unspaced_text_needs_no_more_memory_than_a_chunk(library, monkeypatch):
+    import tracemalloc
+
+    cache, rng = bpe.cache_of(bpe.default_vocabulary()), random.Random(1)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 4096)
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))  # one pre-token
+    bpe.digest(cache, text[:20_000])
+    tracemalloc.start()
+    got = bpe.digest(cache, text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:3] == expected(library, text) and most < 3e6, most
+
+
 def test_decoder_waits_for_whole_characters():
     cache = bpe.cache_of(bpe.default_vocabulary())
     ids = cache.encoder.encode("naïve 中🙂")
