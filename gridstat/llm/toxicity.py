@@ -29,12 +29,11 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstat.llm.common import below_share, crc_mod, discard, map_arrow, materialize, read_table, texts_of
@@ -468,18 +467,15 @@ def _vocabulary(sample: DataFrame) -> dict[str, int]:
 
 
 def _epoch(dealt: DataFrame, state: State, vocabulary: dict[str, int], epoch: int) -> State:
-    """One epoch in tasks, each over its own documents, and the average of their weights."""
+    """One epoch over the parts, each a group of bounded size in a task of its own, and the average of their weights."""
     shared = dealt.sparkSession.sparkContext.broadcast((state, vocabulary))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        docs = []
-        for batch in batches:
-            docs += [(words_of(t), y) for t, y in zip(texts_of(batch), batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True)]
-        if docs:
-            made = train_part(*shared.value, docs, epoch)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["state"])
+    def run(group: pa.Table) -> pa.Table:
+        rows = zip(*(group.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True)
+        docs = [(words_of(t or ""), y) for _, y, t in sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))]
+        return pa.table({"state": pa.array([pickle.dumps(train_part(*shared.value, docs, epoch))], pa.binary())})
 
-    states = [pickle.loads(bytes(r["state"])) for r in dealt.select("text", "y").mapInArrow(run, "state binary").collect()]
+    states = [pickle.loads(bytes(r["state"])) for r in dealt.groupBy("part").applyInArrow(run, "state binary").collect()]
     shared.destroy()
     return mixed(states)
 
@@ -489,6 +485,10 @@ def parts_of(n_docs: int) -> int:
     return min(TRAIN_PARTS, max(1, n_docs // PART_DOCS))
 
 
+def part_of(doc_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(parts))
+
+
 def goes_on(epoch: int, state: State) -> bool:
     """Whether another epoch follows."""
     return epoch < EPOCHS or (epoch < MOST_EPOCHS and state.step < LEAST_UPDATES)
@@ -510,7 +510,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> M
         return Model(constant=n[1] / (n[0] + n[1]))
     model = Model(_vocabulary(sample))
     state = State.new(len(model.vocabulary))
-    dealt = sample.repartition(parts_of(found[0] + found[1]), "doc_id").sortWithinPartitions("doc_id", "y", "text")
+    dealt = sample.withColumn("part", part_of(F.col("doc_id"), parts_of(found[0] + found[1])))
     epoch = 0
     while goes_on(epoch, state):
         state, epoch = _epoch(dealt, state, model.vocabulary, epoch), epoch + 1

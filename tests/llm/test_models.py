@@ -209,7 +209,7 @@ def test_toxicity_query_agrees_with_a_plain_version(spark, data, documents, text
     """Learning task by task without Spark, and scoring word by word, against the query."""
     rows = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").where(crc_mod("doc_id", 5) != 0).collect()}
     learn = documents.where(crc_mod("doc_id", 5) != 0).join(spark.createDataFrame(list(rows.items()), "doc_id long, y int"), "doc_id")
-    dealt = learn.select("doc_id", "text", "y").repartition(toxicity.parts_of(learn.count()), "doc_id").withColumn("part", F.spark_partition_id())
+    dealt = learn.select("doc_id", "text", "y", toxicity.part_of(F.col("doc_id"), toxicity.parts_of(learn.count())).alias("part"))
     parts = {}
     for r in sorted(dealt.collect(), key=lambda r: r["doc_id"]):  # no more than the sample's bound: all of them are learned from
         parts.setdefault(r["part"], []).append((toxicity.words_of(r["text"] or ""), r["y"]))
