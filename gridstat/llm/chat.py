@@ -1,12 +1,16 @@
 """Operator 8: chat formatting by a compiled template.
 
 A template (text, `{{ expression | filter }}`, `{% for %}`, `{% if %}`,
-`{% set %}`, `{% generation %}`) is parsed into a syntax tree, its constant
-parts are folded, and the tree becomes nested Python closures that yield
-(text, generated) pieces: the pieces inside `generation` form the loss mask.
-The language is a sandbox: names, string and integer literals, fields of
-messages, comparisons, `and`/`or`/`not`, `+`, and the filters listed here; no
-calls, no attributes of objects, no names that begin with an underscore.
+`{% set %}`, `{% generation %}`, `{# comment #}`, with `-` at either side to trim
+white space) is parsed into a syntax tree, its constant parts are folded, and the
+tree becomes nested Python closures that yield (text, generated) pieces: the
+pieces inside `generation` form the loss mask. The language is a sandbox: names
+(messages, and those that the caller gives, such as bos_token), string and
+integer literals, fields and places, `messages[1:]`, comparisons, `is defined`,
+`and`/`or`/`not`, `a if b else c`, `+`, `-`, `%`, `~`, `raise_exception` and the
+filters listed here (also as `.strip()`, `.upper()`, `.lower()`); no other calls,
+no attributes of objects, no names that begin with an underscore. Messages stream:
+the first PEEK of them can be looked at ahead, and they are looped over once.
 
 Texts can't forge the template's marks: `escape` puts a backslash into every
 control string and doubles backslashes, and `unescape` undoes exactly that.
@@ -17,7 +21,8 @@ its longest message.
 
 Defined results: null roles and texts count as empty; a null turn comes first;
 rows that repeat a turn follow each other by role and text; rows without a
-conv_id form one conversation; extra columns are ignored.
+conv_id form one conversation; rows that have op8's added conv_id -1 already join
+that conversation; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,6 +73,12 @@ FILTERS: dict[str, Callable] = {
 }
 
 
+#: Calls that a template may make of a text, and the filters that they stand for.
+METHODS = {"strip": "trim", "upper": "upper", "lower": "lower"}
+#: Messages that can be looked at before they are looped over.
+PEEK = 16
+
+
 class TemplateError(ValueError):
     """A template that is malformed or asks for what the sandbox lacks."""
 
@@ -131,8 +142,8 @@ class Generation:
     body: list
 
 
-_PARTS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
-_TOKENS = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|(==|!=|<=|>=|[<>|.()\[\]+~])|([A-Za-z_]\w*))", re.S)
+_PARTS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+_TOKENS = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|(==|!=|<=|>=|[<>|.()\[\]:+~%-])|([A-Za-z_]\w*))", re.S)
 _LITERAL_ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 
 
@@ -161,11 +172,22 @@ class _Expression:
         return token
 
     def whole(self) -> object:
-        tree = self.either()
+        tree = self.chosen()
         if self.peek()[0] != "end":
             raise TemplateError(f"unexpected {self.peek()[1]!r}")
         return tree
 
+    def chosen(self) -> object:
+        tree = self.either()
+        if self.peek() == ("name", "if"):
+            self.take()
+            test, other = self.either(), Const("")
+            if self.peek() == ("name", "else"):
+                self.take()
+                other = self.chosen()
+            tree = Op("if", (test, tree, other))
+        return tree
+
     def either(self) -> object:
         tree = self.both()
         while self.peek() == ("name", "or"):
@@ -190,12 +212,33 @@ class _Expression:
         if self.peek() == ("name", "in"):
             self.take()
             return Op("in", (tree, self.joined()))
+        if self.peek() == ("name", "not"):
+            self.take()
+            self.take("in")
+            return Op("not", (Op("in", (tree, self.joined())),))
+        if self.peek() == ("name", "is"):
+            self.take()
+            negated = self.peek() == ("name", "not")
+            if negated:
+                self.take()
+            kind, test = self.take()
+            if kind != "name" or test not in ("defined", "none", "string"):
+                raise TemplateError(f"no test {test!r}")
+            tree = Op(f"is {test}", (tree,))
+            return Op("not", (tree,)) if negated else tree
         return tree
 
     def joined(self) -> object:
+        tree = self.divided()
+        while self.peek() in (("mark", "+"), ("mark", "-"), ("mark", "~")):
+            tree = Op(self.take()[1], (tree, self.divided()))
+        return tree
+
+    def divided(self) -> object:
         tree = self.piped()
-        while self.peek() in (("mark", "+"), ("mark", "~")):
-            tree = Op(self.take()[1], (tree, self.piped()))
+        while self.peek() == ("mark", "%"):
+            self.take()
+            tree = Op("%", (tree, self.piped()))
         return tree
 
     def piped(self) -> object:
@@ -216,9 +259,14 @@ class _Expression:
             tree = Const(int(value))
         elif kind == "name":
             known = {"true": True, "false": False, "none": None}
-            tree = Const(known[value]) if value in known else Name(_allowed(value))
+            if value == "raise_exception":
+                self.take("(")
+                tree = Op("raise", (self.chosen(),))
+                self.take(")")
+            else:
+                tree = Const(known[value.lower()]) if value.lower() in known else Name(_allowed(value))
         elif value == "(":
-            tree = self.either()
+            tree = self.chosen()
             self.take(")")
         else:
             raise TemplateError(f"unexpected {value!r}")
@@ -227,12 +275,22 @@ class _Expression:
                 kind, name = self.take()
                 if kind != "name":
                     raise TemplateError("a field's name expected")
-                tree = Field(tree, _allowed(name))
+                if name in METHODS and self.peek() == ("mark", "("):
+                    self.take()
+                    self.take(")")
+                    tree = Filter(METHODS[name], tree)
+                else:
+                    tree = Field(tree, _allowed(name))
             else:
                 kind, name = self.take()
-                if kind != "string":
-                    raise TemplateError("a field's name in quotes expected")
-                tree = Field(tree, _allowed(name[1:-1]))
+                if kind == "string":
+                    tree = Field(tree, _allowed(name[1:-1]))
+                elif kind == "int":
+                    tree = Op("from" if self.peek() == ("mark", ":") else "at", (tree, Const(int(name))))
+                    if tree.op == "from":
+                        self.take(":")
+                else:
+                    raise TemplateError("a field's name in quotes or a place expected")
                 self.take("]")
         return tree
 
@@ -245,13 +303,26 @@ def _allowed(name: str) -> str:
 
 def parse(template: str) -> list:
     """The syntax tree of a template."""
-    parts = [p for p in _PARTS.split(template) if p]
+    parts = [p for p in _trimmed(_PARTS.split(template)) if p]
     body, at = _block(parts, 0, ())
     if at != len(parts):
         raise TemplateError(f"unexpected {parts[at]!r}")
     return body
 
 
+def _trimmed(parts: list[str]) -> list[str]:
+    """Parts (texts and tags in turn) without comments, and without the white space and signs of tags that trim."""
+    out = list(parts)
+    for i in range(1, len(parts), 2):
+        tag = parts[i]
+        if tag[2] == "-":
+            out[i - 1], tag = out[i - 1].rstrip(), tag[:2] + tag[3:]
+        if tag[-3] == "-" and len(tag) > 4:
+            out[i + 1], tag = out[i + 1].lstrip(), tag[:-3] + tag[-2:]
+        out[i] = "" if tag.startswith("{#") else tag
+    return out
+
+
 def _block(parts: list[str], at: int, ends: tuple[str, ...]) -> tuple[list, int]:
     out: list = []
     while at < len(parts):
@@ -299,11 +370,47 @@ def _block(parts: list[str], at: int, ends: tuple[str, ...]) -> tuple[list, int]
     return out, at
 
 
+def _whole(x: object) -> int:
+    if not isinstance(x, int):  # a text's % would format it
+        raise TemplateError("% is of whole numbers")
+    return x
+
+
+class Messages:
+    """Messages of a conversation as they come: the first can be looked at ahead, and all are looped over once."""
+
+    def __init__(self, items: Iterable[dict]):
+        self.items, self.seen, self.looped = iter(items), [], False
+
+    def at(self, place: int) -> dict | None:
+        if place >= PEEK:
+            raise TemplateError(f"only the first {PEEK} messages have a place")
+        while len(self.seen) <= place:
+            following = next(self.items, None)
+            if following is None:
+                return None
+            self.seen.append(following)
+        return self.seen[place]
+
+    def after(self, place: int) -> Iterator[dict]:
+        if self.looped:
+            raise TemplateError("messages are looped over once")
+        if place:
+            self.at(place - 1)
+        self.looped = True
+        yield from self.seen[place:]
+        yield from self.items
+
+    def __iter__(self) -> Iterator[dict]:
+        return self.after(0)
+
+
 # --- constant folding
 
 _OPS: dict[str, Callable] = {
     "+": lambda a, b: a + b, "~": lambda a, b: f"{a}{b}", "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
     ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "not": lambda a: not a,
+    "-": lambda a, b: a - b, "%": lambda a, b: _whole(a) % _whole(b), "is none": lambda a: a is None, "is string": lambda a: isinstance(a, str),
 }
 
 
@@ -320,7 +427,9 @@ def fold_expression(tree: object) -> object:
             if isinstance(args[0], Const):
                 return args[1] if bool(args[0].value) == (tree.op == "and") else args[0]
             return Op(tree.op, args)
-        if all(isinstance(a, Const) for a in args):
+        if tree.op == "if" and isinstance(args[0], Const):
+            return args[1] if args[0].value else args[2]
+        if tree.op in _OPS and all(isinstance(a, Const) for a in args):
             return Const(_OPS[tree.op](*(a.value for a in args)))
         # A constant at the end of a chain joins a constant after it.
         if tree.op == "+" and isinstance(args[1], Const) and isinstance(args[0], Op) and args[0].op == "+" and isinstance(args[0].args[1], Const):
@@ -395,6 +504,19 @@ def _value_of(tree: object) -> Callable[[dict], object]:
         return lambda scope: args[0](scope) and args[1](scope)
     if tree.op == "or":
         return lambda scope: args[0](scope) or args[1](scope)
+    if tree.op == "if":
+        return lambda scope: args[1](scope) if args[0](scope) else args[2](scope)
+    if tree.op == "is defined":
+        of = tree.args[0]
+        return (lambda scope: of.name in scope) if isinstance(of, Name) else (lambda scope: args[0](scope) is not None)
+    if tree.op == "raise":
+
+        def fail(scope: dict) -> object:
+            raise TemplateError(str(args[0](scope)))
+
+        return fail
+    if tree.op in ("at", "from"):
+        return _place_of(args[0], tree.args[1].value, tree.op == "from")
     f = _OPS[tree.op]
     if len(args) == 1:
         return lambda scope: f(args[0](scope))
@@ -402,6 +524,18 @@ def _value_of(tree: object) -> Callable[[dict], object]:
     return lambda scope: f(a(scope), b(scope))
 
 
+def _place_of(of: Callable[[dict], object], place: int, onwards: bool) -> Callable[[dict], object]:
+    def reach(scope: dict) -> object:
+        items = of(scope)
+        if isinstance(items, Messages):
+            return items.after(place) if onwards else items.at(place)
+        if isinstance(items, str):
+            return items[place:] if onwards else items[place : place + 1]
+        raise TemplateError("a place of something without any")
+
+    return reach
+
+
 Piece = tuple[str, bool]
 Renderer = Callable[[dict, bool], Iterator[Piece]]
 
@@ -461,10 +595,10 @@ def _sequence(body: list) -> Renderer:
     return run
 
 
-def compile_template(template: str) -> Callable[[Iterable[dict]], Iterator[Piece]]:
-    """A renderer of conversations: messages in, (text, generated) pieces out."""
-    run = _sequence(fold(parse(template)))
-    return lambda messages: run({"messages": messages}, False)
+def compile_template(template: str, names: dict[str, object] | None = None) -> Callable[[Iterable[dict]], Iterator[Piece]]:
+    """A renderer of conversations: messages in, (text, generated) pieces out. `names` are what a template may use besides."""
+    run, given = _sequence(fold(parse(template))), {_allowed(k): v for k, v in (names or {}).items()}
+    return lambda messages: run({**given, "messages": Messages(messages)}, False)
 
 
 # --- reading back and the query
@@ -516,7 +650,7 @@ def _messages(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         names = batch.schema.names
         for conv_id, role, text in zip(*(batch.column(names.index(c)).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            yield {"conv_id": conv_id, "role": role, "text": text}
+            yield {"conv_id": conv_id, "role": role, "text": text, "content": text}
 
 
 def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -544,22 +678,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+def formatted(conversations: DataFrame, template: str = TEMPLATE, names: dict[str, object] | None = None) -> DataFrame:
     """(conv_id, part, text, generated): each message's formatted pieces, for a training job; nothing is joined into one value."""
-    compile_template(template)
+    compile_template(template, names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        names, kinds = ["conv_id", "part", "text", "generated"], [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        render = compile_template(template, names)
+        columns, kinds = ["conv_id", "part", "text", "generated"], [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         out: list[tuple] = []
         for conv_id, messages in groupby(_messages(batches), key=lambda m: m["conv_id"]):
             for part, (text, generated) in enumerate(render(messages)):
                 out.append((conv_id, part, text, generated))
                 if len(out) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
                     out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
 
     return _dealt(conversations).mapInArrow(run, "conv_id long, part long, text string, generated boolean")
 

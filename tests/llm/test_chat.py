@@ -32,6 +32,51 @@ def test_language():
     assert [t for t, g in pieces if g] == [" Hi ", "yo"]
 
 
+#: Public templates' idioms: marks around turns, a system message first, a prompt for generation.
+MARKED = (
+    "{# turns in marks #}{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% endfor %}"
+    "{% if add_generation_prompt is defined and add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+)
+BRACKETED = """
+{%- if messages[0]['role'] == 'system' -%}
+  {%- set system = messages[0]['content'] -%}
+  {%- set rest = messages[1:] -%}
+{%- else -%}
+  {%- set rest = messages -%}
+{%- endif -%}
+{%- for message in rest -%}
+  {%- if (message['role'] == 'user') != (loop.index0 % 2 == 0) -%}
+    {{- raise_exception('roles must alternate') -}}
+  {%- endif -%}
+  {%- if message['role'] == 'user' -%}
+    {{- bos_token + '[INST] ' + ('<<SYS>>' + system + '<</SYS>>' if loop.first and system is defined else '') + message['content'].strip() + ' [/INST]' -}}
+  {%- elif message['role'] not in 'user system' -%}
+    {%- generation -%}{{ ' ' + message.content | trim + ' ' + eos_token }}{%- endgeneration -%}
+  {%- endif -%}
+{%- endfor -%}
+"""
+
+
+def test_public_idioms():
+    said = lambda *rows: [{"role": r, "text": t, "content": t} for r, t in rows]
+    go = lambda template, messages, **names: "".join(t for t, _ in chat.compile_template(template, names)(messages))
+    m = said(("user", " Hi "), ("assistant", "yo"))
+    assert go(MARKED, m) == "<|im_start|>user\n Hi <|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    assert go(MARKED, m, add_generation_prompt=True).endswith("<|im_start|>assistant\n")
+    marks = {"bos_token": "<s>", "eos_token": "</s>"}
+    assert go(BRACKETED, m, **marks) == "<s>[INST] Hi [/INST] yo </s>"
+    assert go(BRACKETED, iter(said(("system", "be kind"), *(("user", "a"), ("assistant", "b")))), **marks) == "<s>[INST] <<SYS>>be kind<</SYS>>a [/INST] b </s>"
+    assert [t for t, g in chat.compile_template(BRACKETED, marks)(m) if g] == [" yo </s>"]
+    for bad in (said(("assistant", "b")),):
+        with pytest.raises(chat.TemplateError):
+            go(BRACKETED, bad, **marks)
+    with pytest.raises(chat.TemplateError):
+        go("{% for m in messages %}{% endfor %}{% for m in messages %}x{% endfor %}", m)
+    with pytest.raises(chat.TemplateError):
+        go("{{ 'a%s' % 'b' }}", m)
+    assert go("{{ 'abc'[1] }}{{ 'abc'[1:] }}{{ 1 - 3 }}{{ nothing is not defined }}{{ none is none }} {# c #} {{- 'x' }}", m) == "bbc-2TrueTrue x"
+
+
 def test_constants_are_folded():
     tree = chat.fold(chat.parse("a{{ 'b' + 'c' }}{% if 1 == 1 %}d{% else %}e{% endif %}{% if 'x' == 'y' %}f{% endif %}{{ 'g' | upper }}"))
     assert [s.value.value for s in tree] == ["abc", "d", "G"] or "".join(s.value.value for s in tree) == "abcdG"
