@@ -44,10 +44,10 @@ def cv(x: Column | str) -> Column:
     return F.stddev_samp(x) / (F.abs(F.avg(x)) + EPS)
 
 
-def equal_bins(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+def equal_bins(x: Column, lo: Column, hi: Column, bins: int | Column) -> Column:
     """Bin of equal width between lo and hi, the last one closed on the right; 0 for a constant group."""
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1)).cast("int")
+    width, bins = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0)), F.lit(bins)
+    return F.least(F.floor((x - lo) / width * bins), bins - 1).cast("int")
 
 
 def floor_bins(x: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstat.functions import grids as A
 from gridstat.functions import stats as S
+from gridstat.functions.grids import EPS, bind
 
 
 def moments(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
@@ -129,6 +131,42 @@ def ssim_neighbours(df: DataFrame) -> DataFrame:
     return m.select("sample_id", "realization", s.alias("ssim"))
 
 
+def ssim_pairs(fields: DataFrame) -> DataFrame:
+    """(sample_id, pairs, ssim): mean structural similarity over all pairs of a sample's packed realizations.
+
+    Means and variances are a realization's own; a pair adds one product of its
+    arrays, and only sums leave a task.
+    """
+    own = lambda f: bind(f, F.col("data"))
+    d = fields.select("sample_id", "realization", "data", own(A.mean).alias("m"), own(A.variance).alias("v"))
+    a, b = d.alias("a"), d.alias("b")
+    ma, mb = F.col("a.m"), F.col("b.m")
+    cov = A.dot(F.col("a.data"), F.col("b.data")) / F.size("a.data") - ma * mb
+    s = ((2 * ma * mb + SSIM_C1) * (2 * cov + SSIM_C2)) / ((ma * ma + mb * mb + SSIM_C1) * (F.col("a.v") + F.col("b.v") + SSIM_C2))
+    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.realization") < F.col("b.realization")))
+    return pairs.groupBy(F.col("a.sample_id").alias("sample_id")).agg(F.count("*").alias("pairs"), F.avg(s).alias("ssim"))
+
+
+def spatial_flow(fields: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Mean over steps of how a field's gradients correlate with the next field: magnitude and ratio of both directions."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    d = fields.withColumn("later", F.lead("data").over(w)).where("later is not null")
+
+    def flow(g: A.Grid) -> Column:
+        gx = g.cells(lambda y, x: (g.around(y, x + 1) - g.around(y, x - 1)) / 2)
+        gy = g.cells(lambda y, x: (g.around(y + 1, x) - g.around(y - 1, x)) / 2)
+        return bind(lambda a, b, q: F.struct(_mixed(a, q).alias("x"), _mixed(b, q).alias("y")), gx, gy, F.col("later"))
+
+    d = d.withColumn("flow", A.on(F.col("h"), F.col("w"), F.col("data"), flow))
+    fx, fy = F.col("flow.x"), F.col("flow.y")
+    return d.groupBy(*keys).agg(F.avg(F.sqrt(fx * fx + fy * fy + EPS)).alias("flow_magnitude"), F.avg(F.abs(fx) / (F.abs(fy) + EPS)).alias("flow_anisotropy"))
+
+
+def _mixed(a: Column, b: Column) -> Column:
+    """Population covariance of two arrays over their sample deviations."""
+    return bind(lambda p, q: (A.dot(p, q) / F.size(p)) / (A.deviation(p) * A.deviation(q) + EPS), A.centred(a), A.centred(b))
+
+
 def bucket_floor(x: Column, size: int) -> Column:
     """Down to a multiple of `size`, at least one."""
     return F.greatest(F.floor(x / size) * size, F.lit(size)).cast("int")

@@ -11,50 +11,36 @@ from pyspark.sql import functions as F
 from gridstat.operators import descriptive as D
 from gridstat.operators import grid as G
 
-#: family: (kernel, columns) over packed grids.
-FAMILIES: dict[str, tuple[G.Kernel, dict[str, str]]] = {}
+#: family: its kernels over packed grids.
+FAMILIES: dict[str, list[G.Kernel]] = {}
 
 
-def register_family(name: str, kernel: G.Kernel, columns: list[str]) -> None:
+def register_family(name: str, *kernels: G.Kernel) -> None:
     """Add a family; a name can be given once."""
     if name in FAMILIES:
         raise ValueError(f"family {name!r} is registered already")
-    FAMILIES[name] = (kernel, G.doubles(*columns))
+    FAMILIES[name] = list(kernels)
 
 
-def get_family(name: str) -> tuple[G.Kernel, dict[str, str]]:
+def get_family(name: str) -> list[G.Kernel]:
     if name not in FAMILIES:
         raise KeyError(f"no family {name!r}; there are {sorted(FAMILIES)}")
     return FAMILIES[name]
 
 
-register_family("gradients", G.gradients, list(G.GRADIENTS))
-register_family("spectral", G.spectral, list(G.SPECTRAL))
-register_family("structural", lambda x: G.components(x) | G.edges(x) | G.glcm(x), ["components", "largest", "mean_size", "std_size", "edge_mean", "edge_std", "edge_density", "contrast", "homogeneity", "energy", "correlation"])
-register_family("physics", lambda x: G.autocorrelation_length(x) | G.box_clustering(x), ["correlation_length", "axis_ratio", "structure_peak", "structure_value", "structure_width", "structure_integral", "clustering"])
-register_family("morphological", lambda x: G.shape_descriptors(x) | G.image_moments(x) | G.granulometry(x), ["area", "perimeter", "circularity", "eccentricity", "solidity", "extent", "centroid_y", "centroid_x", "log_hu1", "hu2", "size_mean", "size_std"])
-register_family("multiscale", lambda x: G.haar(x) | G.scales(x), [f"{n}_{k}" for k in (1, 2, 3) for n in ("energy", "mean", "std")] + ["low_energy", "high_energy", "pyramid_energy_1", "pyramid_contrast_1", "pyramid_energy_2", "pyramid_contrast_2"])
-register_family("distributional", lambda x: G.entropies(x) | G.ranks(x), ["spectral_entropy", "line_entropy", "acf_entropy", "multiscale_2", "multiscale_4", "svd_entropy", "participation_ratio", "components_90", "rank_ratio"])
-register_family(
-    "initial",
-    lambda x: G.moran(x) | G.centroid_distance(x) | G.information(x) | G.symmetry(x) | G.initial_morphology(x) | G.clusters(x) | G.power_law(x),
-    ["moran_i", "centroid_distance", "lz_complexity", "predictability", "local_variance", "symmetry", "density", "radial_gradient", "clusters", "largest_fraction", "power_law", "dominant_index", "index_centroid"],
-)
+register_family("gradients", G.GRADIENTS)
+register_family("spectral", G.SPECTRAL)
+register_family("structural", G.COMPONENTS, G.EDGES, G.GLCM)
+register_family("physics", G.CORRELATION_STRUCTURE, G.CLUSTERING)
+register_family("morphological", G.SHAPE_DESCRIPTORS, G.IMAGE_MOMENTS, G.granulometry())
+register_family("multiscale", G.haar(), G.scales())
+register_family("distributional", G.entropies(), G.RANKS)
+register_family("initial", G.MORAN, G.CENTROID_DISTANCE, G.information(), G.SYMMETRY, G.INITIAL_MORPHOLOGY, G.CLUSTERS, G.POWER_LAW)
 
 
 def extract(fields: DataFrame, keys: list[str], families: list[str]) -> DataFrame:
     """Wide features of packed grids: all families in one pass over the rows."""
-    chosen = [get_family(f) for f in families]
-    columns = {f"{f}__{c}": "double" for f, (_, cols) in zip(families, chosen, strict=True) for c in cols}
-
-    def all_of(x):
-        out = {}
-        for f, (kernel, cols) in zip(families, chosen, strict=True):
-            made = kernel(x)
-            out |= {f"{f}__{c}": made[c] for c in cols}
-        return out
-
-    return G.map_grids(fields, keys, all_of, columns)
+    return G.measure(fields, keys, [(f"{f}__", k) for f in families for k in get_family(f)])
 
 
 def long_features(wide: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.functions.stats import EPS
+from gridstat.operators import grid as G
 
 MAX_FEATURES = 2_000  # of a matrix whose correlations are grouped on the driver
 
@@ -33,23 +41,70 @@ def variance_mask(df: DataFrame, least_std: float = 1e-10, most_variance: float
     return s.select("feature", F.coalesce(keep, F.lit(False)).alias("keep"))
 
 
+def features_of(df: DataFrame, most: int = MAX_FEATURES) -> list:
+    """The features in order; their number is checked before any is collected."""
+    names = df.select("feature").distinct().limit(most + 1)
+    n = names.count()
+    if n > most:
+        raise ValueError(f"more than {most} features")
+    return sorted(r["feature"] for r in names.collect())
+
+
 def correlations(df: DataFrame) -> DataFrame:
-    """(f1, f2, r) of all pairs of features, f1 < f2: summed within samples, so that rows meet by sample only."""
-    wide = df.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("s"))
-    pairs = wide.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "s",
-                    lambda a, i: F.transform(
-                        F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a["feature"].alias("f1"), b["feature"].alias("f2"), a["value"].alias("a"), b["value"].alias("b"))
-                    ),
-                )
-            )
-        ).alias("p")
-    )
-    r = F.try_divide(F.covar_pop("p.a", "p.b"), F.stddev_pop("p.a") * F.stddev_pop("p.b"))  # null for a constant feature
-    return pairs.groupBy("p.f1", "p.f2").agg(r.alias("r"))
+    """(f1, f2, r) of all pairs of features, f1 < f2, over the samples that have both (NaN and null left out); null if one is constant there.
+
+    Samples meet their features once; each task then sums products of whole rows
+    (a Gram matrix), so that what is shuffled is one row for each pair and task,
+    however many samples there are. Sums are taken about each feature's mean.
+    """
+    names = features_of(df)
+    rows = df.groupBy("feature").agg(F.when(F.min(valid()) == F.max(valid()), F.min(valid())).otherwise(F.avg(valid())).alias("m")).collect()
+    about = {r["feature"]: r["m"] or 0.0 for r in rows}  # a row a feature
+    middle = np.array([about[f] for f in names], dtype=float)
+    kind = df.schema["feature"].dataType
+    packed = df.where(valid().isNotNull()).groupBy("sample_id").agg(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value"))).alias("s")).select("s")
+    sums = ["n", "a", "b", "aa", "bb", "ab"]
+
+    def gram(batches):
+        k = len(names)
+        held = {c: np.zeros((k, k)) for c in sums}
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            of_row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            values = lists.flatten()
+            at = pc.index_in(values.field("feature"), pa.array(names, values.field("feature").type)).to_numpy(zero_copy_only=False)
+            x, has = np.zeros((len(lists), k)), np.zeros((len(lists), k))
+            x[of_row, at], has[of_row, at] = values.field("value").to_numpy() - middle[at], 1.0
+            held["n"] += has.T @ has
+            held["a"] += x.T @ has
+            held["b"] += has.T @ x
+            held["aa"] += (x * x).T @ has
+            held["bb"] += has.T @ (x * x)
+            held["ab"] += x.T @ x
+        for i in range(k - 1):  # a batch a feature
+            rest = pa.array(names[i + 1 :])
+            columns = [pa.array([names[i]] * len(rest), rest.type), rest, *(pa.array(held[c][i, i + 1 :]) for c in sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["f1", "f2", *sums])
+
+    name = kind.simpleString()
+    parts = packed.mapInArrow(_as_declared(gram, kind), f"f1 {name}, f2 {name}, " + ", ".join(f"{c} double" for c in sums))
+    t = parts.groupBy("f1", "f2").agg(*[F.sum(c).alias(c) for c in sums])
+    va, vb = (F.col(f"{c}{c}") / F.col("n") - F.col(c) / F.col("n") * F.col(c) / F.col("n") for c in ("a", "b"))
+    r = F.when((F.col("n") > 1) & (va > 0) & (vb > 0), (F.col("ab") / F.col("n") - F.col("a") / F.col("n") * F.col("b") / F.col("n")) / (F.sqrt(va) * F.sqrt(vb)))
+    return t.select("f1", "f2", r.alias("r"))
+
+
+def _as_declared(fn, kind):
+    """fn's batches with the first two columns in the type of the features."""
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for made in fn(batches):
+            yield pa.RecordBatch.from_arrays([c.cast(arrow) if i < 2 else c for i, c in enumerate(made.columns)], names=made.schema.names)
+
+    return run
 
 
 def greedy_dedup(df: DataFrame, threshold: float) -> list:
@@ -58,11 +113,8 @@ def greedy_dedup(df: DataFrame, threshold: float) -> list:
     The order decides, so it runs on the driver, over pairs of features above
     the threshold only; the number of features is checked.
     """
-    scores = informativeness(df)
-    n = scores.count()
-    if n > MAX_FEATURES:
-        raise ValueError(f"{n} features; at most {MAX_FEATURES} are grouped on the driver")
-    order = [r["feature"] for r in scores.orderBy(F.desc("informativeness"), "feature").collect()]
+    features_of(df)
+    order = [r["feature"] for r in informativeness(df).orderBy(F.desc("informativeness"), "feature").collect()]
     close: dict = {}
     for r in correlations(df).where(F.abs("r") >= threshold).select("f1", "f2").collect():
         close.setdefault(r["f1"], set()).add(r["f2"])
@@ -74,12 +126,16 @@ def greedy_dedup(df: DataFrame, threshold: float) -> list:
     return sorted(kept)
 
 
-def informativeness(df: DataFrame, bins: int = 25) -> DataFrame:
-    """Histogram entropy times quartile distance times the share of values that aren't outliers."""
+def informativeness(df: DataFrame, bins: int | None = 25) -> DataFrame:
+    """Histogram entropy times quartile distance times the share of values that aren't outliers.
+
+    Without a number of bins, there is one for every twenty values, fifty at most.
+    """
     q = df.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
     q = q.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "lo", "hi", "total")
     d = df.join(q, "feature").withColumn("iqr", F.col("q3") - F.col("q1"))
-    d = d.withColumn("bin", S.equal_bins(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    n_bins = F.lit(bins) if bins else F.greatest(F.lit(1), F.least(F.lit(50), F.floor(F.col("total") / 20)))
+    d = d.withColumn("bin", S.equal_bins(F.col("value"), F.col("lo"), F.col("hi"), n_bins))
     out = (F.col("value") < F.col("q1") - 1.5 * F.col("iqr")) | (F.col("value") > F.col("q3") + 1.5 * F.col("iqr"))
     n = d.groupBy("feature", "bin", "iqr", "total").agg(F.count("*").alias("n"), F.count_if(out).alias("out"))
     return n.groupBy("feature").agg((S.entropy_of_counts("n", "total") * F.first("iqr") * (1 - F.sum("out") / F.first("total"))).alias("informativeness"))
@@ -108,6 +164,14 @@ def cap(df: DataFrame, strategy: str, k: float | None = None) -> DataFrame:
     return df.join(b, "feature").withColumn("value", S.clipped("value", F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
+def outlier_counts(df: DataFrame, k: float = 3.0) -> DataFrame:
+    """(feature, outliers): values further than k median distances from the median, before any is capped."""
+    m = mad_stats(df)
+    mad = F.when(F.col("mad") < 1e-10, F.greatest(0.01 * F.abs("med"), F.lit(1e-6))).otherwise(F.col("mad")) * k
+    far = (F.col("value") < F.col("med") - mad) | (F.col("value") > F.col("med") + mad)
+    return df.join(m, "feature").groupBy("feature").agg(F.count_if(far).alias("outliers"))
+
+
 def mad_stats(df: DataFrame) -> DataFrame:
     """(feature, med, mad): median and median distance from it."""
     med = df.groupBy("feature").agg(F.median("value").alias("med"))
@@ -133,28 +197,45 @@ def l2_rows(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / F.greatest(norm, F.lit(EPS)))
 
 
-def centred_discrepancy(points: DataFrame, dims: list[str]) -> DataFrame:
-    """Centred L2 discrepancy of points in the unit cube.
+def _product(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a * b, terms)
+
+
+#: By method: the constant of d dimensions, the factor of the single sum, and the terms of a point and of a pair of points in a dimension.
+DISCREPANCIES = {
+    "CD": (
+        lambda d: (13 / 12) ** d, lambda d: -2.0, lambda x: 1 + 0.5 * F.abs(x - 0.5) - 0.5 * (x - 0.5) * (x - 0.5),
+        lambda x, y: 1 + 0.5 * F.abs(x - 0.5) + 0.5 * F.abs(y - 0.5) - 0.5 * F.abs(x - y),
+    ),
+    "WD": (lambda d: -((4 / 3) ** d), lambda d: 0.0, lambda x: F.lit(1.0), lambda x, y: 1.5 - F.abs(x - y) * (1 - F.abs(x - y))),
+    "MD": (
+        lambda d: (19 / 12) ** d, lambda d: -2.0, lambda x: 5 / 3 - 0.25 * F.abs(x - 0.5) - 0.25 * (x - 0.5) * (x - 0.5),
+        lambda x, y: 15 / 8 - 0.25 * F.abs(x - 0.5) - 0.25 * F.abs(y - 0.5) - 0.75 * F.abs(x - y) + 0.5 * (x - y) * (x - y),
+    ),
+    "L2-star": (lambda d: 3.0**-d, lambda d: -(2.0 ** (1 - d)), lambda x: 1 - x * x, lambda x, y: 1 - F.greatest(x, y)),
+}
+
+
+def discrepancy(points: DataFrame, dims: list[str], method: str = "CD") -> DataFrame:
+    """Discrepancy of points in the unit cube: centred, wrap-around, modified (all squared) or L2-star.
 
     Its double sum runs over all pairs of points, by definition: the plan is a
     distributed product of two column-pruned sides, summed as it is made.
     """
-    c = [F.abs(F.col(d) - 0.5) for d in dims]
-    one = None
-    for z in c:
-        f = 1 + 0.5 * z - 0.5 * z * z
-        one = f if one is None else one * f
-    single = points.agg(F.count("*").alias("n"), F.sum(one).alias("s1"))
-    a = points.select(*[F.col(d).alias(f"a_{d}") for d in dims])
-    b = points.select(*[F.col(d).alias(f"b_{d}") for d in dims])
-    two = None
-    for d in dims:
-        x, y = F.col(f"a_{d}"), F.col(f"b_{d}")
-        f = 1 + 0.5 * F.abs(x - 0.5) + 0.5 * F.abs(y - 0.5) - 0.5 * F.abs(x - y)
-        two = f if two is None else two * f
-    double = a.join(b, how="cross").agg(F.sum(two).alias("s2"))
+    if method not in DISCREPANCIES:
+        raise ValueError(f"no method {method!r}; there are {sorted(DISCREPANCIES)}")
+    constant, factor, point, pair = DISCREPANCIES[method]
     d = len(dims)
-    return single.join(double, how="cross").select((F.lit((13 / 12) ** d) - 2 / F.col("n") * F.col("s1") + F.col("s2") / (F.col("n") * F.col("n"))).alias("discrepancy"))
+    single = points.agg(F.count("*").alias("n"), F.sum(_product([point(F.col(c)) for c in dims])).alias("s1"))
+    a = points.select(*[F.col(c).alias(f"a_{c}") for c in dims])
+    b = points.select(*[F.col(c).alias(f"b_{c}") for c in dims])
+    double = a.join(b, how="cross").agg(F.sum(_product([pair(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in dims])).alias("s2"))
+    out = F.lit(constant(d)) + F.lit(factor(d)) / F.col("n") * F.col("s1") + F.col("s2") / (F.col("n") * F.col("n"))
+    return single.join(double, how="cross").select((F.sqrt(F.greatest(out, F.lit(0.0))) if method == "L2-star" else out).alias("discrepancy"))
+
+
+def centred_discrepancy(points: DataFrame, dims: list[str]) -> DataFrame:
+    return discrepancy(points, dims, "CD")
 
 
 def sample_quality(points: DataFrame, dims: list[str], bins: int = 10, targets: dict[str, float] | None = None) -> DataFrame:
@@ -180,25 +261,49 @@ def coverage(points: DataFrame, dims: list[str], bins: int) -> DataFrame:
     return cells.agg((squares / expected - 2 * total + occupied * expected + (k - occupied) * expected).alias("chi_square"))
 
 
-def min_distance(points: DataFrame, dims: list[str]) -> DataFrame:
-    """Smallest distance between two points; infinite below two points."""
-    numbered = points.select(F.monotonically_increasing_id().alias("id"), *dims)
-    a, b = numbered.alias("a"), numbered.alias("b")
-    square = None
-    for d in dims:
-        diff = F.col(f"a.{d}") - F.col(f"b.{d}")
-        square = diff * diff if square is None else square + diff * diff
-    return a.join(b, F.col("a.id") < F.col("b.id")).agg(F.coalesce(F.sqrt(F.min(square)), F.lit(float("inf"))).alias("min_distance"))
+def min_distance(points: DataFrame, dims: list[str], crowd: int = 64) -> DataFrame:
+    """Smallest distance between two points; infinite below two points.
+
+    Points are dealt into cells whose side is a distance that occurs, or that two
+    of n points can't all exceed; so the closest two are in neighbouring cells. A
+    side is brought down, by distances between neighbours in a cell's order, until
+    no cell is crowded or nothing closer is found.
+    """
+    at = [F.col(d) for d in dims]
+    bounds = points.agg(F.count("*").alias("n"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).first()
+    n, schema = bounds["n"], "min_distance double"
+    if n < 2:
+        return points.sparkSession.createDataFrame([(float("inf"),)], schema)
+    if not points.groupBy(*dims).count().where("count > 1").isEmpty():
+        return points.sparkSession.createDataFrame([(0.0,)], schema)
+    span = max(bounds[f"max_{d}"] - bounds[f"min_{d}"] for d in dims)
+    side = span * len(dims) ** 0.5 / max(1, math.ceil(n ** (1 / len(dims))) - 1)  # two of n points share a cell of a grid of fewer cells
+    cell = lambda size: [F.floor((c - bounds[f"min_{d}"]) / size).alias(f"cell_{d}") for c, d in zip(at, dims, strict=True)]
+    keys = [f"cell_{d}" for d in dims]
+    square = lambda p, q: reduce(lambda a, b: a + b, [(p(d) - q(d)) * (p(d) - q(d)) for d in dims])
+    while True:
+        dealt = points.select(*dims, *cell(side))
+        if dealt.groupBy(*keys).count().agg(F.max("count")).first()[0] <= crowd:
+            break
+        w = Window.partitionBy(*keys).orderBy(*dims)
+        closer = dealt.select(square(F.col, lambda d: F.lag(d).over(w)).alias("q")).agg(F.sqrt(F.min("q"))).first()[0]
+        if closer is None or closer >= side * 0.99:
+            break
+        side = closer
+    dealt = points.select(*dims, *cell(side * (1 + 1e-9)))
+    near = dealt.select(*[F.col(d).alias(f"o_{d}") for d in dims], *[F.explode(F.array(*[F.col(k) + F.lit(i) for i in (-1, 0, 1)])).alias(k) if k == keys[0] else F.col(k) for k in keys])
+    for k in keys[1:]:
+        near = near.withColumn(k, F.explode(F.array(*[F.col(k) + F.lit(i) for i in (-1, 0, 1)])))
+    q = square(F.col, lambda d: F.col(f"o_{d}"))
+    return dealt.join(near, keys).where(q > 0).agg(F.sqrt(F.min(q)).alias("min_distance"))
 
 
 # --- groups of features (on the driver: a matrix of features by features, of checked size)
 
 
 def correlation_matrix(df: DataFrame) -> tuple[list, np.ndarray]:
+    names = features_of(df)
     rows = correlations(df).collect()
-    names = sorted({r["f1"] for r in rows} | {r["f2"] for r in rows})
-    if len(names) > MAX_FEATURES:
-        raise ValueError(f"{len(names)} features; at most {MAX_FEATURES}")
     at, m = {f: i for i, f in enumerate(names)}, np.eye(len(names))
     for r in rows:
         m[at[r["f1"]], at[r["f2"]]] = m[at[r["f2"]], at[r["f1"]]] = r["r"] if r["r"] is not None else 0.0
@@ -259,6 +364,31 @@ def group_statistics(corr: DataFrame, groups: DataFrame) -> DataFrame:
     return d.groupBy((F.col("g1") == F.col("g2")).alias("within")).agg(F.count("*").alias("pairs"), F.avg(F.abs("r")).alias("mean_abs"), F.max(F.abs("r")).alias("max_abs"))
 
 
+def category_scores(df: DataFrame, category: str, components: int = 5) -> DataFrame:
+    """(category, variance, dimensions, information, correlation): scores of each category of features, between 0 and 1.
+
+    Information is the share of variance that the first components explain: the
+    eigenvalues of a category's covariance matrix, made of its correlations.
+    """
+    v = df.groupBy(category, "feature").agg(F.var_pop("value").alias("v"))
+    n = F.count("*")
+    scores = v.groupBy(category).agg(S.clipped(F.median("v"), F.lit(0.0), F.lit(1.0)).alias("variance"), (F.log10(n + 1) / F.log10(F.lit(101.0))).alias("dimensions"), n.alias("n"))
+    place = v.select(category, "feature", "v", (F.row_number().over(Window.partitionBy(category).orderBy("feature")) - 1).alias("at"))
+    a, b = (place.select(F.col(category).alias(f"g{i}"), F.col("feature").alias(f"f{i}"), F.col("v").alias(f"v{i}"), F.col("at").alias(f"at{i}")) for i in (1, 2))
+    own = correlations(df).join(a, "f1").join(b, "f2").where("g1 = g2").select(F.col("g1").alias(category), "r", "at1", "at2", (F.col("r") * F.sqrt(F.col("v1") * F.col("v2"))).alias("c"))
+    known = F.coalesce("c", F.lit(0.0))
+    cells = own.select(category, F.explode(F.array(F.struct("at1", "at2", known.alias("c")), F.struct(F.col("at2").alias("at1"), F.col("at1").alias("at2"), known.alias("c")))).alias("e"))
+    cells = cells.unionByName(place.select(category, F.struct(F.col("at").alias("at1"), F.col("at").alias("at2"), F.col("v").alias("c")).alias("e")))
+    packed = cells.groupBy(category).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["c"]).alias("data"))
+    packed = packed.select(category, F.sqrt(F.size("data")).cast("int").alias("h"), F.sqrt(F.size("data")).cast("int").alias("w"), "data")
+    values = G.transformed(G.checked(packed, [category]), {"values": ("eigenvalues", lambda g: F.struct(g.h.alias("h"), g.w.alias("w"), g.data.alias("data")))})
+    top = F.try_divide(A.total(F.slice("values", F.lit(1), F.lit(components))), A.total(F.col("values")))
+    information = values.select(F.col(f"key.{category}").alias(category), F.when(F.size("values") > 1, top).otherwise(F.lit(0.5)).alias("information"))
+    related = own.groupBy(category).agg(F.avg(F.abs("r")).alias("correlation"))
+    out = scores.join(information, category).join(related, category, "left")
+    return out.select(category, "variance", "dimensions", F.coalesce("information", F.lit(0.5)).alias("information"), F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
+
+
 # --- codes
 
 
@@ -297,11 +427,26 @@ def usage_metrics(usage: DataFrame) -> DataFrame:
 
 def gini(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Gini coefficient of non-negative values."""
-    keys = keys or []
-    w = Window.partitionBy(*keys).orderBy(value)
-    d = df.withColumn("rank", F.row_number().over(w))
-    n, s = F.count("*"), F.sum(value)
-    return d.groupBy(*keys).agg(F.when(s > 0, 2 * F.sum(F.col("rank") * F.col(value)) / (n * s) - (n + 1) / n).otherwise(0.0).alias("gini"))
+    if keys:
+        n, total = F.count("*"), F.sum(value)
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
+        return ranked.groupBy(*keys).agg(F.when(total > 0, 2 * F.sum(F.col("rank") * F.col(value)) / (n * total) - (n + 1) / n).otherwise(0.0).alias("gini"))
+    # One order of all values without a window of one task: equal values are one row, ranges of values are ranked by
+    # themselves, and a range adds the rows of those before it (a thousand sums).
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
+    width = (hi - lo) if lo is not None and hi > lo else 1.0
+    counts = counts.withColumn("range", F.floor((F.col("v") - F.lit(lo)) / width * 1000).cast("int"))
+    prefix, start = [], 0
+    for r in sorted(counts.groupBy("range").agg(F.sum("c").alias("c")).collect(), key=lambda r: r["range"]):
+        prefix += [F.lit(r["range"]), F.lit(start)]
+        start += r["c"]
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if prefix:
+        before = before + F.create_map(*prefix)[F.col("range")]
+    ranks = F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2
+    n, total = F.sum("c"), F.sum(F.col("c") * F.col("v"))
+    return counts.withColumn("before", before).agg(F.when(total > 0, 2 * F.sum(F.col("v") * ranks) / (n * total) - (n + 1) / n).otherwise(0.0).alias("gini"))
 
 
 def three_factor_quality(error: Column, utilization: Column, balance: Column) -> Column:
@@ -311,12 +456,19 @@ def three_factor_quality(error: Column, utilization: Column, balance: Column) ->
     return F.pow(recon * used * (1 - balance), F.lit(1 / 3))
 
 
-def distance_agreement(df: DataFrame, a: str, b: str, n_samples: int = 1000) -> DataFrame:
-    """Pearson correlation of pairwise distances in two spaces over pairs i < j of the first `n_samples` ids."""
-    some = df.orderBy("id").limit(n_samples)
-    x = some.select(F.col("id").alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = some.select(F.col("id").alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = x.repartition(n, "i").join(F.broadcast(y), F.col("i") < F.col("j"))  # y: n_samples rows
-    sizes = some.select(F.size(a), F.size(b)).first() or (None, None)
-    return pairs.agg(F.corr(S.euclidean(F.col("a1"), F.col("a2"), sizes[0]), S.euclidean(F.col("b1"), F.col("b2"), sizes[1])).alias("similarity"))
+def block_pairs(df: DataFrame, id: str, blocks: int = 8) -> DataFrame:
+    """(x, y): structs of all pairs of rows with x.id < y.id, dealt by blocks x blocks keys: each row goes to `blocks` tasks a side."""
+    row, own = F.struct(*[F.col(c) for c in df.columns]), F.pmod(F.xxhash64(id), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(row.alias("x"), own.alias("bx"), every.alias("by"))
+    b = df.select(row.alias("y"), every.alias("bx"), own.alias("by"))
+    return a.join(b, ["bx", "by"]).where(F.col(f"x.{id}") < F.col(f"y.{id}")).select("x", "y")
+
+
+def distance_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Pearson correlation of distances in two spaces over all pairs i < j of rows (id, a, b): quadratic by definition, dealt over tasks."""
+    sizes = df.select(F.size(a), F.size(b)).first() or (None, None)
+    pairs = block_pairs(df.select("id", a, b), "id")
+    return pairs.agg(
+        F.corr(S.euclidean(F.col(f"x.{a}"), F.col(f"y.{a}"), sizes[0]), S.euclidean(F.col(f"x.{b}"), F.col(f"y.{b}"), sizes[1])).alias("similarity")
+    )

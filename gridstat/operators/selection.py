@@ -75,9 +75,17 @@ def drift_detectors(df: DataFrame, value: str, absolute: float, relative: float)
 
 
 def register(df: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, idx): names in first-seen order with dense numbers from 0; the number of names is that of features."""
+    """(name, idx): names in first-seen order with dense numbers from 0. Their number is checked: they are numbered as one array."""
     first = df.groupBy(name).agg(F.min(order).alias("seen"))
-    return first.select(name, (F.row_number().over(Window.orderBy("seen", name)) - 1).alias("idx"))
+    n = first.limit(MAX_NAMES + 1).count()
+    if n > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    every = first.agg(F.array_sort(F.collect_list(F.struct("seen", name))).alias("s"))
+    return every.select(F.posexplode("s").alias("idx", "e")).select(F.col(f"e.{name}").alias(name), "idx")
+
+
+#: Names of a registry at most.
+MAX_NAMES = 1_000_000
 
 
 def registry_json(registry: DataFrame) -> DataFrame:
@@ -124,5 +132,5 @@ def parse_ratios(text: Column) -> Column:
 
 
 def base_type(name: Column) -> Column:
-    """A type's name without a version or 'high' at its end."""
-    return F.regexp_replace(name, r"_(v\d+|high)$", "")
+    """A type's name without a version or 'low', 'mid' or 'high' at its end."""
+    return F.regexp_replace(name, r"_(v\d+|low|mid|high)$", "")

@@ -204,6 +204,35 @@ def ssim_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.ssim_neighbours(R.ensemble(spark, sf_dir)), ["sample_id", "realization"])
 
 
+@query(
+    "ssim_pairs",
+    f"""WITH e AS (SELECT label AS sample_id, vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS x FROM embeddings),
+s AS (SELECT sample_id, vec_id, x, list_avg(x) AS m, list_var_samp(x) AS v FROM e),
+p AS (SELECT a.sample_id, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb, list_dot_product(a.x, b.x) / 64 - a.m * b.m AS cab FROM s a JOIN s b ON a.sample_id = b.sample_id AND a.vec_id < b.vec_id)
+SELECT sample_id, count(*) AS pairs, {r("avg((2 * ma * mb + 1e-4) * (2 * cab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4)))")} AS ssim FROM p GROUP BY sample_id""",
+)
+def ssim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.ssim_pairs(R.ensemble_fields(spark, sf_dir)), ["sample_id", "pairs"])
+
+
+def _rolled(c: str, dy: int, dx: int) -> str:
+    """The value at a periodic neighbour."""
+    return f"{c}[((y + {dy + 8}) % 8) * 8 + (x + {dx + 8}) % 8 + 1]"
+
+
+@query(
+    "spatial_flow",
+    f"""WITH e AS (SELECT label AS sample_id, vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS a, lead(list_transform(embedding, lambda z: CAST(z AS DOUBLE))) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+c AS (SELECT sample_id, vec_id, ({_rolled("a", 0, 1)} - {_rolled("a", 0, -1)}) / 2 AS gx, ({_rolled("a", 1, 0)} - {_rolled("a", -1, 0)}) / 2 AS gy, b[y * 8 + x + 1] AS q
+  FROM e, (SELECT i // 8 AS y, i % 8 AS x FROM range(64) r(i)) WHERE b IS NOT NULL),
+f AS (SELECT sample_id, vec_id, covar_pop(gx, q) / (stddev_samp(gx) * stddev_samp(q) + 1e-8) AS fx, covar_pop(gy, q) / (stddev_samp(gy) * stddev_samp(q) + 1e-8) AS fy FROM c GROUP BY ALL)
+SELECT sample_id, {r("avg(sqrt(fx * fx + fy * fy + 1e-8))")} AS flow_magnitude, {r("avg(abs(fx) / (abs(fy) + 1e-8))", 4)} AS flow_anisotropy FROM f GROUP BY sample_id""",
+)
+def spatial_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = D.spatial_flow(R.ensemble_fields(spark, sf_dir).withColumnRenamed("realization", "t"), ["sample_id"])
+    return flow.select("sample_id", S.rounded("flow_magnitude").alias("flow_magnitude"), S.rounded("flow_anisotropy", 4).alias("flow_anisotropy"))
+
+
 @query(
     "partition_operators",
     """SELECT p_brand AS brand, CAST(greatest(p_size // 16 * 16, 16) AS INT) AS channels, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY ALL""",

@@ -1,4 +1,4 @@
-"""Queries of generated fields, rollouts, nonlinear dynamics and whole extraction jobs."""
+"""Queries of nonlinear dynamics and whole extraction jobs."""
 
 from __future__ import annotations
 
@@ -8,47 +8,16 @@ from pyspark.sql import functions as F
 from gridstat.functions import stats as S
 from gridstat.operators import descriptive as D
 from gridstat.operators import extractors as E
-from gridstat.operators import generators as N
 from gridstat.operators import recurrence as C
-from gridstat.operators import sequence as Q
 from gridstat.plans.descriptive import rounded
 from gridstat.plans.registry import query
 from gridstat.sources import relations as R
 
-FIELDS = 64  # generated fields a query; they don't come from a table
-
-
-def _summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    cells = R.cells_of(df)
-    return cells.groupBy(*keys).agg(S.rounded(F.avg("v"), 5).alias("mean"), S.rounded(F.stddev_samp("v"), 5).alias("std"), S.rounded(F.min("v"), 5).alias("min"), S.rounded(F.max("v"), 5).alias("max"))
-
-
-for _kind in sorted(N.GENERATORS):
-    query(f"generate_{_kind}")(lambda spark, sf_dir, kind=_kind: _summary(N.generate(spark, kind, FIELDS, 16), ["sample_id"]))
-
-
-@query("generate_mixed")
-def generate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(N.generate(spark, "mixed", 4 * len(N.GENERATORS), 16), ["sample_id", "kind"])
-
-
 @query("series_nonlinear")
 def series_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.nonlinear(R.user_series(spark, sf_dir)), ["sample_id"])
 
 
-def _rollout(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
-    return N.rollout(R.fields(spark, sf_dir).drop("label"), steps=6, realizations=2, policy=policy)
-
-
-for _policy in ("autoregressive", "residual", "convex"):
-    query(f"rollout_{_policy}")(
-        lambda spark, sf_dir, policy=_policy: rounded(
-            Q.derived_curves(R.cells_of(_rollout(spark, sf_dir, policy)), ["sample_id", "realization"]), ["sample_id", "realization", "t"], 5
-        )
-    )
-
-
 @query("summary_features")
 def summary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction: per-grid families in one pass, reduced over each label's realizations."""

@@ -1,8 +1,7 @@
-"""Queries of scales over time, operator sensitivity, histories and tables of colours."""
+"""Queries of scales over time, histories and tables of colours."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,27 +9,38 @@ from gridstat.functions import stats as S
 from gridstat.operators import grid as G
 from gridstat.operators import sequence as Q
 from gridstat.plans.descriptive import rounded
+from gridstat.plans.grid import LOW_SQL
 from gridstat.plans.registry import query, r, with_relations
 from gridstat.sources import relations as R
 
 
-@query("drift_scales")
-def drift_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of norms of the raw, the low-passed and the remaining field, by scale."""
+_FIELDS = f"p AS (SELECT vec_id AS sample_id, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)), {LOW_SQL}"
+_ENERGIES = f"""WITH {_FIELDS}, n AS (SELECT sample_id, sum(p.v * p.v) AS raw, sum(low.v * low.v) AS low, sum(h.v * h.v) AS high FROM p JOIN low USING (sample_id, y, x) JOIN h USING (sample_id, y, x) GROUP BY sample_id),
+t AS (SELECT label, n.*, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM n JOIN embeddings ON n.sample_id = vec_id)"""
 
-    def norms(x):
-        low = G.lowpass(x, 1.0)
-        return {n: np.sqrt((v**2).sum(axis=(1, 2)) + S.EPS) for n, v in (("raw", x), ("low", low), ("high", x - low))}
 
-    made = G.map_grids(R.ensemble_fields(spark, sf_dir), ["sample_id", "realization"], norms, G.doubles("raw", "low", "high"))
+@query(
+    "drift_scales",
+    f"""{_ENERGIES}, u AS (SELECT label AS sample_id, t, 'raw' AS scale, sqrt(raw + 1e-8) AS y FROM t UNION ALL SELECT label, t, 'low', sqrt(low + 1e-8) FROM t UNION ALL SELECT label, t, 'high', sqrt(high + 1e-8) FROM t),
+d AS (SELECT *, y - lag(y) OVER (PARTITION BY sample_id, scale ORDER BY t) AS d FROM u)
+SELECT sample_id, scale, {r("avg(d)", 5)} AS mean_drift, {r("var_samp(d)", 5)} AS drift_variance, {r("arg_max(y, t) / (arg_min(y, t) + 1e-8)", 5)} AS final_initial_ratio, {r("avg(sign(d))", 5)} AS monotonicity FROM d GROUP BY ALL""",
+)
+def drift_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of norms of the raw, the low-passed and the remaining field, by scale."""
+    made = G.measure(R.ensemble_fields(spark, sf_dir), ["sample_id", "realization"], G.NORMS_BY_SCALE)
     long = made.unpivot(["sample_id", "realization"], ["raw", "low", "high"], "scale", "y").withColumnRenamed("realization", "t")
     return rounded(Q.drift(long, ["sample_id", "scale"]), ["sample_id", "scale"], 5)
 
 
-@query("scale_dissipation")
+@query(
+    "scale_dissipation",
+    f"""{_ENERGIES}, d AS (SELECT label, ln(low + 1e-8) - lag(ln(low + 1e-8)) OVER w AS low, ln(high + 1e-8) - lag(ln(high + 1e-8)) OVER w AS high FROM t WINDOW w AS (PARTITION BY label ORDER BY t)),
+a AS (SELECT label AS sample_id, -avg(low) AS low, -avg(high) AS high FROM d GROUP BY label)
+SELECT sample_id, {r("low", 4)} AS low, {r("high", 4)} AS high, {r("high / (abs(low) + 1e-8)", 4)} AS ratio, {r("sign(high - low)", 4)} AS direction FROM a""",
+)
 def scale_dissipation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean fall of the log energy of the low-passed and the remaining field from step to step, and their ratio."""
-    made = G.map_grids(R.ensemble_fields(spark, sf_dir), ["sample_id", "realization"], G.scales, G.doubles("low_energy", "high_energy"))
+    made = G.measure(R.ensemble_fields(spark, sf_dir), ["sample_id", "realization"], G.scales(1))
     w = Window.partitionBy("sample_id").orderBy("realization")
     fall = lambda c: -F.avg(F.log(F.col(c) + S.EPS) - F.col(f"{c}_before"))
     d = made.withColumns({f"{c}_before": F.lag(F.log(F.col(c) + S.EPS)).over(w) for c in ("low_energy", "high_energy")})
@@ -38,33 +48,6 @@ def scale_dissipation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({"ratio": F.col("high") / (F.abs("low") + S.EPS), "direction": F.signum(F.col("high") - F.col("low"))}), ["sample_id"], 4)
 
 
-@query("gain_sensitivity")
-def gain_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain curve of a saturating diffusion step: Lipschitz estimates, R2 of the linear fit, saturation, compression."""
-    factors = np.array([0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0])
-
-    def step(x):
-        return np.tanh((x + np.roll(x, 1, 1) + np.roll(x, -1, 1) + np.roll(x, 1, 2) + np.roll(x, -1, 2)) / 5)
-
-    def norm(x):
-        return np.sqrt((x**2).sum(axis=(1, 2)))
-
-    def kernel(x):
-        base = norm(step(x)) + 1e-10
-        gains = np.stack([norm(step(f * x)) for f in factors], axis=1) / base[:, None]
-        z = factors - factors.mean()
-        slope = (gains * z).sum(axis=1) / (z * z).sum()
-        fit = gains.mean(axis=1)[:, None] + slope[:, None] * z
-        rest, whole = ((gains - fit) ** 2).sum(axis=1), ((gains - gains.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
-        push = np.random.default_rng(0).normal(size=x.shape[1:])
-        out = {f"lipschitz_{k}": norm(step(x + e * push) - step(x)) / (e * np.sqrt((push**2).sum())) for k, e in enumerate((1e-3, 1e-2, 1e-1))}
-        out |= {"linearity_r2": 1 - rest / (whole + 1e-10), "saturation": 1 - gains[:, -1] / factors[-1], "compression": gains[:, 1] / (gains[:, 5] + 1e-10)}
-        return out
-
-    names = ["lipschitz_0", "lipschitz_1", "lipschitz_2", "linearity_r2", "saturation", "compression"]
-    return rounded(G.map_grids(R.fields(spark, sf_dir), ["sample_id"], kernel, G.doubles(*names)), ["sample_id"], 5)
-
-
 @query(
     "history_convergence",
     f"{with_relations('user_series')} SELECT sample_id, {r('(arg_min(y, t) - arg_max(y, t)) / count(*)')} AS convergence, {r('min(y)')} AS best, arg_min(t, (y, t)) AS best_at FROM user_series GROUP BY sample_id",

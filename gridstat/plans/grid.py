@@ -25,19 +25,19 @@ def _near(dy: int, dx: int, minus: str = "0") -> str:
     return f"(CASE WHEN y + {dy} BETWEEN 0 AND 7 AND x + {dx} BETWEEN 0 AND 7 THEN CAST(embedding[(y + {dy}) * 8 + x + {dx} + 1] AS DOUBLE) - {minus} ELSE 0 END)"
 
 
-def kernel_query(name: str, kernel: G.Kernel, columns: dict[str, str], sql: str | None = None, digits: int = 6, finish: dict[str, int] | None = None) -> None:
+def kernel_query(name: str, kernel: G.Kernel, sql: str | None = None, digits: int = 6, finish: dict[str, int] | None = None, columns: list[str] | None = None) -> None:
     """Register a kernel over the fields relation."""
+    kept = columns or kernel.columns
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = G.map_grids(R.fields(spark, sf_dir), ["sample_id"], kernel, columns)
-        return out.select("sample_id", *[S.rounded(c, (finish or {}).get(c, digits)).alias(c) for c in columns])
+        out = G.measure(R.fields(spark, sf_dir), ["sample_id"], kernel)
+        return out.select("sample_id", *[S.rounded(c, (finish or {}).get(c, digits)).alias(c) for c in kept])
 
-    run.__doc__ = kernel.__doc__
     query(name, sql)(run)
 
 
 kernel_query(
-    "grid_gradients", G.gradients, G.GRADIENTS,
+    "grid_gradients", G.GRADIENTS,
     f"""WITH {_P}, g AS (SELECT sample_id, ({_at(0, 1)} - {_at(0, -1)}) / 2 AS gx, ({_at(1, 0)} - {_at(-1, 0)}) / 2 AS gy, {_at(1, 0)} + {_at(-1, 0)} + {_at(0, 1)} + {_at(0, -1)} - 4 * v AS l FROM p),
 m AS (SELECT *, sqrt(gx * gx + gy * gy) AS m FROM g), t AS (SELECT sample_id, max(m) AS top, avg(m) AS mm, stddev_samp(m) AS sm FROM m GROUP BY sample_id)
 SELECT sample_id, {r("avg(abs(gx))")} AS gradient_x, {r("avg(abs(gy))")} AS gradient_y, {r("avg(m)")} AS gradient_magnitude, {r("avg(abs(gx)) / (avg(abs(gy)) + 1e-8)")} AS gradient_anisotropy,
@@ -48,21 +48,21 @@ SELECT sample_id, {r("avg(abs(gx))")} AS gradient_x, {r("avg(abs(gy))")} AS grad
 _SOBEL = f"""s AS (SELECT sample_id, v, sqrt(pow({_near(-1, 1)} - {_near(-1, -1)} + 2 * ({_near(0, 1)} - {_near(0, -1)}) + {_near(1, 1)} - {_near(1, -1)}, 2)
   + pow({_near(1, -1)} - {_near(-1, -1)} + 2 * ({_near(1, 0)} - {_near(-1, 0)}) + {_near(1, 1)} - {_near(-1, 1)}, 2)) AS m FROM p)"""
 kernel_query(
-    "grid_edges", G.edges, G.doubles("edge_mean", "edge_std", "edge_density"),
+    "grid_edges", G.EDGES,
     f"""WITH {_P}, {_SOBEL}, t AS (SELECT sample_id, avg(m) AS a, stddev_samp(m) AS d FROM s GROUP BY sample_id)
 SELECT sample_id, {r("any_value(a)")} AS edge_mean, {r("any_value(d)")} AS edge_std, {r("avg(CASE WHEN m > a + d THEN 1.0 ELSE 0.0 END)")} AS edge_density FROM s JOIN t USING (sample_id) GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_initial_morphology", G.initial_morphology, G.doubles("density", "radial_gradient"),
+    "grid_initial_morphology", G.INITIAL_MORPHOLOGY,
     f"""WITH {_P}, {_SOBEL}, t AS (SELECT sample_id, avg(v) AS a FROM s GROUP BY sample_id)
 SELECT sample_id, {r("avg(CASE WHEN v > a THEN 1.0 ELSE 0.0 END)")} AS density, {r("avg(m)")} AS radial_gradient FROM s JOIN t USING (sample_id) GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_total_variation", G.total_variation, G.doubles("total_variation"),
+    "grid_total_variation", G.TOTAL_VARIATION,
     f"""WITH {_P} SELECT sample_id, {r(f"sum(CASE WHEN y < 7 THEN abs({_near(1, 0)} - v) ELSE 0 END) + sum(CASE WHEN x < 7 THEN abs({_near(0, 1)} - v) ELSE 0 END)")} AS total_variation FROM p GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_glcm", G.glcm, G.doubles("contrast", "homogeneity", "energy", "correlation"),
+    "grid_glcm", G.GLCM,
     f"""WITH {_P}, b AS (SELECT sample_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY sample_id), q AS (SELECT sample_id, y, x, floor((v - lo) / (hi - lo + 1e-8) * 7) AS q FROM p JOIN b USING (sample_id)),
 j AS (SELECT sample_id, a.q AS i, b.q AS j, count(*) / 56.0 AS p FROM q a JOIN q b USING (sample_id, y) WHERE b.x = a.x + 1 GROUP BY ALL),
 m AS (SELECT sample_id, sum(p * i) AS mi, sum(p * j) AS mj FROM j GROUP BY sample_id)
@@ -70,7 +70,7 @@ SELECT sample_id, {r("sum(p * pow(i - j, 2))")} AS contrast, {r("sum(p / (1 + ab
   {r("sum(p * (i - mi) * (j - mj)) / (sqrt(sum(p * pow(i - mi, 2))) * sqrt(sum(p * pow(j - mj, 2))) + 1e-8)")} AS correlation FROM j JOIN m USING (sample_id) GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_image_moments", G.image_moments, G.doubles("centroid_y", "centroid_x", "log_hu1", "hu2"),
+    "grid_image_moments", G.IMAGE_MOMENTS,
     f"""WITH {_P}, b AS (SELECT sample_id, min(v) AS lo FROM p GROUP BY sample_id), w AS (SELECT sample_id, y, x, v - lo AS v FROM p JOIN b USING (sample_id)),
 c AS (SELECT sample_id, sum(v) + 1e-8 AS m, sum(v * y) / (sum(v) + 1e-8) AS cy, sum(v * x) / (sum(v) + 1e-8) AS cx FROM w GROUP BY sample_id),
 e AS (SELECT sample_id, any_value(cy) AS cy, any_value(cx) AS cx, sum(v * pow(x - cx, 2)) / any_value(m * m) AS a, sum(v * pow(y - cy, 2)) / any_value(m * m) AS b, sum(v * (x - cx) * (y - cy)) / any_value(m * m) AS d FROM w JOIN c USING (sample_id) GROUP BY sample_id)
@@ -78,7 +78,7 @@ SELECT sample_id, {r("cy")} AS centroid_y, {r("cx")} AS centroid_x, {r("ln(abs(a
     finish={"hu2": 8},
 )
 kernel_query(
-    "grid_shape_descriptors", G.shape_descriptors, G.doubles("area", "perimeter", "circularity", "eccentricity", "solidity", "extent"),
+    "grid_shape_descriptors", G.SHAPE_DESCRIPTORS,
     f"""WITH {_P}, t AS (SELECT sample_id, avg(v) AS mu FROM p GROUP BY sample_id), b AS (SELECT p.*, CASE WHEN v > mu THEN 1.0 ELSE 0.0 END AS b, mu FROM p JOIN t USING (sample_id)),
 n AS (SELECT sample_id, y, x, b, CASE WHEN y < 7 THEN abs(b - CASE WHEN {_near(1, 0)} > mu THEN 1 ELSE 0 END) ELSE 0 END + CASE WHEN x < 7 THEN abs(b - CASE WHEN {_near(0, 1)} > mu THEN 1 ELSE 0 END) ELSE 0 END AS e FROM b),
 a AS (SELECT sample_id, avg(b) AS area, sum(e) / 64 AS per, sum(b) + 1e-8 AS n, sum(b * y) / (sum(b) + 1e-8) AS cy, sum(b * x) / (sum(b) + 1e-8) AS cx FROM n GROUP BY sample_id),
@@ -101,18 +101,18 @@ def _haar_sql(levels: int = 3) -> str:
     return f"WITH {_P}, {', '.join(steps)} SELECT * FROM {' JOIN '.join(d + f' AS e{i}' + (' USING (sample_id)' if i else '') for i, d in enumerate(details))}"
 
 
-kernel_query("grid_haar", G.haar, G.doubles(*[f"{n}_{k}" for k in (1, 2, 3) for n in ("energy", "mean", "std")]), _haar_sql())
+kernel_query("grid_haar", G.haar(3), _haar_sql())
 kernel_query(
-    "grid_moran", G.moran, G.doubles("moran_i"),
+    "grid_moran", G.MORAN,
     f"""WITH {_P}, t AS (SELECT sample_id, avg(v) AS mu FROM p GROUP BY sample_id)
 SELECT sample_id, {r(f"sum((v - mu) * ({_near(1, 0, 'mu')} + {_near(-1, 0, 'mu')} + {_near(0, 1, 'mu')} + {_near(0, -1, 'mu')}) / 4) / (sum(pow(v - mu, 2)) + 1e-8)")} AS moran_i FROM p JOIN t USING (sample_id) GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_centroid_distance", G.centroid_distance, G.doubles("centroid_distance"),
+    "grid_centroid_distance", G.CENTROID_DISTANCE,
     f"""WITH {_P} SELECT sample_id, {r("sqrt(pow(sum(abs(v) * y) / (sum(abs(v)) + 1e-8) - 3.5, 2) + pow(sum(abs(v) * x) / (sum(abs(v)) + 1e-8) - 3.5, 2)) / (sqrt(128) / 2)")} AS centroid_distance FROM p GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_information", G.information, G.doubles("lz_complexity", "predictability", "local_variance"),
+    "grid_information", G.information(4, 2),
     f"""WITH {_P}, t AS (SELECT sample_id, median(v) AS md FROM p GROUP BY sample_id), b AS (SELECT p.*, v > md AS b, {_at(0, 1)} AS nxt FROM p JOIN t USING (sample_id)),
 l AS (SELECT *, lag(b) OVER (PARTITION BY sample_id ORDER BY y, x) AS pb FROM b), a AS (SELECT sample_id, count(*) FILTER (WHERE b <> pb) / 64.0 AS lz, abs(corr(v, nxt)) AS pr FROM l GROUP BY sample_id),
 w AS (SELECT sample_id, i, j, var_samp(v) AS s FROM p, (SELECT unnest([0, 2, 4]) AS i), (SELECT unnest([0, 2, 4]) AS j) WHERE y BETWEEN i AND i + 3 AND x BETWEEN j AND j + 3 GROUP BY ALL),
@@ -121,19 +121,19 @@ SELECT sample_id, {r("lz")} AS lz_complexity, {r("pr")} AS predictability, {r("l
     finish={"local_variance": 9},
 )
 kernel_query(
-    "grid_symmetry", G.symmetry, G.doubles("symmetry"),
+    "grid_symmetry", G.SYMMETRY,
     f"""WITH {_P}, t AS (SELECT sample_id, v, CAST(embedding[x * 8 + 7 - y + 1] AS DOUBLE) AS a, CAST(embedding[(7 - y) * 8 + 7 - x + 1] AS DOUBLE) AS b, CAST(embedding[(7 - x) * 8 + y + 1] AS DOUBLE) AS c FROM p)
 SELECT sample_id, {r("(abs(corr(v, a)) + abs(corr(v, b)) + abs(corr(v, c))) / 3")} AS symmetry FROM t GROUP BY sample_id""",
 )
 _BOX = " + ".join(_near(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
-kernel_query("grid_clustering", G.box_clustering, G.doubles("clustering"), f"WITH {_P} SELECT sample_id, {r(f'corr(v, ({_BOX}) / 9)')} AS clustering FROM p GROUP BY sample_id")
+kernel_query("grid_clustering", G.CLUSTERING, f"WITH {_P} SELECT sample_id, {r(f'corr(v, ({_BOX}) / 9)')} AS clustering FROM p GROUP BY sample_id")
 
 #: The power spectrum as explicit sums: 8 x 5 frequencies of an 8 x 8 grid.
 _DFT = f"""{_P}, k AS (SELECT a AS ky, b AS kx, CASE WHEN a < 4 THEN a ELSE a - 8 END / 8.0 AS fy, b / 8.0 AS fx FROM range(8) s(a), range(5) t(b)),
 s AS (SELECT sample_id, ky, kx, any_value(fy) AS fy, any_value(fx) AS fx, sqrt(any_value(fy * fy + fx * fx)) AS f,
   (pow(sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)), 2) + pow(sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)), 2)) / 64 AS p FROM p, k GROUP BY sample_id, ky, kx)"""
 kernel_query(
-    "grid_spectral", G.spectral, G.SPECTRAL,
+    "grid_spectral", G.SPECTRAL,
     f"""WITH {_DFT}, o AS (SELECT *, sum(p) OVER (PARTITION BY sample_id ORDER BY p DESC, ky, kx) / sum(p) OVER (PARTITION BY sample_id) AS share FROM s),
 t AS (SELECT sample_id, sum(p) + 1e-8 AS t FROM s GROUP BY sample_id)
 SELECT sample_id, {r("sum(p * abs(fy)) / any_value(t)")} AS centroid_y, {r("sum(p * fx) / any_value(t)")} AS centroid_x, {r("sum(p * f) / any_value(t)")} AS centroid,
@@ -143,29 +143,135 @@ SELECT sample_id, {r("sum(p * abs(fy)) / any_value(t)")} AS centroid_y, {r("sum(
 FROM o JOIN t USING (sample_id) GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_spectral_entropy", lambda x: {"spectral_entropy": G.entropies(x)["spectral_entropy"]}, G.doubles("spectral_entropy"),
+    "grid_spectral_entropy", G.SPECTRAL_ENTROPY,
     f"""WITH {_DFT}, t AS (SELECT sample_id, p / (sum(p) OVER (PARTITION BY sample_id) + 1e-8) AS q FROM s)
 SELECT sample_id, {r("least(-sum(q * ln(q + 1e-10)), 10)")} AS spectral_entropy FROM t GROUP BY sample_id""",
 )
 kernel_query(
-    "grid_power_law", lambda x: {"power_law": G.power_law(x)["power_law"]}, G.doubles("power_law"),
+    "grid_power_law", G.POWER_LAW,
     f"""WITH {_DFT} SELECT sample_id, {r("greatest(least(-regr_slope(ln(p + 1e-8), ln(f)), 5), -5)")} AS power_law FROM s WHERE f > 0 GROUP BY sample_id""",
+    columns=["power_law"],
 )
 
-kernel_query("grid_radial_bands", G.radial_bands, G.doubles(*[f"{n}_{k}" for k in range(4) for n in ("mean", "max", "std")]))
-kernel_query("grid_harmonics", G.harmonics, G.doubles("second", "third", "distortion", "purity"))
-kernel_query("grid_entropies", G.entropies, G.doubles("spectral_entropy", "line_entropy", "acf_entropy", "multiscale_2", "multiscale_4"))
-kernel_query("grid_ranks", G.ranks, G.doubles("svd_entropy", "participation_ratio", "components_90", "rank_ratio"))
+def _bands_sql(bands: int = 4) -> str:
+    edge = lambda k: f"top * sqrt({k} / {bands})"
+    inside = lambda k: f"f >= {edge(k)} AND f {'<=' if k == bands - 1 else '<'} {edge(k + 1)}"
+    measures = [f"{r(f'{fn}(p) FILTER (WHERE {inside(k)})')} AS {n}_{k}" for k in range(bands) for n, fn in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop"))]
+    return f"WITH {_DFT}, t AS (SELECT max(f) + 1e-12 AS top FROM s) SELECT sample_id, {', '.join(measures)} FROM s, t GROUP BY sample_id"
+
+
+kernel_query("grid_radial_bands", G.radial_bands(), _bands_sql())
 kernel_query(
-    "grid_correlation_structure", G.autocorrelation_length, G.doubles("correlation_length", "axis_ratio", "structure_peak", "structure_value", "structure_width", "structure_integral")
-)
-kernel_query("grid_frequency_index", G.power_law, G.doubles("power_law", "dominant_index", "index_centroid"))
-kernel_query("grid_scales", G.scales, G.doubles("low_energy", "high_energy", "pyramid_energy_1", "pyramid_contrast_1", "pyramid_energy_2", "pyramid_contrast_2"))
-kernel_query("grid_components", G.components, G.doubles("components", "largest", "mean_size", "std_size"))
-kernel_query("grid_granulometry", G.granulometry, G.doubles("size_mean", "size_std"))
-kernel_query("grid_clusters", G.clusters, G.doubles("clusters", "largest_fraction"))
-kernel_query("channel_eigenvalues", G.channel_eigen, G.doubles("eigen_1", "eigen_2", "trace", "condition", "participation"))
-kernel_query("channel_coherence", G.coherence, G.doubles("coherence_mean", "coherence_max", "coherence_peak"))
+    "grid_harmonics", G.HARMONICS,
+    f"""WITH {_DFT}, d AS (SELECT sample_id, arg_max(f, p) AS f0, max(p) AS p0, sum(p) AS whole FROM s WHERE ky + kx > 0 GROUP BY sample_id),
+h AS (SELECT sample_id, any_value(p0) AS p0, any_value(whole) AS whole, coalesce(sum(p) FILTER (WHERE abs(f - 2 * f0) <= 0.2 * f0), 0) AS h2, coalesce(sum(p) FILTER (WHERE abs(f - 3 * f0) <= 0.3 * f0), 0) AS h3
+  FROM s JOIN d USING (sample_id) WHERE ky + kx > 0 GROUP BY sample_id)
+SELECT sample_id, {r("h2 / (p0 + 1e-8)")} AS second, {r("h3 / (p0 + 1e-8)")} AS third, {r("sqrt(h2 + h3) / (sqrt(p0) + 1e-8)")} AS distortion, {r("p0 / (whole + 1e-8)")} AS purity FROM h""",
+)
+
+
+def _blocks_sql(size: int) -> str:
+    """Entropy of the power of means of blocks of an 8 x 8 grid."""
+    side = 8 // size
+    return f"""b{size} AS (SELECT sample_id, y // {size} AS y, x // {size} AS x, avg(v) AS v FROM p GROUP BY ALL),
+f{size} AS (SELECT sample_id, ky, kx, (pow(sum(v * cos(2 * pi() * (ky * y + kx * x) / {side})), 2) + pow(sum(v * sin(2 * pi() * (ky * y + kx * x) / {side})), 2)) / {side * side} AS p
+  FROM b{size}, range({side}) s(ky), range({side // 2 + 1}) t(kx) GROUP BY ALL),
+m{size} AS (SELECT sample_id, -sum(q * ln(q + 1e-10)) AS multiscale_{size} FROM (SELECT sample_id, p / (sum(p) OVER (PARTITION BY sample_id) + 1e-8) AS q FROM f{size}) GROUP BY sample_id)"""
+
+
+kernel_query(
+    "grid_entropies", G.entropies((2, 4)),
+    f"""WITH {_DFT}, e AS (SELECT sample_id, least(-sum(q * ln(q + 1e-10)), 10) AS spectral_entropy FROM (SELECT sample_id, p / (sum(p) OVER (PARTITION BY sample_id) + 1e-8) AS q FROM s) GROUP BY sample_id),
+z AS (SELECT sample_id, y * 8 + x AS i, v - avg(v) OVER (PARTITION BY sample_id) AS z FROM p),
+l AS (SELECT sample_id, k, pow(sum(z * cos(2 * pi() * k * i / 64)), 2) + pow(sum(z * sin(2 * pi() * k * i / 64)), 2) AS p FROM z, range(33) r(k) GROUP BY ALL),
+n AS (SELECT sample_id, -sum(q * ln(q + 1e-10)) AS line_entropy FROM (SELECT sample_id, p / (sum(p) OVER (PARTITION BY sample_id) + 1e-8) AS q FROM l) GROUP BY sample_id),
+a AS (SELECT sample_id, sum(z * z) + 1e-8 AS c0, sum(z * z2) AS c2, sum(z * z3) AS c3 FROM (SELECT *, lead(z, 2) OVER w AS z2, lead(z, 3) OVER w AS z3 FROM z WINDOW w AS (PARTITION BY sample_id ORDER BY i)) GROUP BY sample_id),
+{_blocks_sql(2)}, {_blocks_sql(4)}
+SELECT sample_id, {r("spectral_entropy")} AS spectral_entropy, {r("line_entropy")} AS line_entropy, {r("-ln((abs(c3 / c0) + 1e-8) / (abs(c2 / c0) + 1e-8))", 5)} AS acf_entropy, {r("multiscale_2")} AS multiscale_2, {r("multiscale_4")} AS multiscale_4
+FROM e JOIN n USING (sample_id) JOIN a USING (sample_id) JOIN m2 USING (sample_id) JOIN m4 USING (sample_id)""",
+    finish={"acf_entropy": 5},
+)
+kernel_query("grid_ranks", G.RANKS)
+kernel_query(
+    "grid_correlation_structure", G.CORRELATION_STRUCTURE,
+    f"""WITH {_P}, z AS (SELECT sample_id, y, x, v - avg(v) OVER (PARTITION BY sample_id) AS z FROM p),
+a AS (SELECT a.sample_id, (b.y - a.y + 8) % 8 AS y, (b.x - a.x + 8) % 8 AS x, sum(a.z * b.z) AS c FROM z a JOIN z b USING (sample_id) GROUP BY ALL),
+n AS (SELECT sample_id, y, x, c / (max(c) FILTER (WHERE y = 0 AND x = 0) OVER (PARTITION BY sample_id) + 1e-8) AS c, round_even(sqrt(pow(least(y, 8 - y), 2) + pow(least(x, 8 - x), 2)), 0) AS rad FROM a),
+g AS (SELECT sample_id, rad, avg(c) AS c FROM n GROUP BY ALL), l AS (SELECT sample_id, coalesce(min(rad) FILTER (WHERE c < exp(-1.0)), count(*)) AS len FROM g GROUP BY sample_id),
+x AS (SELECT sample_id, (abs(max(c) FILTER (WHERE y = 1 AND x = 0)) + 1e-8) / (abs(max(c) FILTER (WHERE y = 0 AND x = 1)) + 1e-8) AS ratio FROM n GROUP BY sample_id),
+f AS (SELECT sample_id, ky, kx, pow(sum(z * cos(2 * pi() * (ky * y + kx * x) / 8)), 2) + pow(sum(z * sin(2 * pi() * (ky * y + kx * x) / 8)), 2) AS p FROM z, range(8) s(ky), range(8) t(kx) GROUP BY ALL),
+s AS (SELECT sample_id, round_even(sqrt(pow(least(ky, 8 - ky), 2) + pow(least(kx, 8 - kx), 2)), 0) AS rad, avg(p) AS p FROM f WHERE ky + kx > 0 GROUP BY ALL), t AS (SELECT sample_id, max(p) AS top FROM s GROUP BY sample_id)
+SELECT sample_id, {r("any_value(len)")} AS correlation_length, {r("any_value(ratio)")} AS axis_ratio, {r("arg_max(rad, p)")} AS structure_peak, {r("max(p)")} AS structure_value,
+  {r("sum(CASE WHEN p >= top / 2 THEN 1.0 ELSE 0.0 END)")} AS structure_width, {r("sum(p)")} AS structure_integral FROM s JOIN t USING (sample_id) JOIN l USING (sample_id) JOIN x USING (sample_id) GROUP BY sample_id""",
+)
+kernel_query(
+    "grid_frequency_index", G.POWER_LAW,
+    f"""WITH {_DFT}, l AS (SELECT sample_id, greatest(least(-regr_slope(ln(p + 1e-8), ln(f)), 5), -5) AS power_law FROM s WHERE f > 0 GROUP BY sample_id),
+m AS (SELECT sample_id, max(p) AS top FROM s GROUP BY sample_id),
+i AS (SELECT sample_id, min(ky * 5 + kx) FILTER (WHERE p >= top * (1 - 1e-9)) / 40 AS dominant, sum(p * (ky * 5 + kx)) / (sum(p) + 1e-8) / 40 AS centroid FROM s JOIN m USING (sample_id) GROUP BY sample_id)
+SELECT sample_id, {r("power_law")} AS power_law, {r("dominant")} AS dominant_index, {r("centroid")} AS index_centroid FROM l JOIN i USING (sample_id)""",
+)
+
+
+def low_sql(source: str, target: str) -> str:
+    """The cells of a grid blurred by a Gaussian of deviation 1, zero outside."""
+    return f"""{target} AS (SELECT a.sample_id, a.y, a.x, sum(b.v * exp(-0.5 * (pow(a.y - b.y, 2) + pow(a.x - b.x, 2)))) / pow((SELECT sum(exp(-0.5 * k * k)) FROM range(-3, 4) r(k)), 2) AS v
+  FROM {source} a JOIN {source} b ON a.sample_id = b.sample_id AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY ALL)"""
+
+
+#: low: blurred cells of p; h: the rest.
+LOW_SQL = f"{low_sql('p', 'low')}, h AS (SELECT sample_id, y, x, p.v - low.v AS v FROM p JOIN low USING (sample_id, y, x))"
+
+
+def _pyramid_sql() -> str:
+    level = lambda k, big, low: f"""n{k} AS (SELECT sample_id, y // 2 AS y, x // 2 AS x, v FROM {low} WHERE y % 2 = 0 AND x % 2 = 0),
+r{k} AS (SELECT b.sample_id, avg(pow(b.v - n.v, 2)) AS e, stddev_samp(b.v - n.v) AS c FROM {big} b JOIN n{k} n ON n.sample_id = b.sample_id AND n.y = b.y // 2 AND n.x = b.x // 2 GROUP BY b.sample_id)"""
+    return f"""WITH {_P}, {LOW_SQL}, {level(1, "p", "low")}, {low_sql("n1", "low2")}, {level(2, "n1", "low2")},
+e AS (SELECT sample_id, sum(v * v) AS low FROM low GROUP BY sample_id), g AS (SELECT sample_id, sum(v * v) AS high FROM h GROUP BY sample_id)
+SELECT sample_id, {r("low")} AS low_energy, {r("high")} AS high_energy, {r("r1.e")} AS pyramid_energy_1, {r("r1.c")} AS pyramid_contrast_1, {r("r2.e")} AS pyramid_energy_2, {r("r2.c")} AS pyramid_contrast_2
+FROM e JOIN g USING (sample_id) JOIN r1 USING (sample_id) JOIN r2 USING (sample_id)"""
+
+
+kernel_query("grid_scales", G.scales(2), _pyramid_sql())
+kernel_query("grid_components", G.COMPONENTS)
+
+
+def _box_sql(source: str, target: str, reach: int, pick: str) -> str:
+    """Smallest or largest value of each cell's box; outside the grid, values are zero."""
+    least = f"CASE WHEN count(*) < {(2 * reach + 1) ** 2} THEN {pick}({'min' if pick == 'least' else 'max'}(b.v), 0) ELSE {'min' if pick == 'least' else 'max'}(b.v) END"
+    return f"{target} AS (SELECT a.sample_id, a.y, a.x, {least} AS v FROM {source} a JOIN {source} b ON a.sample_id = b.sample_id AND abs(a.y - b.y) <= {reach} AND abs(a.x - b.x) <= {reach} GROUP BY ALL)"
+
+
+def _granulometry_sql(widths: tuple[int, ...] = (3, 5, 7, 9)) -> str:
+    steps = ["b AS (SELECT sample_id, y, x, CASE WHEN v > avg(v) OVER (PARTITION BY sample_id) THEN 1.0 ELSE 0.0 END AS v FROM p)", "a1 AS (SELECT sample_id, sum(v) AS a FROM b GROUP BY sample_id)"]
+    for k in widths:
+        steps += [_box_sql("b", f"e{k}", k // 2, "least"), _box_sql(f"e{k}", f"o{k}", k // 2, "greatest"), f"a{k} AS (SELECT sample_id, sum(v) AS a FROM o{k} GROUP BY sample_id)"]
+    lost = [f"greatest(a{p}.a - a{k}.a, 0)" for p, k in zip((1, *widths), widths, strict=False)]
+    weighed = lambda f: " + ".join(f"{c} * {f(k)}" for c, k in zip(lost, widths, strict=True))
+    joined = " ".join(f"JOIN a{k} USING (sample_id)" for k in widths)
+    return f"""WITH {_P}, {", ".join(steps)}, w AS (SELECT sample_id, {" + ".join(lost)} + 1e-8 AS w, {weighed(lambda k: k)} AS s, {weighed(lambda k: k * k)} AS q FROM a1 {joined})
+SELECT sample_id, {r("s / w")} AS size_mean, {r("sqrt(greatest(q / w - pow(s / w, 2), 0))")} AS size_std FROM w"""
+
+
+kernel_query("grid_granulometry", G.granulometry(), _granulometry_sql())
+kernel_query(
+    "grid_clusters", G.CLUSTERS,
+    f"""WITH {_P}, m AS (SELECT sample_id, median(v) AS md FROM p GROUP BY sample_id), b AS (SELECT sample_id, y, x, CASE WHEN v > md THEN 1.0 ELSE 0.0 END AS v FROM p JOIN m USING (sample_id)),
+{_box_sql("b", "i", 1, "least")}, xi AS (SELECT sample_id, y, x, p.v * i.v AS v FROM p JOIN i USING (sample_id, y, x)), {_box_sql("xi", "hi", 1, "greatest")}, {_box_sql("b", "wide", 5, "greatest")},
+c AS (SELECT sample_id, count(*) FILTER (WHERE i.v > 0 AND xi.v >= hi.v) AS n FROM i JOIN xi USING (sample_id, y, x) JOIN hi USING (sample_id, y, x) GROUP BY sample_id),
+a AS (SELECT sample_id, sum(wide.v) AS w, sum(b.v) AS b FROM wide JOIN b USING (sample_id, y, x) GROUP BY sample_id)
+SELECT sample_id, {r("ln(1 + n)")} AS clusters, {r("least(w / (b + 1e-8), 1)")} AS largest_fraction FROM c JOIN a USING (sample_id)""",
+)
+kernel_query("channel_eigenvalues", G.channel_eigen())
+kernel_query(
+    "channel_coherence", G.coherence(),
+    f"""WITH c AS (SELECT vec_id AS sample_id, i // 16 AS c, i % 16 AS p, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)),
+f AS (SELECT sample_id, c, k, sum(v * cos(2 * pi() * k * p / 16)) AS re, -sum(v * sin(2 * pi() * k * p / 16)) AS im FROM c, range(9) s(k) GROUP BY ALL),
+q AS (SELECT sample_id, a.c, k, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, a.re * a.re + a.im * a.im AS p, b.re * b.re + b.im * b.im AS q FROM f a JOIN f b USING (sample_id, k) WHERE b.c = a.c + 1),
+t AS (SELECT x.sample_id, x.c, x.k, (pow(x.re + y.re, 2) + pow(x.im + y.im, 2)) / ((x.p + y.p) * (x.q + y.q) + 1e-8) AS coh FROM q x JOIN q y ON x.sample_id = y.sample_id AND x.c = y.c AND y.k = x.k + 1),
+k AS (SELECT sample_id, arg_max(k, m) AS peak FROM (SELECT sample_id, k, avg(coh) AS m FROM t GROUP BY ALL) GROUP BY sample_id)
+SELECT sample_id, {r("avg(coh)")} AS coherence_mean, {r("max(coh)")} AS coherence_max, {r("any_value(peak)")} AS coherence_peak FROM t JOIN k USING (sample_id) GROUP BY sample_id""",
+)
 
 
 @query(
@@ -175,28 +281,20 @@ SELECT label, {r("avg(low)")} AS low, {r("avg(mid)")} AS mid, {r("avg(high)")} A
 )
 def spectral_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean share of power by band for each label, and whether the high band holds at least half."""
-
-    def bands(x):
-        p = G.power(x)
-        f = G._frequencies(*x.shape[1:])[2]
-        share = lambda m: (p * m).sum(axis=(1, 2)) / p.sum(axis=(1, 2))
-        return {"low": share(f < 0.05), "mid": share((f >= 0.05) & (f < 0.15)), "high": share(f >= 0.15)}
-
-    shares = G.map_grids(R.fields(spark, sf_dir), ["sample_id", "label"], bands, G.doubles("low", "mid", "high"))
+    shares = G.measure(R.fields(spark, sf_dir), ["sample_id", "label"], G.BANDS)
     out = shares.groupBy("label").agg(*[F.avg(c).alias(c) for c in ("low", "mid", "high")])
     return rounded(out.withColumn("isolated", F.col("high") >= 0.5), ["label"])
 
 
-@query("ensemble_spectrum")
+@query(
+    "ensemble_spectrum",
+    f"WITH {_DFT} SELECT label AS sample_id, ky * 5 + kx AS k, {r('avg(log10(p + 1e-10))')} AS log_power FROM s JOIN embeddings ON s.sample_id = vec_id GROUP BY ALL",
+)
 def ensemble_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log10 power of each label's realizations at every frequency."""
-    import numpy as np
-
-    logs = G.map_grids(
-        R.ensemble_fields(spark, sf_dir), ["sample_id"], lambda x: {"log_power": np.log10(G.power(x) + 1e-10).reshape(len(x), -1)}, {"log_power": "array<double>"}
-    )
-    flat = logs.select("sample_id", F.posexplode("log_power").alias("k", "v"))
-    return rounded(flat.groupBy("sample_id", "k").agg(F.avg("v").alias("log_power")), ["sample_id", "k"])
+    spectra = G.transformed(G.checked(R.ensemble_fields(spark, sf_dir), ["sample_id"]), G.POWER)
+    flat = spectra.select("key.sample_id", F.posexplode("power").alias("k", "p"))
+    return rounded(flat.groupBy("sample_id", "k").agg(F.avg(F.log10(F.col("p") + 1e-10)).alias("log_power")), ["sample_id", "k"])
 
 
 @query("ensemble_pca_modes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridstat.functions import sizes as Z
 from gridstat.functions import stats as S
 from gridstat.operators import matrix as M
 from gridstat.plans.descriptive import rounded
@@ -46,7 +47,13 @@ def variance_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.variance_mask(dirty(spark, sf_dir))
 
 
-@query("informativeness")
+@query(
+    "informativeness",
+    f"""{with_relations("features")}, q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi, count(*) AS total FROM features GROUP BY feature),
+d AS (SELECT feature, value, q1, q3, total, least(floor((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 25), 24) AS bin FROM features JOIN q USING (feature)),
+n AS (SELECT feature, bin, count(*) AS n, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS o, any_value(q3 - q1) AS iqr, any_value(total) AS total FROM d GROUP BY feature, bin)
+SELECT feature, {r("-sum(n / total * ln(n / total)) * any_value(iqr) * (1 - sum(o) / any_value(total))")} AS informativeness FROM n GROUP BY feature""",
+)
 def informativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.informativeness(R.features(spark, sf_dir)), ["feature"])
 
@@ -234,6 +241,28 @@ def centred_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.centred_discrepancy(_points(spark, sf_dir), ["a", "b", "c"]), [])
 
 
+_SUMS = {
+    "WD": ("-pow(4.0 / 3, 3)", "0", "1.0", "(1.5 - abs(x.{d} - y.{d}) * (1 - abs(x.{d} - y.{d})))"),
+    "MD": (
+        "pow(19.0 / 12, 3)", "-2.0", "(5.0 / 3 - 0.25 * abs({d} - 0.5) - 0.25 * pow({d} - 0.5, 2))",
+        "(15.0 / 8 - 0.25 * abs(x.{d} - 0.5) - 0.25 * abs(y.{d} - 0.5) - 0.75 * abs(x.{d} - y.{d}) + 0.5 * pow(x.{d} - y.{d}, 2))",
+    ),
+    "L2-star": ("1.0 / 27", "-0.25", "(1 - {d} * {d})", "(1 - greatest(x.{d}, y.{d}))"),
+}
+
+
+def _discrepancy_sql(method: str) -> str:
+    constant, factor, point, pair = _SUMS[method]
+    one, two = (" * ".join(t.format(d=d) for d in "abc") for t in (point, pair))
+    n = "(SELECT count(*) FROM pts)"
+    out = f"{constant} + {factor} / {n} * (SELECT sum({one}) FROM pts) + (SELECT sum({two}) FROM pts x, pts y) / pow({n}, 2)"
+    return f"WITH {_POINTS} SELECT {r(f'sqrt({out})' if method == 'L2-star' else out)} AS discrepancy"
+
+
+for _name, _method in (("wraparound_discrepancy", "WD"), ("modified_discrepancy", "MD"), ("star_discrepancy", "L2-star")):
+    query(_name, _discrepancy_sql(_method))(lambda spark, sf_dir, method=_method: rounded(M.discrepancy(_points(spark, sf_dir), ["a", "b", "c"], method), []))
+
+
 @query(
     "coverage_uniformity",
     f"""WITH {_POINTS}, b AS (SELECT least(floor(a * 4), 3) AS a, least(floor(b * 4), 3) AS b, least(floor(c * 4), 3) AS c, count(*) AS n FROM pts GROUP BY 1, 2, 3), t AS (SELECT sum(n) / 64.0 AS e FROM b)
@@ -251,7 +280,17 @@ def min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.min_distance(_points(spark, sf_dir), ["a", "b", "c"]), [])
 
 
-@query("sample_quality")
+_ROOT = "sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2))"
+
+
+@query(
+    "sample_quality",
+    f"""WITH {_POINTS}, q AS (SELECT *, row_number() OVER () AS i FROM pts), b AS (SELECT count(*) AS n FROM pts GROUP BY least(floor(a * 4), 3), least(floor(b * 4), 3), least(floor(c * 4), 3)), t AS (SELECT sum(n) / 64.0 AS e FROM b),
+o AS (SELECT pow(13.0 / 12, 3) - 2.0 / (SELECT count(*) FROM pts) * (SELECT sum({_factor("a")} * {_factor("b")} * {_factor("c")}) FROM pts) + (SELECT sum({_pair("a")} * {_pair("b")} * {_pair("c")}) FROM pts x, pts y) / pow((SELECT count(*) FROM pts), 2) AS discrepancy,
+  (SELECT greatest(abs(corr(a, b)), abs(corr(a, c)), abs(corr(b, c)), 0) FROM pts) AS max_correlation, (SELECT sum(pow(n - e, 2) / e) + (64 - count(*)) * any_value(e) FROM b, t) AS chi_square,
+  (SELECT min({_ROOT}) FROM q x JOIN q y ON x.i < y.i) AS min_distance)
+SELECT {r("discrepancy")} AS discrepancy, {r("max_correlation")} AS max_correlation, {r("chi_square")} AS chi_square, {r("min_distance")} AS min_distance, discrepancy <= 0.01 AND max_correlation <= 0.05 AS passed FROM o""",
+)
 def sample_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.sample_quality(_points(spark, sf_dir), ["a", "b", "c"], 4), ["passed"])
 
@@ -349,17 +388,91 @@ def category_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "topographic_similarity",
-    f"""{_TOKENS}, s AS (SELECT vec_id, embedding, code FROM tokens JOIN embeddings USING (vec_id) ORDER BY vec_id LIMIT 1000), v AS (SELECT code, list(e ORDER BY feature) AS vec FROM codebook GROUP BY code),
+    f"""{_TOKENS}, s AS (SELECT vec_id, embedding, code FROM tokens JOIN embeddings USING (vec_id)), v AS (SELECT code, list(e ORDER BY feature) AS vec FROM codebook GROUP BY code),
 w AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS x, vec FROM s JOIN v USING (code))
 SELECT {r("corr(list_distance(a.x, b.x), list_distance(a.vec, b.vec))")} AS similarity FROM w a JOIN w b ON a.vec_id < b.vec_id""",
 )
 def topographic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of distances between vectors and between their codes, over pairs of the operator's sample."""
+    """Correlation of distances between vectors and between their codes, over all pairs."""
     book = R.codebook(spark, sf_dir).withColumnRenamed("vec", "entry")
     t = _tokens(spark, sf_dir).join(book, "code").select(F.col("vec_id").alias("id"), "vec", "entry")
     return rounded(M.distance_agreement(t, "vec", "entry"), [])
 
 
+_SIZES = """k AS (SELECT DISTINCT 4 * p_size AS dim, CAST(power(10, p_partkey % 5 + 2) AS BIGINT) AS n FROM part), b AS (SELECT dim, n, floor(log2(dim) * 7) AS base FROM k),
+t AS (SELECT dim, n, CAST(CASE WHEN n > 1000 THEN greatest(floor(base / 4) * 4, least(28, greatest(5, floor(sqrt(n / 1000) * 4.8)))) ELSE floor(base / 4) * 4 END AS INT) AS tokens_0,
+  CAST(greatest(6, floor(base / 2)) AS INT) AS tokens_1, CAST(greatest(6, floor(base / 4)) AS INT) AS tokens_2 FROM b)"""
+
+
+def _own_dims(k: int) -> str:
+    return f"(ceil(dim * (1 + 0.8 * pow(dim / 100, 0.7)) / {2**k} * greatest(1, log2(tokens_{k}) / 20) / 4) * 4)"
+
+
+def _category_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions and numbers of samples to size for."""
+    part = R.table(spark, sf_dir, "part")
+    return part.select((4 * F.col("p_size")).alias("dim"), F.pow(F.lit(10), F.col("p_partkey") % 5 + 2).cast("long").alias("n")).distinct()
+
+
+@query("default_tokens", f"WITH {_SIZES} SELECT dim, n, tokens_0, tokens_1, tokens_2 FROM t")
+def default_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default numbers of tokens of three levels."""
+    made = Z.default_tokens(F.col("dim"), F.col("n"))
+    return _category_sizes(spark, sf_dir).select("dim", "n", *[c.alias(f"tokens_{k}") for k, c in enumerate(made)])
+
+
+@query(
+    "default_dims",
+    f"""WITH {_SIZES}, l0 AS (SELECT *, CASE WHEN n > 1000 THEN greatest(least(64, greatest(8, ceil(log10(n) * 12 / 4) * 4)), {_own_dims(0)}) ELSE greatest(8, {_own_dims(0)}) END AS d0, greatest(8, {_own_dims(1)}) AS o1, greatest(8, {_own_dims(2)}) AS o2 FROM t),
+l1 AS (SELECT *, CASE WHEN o1 >= d0 THEN greatest(d0 - 4, floor(d0 / 2), 4) ELSE o1 END AS d1 FROM l0), l2 AS (SELECT *, CASE WHEN o2 >= d1 THEN greatest(d1 - 4, floor(d1 / 2), 4) ELSE o2 END AS d2 FROM l1)
+SELECT dim, n, CAST(d0 AS INT) AS dims_0, CAST(d1 AS INT) AS dims_1, CAST(d2 AS INT) AS dims_2, CAST(greatest(4, ceil(dim * 0.4 / 4) * 4) AS INT) AS by_ratio FROM l2""",
+)
+def default_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default lengths of vectors of three levels, and one by a given ratio."""
+    dim, n = F.col("dim"), F.col("n")
+    made = Z.default_dims(dim, Z.default_tokens(dim, n), n)
+    return _category_sizes(spark, sf_dir).select("dim", "n", *[c.alias(f"dims_{k}") for k, c in enumerate(made)], Z.dims_by_ratio(dim, [F.lit(0.4)])[0].alias("by_ratio"))
+
+
+def _picked(score: str, table: list, k: int) -> str:
+    (a, x), (b, y), (_, z) = table
+    return f"CASE WHEN {score} > {a} THEN {x[k]} WHEN {score} > {b} THEN {y[k]} ELSE {z[k]} END"
+
+
+@query(
+    "compression_ratios",
+    f"""{with_relations("features")}, v AS (SELECT feature // 16 AS g, feature, var_pop(value * (1 + feature // 16)) AS v FROM features GROUP BY ALL), s AS (SELECT g, least(greatest(median(v) * 10, 0), 1) AS variance, log10(count(*) + 1) / log10(101) AS dimensions FROM v GROUP BY g)
+SELECT g, {", ".join(f"CAST({_picked('variance', Z.BY_VARIANCE, k)} AS DOUBLE) AS by_variance_{k}, CAST({_picked('dimensions', Z.BY_DIMENSIONS, k)} AS DOUBLE) AS by_dimensions_{k}" for k in range(3))} FROM s""",
+)
+def compression_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of three levels for each category of features, by its variance and by its number of features."""
+    f = R.features(spark, sf_dir).withColumn("g", F.expr("feature div 16").cast("int"))
+    v = f.groupBy("g", "feature").agg(F.var_pop(F.col("value") * (1 + F.col("g"))).alias("v"))
+    s = v.groupBy("g").agg(S.clipped(F.median("v") * 10, F.lit(0.0), F.lit(1.0)).alias("variance"), (F.log10(F.count("*") + 1) / F.log10(F.lit(101.0))).alias("dimensions"))
+    none = F.lit(0.0)
+    made = {n: Z.adaptive_ratios(strategy, F.col("variance"), F.col("dimensions"), none, none) for n, strategy in (("by_variance", "variance"), ("by_dimensions", "dimensionality"))}
+    return s.select("g", *[c.alias(f"{n}_{k}") for n, cs in made.items() for k, c in enumerate(cs)])
+
+
+@query("adaptive_ratios")
+def adaptive_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each category of features and the balanced ratios that they give."""
+    f = R.features(spark, sf_dir).withColumn("g", F.expr("feature div 16").cast("int"))
+    scores = M.category_scores(f, "g")
+    made = Z.adaptive_ratios("balanced", *[F.col(c) for c in ("variance", "dimensions", "information", "correlation")])
+    out = scores.select("g", *[S.rounded(c).alias(c) for c in ("variance", "dimensions", "information", "correlation")], *[c.alias(f"ratio_{k}") for k, c in enumerate(made)])
+    return out
+
+
+@query(
+    "outlier_counts",
+    f"""{with_relations("features")}, m AS (SELECT feature, median(value) AS med FROM features GROUP BY feature), a AS (SELECT feature, any_value(med) AS med, median(abs(value - med)) AS mad FROM features JOIN m USING (feature) GROUP BY feature)
+SELECT feature, count(*) FILTER (WHERE abs(value - med) > 3 * mad) AS outliers FROM features JOIN a USING (feature) GROUP BY feature""",
+)
+def outlier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.outlier_counts(R.features(spark, sf_dir))
+
+
 @query(
     "codebook_orthogonality",
     f"""{with_relations("codebook")}, v AS (SELECT code, list(e ORDER BY feature) AS vec FROM codebook GROUP BY code) SELECT {r("avg(pow(list_cosine_similarity(a.vec, b.vec), 2))")} AS mean_squared_cosine FROM v a JOIN v b ON a.code <> b.code""",
