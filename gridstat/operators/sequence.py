@@ -65,33 +65,43 @@ def time_to_event(df: DataFrame, keys: list[str], factors: list[float]) -> DataF
 
 
 def rolling(df: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Mean, deviation and extremes of full windows of a share of each sequence (two rows at least)."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"))
-    packed = packed.withColumn("s", F.transform("s", lambda e: e["y"])).withColumn("w", F.greatest(F.lit(2), F.floor(F.size("s") * share)).cast("int"))
-    packed = packed.where(F.size("s") >= F.col("w"))
-    starts = F.sequence(F.lit(1), F.size("s") - F.col("w") + 1)
-    flat = packed.select(*keys, "w", F.explode(F.transform(starts, lambda i: F.slice("s", i, F.col("w")))).alias("part"))
-    total = F.aggregate("part", F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate("part", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m")))
-    flat = flat.withColumn("m", total / F.col("w")).withColumn("sd", F.sqrt(squares / (F.col("w") - 1)))
+    """Mean, deviation and extremes of full windows of a share of each sequence (two rows at least).
+
+    Rows are cut into blocks of a window's length; a window is the end of one block
+    and the beginning of the next, so running sums and extremes within blocks give
+    every window, and a long sequence is dealt out block by block.
+    """
+    whole = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("mu")).withColumn("w", F.greatest(F.lit(2), F.floor(F.col("n") * share)).cast("int"))
+    d = df.withColumn("i", F.row_number().over(ordered(keys)) - 1).join(whole, keys).where("n >= w")
+    d = d.select(*keys, "i", "n", "w", "mu", "y", (F.col("y") - F.col("mu")).alias("z"), F.floor(F.col("i") / F.col("w")).alias("block"))
+    block = Window.partitionBy(*keys, "block").orderBy("i")
+    stats = {"s": (F.sum, F.col("z")), "q": (F.sum, F.col("z") * F.col("z")), "hi": (F.max, F.col("y")), "lo": (F.min, F.col("y"))}
+    frames = {"to": block.rowsBetween(Window.unboundedPreceding, 0), "from": block.rowsBetween(0, Window.unboundedFollowing)}
+    d = d.withColumns({f"{side}_{c}": f(x).over(w) for side, w in frames.items() for c, (f, x) in stats.items()})
+    last = d.select(*keys, (F.col("i") - F.col("w") + 1).alias("i"), *[f"to_{c}" for c in stats])
+    both = d.where("i <= n - w").drop(*[f"to_{c}" for c in stats]).join(last, [*keys, "i"])
+    alone = F.col("i") % F.col("w") == 0  # a window that is a block
+    joined = {"s": lambda a, b: a + b, "q": lambda a, b: a + b, "hi": F.greatest, "lo": F.least}
+    one = {c: F.when(alone, F.col(f"to_{c}")).otherwise(f(F.col(f"from_{c}"), F.col(f"to_{c}"))) for c, f in joined.items()}
+    flat = both.select(*keys, "w", "mu", *[x.alias(c) for c, x in one.items()])
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("w"), F.lit(0.0)) / (F.col("w") - 1))
+    flat = flat.select(*keys, (F.col("mu") + F.col("s") / F.col("w")).alias("m"), spread.alias("sd"), "hi", "lo")
     return flat.groupBy(*keys).agg(
-        F.avg("m").alias("mean"), F.avg("sd").alias("std"), F.avg(F.array_max("part")).alias("max"), F.avg(F.array_min("part")).alias("min"),
+        F.avg("m").alias("mean"), F.avg("sd").alias("std"), F.avg("hi").alias("max"), F.avg("lo").alias("min"),
         F.stddev_samp("m").alias("std_of_means"), F.stddev_samp("sd").alias("std_of_stds"),
     )
 
 
 def autocorrelation(df: DataFrame, keys: list[str], lags: int) -> DataFrame:
     """Biased autocorrelation (sums over the overlap, divided by the sum of squares) for lags 0 to `lags`, a row a lag."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"), F.avg("y").alias("mu"))
-    packed = packed.withColumn("z", F.transform("s", lambda e: e["y"] - F.col("mu")))
-    n = F.size("z")
-
-    def product(k: Column) -> Column:
-        both = F.zip_with(F.slice("z", F.lit(1), n - k), F.slice("z", k + 1, n - k), lambda a, b: a * b)
-        return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
-
-    flat = packed.select(*keys, "z", F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), n - 1))).alias("lag"))
-    return flat.select(*keys, "lag", (product(F.col("lag")) / (product(F.lit(0)) + EPS)).alias("acf"))
+    w = ordered(keys)
+    mean = df.groupBy(*keys).agg(F.avg("y").alias("mu"))
+    d = df.join(mean, keys).withColumn("z", F.col("y") - F.col("mu"))
+    d = d.withColumns({f"l{k}": F.lag("z", k).over(w) for k in range(1, lags + 1)})
+    products = [F.sum(F.col("z") * F.col("z")), *[F.sum(F.col("z") * F.col(f"l{k}")) for k in range(1, lags + 1)]]
+    sums = d.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*products).alias("c"))
+    flat = sums.select(*keys, "n", F.get("c", F.lit(0)).alias("c0"), F.posexplode("c").alias("lag", "s")).where("lag < n")
+    return flat.select(*keys, "lag", (F.col("s") / (F.col("c0") + EPS)).alias("acf"))
 
 
 def decay_time(acf: DataFrame, keys: list[str], lags: int) -> DataFrame:
@@ -226,11 +236,14 @@ def blend(df: DataFrame, keys: list[str], policy: str, dt: float | None = None,
     A missing dt is 0.01 and a missing alpha 0.5; a given zero stays zero.
     """
     dt, alpha = 0.01 if dt is None else dt, 0.5 if alpha is None else alpha
-    rules = {
-        "autoregressive": lambda x, o: o, "residual": lambda x, o: x + dt * o, "convex": lambda x, o: alpha * x + (1 - alpha) * o,
+    whole = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    d = df.withColumn("i", F.row_number().over(ordered(keys)) - 1).join(whole, keys)
+    first, after = F.col("i") == 0, F.col("n") - 1 - F.col("i")
+    # What each row adds to the last state: the fold, written out.
+    weight = {
+        "autoregressive": F.when(after == 0, F.lit(1.0)).otherwise(F.lit(0.0)), "residual": F.when(first, F.lit(1.0)).otherwise(F.lit(dt)),
+        "convex": F.pow(F.lit(float(alpha)), after) * F.when(first, F.lit(1.0)).otherwise(F.lit(1 - alpha)),
     }
-    if policy not in rules:
-        raise ValueError(f"no policy {policy!r}; there are {sorted(rules)}")
-    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"))
-    values = F.transform("s", lambda e: e["y"])
-    return s.select(*keys, F.aggregate(F.slice(values, F.lit(2), F.size("s")), F.get(values, F.lit(0)), rules[policy]).alias("state"))
+    if policy not in weight:
+        raise ValueError(f"no policy {policy!r}; there are {sorted(weight)}")
+    return d.groupBy(*keys).agg(F.sum(F.col("y") * weight[policy]).alias("state"))
