@@ -30,7 +30,7 @@ from gridstat.llm.common import crc_mod, hash_share, map_arrow, materialize, rea
 
 SAMPLE_ROWS = 20_000  # labelled rows to learn from, about
 CALIBRATION = 0.3  # share of them kept for calibration
-FEATURES = 256  # random Fourier features
+FEATURES = 512  # random Fourier features
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations of the statistics
 RIDGE = 1.0
 THRESHOLD = 0.7
