@@ -170,6 +170,12 @@ def smoothed(g: Grid, sigma: float = 1.0) -> Column:
     return box(g, 2 * k + 1, lambda values: dot(values, weigh))
 
 
+def padded(g: Grid, size: int) -> Column:
+    """The grid in the middle of a size x size one, zero around (the odd row and column come last); as it is if it is as large already."""
+    top, left = (F.floor((F.lit(size) - n) / 2).cast("int") for n in (g.h, g.w))
+    return F.when((g.h >= size) & (g.w >= size), g.data).otherwise(cells(F.lit(size), F.lit(size), lambda y, x: g.near(y - top, x - left)))
+
+
 def block_means(g: Grid, size: int) -> Column:
     """Means of size x size blocks (a rest at the edge is left out); an empty array for a smaller grid."""
     span = range(size)

@@ -180,9 +180,17 @@ def mad_stats(df: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, by: list[str] = ["feature"], ddof: int = 1) -> DataFrame:  # noqa: B006
     """z-scores; a deviation below 1e-8 counts as 1."""
+    return apply_standard(df, standard_stats(df, by, ddof), by)
+
+
+def standard_stats(df: DataFrame, by: list[str] = ["feature"], ddof: int = 1) -> DataFrame:  # noqa: B006
+    """(by, mu, sd): what z-scores need, to be kept and applied to other rows."""
     sd = (F.stddev_samp if ddof else F.stddev_pop)("value")
-    s = df.groupBy(*by).agg(F.avg("value").alias("mu"), F.when(sd < EPS, F.lit(1.0)).otherwise(sd).alias("sd"))
-    return df.join(s, by).withColumn("value", (F.col("value") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
+    return df.groupBy(*by).agg(F.avg("value").alias("mu"), F.when(sd < EPS, F.lit(1.0)).otherwise(sd).alias("sd"))
+
+
+def apply_standard(df: DataFrame, stats: DataFrame, by: list[str] = ["feature"]) -> DataFrame:  # noqa: B006
+    return df.join(stats, by).withColumn("value", (F.col("value") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
 
 
 def robust(df: DataFrame) -> DataFrame:
@@ -392,19 +400,21 @@ def category_scores(df: DataFrame, category: str, components: int = 5) -> DataFr
 # --- codes
 
 
-def assign_codes(vectors: DataFrame, codebook: DataFrame, vector: str = "vec") -> DataFrame:
-    """Nearest code of each vector and its distance; the lowest code among ties.
+def assign_codes(vectors: DataFrame, codebook: DataFrame, vector: str = "vec", by: list[str] | None = None) -> DataFrame:
+    """Nearest code of each vector and its distance; the lowest code among ties. With `by`, each group of rows has a codebook of its own.
 
-    The codebook is a bounded model (MAX_CODES rows, checked); it is broadcast as
-    one array, and each row finds its code alone: no shuffle.
+    The codebooks are a bounded model (MAX_CODES rows, checked); they are broadcast
+    as one array a group, and each row finds its code alone: no shuffle.
     """
     n = codebook.count()
     if n > MAX_CODES:
         raise ValueError(f"{n} codes; at most {MAX_CODES}")
-    one = codebook.agg(F.array_sort(F.collect_list(F.struct(F.col("code"), F.col("vec").alias("e")))).alias("codes"))
+    keys = by or []
+    books = codebook.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("code"), F.col("vec").alias("e")))).alias("codes"))
     dist = lambda c: F.struct(S.euclidean(F.col(vector), c["e"]).alias("distance"), c["code"].alias("code"))
     best = F.array_min(F.transform("codes", dist))
-    return vectors.join(F.broadcast(one)).withColumn("best", best).drop("codes").select("*", F.col("best.code").alias("code"), F.col("best.distance").alias("distance")).drop("best")
+    both = vectors.join(F.broadcast(books), keys) if keys else vectors.join(F.broadcast(books))
+    return both.withColumn("best", best).drop("codes").select("*", F.col("best.code").alias("code"), F.col("best.distance").alias("distance")).drop("best")
 
 
 MAX_CODES = 65_536
@@ -467,8 +477,13 @@ def block_pairs(df: DataFrame, id: str, blocks: int = 8) -> DataFrame:
 
 def distance_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of distances in two spaces over all pairs i < j of rows (id, a, b): quadratic by definition, dealt over tasks."""
-    sizes = df.select(F.size(a), F.size(b)).first() or (None, None)
-    pairs = block_pairs(df.select("id", a, b), "id")
-    return pairs.agg(
-        F.corr(S.euclidean(F.col(f"x.{a}"), F.col(f"y.{a}"), sizes[0]), S.euclidean(F.col(f"x.{b}"), F.col(f"y.{b}"), sizes[1])).alias("similarity")
-    )
+    return distance_agreements(df, {"similarity": (a, b)})
+
+
+def distance_agreements(df: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """Several such correlations in one pass over the pairs: {name: (space, space)}."""
+    spaces = sorted({c for pair in named.values() for c in pair})
+    sizes = df.select(*[F.size(c).alias(c) for c in spaces]).first()
+    dist = {c: S.euclidean(F.col(f"x.{c}"), F.col(f"y.{c}"), sizes[c] if sizes else None) for c in spaces}
+    pairs = block_pairs(df.select("id", *spaces), "id").select(*[d.alias(c) for c, d in dist.items()])
+    return pairs.agg(*[F.corr(a, b).alias(name) for name, (a, b) in named.items()])

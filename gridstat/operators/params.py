@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,6 @@ def decode(u: Column, spec: dict) -> Column:
         return F.rint(spec["lo"] + u * (spec["hi"] - spec["lo"])).cast("int")
     if kind == "continuous":
         if spec.get("log"):
-            import math
-
             lo, hi = math.log10(spec["lo"]), math.log10(spec["hi"])
             return F.pow(F.lit(10.0), lo + u * (hi - lo))
         return spec["lo"] + u * (spec["hi"] - spec["lo"])
@@ -55,6 +54,31 @@ def one_hot(index: Column, n: int) -> list[Column]:
     return [(index == i).cast("double") for i in range(n)]
 
 
+def feature_columns(u: dict[str, Column], spec: dict[str, dict[str, dict]]) -> dict[str, Column]:
+    """Features of decoded parameters, in the order of the spec's categories: {category: {parameter: spec of decode()}}.
+
+    A number is `category_parameter`; one on a log scale is its log10 as well, and
+    where it lies between its bounds; a choice is a column a choice, and its value
+    if choices are numbers.
+    """
+    out: dict[str, Column] = {}
+    for category, parameters in spec.items():
+        for name, own in parameters.items():
+            at, value = f"{category}_{name}", decode(u[name], own)
+            if own["kind"] == "choice":
+                if all(isinstance(c, int | float) for c in own["choices"]):
+                    out[at] = value.cast("double")
+                hot = one_hot(choice_index(u[name], own), len(own["choices"]))
+                out |= {f"{at}_{c}": h for c, h in zip(own["choices"], hot, strict=True)}
+            else:
+                out[at] = value.cast("double")
+                if own.get("log"):
+                    lo, hi = math.log10(own["lo"]), math.log10(own["hi"])
+                    out[f"{at}_log"] = F.log10(value + 1e-10)
+                    out[f"{at}_score"] = F.least(F.greatest((F.log10(value + 1e-10) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
+    return out
+
+
 def stratum(u: Column, strata: int) -> Column:
     return F.least(F.greatest(F.floor(u * strata), F.lit(0)), F.lit(strata - 1)).cast("int")
 

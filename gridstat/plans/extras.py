@@ -99,8 +99,5 @@ def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", "label", "category", F.slice("v", F.col("category") * 16 + 1, F.lit(16)).alias("vec"))
     flat = parts.select("label", "category", F.posexplode("vec").alias("p", "x")).groupBy(F.col("label").alias("code"), "category", "p").agg(F.avg("x").alias("e"))
     books = flat.groupBy("code", "category").agg(F.array_sort(F.collect_list(F.struct("p", "e"))).alias("s")).select("code", "category", F.transform("s", lambda e: e["e"]).alias("vec"))
-    found = [M.assign_codes(parts.where(F.col("category") == c), books.where(F.col("category") == c).drop("category")) for c in range(4)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    out = M.assign_codes(parts.drop("label"), books, by=["category"])
     return out.select("vec_id", "category", "code")

@@ -399,6 +399,20 @@ def topographic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.distance_agreement(t, "vec", "entry"), [])
 
 
+@query(
+    "topology_breakdown",
+    f"""{_TOKENS}, s AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS x, code FROM tokens JOIN embeddings USING (vec_id)), v AS (SELECT code, list(e ORDER BY feature) AS vec FROM codebook GROUP BY code),
+w AS (SELECT vec_id, x, x[1:32] AS z, vec FROM s JOIN v USING (code)), q AS (SELECT list_distance(a.x, b.x) AS i, list_distance(a.z, b.z) AS l, list_distance(a.vec, b.vec) AS c FROM w a JOIN w b ON a.vec_id < b.vec_id)
+SELECT {r("corr(i, l)")} AS before_codes, {r("corr(l, c)")} AS after_codes, {r("corr(i, c)")} AS end_to_end, {r("corr(i, l) - corr(l, c)")} AS degradation FROM q""",
+)
+def topology_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of distances from input to latent (the first half of a vector), from latent to code, and from input to code."""
+    book = R.codebook(spark, sf_dir).withColumnRenamed("vec", "entry")
+    t = _tokens(spark, sf_dir).join(book, "code").select(F.col("vec_id").alias("id"), "vec", F.slice("vec", 1, 32).alias("latent"), "entry")
+    out = M.distance_agreements(t, {"before_codes": ("vec", "latent"), "after_codes": ("latent", "entry"), "end_to_end": ("vec", "entry")})
+    return rounded(out.withColumn("degradation", F.col("before_codes") - F.col("after_codes")), [])
+
+
 _SIZES = """k AS (SELECT DISTINCT 4 * p_size AS dim, CAST(power(10, p_partkey % 5 + 2) AS BIGINT) AS n FROM part), b AS (SELECT dim, n, floor(log2(dim) * 7) AS base FROM k),
 t AS (SELECT dim, n, CAST(CASE WHEN n > 1000 THEN greatest(floor(base / 4) * 4, least(28, greatest(5, floor(sqrt(n / 1000) * 4.8)))) ELSE floor(base / 4) * 4 END AS INT) AS tokens_0,
   CAST(greatest(6, floor(base / 2)) AS INT) AS tokens_1, CAST(greatest(6, floor(base / 4)) AS INT) AS tokens_2 FROM b)"""

@@ -60,6 +60,55 @@ def architecture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A space of parameters, by category.
+SPACE = {
+    "architecture": {
+        "num_layers": {"kind": "integer", "lo": 2, "hi": 8}, "base_channels": {"kind": "integer", "lo": 16, "hi": 64}, "kernel_size": {"kind": "choice", "choices": [3, 5, 7]},
+        "activation": {"kind": "choice", "choices": ["relu", "gelu", "silu"]}, "dropout": {"kind": "continuous", "lo": 0.0, "hi": 0.5},
+    },
+    "stochastic": {
+        "noise_scale": {"kind": "continuous", "lo": 1e-4, "hi": 1.0, "log": True}, "schedule": {"kind": "choice", "choices": ["constant", "annealing"], "weights": [0.75, 0.25]},
+        "correlation": {"kind": "continuous", "lo": 0.0, "hi": 0.2}, "noise": {"kind": "choice", "choices": ["gaussian", "laplace"]},
+    },
+    "operator": {"normalization": {"kind": "choice", "choices": ["none", "batch", "layer"]}, "grid_size": {"kind": "choice", "choices": [64, 128, 256]}},
+    "evolution": {
+        "policy": {"kind": "choice", "choices": ["autoregressive", "residual", "convex"], "weights": [0.2, 0.5, 0.3]}, "dt": {"kind": "continuous", "lo": 1e-3, "hi": 0.1, "log": True},
+        "alpha": {"kind": "continuous", "lo": 0.1, "hi": 0.9},
+    },
+}
+
+
+def _space_sql() -> str:
+    columns = []
+    for k, (category, name, own) in enumerate((c, n, o) for c, ps in SPACE.items() for n, o in ps.items()):
+        at, u = f"{category}_{name}", f"((CAST(embedding[{k + 1}] AS DOUBLE) + 1) / 2)"
+        if own["kind"] == "choice":
+            n = len(own["choices"])
+            edges = [sum(own["weights"][: i + 1]) for i in range(n - 1)] if "weights" in own else [i / n for i in range(1, n)]
+            index = f"(0{''.join(f' + CAST({u} >= {e!r} AS INT)' for e in edges)})" if "weights" in own else f"least(CAST(floor({u} * {n}) AS INT), {n - 1})"
+            if not isinstance(own["choices"][0], str):
+                columns.append(f"{r(f'CAST({own['choices']}[{index} + 1] AS DOUBLE)')} AS {at}")
+            columns += [f"{r(f'CAST({index} = {i} AS DOUBLE)')} AS {at}_{c}" for i, c in enumerate(own["choices"])]
+            continue
+        value = f"({own['lo']} + {u} * ({own['hi']} - {own['lo']}))"
+        if own["kind"] == "integer":
+            value = f"round_even({value}, 0)"
+        if own.get("log"):
+            lo, hi = f"log10({own['lo']})", f"log10({own['hi']})"
+            value = f"pow(10, {lo} + {u} * ({hi} - {lo}))"
+            columns += [f"{r(f'log10({value} + 1e-10)')} AS {at}_log", f"{r(f'least(greatest((log10({value} + 1e-10) - {lo}) / ({hi} - {lo}), 0), 1)')} AS {at}_score"]
+        columns.append(f"{r(value)} AS {at}")
+    return f"SELECT vec_id, {', '.join(columns)} FROM embeddings"
+
+
+@query("parameter_features", _space_sql())
+def parameter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every sample's decoded parameters: numbers, logs, scores and choices of all categories."""
+    names = [n for ps in SPACE.values() for n in ps]
+    u = {n: (F.col("embedding")[k].cast("double") + 1) / 2 for k, n in enumerate(names)}
+    return R.table(spark, sf_dir, "embeddings").select("vec_id", *[S.rounded(c).alias(n) for n, c in P.feature_columns(u, SPACE).items()])
+
+
 @query(
     "stratification",
     f"""WITH p AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS a, (CAST(embedding[2] AS DOUBLE) + 1) / 2 AS b, (CAST(embedding[3] AS DOUBLE) + 1) / 2 AS c FROM embeddings)
@@ -198,9 +247,9 @@ def parse_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", L.parse_ratios(F.concat_ws(":", F.col("k").cast("string"), F.lit("0.5"), F.lit("2.0"))).alias("ratios"))
 
 
-@query("base_type", "SELECT regexp_replace(replace(lower(p_name), ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_v2' ELSE '_high' END, '_(v[0-9]+|high)$', '') AS base, count(*) AS n FROM part GROUP BY 1")
+@query("base_type", "SELECT regexp_replace(replace(lower(p_name), ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_v2' WHEN p_partkey % 3 = 0 THEN '_low' WHEN p_partkey % 5 = 0 THEN '_mid' ELSE '_high' END, '_(v[0-9]+|low|mid|high)$', '') AS base, count(*) AS n FROM part GROUP BY 1")
 def base_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 2 == 0, F.lit("_v2")).otherwise(F.lit("_high")))
+    name = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 2 == 0, F.lit("_v2")).when(F.col("p_partkey") % 3 == 0, F.lit("_low")).when(F.col("p_partkey") % 5 == 0, F.lit("_mid")).otherwise(F.lit("_high")))
     return R.table(spark, sf_dir, "part").groupBy(L.base_type(name).alias("base")).agg(F.count("*").alias("n"))
 
 

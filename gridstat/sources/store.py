@@ -1,8 +1,8 @@
 """A dataset folder: tables of samples, fields and features as Parquet, in any file system that Spark knows.
 
-Tables: params, inputs (packed fields), outputs (packed trajectories), samples
-(types, policies, regimes, grid sizes), metadata (key, JSON value), and, for
-each family, features and registry. A write appends; readers push ranges of
+Tables: params, inputs (packed fields), outputs (packed trajectories), metrics
+(a row a step), samples (types, policies, regimes, grid sizes), metadata (key,
+JSON value), and, for each family, features and registry. A write appends; readers push ranges of
 sample_id and column choices down to the files.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("params", "inputs", "outputs", "samples")
+TABLES = ("params", "inputs", "outputs", "metrics", "samples")
 
 
 class DatasetWriter:
@@ -24,7 +24,10 @@ class DatasetWriter:
         self.spark, self.path, self.num_samples, self.compression = spark, path.rstrip("/"), num_samples, compression
 
     def write_batch(self, **tables: DataFrame) -> None:
-        """Append tables that hold the same samples; ids beyond the dataset's size are an error."""
+        """Append tables that hold the same samples; ids beyond the dataset's size, or written before, are an error.
+
+        `samples` or whatever comes last in TABLES is written last: a batch without it is unfinished, and readers can tell.
+        """
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise ValueError(f"no table {sorted(unknown)}; there are {TABLES}")
@@ -35,8 +38,18 @@ class DatasetWriter:
         if any(s["top"] is not None and s["top"] >= self.num_samples for s in sizes.values()):
             raise ValueError(f"the dataset has {self.num_samples} samples")
         for name, t in tables.items():
+            if self._exists(name):
+                known = self.spark.read.parquet(f"{self.path}/{name}").select("sample_id").distinct()
+                if not t.select("sample_id").distinct().join(known, "sample_id", "left_semi").isEmpty():
+                    raise ValueError(f"{name} has some of these samples already")
+        for name, t in sorted(tables.items(), key=lambda x: TABLES.index(x[0])):
             t.write.mode("append").option("compression", self.compression).parquet(f"{self.path}/{name}")
 
+    def _exists(self, name: str) -> bool:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(conf).exists(path)
+
     def write_metadata(self, values: dict) -> None:
         rows = [(k, json.dumps(v, sort_keys=True)) for k, v in values.items()]
         self.spark.createDataFrame(rows, "key string, value string").write.mode("append").parquet(f"{self.path}/metadata")
@@ -68,6 +81,10 @@ class DatasetReader:
     def get_trajectory(self, sample: int, realization: int) -> DataFrame:
         return self._table("outputs", [sample]).where(F.col("realization") == realization).orderBy("t")
 
+    def get_metrics(self, sample: int, realization: int) -> DataFrame:
+        """Metrics of a trajectory by step."""
+        return self._table("metrics", [sample]).where(F.col("realization") == realization).orderBy("t")
+
     def get_sample_columns(self, *columns: str, ids=None) -> DataFrame:
         """ic_type, policy, noise_regime, grid_size and the like."""
         return self._table("samples", ids, *columns)
@@ -99,8 +116,8 @@ class FeatureStore:
         """One table of a family; an existing one is kept unless told otherwise."""
         tagged = rows.withColumns({"family": F.lit(family), "level": F.lit(level)})
         tagged.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{self.path}/{family}/{level}")
-        names = rows.select("feature").distinct().withColumn("family", F.lit(family))
-        names.write.mode("append").parquet(f"{self.path}/registry")
+        names = rows.select("feature").distinct().withColumns({"family": F.lit(family), "level": F.lit(level)})
+        names.write.mode("overwrite").parquet(f"{self.path}/registry/table={family}.{level}")
 
     def read(self, family: str, level: str, features: list[str] | None = None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/{family}/{level}")
@@ -110,7 +127,18 @@ class FeatureStore:
         return [r["family"] for r in self.spark.read.parquet(f"{self.path}/registry").select("family").distinct().orderBy("family").collect()]
 
     def registry(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/registry").distinct()
+        """(feature, family, level) of what is there now."""
+        return self.spark.read.parquet(f"{self.path}/registry").select("feature", "family", "level").distinct()
+
+    def series(self, family: str, level: str, features: list[str] | None = None) -> DataFrame:
+        """(sample_id, feature, series): each feature's values in order of t."""
+        rows = self.read(family, level, features).groupBy("sample_id", "feature").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+        return rows.select("sample_id", "feature", F.transform("s", lambda e: e["value"]).alias("series"))
+
+    def with_inputs(self, reader: DatasetReader, levels: dict[str, str], ids=None) -> DataFrame:
+        """(sample_id, h, w, data, features): initial fields beside a map of all features of a sample, for training."""
+        rows = self.combined(levels).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("features"))
+        return reader.get_inputs(ids).select("sample_id", "h", "w", "data").join(rows, "sample_id")
 
     def combined(self, levels: dict[str, str]) -> DataFrame:
         """One matrix of several families, features named family::name, NaN as 0."""
@@ -128,6 +156,19 @@ def padded(vector: F.Column, size: int) -> F.Column:
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), size)), 1, size)
 
 
+def save_stats(stats: DataFrame, path: str, method: str) -> None:
+    """Statistics of a normalisation (a row a feature), with the method that they belong to."""
+    stats.withColumn("method", F.lit(method)).write.mode("overwrite").parquet(path)
+
+
+def load_stats(spark: SparkSession, path: str, method: str) -> DataFrame:
+    """Such statistics again; those of another method are an error."""
+    df = spark.read.parquet(path)
+    if not df.where(F.col("method") != method).isEmpty():
+        raise ValueError(f"the statistics at {path} aren't those of {method!r}")
+    return df.drop("method")
+
+
 def write_report(df: DataFrame, path: str, kind: str) -> None:
     """A report as JSON lines or CSV with a header."""
     if kind == "json":

@@ -1,15 +1,17 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridstat.operators import generators as N
-from gridstat.sources.store import DatasetReader, DatasetWriter, FeatureStore, padded, write_report
+from gridstat.functions import grids as A
+from gridstat.operators import matrix as M
+from gridstat.sources.store import DatasetReader, DatasetWriter, FeatureStore, load_stats, padded, save_stats, write_report
 
 
 def batch(spark, lo, hi):
     ids = spark.range(lo, hi).withColumnRenamed("id", "sample_id")
-    grids = N.generate(spark, "white_noise", hi, 4).where(F.col("sample_id") >= lo).drop("kind")
+    grids = ids.select("sample_id", F.lit(4).alias("h"), F.lit(4).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (i + F.col("sample_id")).cast("double")).alias("data"))
+    steps = grids.withColumns({"realization": F.lit(0), "t": F.explode(F.array(F.lit(0), F.lit(1)))})
     return {
-        "params": ids.withColumn("params", F.array(F.col("sample_id") / 10.0, F.lit(0.5))), "inputs": grids, "outputs": N.rollout(grids, 2, 1),
+        "params": ids.withColumn("params", F.array(F.col("sample_id") / 10.0, F.lit(0.5))), "inputs": grids, "outputs": steps, "metrics": steps.select("sample_id", "realization", "t", F.array_max("data").alias("top")),
         "samples": ids.withColumns({"ic_type": F.lit("noise"), "grid_size": F.lit(4)}),
     }
 
@@ -26,7 +28,9 @@ def test_dataset_round_trip(spark, tmp_path):
     assert r.get_metadata() == {"seed": 1, "grid": {"h": 4}}
     assert r.shape_info().first().asDict() == {"samples": 6, "realizations": 1, "steps": 2, "h": 4, "w": 4}
     assert r.get_sample_columns("ic_type", ids=(0, 1)).first()["ic_type"] == "noise"
-    assert r.compatible_with(r)
+    assert r.compatible_with(r) and [m["top"] for m in r.get_metrics(4, 0).collect()] == [19.0, 19.0]
+    with pytest.raises(ValueError):
+        w.write_batch(**batch(spark, 5, 6))  # written before
 
 
 def test_overflow_and_uneven_batches_are_errors(spark, tmp_path):
@@ -49,6 +53,9 @@ def test_features_round_trip(spark, tmp_path):
     s.write("spectral", "summary", rows, overwrite=True)
     s.write("temporal", "summary", rows)
     assert s.families() == ["spectral", "temporal"] and s.registry().count() == 4
+    s.write("spectral", "summary", rows.where("feature = 'a'"), overwrite=True)
+    assert s.registry().count() == 3
+    s.write("spectral", "summary", rows, overwrite=True)
     assert s.read("spectral", "summary", ["a"]).count() == 1
     both = {r["feature"]: r["value"] for r in s.combined({"spectral": "summary", "temporal": "summary"}).collect()}
     assert both == {"spectral::a": 1.0, "spectral::b": 0.0, "temporal::a": 1.0, "temporal::b": 0.0}
@@ -62,3 +69,29 @@ def test_padding_and_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     with pytest.raises(ValueError):
         write_report(spark.range(3), str(tmp_path / "x"), "xml")
+
+
+def test_series_and_inputs_beside_features(spark, tmp_path):
+    DatasetWriter(spark, str(tmp_path / "d"), 3).write_batch(**batch(spark, 0, 3))
+    s = FeatureStore(spark, str(tmp_path / "f"))
+    s.write("temporal", "steps", spark.createDataFrame([(0, 1, "a", 2.0), (0, 0, "a", 1.0), (1, 0, "a", 3.0)], "sample_id long, t int, feature string, value double"))
+    assert {r["sample_id"]: r["series"] for r in s.series("temporal", "steps").collect()} == {0: [1.0, 2.0], 1: [3.0]}
+    s.write("spectral", "summary", spark.createDataFrame([(0, "b", 4.0), (2, "b", 5.0)], "sample_id long, feature string, value double"))
+    got = {r["sample_id"]: (r["features"], len(r["data"])) for r in s.with_inputs(DatasetReader(spark, str(tmp_path / "d")), {"spectral": "summary"}).collect()}
+    assert got == {0: ({"spectral::b": 4.0}, 16), 2: ({"spectral::b": 5.0}, 16)}
+
+
+def test_statistics_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a", float(i)) for i in range(5)], "sample_id long, feature string, value double")
+    save_stats(M.standard_stats(df), str(tmp_path / "s"), "standard")
+    back = M.apply_standard(df, load_stats(spark, str(tmp_path / "s"), "standard"))
+    assert sorted(r["value"] for r in back.collect()) == pytest.approx(sorted(r["value"] for r in M.standardize(df).collect()))
+    with pytest.raises(ValueError):
+        load_stats(spark, str(tmp_path / "s"), "robust")
+
+
+def test_grids_are_padded_on_all_sides(spark):
+    df = spark.createDataFrame([(2, 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "h int, w int, data array<double>")
+    got = df.select(A.padded(A.Grid(F.col("h"), F.col("w"), F.col("data")), 4)).first()[0]
+    assert got == [0, 0, 0, 0, 1, 2, 3, 0, 4, 5, 6, 0, 0, 0, 0, 0]
+    assert df.select(A.padded(A.Grid(F.col("h"), F.col("w"), F.col("data")), 2)).first()[0] == [1, 2, 3, 4, 5, 6]
