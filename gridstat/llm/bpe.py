@@ -51,8 +51,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts, and symbols beyond so many, are not cached
-CACHED_PARTS = 400_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
-CACHED_PREFIXES = 300_000
+CACHED_PARTS = 360_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
+CACHED_PREFIXES = 240_000
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -505,11 +505,12 @@ class StreamingDecoder:
         return self.utf8.decode(b"", True)
 
 
-Entry = tuple[int, str, str, str]
+#: What encoding and decoding give for a part of text: (ids, pieces, text), each space-joined.
+Entry = tuple[str, str, str]
 
 
 class PartCache:
-    """What encoding and decoding give for parts of text: (tokens, ids, pieces, text), all space-joined."""
+    """Entries of parts of text. What is kept is one string of ids and pieces, where the text is the part itself: a third of the memory."""
 
     def __init__(self, table: MergeTable):
         self.encoder, self.decoder = StreamingEncoder(table), StreamingDecoder(table)
@@ -520,25 +521,29 @@ class PartCache:
     def _decoded(self, word: str, ids: list[int]) -> Entry:
         d = self.decoder
         d.reset()
-        text = d.text(ids) + d.finish()
-        return len(ids), " ".join(map(str, ids)), d.pieces(ids), word if text == word else text  # one string, not two
+        return " ".join(map(str, ids)), d.pieces(ids), d.text(ids) + d.finish()
+
+    def _kept(self, part: str, entry: Entry) -> Entry:
+        if len(part) <= CACHED_CHARS:
+            self.known.keep(part, f"{entry[0]}\t{entry[1]}" if entry[2] == part else entry)
+        return entry
 
     def _word(self, word: str) -> Entry:
         got = self.known.get(word) or self.known.old.get(word)
         if got is None:
-            got = self._decoded(word, self.encoder.encode_word(word))
-        return self.known.keep(word, got) if len(word) <= CACHED_CHARS else got
+            return self._kept(word, self._decoded(word, self.encoder.encode_word(word)))
+        return (*got.split("\t"), word) if type(got) is str else got
 
     def of(self, part: str) -> Entry:
         """The entry of a part that is not in the younger half of the cache."""
         got = self.known.old.get(part)
-        if got is None:
-            words = self.encoder.pattern.findall(part)
-            if len(words) == 1:
-                return self._word(words[0])
-            n, *columns = zip(*map(self._word, words), strict=True)
-            got = (sum(n), *map(" ".join, columns))
-        return self.known.keep(part, got) if len(part) <= CACHED_CHARS else got
+        if got is not None:
+            self.known.keep(part, got)
+            return (*got.split("\t"), part) if type(got) is str else got
+        words = self.encoder.pattern.findall(part)
+        if len(words) == 1:
+            return self._word(words[0])
+        return self._kept(part, tuple(map(" ".join, zip(*map(self._word, words), strict=True))))
 
     def entries(self, text: str) -> Iterator[tuple[list[Entry], bool]]:
         """Entries of the parts of a text, a chunk at a time, and whether their text goes on the one before."""
@@ -549,9 +554,11 @@ class PartCache:
                 if not goes_on:
                     decoder.reset()
                 decoder.started = False
-                yield [(len(ids), " ".join(map(str, ids)), decoder.pieces(ids), decoder.text(ids))], goes_on
+                yield [(" ".join(map(str, ids)), decoder.pieces(ids), decoder.text(ids))], goes_on
+            elif said:
+                yield [self.special[p] for p in parts], False
             else:
-                yield [self.special[p] for p in parts] if said else [known.get(p) or of(p) for p in parts], False
+                yield [((*got.split("\t"), p) if type(got) is str else got) if (got := known.get(p)) else of(p) for p in parts], False
 
 
 @functools.cache
@@ -567,9 +574,11 @@ def digest(cache: PartCache, text: str) -> tuple[int, str, str, str]:
     """Token count and SHA-256 of ids, decoded pieces and decoded text, updated as tokens become stable."""
     n, hashes, gap = 0, [hashlib.sha256() for _ in range(3)], ""
     for held, goes_on in cache.entries(text):
-        n += sum([e[0] for e in held])
-        for k, h in enumerate(hashes, 1):
-            h.update((("" if goes_on and k == 3 else gap) + " ".join([e[k] for e in held])).encode("utf-8"))
+        for k, (h, column) in enumerate(zip(hashes, zip(*held, strict=True), strict=True)):
+            said = " ".join(column)
+            if k == 0:
+                n += said.count(" ") + 1
+            h.update((said if goes_on and k == 2 else gap + said).encode("utf-8"))
         gap = " "
     return n, *(h.hexdigest() for h in hashes)
 
@@ -600,7 +609,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [
-                [int(i) for held, _ in cache.entries(t) for e in held for i in e[1].split(" ")]
+                [int(i) for held, _ in cache.entries(t) for e in held for i in e[0].split(" ")]
                 for t in texts_of(batch)
             ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["a", "b"])

@@ -36,7 +36,7 @@ ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.7  # weight of each order relative to the one above
 CERTAIN_WORDS = 25.0  # words from which a mean counts in full
 MIN_LIFT = 1.05  # the filter wants a score of so many times the chance of a guess
-CACHED_WORDS = 150_000
+CACHED_WORDS = 90_000
 
 UNKNOWN = "und"
 _LETTERS = r"\p{L}[\p{L}\p{M}]*"
