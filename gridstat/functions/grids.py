@@ -155,19 +155,62 @@ def moments(g: Grid) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(g.data) - 1), start, step)
 
 
-def box(g: Grid, size: int, pick: Callable[[Column], Column]) -> Column:
-    """pick of the values in each cell's size x size box, zero outside: by columns, then by rows (for picks that can be taken so)."""
-    reach = F.sequence(F.lit(-(size // 2)), F.lit(size // 2))
-    tall = g.cells(lambda y, x: pick(F.transform(reach, lambda i: g.near(y + i, x))))
-    return on(g.h, g.w, tall, lambda t: t.cells(lambda y, x: pick(F.transform(reach, lambda i: t.near(y, x + i)))))
+def rows_of(g: Grid) -> Column:
+    """The grid's rows: slices of its data."""
+    return F.transform(F.sequence(F.lit(0), g.h - 1), lambda y: F.slice(g.data, y * g.w + 1, g.w))
+
+
+def _moved(a: Column, n: Column, i: int, nothing: Column) -> Column:
+    """An array of n entries, moved so that each place holds the entry i places on; `nothing` where there is none."""
+    if i == 0:
+        return a
+    kept, lost = F.greatest(n - abs(i), F.lit(0)), F.least(n, F.lit(abs(i)))
+    gap = F.array_repeat(nothing, lost)
+    return F.concat(F.slice(a, F.lit(i + 1), kept), gap) if i > 0 else F.concat(gap, F.slice(a, F.lit(1), kept))
+
+
+def box(g: Grid, size: int, join: Callable[[Column, Column], Column], weights: list[float] | None = None) -> Column:
+    """The (weighted) values in each cell's size x size box, joined two by two, zero outside: along rows, then along columns.
+
+    Whole rows are moved and joined entry by entry: no positions are computed.
+    """
+    reach = list(range(-(size // 2), size // 2 + 1))
+    weigh = [None if weights is None else F.lit(v) for v in weights or reach]
+
+    def joined(parts: list[Column], entries: Callable[[Column, Column, Callable], Column], scaled: Callable[[Column, Column], Column]) -> Column:
+        parts = [p if c is None else scaled(p, c) for p, c in zip(parts, weigh, strict=True)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = entries(out, p, join)
+        return out
+
+    row_scaled = lambda r, c: F.transform(r, lambda v: v * c)
+    along = lambda row: joined([_moved(row, g.w, i, F.lit(0.0)) for i in reach], F.zip_with, row_scaled)
+
+    def across(rows: Column, empty: Column) -> Column:
+        entries = lambda a, b, f: F.zip_with(a, b, lambda p, q: F.zip_with(p, q, f))
+        return F.flatten(joined([_moved(rows, g.h, i, empty) for i in reach], entries, lambda rows, c: F.transform(rows, lambda r: row_scaled(r, c))))
+
+    return bind(across, F.transform(rows_of(g), along), F.array_repeat(F.lit(0.0), g.w))
+
+
+def lower(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def higher(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def box_sum(g: Grid, size: int) -> Column:
+    return box(g, size, lambda a, b: a + b)
 
 
 def smoothed(g: Grid, sigma: float = 1.0) -> Column:
     """Gaussian blur, zero outside; the kernel is cut at three deviations."""
     k = ceil(3 * sigma)
     weights = [exp(-0.5 * (i / sigma) ** 2) for i in range(-k, k + 1)]
-    weigh = F.array(*[F.lit(v / sum(weights)) for v in weights])
-    return box(g, 2 * k + 1, lambda values: dot(values, weigh))
+    return box(g, 2 * k + 1, lambda a, b: a + b, [v / sum(weights) for v in weights])
 
 
 def padded(g: Grid, size: int) -> Column:

@@ -28,12 +28,12 @@ Transforms = dict[str, Column]
 
 @dataclass(frozen=True)
 class Kernel:
-    """Names of measures, the struct that holds them, the transforms it reads, and arrays to be made before, one after the other."""
+    """Names of measures, the struct that holds them, the transforms it reads, and columns to be made before, each layer from those before it."""
 
     columns: list[str]
     of: Callable[[Grid, Transforms], Column]
     needs: dict[str, tuple[str, Callable[[Grid], Column]]] = field(default_factory=dict)
-    steps: dict[str, Callable[[Grid, Transforms], Column]] = field(default_factory=dict)
+    layers: list[dict[str, Callable[[Grid, Transforms], Column]]] = field(default_factory=list)
 
 
 def _struct(**values: Column) -> Column:
@@ -133,13 +133,17 @@ def measure(df: DataFrame, keys: list[str], kernels: Kernel | list[tuple[str, Ke
     named = [("", kernels)] if isinstance(kernels, Kernel) else kernels
     needs = {name: need for _, k in named for name, need in k.needs.items()}
     have = transformed(checked(df, keys), needs)
-    made = []
-    for i, (_, k) in enumerate(named):
-        own = {name: F.col(name) for name in k.needs}
-        for name, step in k.steps.items():
-            have = have.withColumn(f"step{i}_{name}", F.when(F.col("data").isNotNull(), step(Grid(F.col("h"), F.col("w"), F.col("data")), own)))
-            own[name] = F.col(f"step{i}_{name}")
-        made.append(F.when(F.col("data").isNotNull(), on(F.col("h"), F.col("w"), F.col("data"), lambda g, k=k, own=own: k.of(g, own))).alias(f"k{i}"))
+    g, good = Grid(F.col("h"), F.col("w"), F.col("data")), F.col("data").isNotNull()
+    known = [{name: F.col(name) for name in k.needs} for _, k in named]
+    for depth in range(max((len(k.layers) for _, k in named), default=0)):
+        layer = {}
+        for i, (_, k) in enumerate(named):
+            for name, step in (k.layers[depth] if depth < len(k.layers) else {}).items():
+                layer[f"k{i}_{name}"] = F.when(good, step(g, known[i]))
+        have = have.select("*", *[c.alias(name) for name, c in layer.items()])
+        for i, (_, k) in enumerate(named):
+            known[i] |= {name: F.col(f"k{i}_{name}") for name in (k.layers[depth] if depth < len(k.layers) else {})}
+    made = [F.when(good, on(g.h, g.w, g.data, lambda q, k=k, own=known[i]: k.of(q, own))).alias(f"k{i}") for i, (_, k) in enumerate(named)]
     out = have.select("key", *made)
     return out.select("key.*", *[F.col(f"k{i}.{c}").alias(f"{p}{c}") for i, (p, k) in enumerate(named) for c in k.columns])
 
@@ -307,13 +311,13 @@ def haar(levels: int = 4) -> Kernel:
         every = F.concat(quarter(q, (-1, 1, -1)), quarter(q, (1, -1, -1)), quarter(q, (-1, -1, 1)))
         return bind(lambda v: _struct(energy=A.mean_of(v, _square), mean=A.mean_of(v, F.abs), std=A.deviation(v)), every)
 
-    steps = {}
-    for k in range(1, levels):
-        steps[f"low_{k}"] = lambda g, t, k=k: level(g, t, k, lambda q: quarter(q, (1, 1, 1)))
-    for k in range(1, levels + 1):
-        steps[f"details_{k}"] = lambda g, t, k=k: level(g, t, k, details)
+    def layer(k: int) -> dict:
+        own = {f"details_{k}": lambda g, t: level(g, t, k, details)}
+        return own if k == levels else own | {f"low_{k}": lambda g, t: level(g, t, k, lambda q: quarter(q, (1, 1, 1)))}
+
     return Kernel(
-        [f"{n}_{k}" for k in range(1, levels + 1) for n in names], lambda g, t: _struct(**{f"{n}_{k}": t[f"details_{k}"][n] for k in range(1, levels + 1) for n in names}), {}, steps
+        [f"{n}_{k}" for k in range(1, levels + 1) for n in names], lambda g, t: _struct(**{f"{n}_{k}": t[f"details_{k}"][n] for k in range(1, levels + 1) for n in names}), {},
+        [layer(k) for k in range(1, levels + 1)],
     )
 
 
@@ -370,7 +374,7 @@ SYMMETRY = Kernel(["symmetry"], _symmetry)
 
 
 #: Correlation of each cell with the mean of its 3 x 3 box (zero outside).
-CLUSTERING = Kernel(["clustering"], lambda g, t: _struct(clustering=F.coalesce(A.correlation(g.data, A.box(g, 3, A.mean)), F.lit(0.0))))
+CLUSTERING = Kernel(["clustering"], lambda g, t: _struct(clustering=F.coalesce(A.correlation(g.data, F.transform(A.box_sum(g, 3), lambda v: v / 9)), F.lit(0.0))))
 
 
 # --- spectra
@@ -586,19 +590,19 @@ def scales(levels: int = 4) -> Kernel:
 
         return bind(lambda r: _struct(energy=A.mean_of(r, _square), contrast=A.deviation(r)), before(g, t, k, of))
 
-    steps: dict[str, Callable[[Grid, Transforms], Column]] = {"low": lambda g, t: A.smoothed(g)}
-    for k in range(1, levels + 1):
-        if k > 1:
-            steps[f"low_{k}"] = lambda g, t, k=k: before(g, t, k, A.smoothed)
-        steps[f"small_{k}"] = lambda g, t, k=k: thinned(g, t, k)
-        steps[f"rest_{k}"] = lambda g, t, k=k: rest(g, t, k)
+    def small_and_rest(k: int) -> list[dict]:
+        following = {} if k == levels else {f"low_{k + 1}": lambda g, t: before(g, t, k + 1, A.smoothed)}
+        return [{f"small_{k}": lambda g, t: thinned(g, t, k)}, {f"rest_{k}": lambda g, t: rest(g, t, k)} | following]
 
     def out(g: Grid, t: Transforms) -> Column:
         high = F.zip_with(g.data, t["low"], lambda a, b: a - b)
         pyramid = {f"pyramid_{n}_{k}": t[f"rest_{k}"][n] for k in range(1, levels + 1) for n in ("energy", "contrast")}
         return _struct(low_energy=A.sum_of(t["low"], _square), high_energy=A.sum_of(high, _square), **pyramid)
 
-    return Kernel(["low_energy", "high_energy", *(f"pyramid_{n}_{k}" for k in range(1, levels + 1) for n in ("energy", "contrast"))], out, {}, steps)
+    return Kernel(
+        ["low_energy", "high_energy", *(f"pyramid_{n}_{k}" for k in range(1, levels + 1) for n in ("energy", "contrast"))], out, {},
+        [{"low": lambda g, t: A.smoothed(g)}, *(layer for k in range(1, levels + 1) for layer in small_and_rest(k))],
+    )
 
 
 # --- shapes
@@ -626,7 +630,7 @@ def granulometry(widths: tuple[int, ...] = (3, 5, 7, 9)) -> Kernel:
 
     def of(g: Grid, t: Transforms) -> Column:
         def opened(b: Grid, k: int) -> Column:
-            return A.total(on(b.h, b.w, A.box(b, k, F.array_min), lambda e: A.box(e, k, F.array_max)))
+            return A.total(on(b.h, b.w, A.box(b, k, A.lower), lambda e: A.box(e, k, A.higher)))
 
         def lost(*areas: Column) -> Column:
             return F.array(*[F.greatest(a - c, F.lit(0.0)) for a, c in zip(areas, areas[1:], strict=False)])
@@ -649,11 +653,11 @@ def granulometry(widths: tuple[int, ...] = (3, 5, 7, 9)) -> Kernel:
 def _clusters(g: Grid, t: Transforms) -> Column:
     def of(b: Grid) -> Column:
         def peaks(inner: Column, x: Grid) -> Column:
-            highest = A.box(x, 3, F.array_max)
+            highest = A.box(x, 3, A.higher)
             return A.total(F.zip_with(inner, F.zip_with(x.data, highest, lambda a, c: a >= c), lambda i, p: F.when((i > 0) & p, F.lit(1.0)).otherwise(F.lit(0.0))))
 
-        found = bind(lambda inner: on(g.h, g.w, F.zip_with(g.data, inner, lambda a, i: a * i), lambda x: peaks(inner, x)), A.box(b, 3, F.array_min))
-        wide = A.total(A.box(b, 11, F.array_max))
+        found = bind(lambda inner: on(g.h, g.w, F.zip_with(g.data, inner, lambda a, i: a * i), lambda x: peaks(inner, x)), A.box(b, 3, A.lower))
+        wide = A.total(A.box(b, 11, A.higher))
         return _struct(clusters=F.log1p(found), largest_fraction=F.least(wide / (A.total(b.data) + EPS), F.lit(1.0)))
 
     return on(g.h, g.w, _above(g.data, A.median(g.data)), of)
