@@ -8,11 +8,31 @@ from pyspark.sql import functions as F
 from gridstat.functions import stats as S
 from gridstat.operators import descriptive as D
 from gridstat.operators import extractors as E
+from gridstat.operators import grid as G
 from gridstat.operators import recurrence as C
-from gridstat.plans.descriptive import rounded
-from gridstat.plans.registry import query
+from gridstat.plans import grid as _grid  # noqa: F401  registers the SQL that this module puts together
+from gridstat.plans.descriptive import MOMENTS_SQL, rounded
+from gridstat.plans.registry import ORACLE_SQL, query
 from gridstat.sources import relations as R
 
+_PARTS = ["moran", "centroid_distance", "information", "symmetry", "initial_morphology", "clusters", "frequency_index"]
+
+
+def _initial_sql(prefix: str) -> str:
+    """The family as its own queries side by side; on 8 x 8 cells there is a single patch of eight, and no variance of patches."""
+    names = [c for kernel in E.get_family("initial") for c in kernel.columns]
+    columns = ", ".join(f"{'CAST(NULL AS DOUBLE)' if c == 'local_variance' else c} AS {prefix}{c}" for c in names)
+    parts = " JOIN ".join(f"({ORACLE_SQL[f'grid_{n}']}) AS {n}_part" + (" USING (sample_id)" if i else "") for i, n in enumerate(_PARTS))
+    return f"SELECT sample_id, {columns} FROM {parts}"
+
+
+def _aligned_sql() -> str:
+    moments = ", ".join(f'"{c}" AS moments__{c}' for c in ("mean", "variance", "std", "min", "max", "range", "skewness", "kurtosis"))
+    spectral = ", ".join(f"{c} AS spectral__spectral__{c}" for c in G.SPECTRAL.columns)
+    families = [f"(SELECT sample_id, {moments} FROM ({MOMENTS_SQL}))", f"({_initial_sql('initial__initial__')})", f"(SELECT sample_id, {spectral} FROM ({ORACLE_SQL['grid_spectral']}))"]
+    return f"SELECT * FROM {families[0]} AS a JOIN {families[1]} AS b USING (sample_id) JOIN {families[2]} AS c USING (sample_id)"
+
+
 @query("series_nonlinear")
 def series_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.nonlinear(R.user_series(spark, sf_dir)), ["sample_id"])
@@ -26,16 +46,16 @@ def summary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "feature", *[S.rounded(c, 5).alias(c) for c in ("mean", "std", "cv")])
 
 
-@query("initial_features")
+@query("initial_features", _initial_sql("initial__"))
 def initial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.extract(R.fields(spark, sf_dir), ["sample_id"], ["initial"]), ["sample_id"], 5)
+    return rounded(E.extract(R.fields(spark, sf_dir), ["sample_id"], ["initial"]), ["sample_id"])
 
 
-@query("aligned_families")
+@query("aligned_families", _aligned_sql())
 def aligned_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three families side by side by sample."""
     f = R.fields(spark, sf_dir)
     moments = D.moments(R.cells(spark, sf_dir), ["sample_id"])
     initial, spectral = (E.extract(f, ["sample_id"], [x]) for x in ("initial", "spectral"))
     both = E.align({"moments": moments, "initial": initial, "spectral": spectral})
-    return rounded(both, ["sample_id"], 5)
+    return both.select("sample_id", *[S.rounded(c, 5 if c in ("moments__skewness", "moments__kurtosis") else 6).alias(c) for c in both.columns if c != "sample_id"])

@@ -9,7 +9,7 @@ from gridstat.plans import catalogue
 
 NAMES = sorted(catalogue.queries())
 #: Queries with measures that need larger grids than those of the tables.
-OPEN = {"summary_features", "initial_features", "aligned_families"}
+OPEN = {"summary_features"}
 
 
 @pytest.mark.parametrize("name", NAMES)
