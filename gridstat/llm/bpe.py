@@ -51,8 +51,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts, and symbols beyond so many, are not cached
-CACHED_PARTS = 360_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
-CACHED_PREFIXES = 240_000
+CACHED_PARTS = 300_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
+CACHED_PREFIXES = 200_000
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -567,6 +567,11 @@ def cache_of(path: str) -> PartCache:
     return PartCache(MergeTable(path))
 
 
+def drop_kept() -> None:
+    """Forget what this worker process keeps for later tasks."""
+    cache_of.cache_clear()
+
+
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
 
 

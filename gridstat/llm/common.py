@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,7 +60,10 @@ def map_arrow(
     out = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_what_others_keep(owner)
         one = fn()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -78,6 +82,14 @@ def map_arrow(
     return df.mapInArrow(typed, out)
 
 
+def _drop_what_others_keep(owner: str) -> None:
+    """A worker process keeps the tables and caches of one operator at a time: those of the task that it works on."""
+    for name in ("bpe", "decontaminate", "token_counts"):
+        module = sys.modules.get(f"{__package__}.{name}")
+        if module is not None and module.__name__ != owner:
+            module.drop_kept()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch: texts may be long, and a batch is held whole."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -210,6 +210,11 @@ def _automaton(shared, window: int) -> SuffixAutomaton:
     return _HELD[name]
 
 
+def drop_kept() -> None:
+    """Forget what this worker process keeps for later tasks."""
+    _HELD.clear()
+
+
 MATCHES = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
 
 

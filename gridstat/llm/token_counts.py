@@ -249,6 +249,11 @@ def counter_of(ranks_path: str, pattern: str) -> Counter:
     return Counter(ranks_path, pattern)
 
 
+def drop_kept() -> None:
+    """Forget what this worker process keeps for later tasks."""
+    counter_of.cache_clear()
+
+
 OUT = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, encoded_chars long, edited_sha256 string"
 
 
