@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten text operators and their queries.
+"""Operators of a training-data pipeline: thirteen text operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """

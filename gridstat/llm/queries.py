@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstat.llm import bpe, chat, decontaminate, langid, pii, quality, simhash, token_counts, toxicity, winnow
+from gridstat.llm import bpe, chat, decontaminate, divergence, langid, pii, quality, simhash, token_counts, toxicity, winnow
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_winnow": winnow.op10_winnow,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLE_SQL = {
     "op1_pii": pii.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
