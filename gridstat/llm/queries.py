@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstat.llm import bpe, chat, decontaminate, divergence, langid, pii, quality, repair, simhash, token_counts, toxicity, winnow
+from gridstat.llm import bpe, chat, decontaminate, divergence, langid, mixture, pii, quality, repair, simhash, token_counts, toxicity, winnow
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_winnow": winnow.op10_winnow,
     "op11_divergence": divergence.op11_divergence,
+    "op12_mixture": mixture.op12_mixture,
     "op13_repair": repair.op13_repair,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_mixture": mixture.OP12_SQL,
     "op13_repair": repair.OP13_SQL,
 }
