@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridstat.plans import registry
 
-MODULES = ["descriptive", "sequence", "grid", "matrix", "selection", "dynamics", "extras"]
+MODULES = ["descriptive", "sequence", "grid", "matrix", "selection", "dynamics", "extras", "codes"]
 for _m in MODULES:
     importlib.import_module(f"gridstat.plans.{_m}")
 
