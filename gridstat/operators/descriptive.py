@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.functions.grids import EPS, bind
+from gridstat.operators import ranks as K
 
 
 def moments(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
@@ -20,16 +21,15 @@ def moments(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    q = F.percentile(v, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = df.groupBy(*keys).agg(q.alias("q"))
+    out = K.quantiles(df, keys, v, [0.05, 0.25, 0.5, 0.75, 0.95])
     return out.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], (F.col("q")[3] - F.col("q")[1]).alias("iqr"))
 
 
 def median_absolute_deviation(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    """Lower median of distances from the lower median, within the packed group."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(v)).alias("s"))
-    mid = lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
-    return packed.select(*keys, mid(F.array_sort(F.transform("s", lambda x: F.abs(x - mid(F.col("s")))))).alias("mad"))
+    """Lower median of distances from the lower median, for groups of any size."""
+    middle = K.lower_medians(df, keys, v).select(*keys, F.col("q")[0].alias("_middle"))
+    apart = df.join(middle, keys).select(*keys, F.abs(F.col(v) - F.col("_middle")).alias("_apart"))
+    return K.lower_medians(apart, keys, "_apart").select(*keys, F.col("q")[0].alias("mad"))
 
 
 def histogram(df: DataFrame, keys: list[str], v: str = "v", bins: int = 16) -> DataFrame:
@@ -52,8 +52,8 @@ def floor_entropy(df: DataFrame, keys: list[str], v: str = "v", bins: int = 32)
 
 def outlier_clip(df: DataFrame, v: str, multiplier: float = 10.0, keys: list[str] | None = None) -> DataFrame:
     """Values held within the quartiles plus or minus a multiple of their distance, over the table or groups of it."""
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = df.groupBy(*(keys or [])).agg(q.alias("q"), F.count(v).alias("n"))
+    bounds, n = K.quantiles(df, keys or [], v, [0.25, 0.75]), df.groupBy(*(keys or [])).agg(F.count(v).alias("n"))
+    bounds = bounds.join(n, keys) if keys else bounds.join(F.broadcast(n))
     span = (F.col("q")[1] - F.col("q")[0]) * multiplier
     bounds = bounds.select(*(keys or []), (F.col("q")[0] - span).alias("lo"), (F.col("q")[1] + span).alias("hi"), "n")
     joined = df.join(bounds, keys) if keys else df.join(F.broadcast(bounds))  # without keys: one row

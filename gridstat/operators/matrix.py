@@ -16,6 +16,7 @@ from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.functions.stats import EPS
 from gridstat.operators import grid as G
+from gridstat.operators import ranks as K
 
 MAX_FEATURES = 2_000  # of a matrix whose correlations are grouped on the driver
 
@@ -131,7 +132,8 @@ def informativeness(df: DataFrame, bins: int | None = 25) -> DataFrame:
 
     Without a number of bins, there is one for every twenty values, fifty at most.
     """
-    q = df.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
+    ends = df.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
+    q = K.quantiles(df, ["feature"], "value", [0.25, 0.75]).join(ends, "feature")
     q = q.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "lo", "hi", "total")
     d = df.join(q, "feature").withColumn("iqr", F.col("q3") - F.col("q1"))
     n_bins = F.lit(bins) if bins else F.greatest(F.lit(1), F.least(F.lit(50), F.floor(F.col("total") / 20)))
@@ -143,16 +145,16 @@ def informativeness(df: DataFrame, bins: int | None = 25) -> DataFrame:
 
 def fill_missing(df: DataFrame) -> DataFrame:
     """NaN and null replaced by the feature's median."""
-    med = df.groupBy("feature").agg(F.median(valid()).alias("med"))
+    med = K.quantiles(df.select("feature", valid().alias("value")), ["feature"], "value", [0.5]).select("feature", F.col("q")[0].alias("med"))
     return df.join(med, "feature").withColumn("value", F.coalesce(valid(), F.col("med"))).drop("med")
 
 
 def cap(df: DataFrame, strategy: str, k: float | None = None) -> DataFrame:
     """Values held within bounds of their feature: percentiles 0.5 and 99.5, quartiles, or deviations from the median."""
     if strategy == "percentile":
-        b = df.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q")).select("feature", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+        b = K.quantiles(df, ["feature"], "value", [0.005, 0.995]).select("feature", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     elif strategy == "iqr":
-        b = df.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        b = K.quantiles(df, ["feature"], "value", [0.25, 0.75])
         span = (F.col("q")[1] - F.col("q")[0]) * (1.5 if k is None else k)
         b = b.select("feature", (F.col("q")[0] - span).alias("lo"), (F.col("q")[1] + span).alias("hi"))
     elif strategy == "mad":
@@ -174,8 +176,9 @@ def outlier_counts(df: DataFrame, k: float = 3.0) -> DataFrame:
 
 def mad_stats(df: DataFrame) -> DataFrame:
     """(feature, med, mad): median and median distance from it."""
-    med = df.groupBy("feature").agg(F.median("value").alias("med"))
-    return df.join(med, "feature").groupBy("feature").agg(F.first("med").alias("med"), F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    med = K.quantiles(df, ["feature"], "value", [0.5]).select("feature", F.col("q")[0].alias("med"))
+    apart = df.join(med, "feature").select("feature", F.abs(F.col("value") - F.col("med")).alias("apart"))
+    return med.join(K.quantiles(apart, ["feature"], "apart", [0.5]).select("feature", F.col("q")[0].alias("mad")), "feature")
 
 
 def standardize(df: DataFrame, by: list[str] = ["feature"], ddof: int = 1) -> DataFrame:  # noqa: B006
@@ -318,53 +321,138 @@ def correlation_matrix(df: DataFrame) -> tuple[list, np.ndarray]:
     return names, m
 
 
-def ward(distance: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k groups by Ward's linkage (Lance-Williams updates), numbered by their first member."""
+def linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Ward's merges in order of their height: (a member of one group, a member of the other, height, size).
+
+    A chain of nearest neighbours is followed until two groups are each other's nearest; they merge (Lance-Williams
+    updates of squared distances) and the chain goes on from what is left of it. Each step looks at one row, so all
+    merges cost the square of the number of features. Ties go to the lowest number.
+    """
     n = len(distance)
     d = distance.astype(float) ** 2
     np.fill_diagonal(d, np.inf)
-    size, member = np.ones(n), [[i] for i in range(n)]
-    alive = np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)), d.shape)
-        total = size[i] + size[j] + size
-        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
+    size, alive = np.ones(n), np.ones(n, bool)
+    merges: list[tuple[int, int, float, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            at = chain[-1]
+            near = int(np.argmin(d[at]))
+            if len(chain) > 1 and d[at, chain[-2]] <= d[at, near]:
+                near = chain[-2]
+            if len(chain) > 1 and near == chain[-2]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        total = size[i] + size[j]
+        merges.append((i, j, float(np.sqrt(max(d[i, j], 0.0))), int(total)))
+        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (total + size)
         alive[j] = False
-        size[i] += size[j]
-        member[i] += member[j]
-    labels = np.zeros(n, int)
-    for g, i in enumerate(sorted(np.flatnonzero(alive), key=lambda i: min(member[i]))):
-        labels[member[i]] = g
-    return labels
+        new[~alive], new[i] = np.inf, np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] = total
+    return sorted(merges, key=lambda m: m[2])  # a group's height is never below its parts'
+
+
+def cut(merges: list[tuple[int, int, float, int]], k: int) -> np.ndarray:
+    """Labels of k groups, numbered by their first member."""
+    n = len(merges) + 1
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j, _, _ in merges[: max(0, n - k)]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a  # the first member stands for its group
+    first: dict[int, int] = {}
+    return np.array([first.setdefault(find(i), len(first)) for i in range(n)])
+
+
+def ward(distance: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k groups by Ward's linkage."""
+    return cut(linkage(distance), k)
+
+
+def _sums_by_group(distance: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed distances of each member to each group, and the groups' sizes."""
+    member = np.equal.outer(labels, np.arange(labels.max() + 1)).astype(float)
+    return distance @ member, member.sum(axis=0)
 
 
 def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette of a grouping."""
-    scores = []
-    for i in range(len(labels)):
-        own = (labels == labels[i]) & (np.arange(len(labels)) != i)
-        if not own.any():
-            scores.append(0.0)
-            continue
-        a = distance[i, own].mean()
-        b = min(distance[i, labels == g].mean() for g in set(labels) - {labels[i]})
-        scores.append((b - a) / max(a, b, 1e-12))
-    return float(np.mean(scores))
-
-
-def feature_groups(df: DataFrame, k: int | None = None, least: int = 2, most: int = 12) -> DataFrame:
-    """(feature, group): Ward groups on 1 - |correlation|; without k, the number with the best silhouette."""
+    """Mean silhouette of a grouping; a member alone in its group scores 0."""
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, 0.0)
+    sums, size = _sums_by_group(d, labels)
+    rows = np.arange(len(labels))
+    own = size[labels]
+    a = sums[rows, labels] / np.maximum(own - 1, 1)
+    other = sums / size
+    other[rows, labels] = np.inf
+    b = other.min(axis=1)
+    return float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
+
+
+def spread_within(distance: np.ndarray, labels: np.ndarray) -> float:
+    """Sum of distances between members of the same group, each pair once."""
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, 0.0)
+    return float(_sums_by_group(d, labels)[0][np.arange(len(labels)), labels].sum() / 2)
+
+
+def number_of_groups(distance: np.ndarray, merges: list, method: str = "silhouette", least: int = 2, most: int = 12) -> int:
+    """The number with the best silhouette, or (`elbow`) the one after which the spread within groups falls most."""
+    ks = range(least, min(most, len(distance) - 1) + 1)
+    if method == "silhouette":
+        return max(ks, key=lambda k: silhouette(distance, cut(merges, k)))
+    if method == "elbow":
+        spread = [spread_within(distance, cut(merges, k)) for k in ks]
+        return ks[int(np.argmax(np.abs(np.diff(spread))))] if len(spread) > 1 else ks[0]
+    raise ValueError(f"no method {method!r}; there are silhouette and elbow")
+
+
+def _distances(df: DataFrame) -> tuple[list, np.ndarray]:
     names, corr = correlation_matrix(df)
     distance = 1 - np.abs(corr)
-    if k is None:
-        k = max(range(least, min(most, len(names) - 1) + 1), key=lambda n: silhouette(distance, ward(distance, n)))
-    labels = ward(distance, k)
+    np.fill_diagonal(distance, 0.0)
+    return names, distance
+
+
+def feature_groups(df: DataFrame, k: int | None = None, least: int = 2, most: int = 12, method: str = "silhouette") -> DataFrame:
+    """(feature, group): Ward groups on 1 - |correlation|; without k, as many as the method finds best."""
+    names, distance = _distances(df)
+    merges = linkage(distance)
+    labels = cut(merges, k or number_of_groups(distance, merges, method, least, most))
     kind = df.schema["feature"].dataType.simpleString()
     return df.sparkSession.createDataFrame([(f, int(g)) for f, g in zip(names, labels, strict=True)], f"feature {kind}, group int")
 
 
+def feature_linkage(df: DataFrame) -> DataFrame:
+    """(step, a, b, height, size): the merges of features, each named by a member of either group."""
+    names, distance = _distances(df)
+    kind = df.schema["feature"].dataType.simpleString()
+    rows = [(i, names[a], names[b], h, n) for i, (a, b, h, n) in enumerate(linkage(distance))]
+    return df.sparkSession.createDataFrame(rows, f"step int, a {kind}, b {kind}, height double, size int")
+
+
+def group_counts(df: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
+    """(k, silhouette, spread, groups): how good each number of groups is, all from one linkage."""
+    names, distance = _distances(df)
+    merges = linkage(distance)
+    rows = []
+    for k in range(least, min(most, len(names) - 1) + 1):
+        labels = cut(merges, k)
+        rows.append((k, silhouette(distance, labels), spread_within(distance, labels), np.bincount(labels).tolist()))
+    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, spread double, groups array<int>")
+
+
 def group_statistics(corr: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean and largest |r| within and between groups of features."""
     g = F.broadcast(groups)  # at most MAX_FEATURES rows

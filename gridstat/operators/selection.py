@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstat.functions import stats as S
+from gridstat.operators import ranks as K
+from gridstat.sources.steps import Steps
 
 
 def top_by_total(df: DataFrame, name: str, value: str, n: int) -> DataFrame:
@@ -28,7 +30,7 @@ def tiered_sample(df: DataFrame, score: str, tiers: int, per_tier: int, id_: str
     with a rank limit that Spark applies before it deals them out.
     """
     cuts = [1 - (i + 1) / tiers for i in range(tiers - 1)]
-    bounds = df.agg(F.percentile(score, F.array(*map(F.lit, cuts))).alias("cuts"))
+    bounds = K.quantiles(df, [], score, cuts).withColumnRenamed("q", "cuts")
     tier = F.aggregate("cuts", F.lit(1), lambda s, c: s + F.when(F.col(score) < c, 1).otherwise(0))
     d = df.join(F.broadcast(bounds)).withColumn("tier", tier).drop("cuts")  # one row
     w = Window.partitionBy("tier").orderBy(F.desc(score), id_)
@@ -74,6 +76,54 @@ def drift_detectors(df: DataFrame, value: str, absolute: float, relative: float)
 # --- registries
 
 
+def joint_space(df: DataFrame, id_: str, parameters: str, features: str) -> DataFrame:
+    """(id, p, f): parameters between 0 and 1 by their ranges, features as z-scores (population); what doesn't vary is 0."""
+    sizes = df.select(F.size(parameters).alias("p"), F.size(features).alias("f")).first()
+    ends = lambda c, n, fn: F.array(*[fn(F.get(c, F.lit(i))) for i in range(n)])
+    if sizes is None:
+        return df.select(F.col(id_).alias("id"), F.col(parameters).alias("p"), F.col(features).alias("f"))
+    bounds = df.agg(
+        ends(parameters, sizes["p"], F.min).alias("lo"), ends(parameters, sizes["p"], F.max).alias("hi"), ends(features, sizes["f"], F.avg).alias("mean"), ends(features, sizes["f"], F.stddev_pop).alias("std")
+    )
+    inside = lambda x, i: F.when(F.get("hi", i) > F.get("lo", i), (x - F.get("lo", i)) / (F.get("hi", i) - F.get("lo", i))).otherwise(F.lit(0.0))
+    score = lambda x, i: F.when(F.get("std", i) > 0, (x - F.get("mean", i)) / F.get("std", i)).otherwise(F.lit(0.0))
+    return df.join(F.broadcast(bounds)).select(F.col(id_).alias("id"), F.transform(parameters, inside).alias("p"), F.transform(features, score).alias("f"))  # one row
+
+
+def diverse(df: DataFrame, k: int, first, id_: str, parameters: str, features: str, alpha: float = 0.5) -> DataFrame:
+    """(step, id, distance): greedy choice of k rows, each the farthest from those chosen before in the joint space.
+
+    A distance is alpha times that of parameters plus the rest times that of features. Each row keeps its smallest
+    distance so far in a table, so a step costs one distance a row however many were chosen; the driver holds the
+    vector chosen last. Ties go to the lowest id; with fewer rows than k all are chosen. 
+    """
+    spark = df.sparkSession
+    steps = Steps(spark)
+    space = joint_space(df, id_, parameters, features)
+    chosen: list[tuple] = []
+    near = None
+    for n in range(k):
+        if n == 0:
+            best = space.where(F.col("id") == first).select("id", "p", "f", F.lit(0.0).alias("near")).first()
+        else:
+            best = near.where("near >= 0").orderBy(F.desc("near"), "id").select("id", "p", "f", "near").first()
+        if best is None:
+            break
+        chosen.append((n, best["id"], best["near"]))
+        if n == k - 1:
+            break
+        p, f = (F.array(*map(F.lit, best[c])) for c in ("p", "f"))
+        apart = alpha * S.euclidean(F.col("p"), p, len(best["p"])) + (1 - alpha) * S.euclidean(F.col("f"), f, len(best["f"]))
+        least = apart if near is None else F.least("near", apart)
+        source = space if near is None else near
+        # What was chosen is marked by a distance below all others.
+        near = steps.write(n, source.select("id", "p", "f", F.when(F.col("id") == best["id"], F.lit(-1.0)).otherwise(least).alias("near")))
+        if n:
+            steps.files.delete(f"step-{n - 1:06d}")
+    kind = df.schema[id_].dataType.simpleString()
+    return spark.createDataFrame(chosen, f"step int, id {kind}, distance double")
+
+
 def register(df: DataFrame, name: str, order: str) -> DataFrame:
     """(name, idx): names in first-seen order with dense numbers from 0. Their number is checked: they are numbered as one array."""
     first = df.groupBy(name).agg(F.min(order).alias("seen"))

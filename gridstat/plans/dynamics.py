@@ -10,9 +10,10 @@ from gridstat.operators import descriptive as D
 from gridstat.operators import extractors as E
 from gridstat.operators import grid as G
 from gridstat.operators import recurrence as C
+from gridstat.operators import tiles as T
 from gridstat.plans import grid as _grid  # noqa: F401  registers the SQL that this module puts together
 from gridstat.plans.descriptive import MOMENTS_SQL, rounded
-from gridstat.plans.registry import ORACLE_SQL, query
+from gridstat.plans.registry import ORACLE_SQL, query, r, with_relations
 from gridstat.sources import relations as R
 
 _PARTS = ["moran", "centroid_distance", "information", "symmetry", "initial_morphology", "clusters", "frequency_index"]
@@ -38,6 +39,27 @@ def series_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.nonlinear(R.user_series(spark, sf_dir)), ["sample_id"])
 
 
+@query(
+    "series_recurrence",
+    f"""{with_relations("user_series")}, p AS (SELECT sample_id, t, y AS a, lead(y) OVER (PARTITION BY sample_id ORDER BY t) AS b FROM user_series QUALIFY b IS NOT NULL),
+c AS (SELECT x.sample_id, x.t AS i, z.t AS j, sqrt((x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b)) AS d FROM p x JOIN p z ON x.sample_id = z.sample_id),
+m AS (SELECT sample_id, 0.1 * max(d) AS within, sqrt(count(*)) AS n FROM c GROUP BY sample_id HAVING count(*) > 1),
+k AS (SELECT sample_id, i, j, j - 1 IS NOT DISTINCT FROM lag(j) OVER w OR j + 1 IS NOT DISTINCT FROM lead(j) OVER w AS beside FROM c JOIN m USING (sample_id) WHERE d <= within WINDOW w AS (PARTITION BY sample_id, i ORDER BY j)),
+g AS (SELECT sample_id, j - i AS diagonal, i - row_number() OVER (PARTITION BY sample_id, j - i ORDER BY i) AS island FROM k),
+l AS (SELECT sample_id, count(*) AS length FROM g GROUP BY sample_id, diagonal, island),
+b AS (SELECT sample_id, min(length) AS lo, max(length) AS hi, count(*) AS total, sum(length) AS inside FROM l WHERE length >= 2 GROUP BY sample_id),
+h AS (SELECT sample_id, count(*) / any_value(total) AS share FROM l JOIN b USING (sample_id) WHERE length >= 2 GROUP BY sample_id, CASE WHEN hi > lo THEN least((length - lo) * 20 // (hi - lo), 19) ELSE 0 END),
+e AS (SELECT sample_id, -sum(share * ln(share)) AS entropy FROM h GROUP BY sample_id),
+s AS (SELECT sample_id, count(*) AS cells, count(*) FILTER (WHERE beside) AS beside FROM k GROUP BY sample_id)
+SELECT u.sample_id, {r("cells / (n * n)")} AS recurrence_rate, {r("CASE WHEN cells IS NOT NULL THEN coalesce(inside, 0) / cells END")} AS determinism,
+  {r("beside / cells")} AS laminarity, {r("CASE WHEN cells IS NOT NULL THEN coalesce(entropy, 0) END")} AS diagonal_entropy
+FROM (SELECT DISTINCT sample_id FROM user_series) u LEFT JOIN m USING (sample_id) LEFT JOIN s USING (sample_id) LEFT JOIN b USING (sample_id) LEFT JOIN e USING (sample_id)""",
+)
+def series_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurrence of every user's series, tile by tile."""
+    return rounded(T.recurrences(R.user_series(spark, sf_dir)), ["sample_id"])
+
+
 @query("summary_features")
 def summary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction: per-grid families in one pass, reduced over each label's realizations."""

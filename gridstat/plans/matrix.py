@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridstat.functions import sizes as Z
 from gridstat.functions import stats as S
 from gridstat.operators import matrix as M
+from gridstat.operators import ranks as K
 from gridstat.plans.descriptive import rounded
 from gridstat.plans.registry import query, r, with_relations
 from gridstat.sources import relations as R
@@ -159,7 +160,7 @@ def min_max_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentile_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.cells(spark, sf_dir)
-    b = c.groupBy("sample_id").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    b = K.quantiles(c, ["sample_id"], "v", [0.05, 0.95])
     lo, hi = F.col("q")[0], F.col("q")[1]
     return c.join(b, "sample_id").groupBy("sample_id").agg(S.rounded(F.avg((S.clipped("v", lo, hi) - lo) / (hi - lo + S.EPS))).alias("mean"))
 
@@ -177,6 +178,18 @@ def max_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.correlations(R.features(spark, sf_dir)).agg(S.rounded(F.max(F.abs("r"))).alias("max_correlation"))
 
 
+@query("feature_linkage")
+def feature_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.feature_linkage(R.features(spark, sf_dir)), ["step", "a", "b", "size"])
+
+
+@query("group_counts")
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What silhouette and elbow choose the number of groups by."""
+    out = M.group_counts(R.features(spark, sf_dir))
+    return out.select("k", *[S.rounded(c).alias(c) for c in ("silhouette", "spread")], F.array_join("groups", " ").alias("groups"))
+
+
 @query("feature_groups")
 def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.feature_groups(R.features(spark, sf_dir))

@@ -168,6 +168,39 @@ def tiered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.tiered_sample(s, "score", 5, 4).select("sample_id", "tier", "rank")
 
 
+_PARTS = 16
+
+
+def _diverse_sql(k: int) -> str:
+    """The choice step by step: each one's distances are the smaller of the last one's and those to what it chose."""
+    z = "(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)"
+    out = [
+        f"""WITH x AS (SELECT vec_id AS id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range({_PARTS}) t(i)),
+p AS (SELECT id, i, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS v FROM x WINDOW w AS (PARTITION BY i)),
+y AS (SELECT vec_id AS id, i, (CAST(embedding[{_PARTS} + i + 1] AS DOUBLE) + CAST(embedding[{2 * _PARTS} + i + 1] AS DOUBLE) + CAST(embedding[{3 * _PARTS} + i + 1] AS DOUBLE)) / 3 AS v FROM embeddings, range({_PARTS}) t(i)),
+f AS (SELECT id, i, coalesce({z}, 0) AS v FROM y WINDOW w AS (PARTITION BY i)),
+c0 AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS distance)"""
+    ]
+    for n in range(1, k):
+        before = f"(SELECT id, near FROM n{n - 1})" if n > 1 else "(SELECT DISTINCT id, CAST('inf' AS DOUBLE) AS near FROM p)"
+        d = lambda t, n=n: f"(SELECT a.id, sqrt(sum(pow(a.v - b.v, 2))) AS d FROM {t} a JOIN {t} b USING (i) JOIN c{n - 1} c ON b.id = c.id GROUP BY a.id)"
+        out.append(
+            f"""n{n} AS (SELECT o.id, CASE WHEN o.id = (SELECT id FROM c{n - 1}) THEN -1 ELSE least(near, 0.5 * dp.d + 0.5 * df.d) END AS near FROM {before} o JOIN {d("p")} dp USING (id) JOIN {d("f")} df USING (id)),
+c{n} AS (SELECT id, near AS distance FROM n{n} WHERE near >= 0 ORDER BY near DESC, id LIMIT 1)"""
+        )
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT {n} AS step, id, {r('distance')} AS distance FROM c{n}" for n in range(k))
+
+
+@query("diverse_selection", _diverse_sql(5))
+def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five vectors that are far apart by their first part (parameters) and by the mean of three further parts (features by time)."""
+    v = F.col("embedding").cast("array<double>")
+    part = lambda i: F.slice(v, i * _PARTS + 1, _PARTS)
+    mean = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda e: (e["a"] + e["b"] + e["c"]) / 3)
+    s = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), part(0).alias("parameters"), mean.alias("features"))
+    return L.diverse(s, 5, 0, "id", "parameters", "features").withColumn("distance", S.rounded("distance"))
+
+
 @query("farthest_points")
 def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vec"))
