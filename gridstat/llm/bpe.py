@@ -7,11 +7,13 @@ if each pair of neighbours is; so the last token of a prefix is the one that
 fits the last token of the prefix before it.) A token is emitted as soon as
 `lookahead` symbols follow it: merges pass news leftwards only along chains of
 ever later rules that share a piece, so the longest such chain of the merge
-list bounds how far a later symbol can reach back. What the machine finds for the
-first symbols of a pre-token is kept in a bounded table, since words share their
-beginnings; what it says of a whole short part, in a bounded cache.
+list bounds how far a later symbol can reach back. Which tokens end at a symbol is
+said by an automaton of all tokens; which tokens may be neighbours, and what the
+machine says of a whole short part, is kept in bounded caches.
 
-Memory is constant: those tables, one input chunk, and the machine's buffer.
+Memory is constant: those caches, one input chunk, and the machine's buffer.
+Letters, numbers and lower case are those of the tokenizers library: where Python's
+tables have no character and a newer standard does, the library is asked, once a table.
 Texts without white space are cut within a part, before a character that can't
 join the one before it, and pre-tokens that span chunks stream through the
 machine. Only a run of combining marks is held whole, as their order needs it.
@@ -36,23 +38,25 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from gridstat.llm.common import map_arrow, read_table, texts_of
 
-#: Fixed values of the vocabulary's pre-tokenizer (public CLIP-style pattern).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed values of the vocabulary's pre-tokenizer (public CLIP-style pattern), with its letters and numbers to fill in.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|%(L)s+|%(N)s|[^\s%(L)s%(N)s]+"
 WORD_END = "</w>"
 
 #: White space as the pre-tokenizer's regular expressions know it.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
-CACHED_CHARS = 48  # longer parts, and symbols beyond so many, are not cached
-CACHED_PARTS = 300_000  # entries of a worker's caches: parts between white space with their pre-tokens, and beginnings
-CACHED_PREFIXES = 200_000
+CACHED_CHARS = 48  # longer parts are not cached
+CACHED_PARTS = 300_000  # entries of a worker's cache: parts between white space with their pre-tokens
+CACHED_NEIGHBOURS = 200_000
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -81,6 +85,28 @@ class TwoAges(dict):
         return value
 
 
+@functools.cache
+def _doubtful() -> tuple[str, ...]:
+    """Characters that Python's tables lack and a newer standard has: what a library says of them depends on its age."""
+    unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    return tuple(regex.findall(r"\P{Cn}", unknown))
+
+
+def _classes(library: Tokenizer) -> tuple[str, str, dict[int, str]]:
+    """Patterns of the library's letters and numbers, and the lower case of what Python doesn't lower."""
+    kinds: dict[int, list[str]] = {1: [], 3: [], 4: []}
+    for c in _doubtful():  # one piece: a letter; four: a number; three: a run of neither
+        kinds[len(library.pre_tokenizer.pre_tokenize_str(f"a{c}{c}b"))].append(c)
+    known = {p: set(regex.findall(p, "".join(_doubtful()))) for p in (r"\p{L}", r"\p{N}")}
+    out = []
+    for p, kind in ((r"\p{L}", 1), (r"\p{N}", 4)):
+        more, less = sorted(set(kinds[kind]) - known[p]), sorted(known[p] - set(kinds[kind]))
+        with_more = f"[{p}{''.join(more)}]"
+        out.append(f"[{with_more}--[{''.join(less)}]]" if less else with_more)
+    lower = {ord(c): low for c in _doubtful() if (low := library.normalizer.normalize_str(c)) != c}
+    return out[0], out[1], lower
+
+
 class MergeTable:
     """Vocabulary and merge rules, and what the transducer derives from them.
 
@@ -112,7 +138,12 @@ class MergeTable:
         self.inner_of = {i: t for t, i in self.ids.items()}
         self.size_of = {i: len(t) for t, i in self.ids.items()}
         self._whole: dict[str, bool] = {}  # at most an entry a token
-        self.lasts = TwoAges(CACHED_PREFIXES)
+        #: All tokens, by the symbol that they end at: (number, symbols), longer ones first.
+        self.ends = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.ends.add_word(token, (i, len(token)))
+        self.ends.make_automaton()
+        self.letter, self.number, self.lower = _classes(Tokenizer.from_file(path))
 
     def inner(self, token: str) -> str:
         """A token of the file with a character a symbol."""
@@ -159,35 +190,34 @@ class MergeTable:
             )
         return known
 
-    def last(self, prefix: str) -> int | None:
-        """The last token of some symbols (CACHED_CHARS at most); None if they can't be cut into tokens."""
-        n, ids, lasts, apart = len(prefix), self.ids.get, self.lasts, self.apart.get
-        found = lasts.old.get(prefix)
-        if found is None:
-            for at in range(max(0, n - self.reach.get(prefix[-2:], 1)), n):  # a longer token is likelier
-                token = ids(prefix[at:])
-                if token is None:
-                    continue
+    def cut(self, symbols: str) -> list[int]:
+        """The tokens of a whole pre-token: for each end, the token that fits the last token before it."""
+        last: list[int | None] = [None] * (len(symbols) + 1)
+        apart, inner_of = self.apart, self.inner_of
+        for end, (token, size) in self.ends.iter(symbols):
+            end += 1
+            if last[end] is None:
+                at = end - size
                 if at == 0:
-                    if self.whole(prefix):
-                        found = token
-                        break
-                    continue
-                head = prefix[:at]
-                neighbour = lasts.get(head)
-                if neighbour is None:
-                    neighbour = self.last(head)
-                if neighbour is not None:
-                    fits = apart(neighbour << 20 | token)
+                    if self.whole(inner_of[token]):
+                        last[end] = token
+                elif (neighbour := last[at]) is not None:
+                    fits = apart.get(neighbour << 20 | token)
                     if self.fit(neighbour, token) if fits is None else fits:
-                        found = token
-                        break
-        return found if found is None else lasts.keep(prefix, found)
+                        last[end] = token
+        out, end, size_of = [], len(symbols), self.size_of
+        while end:
+            token = last[end]
+            if token is None:
+                raise ValueError("symbols that the vocabulary lacks")
+            out.append(token)
+            end -= size_of[token]
+        return out[::-1]
 
     def fit(self, a: int, b: int) -> bool:
         """Whether token b may follow token a: no rule joins their edges before each is finished."""
         known = self.whole(self.inner_of[b]) and self._stay_apart(self.inner_of[a], self.inner_of[b])
-        if len(self.apart) > CACHED_PREFIXES:
+        if len(self.apart) > CACHED_NEIGHBOURS:
             self.apart.clear()
         self.apart[a << 20 | b] = known
         return known
@@ -212,9 +242,8 @@ class MergeTable:
 class PreTokenTransducer:
     """Symbols of one pre-token in, stable tokens (as numbers) out.
 
-    Its state after some symbols is their last token. States after the first
-    CACHED_CHARS symbols of a pre-token are those of all texts: they are found when
-    asked for, and kept in the table.
+    Its state after some symbols is their last token. Up to CACHED_CHARS symbols are
+    held until it is known whether the pre-token ends with them.
     """
 
     __slots__ = ("before", "held", "last", "table")
@@ -240,20 +269,7 @@ class PreTokenTransducer:
         return out
 
     def finish(self) -> list[int]:
-        return self._back(self.held) if len(self.last) == 1 else self._release(0)
-
-    def _back(self, symbols: str) -> list[int]:
-        """The tokens of a beginning, from its last one back."""
-        out, lasts, size_of = [], self.table.lasts, self.table.size_of
-        while symbols:
-            token = lasts.get(symbols)
-            if token is None:
-                token = self.table.last(symbols)
-                if token is None:
-                    raise ValueError("symbols that the vocabulary lacks")
-            out.append(token)
-            symbols = symbols[: -size_of[token]]
-        return out[::-1]
+        return self.table.cut(self.held) if len(self.last) == 1 else self._release(0)
 
     def _extend(self, symbols: str) -> None:
         """Find the last token of each longer prefix: the one that ends there and fits the last token before it."""
@@ -332,7 +348,8 @@ class LongPart:
             yield from self._end_of_word()
             piece = piece[end:]
         text, self.rest = self.rest + piece, ""
-        for m in self.encoder.pattern.finditer(text):
+        pattern = self.encoder.pattern if not self.encoder.doubtful.isdisjoint(text) else self.encoder.usual
+        for m in pattern.finditer(text):
             if m.end() > len(text) - 3:  # contractions look two characters ahead
                 self.rest = text[m.start() :]
                 break
@@ -350,7 +367,7 @@ class LongPart:
     def finish(self) -> Iterator[tuple[list[int], bool]]:
         if self.machine is not None:
             yield from self._end_of_word()
-        for w in self.encoder.pattern.findall(self.rest):
+        for w in self.encoder.words_of(self.rest):
             yield self.encoder.encode_word(w), False
         self.rest = ""
 
@@ -375,8 +392,12 @@ class StreamingEncoder:
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self.pattern = regex.compile(PRE_TOKEN)
-        self.letters, self.marks = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
+        names = {"L": table.letter, "N": table.number}
+        self.pattern = regex.compile("(?V1)" + PRE_TOKEN % names)
+        self.usual = regex.compile(PRE_TOKEN % {"L": r"\p{L}", "N": r"\p{N}"})  # the same where no character is doubtful, and faster
+        self.doubtful = frozenset(_doubtful())
+        self.letters, self.marks = regex.compile(f"(?V1){table.letter}*"), regex.compile(r"(?V1)[^\s%(L)s%(N)s]*" % names)
+        self.lower, self.lowered = table.lower, re.compile("[" + "".join(map(chr, table.lower)) + "]") if table.lower else None
         self.stop = regex.compile(f"[{SPACES}]")
         self.specials = regex.compile("|".join(map(regex.escape, table.special))) if table.special else None
         self.special_chars = max(map(len, table.special), default=0)
@@ -422,15 +443,29 @@ class StreamingEncoder:
 
     def _split(self, text: str) -> list[str]:
         """Parts of a text in NFC, each character in lower case on its own (no final sigma)."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.lowered and self.lowered.search(text):
+                text = text.translate(self.lower)
+        text = text.lower()
         if _SEPARATORS.search(text):  # white space for str.split() alone
             return [p for p in self.stop.split(text) if p]
         return text.split()
 
+    def words_of(self, part: str) -> list[str]:
+        """The pre-tokens of a part without white space."""
+        if part.isascii() or self.doubtful.isdisjoint(part):
+            return self.usual.findall(part)
+        return self.pattern.findall(part)
+
     def encode_word(self, word: str) -> list[int]:
         """The tokens of one pre-token."""
-        raw, machine = word.encode("utf-8"), PreTokenTransducer(self.table)
-        return machine.feed(raw[:-1].decode("latin-1") + chr(256 + raw[-1])) + machine.finish()
+        raw = word.encode("utf-8")
+        symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
+        if len(symbols) <= CACHED_CHARS:
+            return self.table.cut(symbols)
+        machine = PreTokenTransducer(self.table)
+        return machine.feed(symbols) + machine.finish()
 
     def stream(self, text: str) -> Iterator[tuple[list[str], bool] | tuple[None, tuple[list[int], bool]]]:
         """(parts, whether special) of a text; for parts that span chunks, (None, (tokens, whether they go on a pre-token))."""
@@ -460,7 +495,7 @@ class StreamingEncoder:
                 out += special[0]
             else:
                 for p in parts:
-                    out += [self.table.special[p]] if special else [i for w in self.pattern.findall(p) for i in self.encode_word(w)]
+                    out += [self.table.special[p]] if special else [i for w in self.words_of(p) for i in self.encode_word(w)]
         return out
 
 
@@ -488,17 +523,18 @@ class StreamingDecoder:
 
     def text(self, ids: Iterable[int]) -> str:
         """Characters that are complete; a token with a word's end owes a space to the next one."""
-        out, bytes_of, decode = [], self.table.bytes_of, self.utf8.decode
+        out, held, bytes_of = [], b"", self.table.bytes_of
         for i in ids:
             if self.gap:
-                out.append(self.finish() + " ")
-                self.gap = False
+                out.append(self.utf8.decode(held) + self.finish() + " ")
+                held, self.gap = b"", False
             if i in self.special:
-                out.append(self.finish() + self.table.strings[i])
-                self.gap = True
+                out.append(self.utf8.decode(held) + self.finish() + self.table.strings[i])
+                held, self.gap = b"", True
             else:
                 raw, self.gap = bytes_of[i]
-                out.append(decode(raw))
+                held += raw
+        out.append(self.utf8.decode(held))
         return "".join(out)
 
     def finish(self) -> str:
@@ -510,55 +546,56 @@ Entry = tuple[str, str, str]
 
 
 class PartCache:
-    """Entries of parts of text. What is kept is one string of ids and pieces, where the text is the part itself: a third of the memory."""
+    """Entries of parts of text, each kept as one string of its three columns."""
 
     def __init__(self, table: MergeTable):
         self.encoder, self.decoder = StreamingEncoder(table), StreamingDecoder(table)
         self.table = table
         self.known = TwoAges(CACHED_PARTS)  # parts, and the pre-tokens that they consist of
-        self.special = {s: self._decoded(s, [i]) for s, i in table.special.items()}
+        self.special = {s: "\t".join(self._decoded(s, [i])) for s, i in table.special.items()}
 
     def _decoded(self, word: str, ids: list[int]) -> Entry:
         d = self.decoder
         d.reset()
         return " ".join(map(str, ids)), d.pieces(ids), d.text(ids) + d.finish()
 
-    def _kept(self, part: str, entry: Entry) -> Entry:
-        if len(part) <= CACHED_CHARS:
-            self.known.keep(part, f"{entry[0]}\t{entry[1]}" if entry[2] == part else entry)
-        return entry
+    def _kept(self, part: str, held: str) -> str:
+        return self.known.keep(part, held) if len(part) <= CACHED_CHARS else held
 
-    def _word(self, word: str) -> Entry:
+    def _word(self, word: str) -> str:
         got = self.known.get(word) or self.known.old.get(word)
-        if got is None:
-            return self._kept(word, self._decoded(word, self.encoder.encode_word(word)))
-        return (*got.split("\t"), word) if type(got) is str else got
+        return got if got is not None else self._kept(word, "\t".join(self._decoded(word, self.encoder.encode_word(word))))
 
-    def of(self, part: str) -> Entry:
-        """The entry of a part that is not in the younger half of the cache."""
+    def of(self, part: str) -> str:
+        """What is held of a part that is not in the younger half of the cache."""
         got = self.known.old.get(part)
         if got is not None:
-            self.known.keep(part, got)
-            return (*got.split("\t"), part) if type(got) is str else got
-        words = self.encoder.pattern.findall(part)
+            return self.known.keep(part, got)
+        words = self.encoder.words_of(part)
         if len(words) == 1:
             return self._word(words[0])
-        return self._kept(part, tuple(map(" ".join, zip(*map(self._word, words), strict=True))))
+        return self._kept(part, "\t".join(_columns(map(self._word, words))))
 
-    def entries(self, text: str) -> Iterator[tuple[list[Entry], bool]]:
-        """Entries of the parts of a text, a chunk at a time, and whether their text goes on the one before."""
-        of, known, decoder = self.of, self.known, StreamingDecoder(self.table)
+    def entries(self, text: str) -> Iterator[tuple[Entry, bool]]:
+        """The entry of each chunk's parts, and whether its text goes on the one before."""
+        of, known, decoder = self.of, self.known.get, StreamingDecoder(self.table)
         for parts, said in self.encoder.stream(text):
             if parts is None:
                 ids, goes_on = said
                 if not goes_on:
                     decoder.reset()
                 decoder.started = False
-                yield [(" ".join(map(str, ids)), decoder.pieces(ids), decoder.text(ids))], goes_on
+                yield (" ".join(map(str, ids)), decoder.pieces(ids), decoder.text(ids)), goes_on
             elif said:
-                yield [self.special[p] for p in parts], False
+                yield _columns([self.special[p] for p in parts]), False
             else:
-                yield [((*got.split("\t"), p) if type(got) is str else got) if (got := known.get(p)) else of(p) for p in parts], False
+                yield _columns([known(p) or of(p) for p in parts]), False
+
+
+def _columns(held: Iterable[str]) -> Entry:
+    """The entry of several parts in a row."""
+    flat = "\t".join(held).split("\t")
+    return " ".join(flat[::3]), " ".join(flat[1::3]), " ".join(flat[2::3])
 
 
 @functools.cache
@@ -578,11 +615,9 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, tex
 def digest(cache: PartCache, text: str) -> tuple[int, str, str, str]:
     """Token count and SHA-256 of ids, decoded pieces and decoded text, updated as tokens become stable."""
     n, hashes, gap = 0, [hashlib.sha256() for _ in range(3)], ""
-    for held, goes_on in cache.entries(text):
-        for k, (h, column) in enumerate(zip(hashes, zip(*held, strict=True), strict=True)):
-            said = " ".join(column)
-            if k == 0:
-                n += said.count(" ") + 1
+    for entry, goes_on in cache.entries(text):
+        n += entry[0].count(" ") + 1
+        for k, (h, said) in enumerate(zip(hashes, entry, strict=True)):
             h.update((said if goes_on and k == 2 else gap + said).encode("utf-8"))
         gap = " "
     return n, *(h.hexdigest() for h in hashes)
@@ -614,7 +649,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [
-                [int(i) for held, _ in cache.entries(t) for e in held for i in e[0].split(" ")]
+                [int(i) for entry, _ in cache.entries(t) for i in entry[0].split(" ")]
                 for t in texts_of(batch)
             ]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["a", "b"])

@@ -94,3 +94,19 @@ def test_ids_round_trip(spark, library):
     df = spark.createDataFrame([(1, "Hello, world's end"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["ids"] for r in bpe.token_ids(df, bpe.default_vocabulary()).collect()}
     assert got == {1: library.encode("Hello, world's end", add_special_tokens=False).ids, 2: []}
+
+
+def test_every_character_is_cut_as_the_library_cuts_it(library):
+    """Letters, numbers and lower case of all code points, those of a newer standard too."""
+    import unicodedata
+
+    import regex
+
+    encoder = bpe.cache_of(bpe.default_vocabulary()).encoder
+    every = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if unicodedata.category(c) != "Cn" or regex.match(r"\P{Cn}", c)]
+    every += list(bpe._doubtful())
+    for at in range(0, len(every), 500):
+        some = every[at : at + 500]
+        texts = [f"a{c}b {c}c1{c}" for c in some]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [(t, encoder.encode(t)) for t in texts] == [(t, w.ids) for t, w in zip(texts, want, strict=True)]
