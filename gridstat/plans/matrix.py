@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstat.functions import sizes as Z
 from gridstat.functions import stats as S
 from gridstat.operators import matrix as M
+from gridstat.operators import pca as P
 from gridstat.operators import ranks as K
 from gridstat.plans.descriptive import rounded
 from gridstat.plans.registry import query, r, with_relations
@@ -178,6 +180,41 @@ def max_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.correlations(R.features(spark, sf_dir)).agg(S.rounded(F.max(F.abs("r"))).alias("max_correlation"))
 
 
+@query("pca_modes")
+def pca_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance along the first three directions of all vectors, and their largest entries."""
+    c = P.fit(_vectors(spark, sf_dir), "vec", 3)
+    rows = [(i, float(v), float(s), int(abs(u).argmax()), float(u.max())) for i, (v, s, u) in enumerate(zip(c.variances, c.shares, c.directions, strict=True))]
+    out = spark.createDataFrame(rows, "mode int, variance double, share double, feature int, entry double")
+    return rounded(out, ["mode", "feature"])
+
+
+@query("pca_project")
+def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's coordinates along the first three directions, between 0 and 1 as colours need them."""
+    v = _vectors(spark, sf_dir)
+    c = P.fit(v, "vec", 3)
+    at = v.select("vec_id", F.posexplode(P.project(F.col("vec"), c.mean, c.directions)).alias("mode", "score"))
+    ends = at.groupBy("mode").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    shown = P.spread(F.col("score"), F.col("low"), F.col("high"))
+    return at.join(F.broadcast(ends), "mode").select("vec_id", "mode", S.rounded("score", 5).alias("score"), S.rounded(shown, 5).alias("shade"))  # a row a direction
+
+
+@query(
+    "label_axes",
+    f"""{with_relations("codebook")}, m AS (SELECT p AS feature, avg(CAST(embedding[p + 1] AS DOUBLE)) AS m FROM embeddings, range(64) r(p) GROUP BY p),
+u AS (SELECT code, feature, e - m AS u FROM codebook JOIN m USING (feature) WHERE code < 3), l AS (SELECT code, sqrt(sum(u * u)) AS l FROM u GROUP BY code)
+SELECT vec_id, code AS axis, {r("sum((CAST(embedding[feature + 1] AS DOUBLE) - m) * u / l)", 5)} AS score FROM embeddings, u JOIN l USING (code) JOIN m USING (feature) GROUP BY vec_id, code""",
+)
+def label_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's coordinates along the directions from the mean to the first three labels' means."""
+    v = _vectors(spark, sf_dir)
+    mean = np.array(v.agg(F.array(*[F.avg(F.get("vec", F.lit(i))) for i in range(64)])).first()[0], dtype=float)
+    axes = np.array([r["vec"] for r in R.codebook(spark, sf_dir).where("code < 3").orderBy("code").collect()]) - mean
+    axes /= np.sqrt((axes * axes).sum(axis=1, keepdims=True))
+    return v.select("vec_id", F.posexplode(P.project(F.col("vec"), mean, axes)).alias("axis", "score")).withColumn("score", S.rounded("score", 5))
+
+
 @query("feature_linkage")
 def feature_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.feature_linkage(R.features(spark, sf_dir)), ["step", "a", "b", "size"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from gridstat.operators import selection as L
 from gridstat.plans.descriptive import rounded
 from gridstat.plans.registry import query, r, with_relations
 from gridstat.sources import relations as R
+from gridstat.sources.steps import shared_folder
+from gridstat.sources.store import DatasetReader, DatasetWriter
 
 DEPTH = {"kind": "integer", "lo": 1, "hi": 8}
 RATE = {"kind": "continuous", "lo": 1e-4, "hi": 1e-1, "log": True}
@@ -345,6 +349,28 @@ def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count("*").alias("num_samples"), (F.max("vec_id") + 1).alias("next_id"), F.count_distinct("label").alias("labels"), F.min(F.size("embedding")).cast("long").alias("cells"))
 
 
+@query(
+    "dataset_round_trip",
+    f"""SELECT vec_id AS sample_id, label, {r("list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))")} AS total, (SELECT count(*) FROM embeddings) AS num_samples
+FROM embeddings, (SELECT max(vec_id) // 4 AS lo, 3 * max(vec_id) // 4 AS hi FROM embeddings) WHERE vec_id BETWEEN lo AND hi - 1""",
+)
+def dataset_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields written as a dataset in two batches, beside files of a batch that was never committed; a slice over both batches read again."""
+    f = R.fields(spark, sf_dir)
+    top = f.agg(F.max("sample_id")).first()[0] or 0
+    folder = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    w = DatasetWriter(spark, folder, top + 1)
+    for low, high in ((0, top // 2), (top // 2, top + 1)):
+        some = f.where(F.col("sample_id").between(low, high - 1))
+        w.write_batch(inputs=some, samples=some.select("sample_id", "label"))
+    f.select("sample_id", "h", "w", "data").write.parquet(f"{folder}/inputs/batch=lost")
+    reader = DatasetReader(spark, folder)
+    ids = (top // 4, 3 * top // 4)
+    both = reader.get_inputs(ids).join(reader.get_sample_columns("label", ids=ids).withColumnRenamed("label", "kind"), "sample_id")
+    total = S.rounded(F.aggregate("data", F.lit(0.0), lambda s, x: s + x))
+    return both.select("sample_id", F.col("kind").alias("label"), total.alias("total")).withColumn("num_samples", F.lit(reader.num_samples()))
+
+
 @query("range_slice", f"SELECT vec_id, label, {r('CAST(embedding[1] AS DOUBLE)')} AS first FROM embeddings WHERE vec_id BETWEEN 100 AND 199")
 def range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice of samples: the range reaches the scan, and so does the choice of columns."""

@@ -38,9 +38,18 @@ class Files:
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
 
-    def rename(self, old: str, new: str) -> bool:
-        """Atomic on file systems whose rename is; false if the new name is taken."""
-        return not self.exists(new) and self._fs.rename(self._path(old), self._path(new))
+    def publish(self, name: str, text: str) -> None:
+        """Write a small file so that it is there whole or not at all: under another name first, then renamed. A name that is taken is an error."""
+        if self.exists(name):
+            raise FileExistsError(f"{self.folder}/{name}")
+        head, _, tail = name.rpartition("/")
+        draft = f"{head}/_{uuid.uuid4().hex}-{tail}" if head else f"_{uuid.uuid4().hex}-{tail}"
+        out = self._fs.create(self._path(draft), True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        if not self._fs.rename(self._path(draft), self._path(name)):
+            self.delete(draft)
+            raise FileExistsError(f"{self.folder}/{name}")
 
 
 class Steps:

@@ -2,8 +2,13 @@
 
 Tables: params, inputs (packed fields), outputs (packed trajectories), metrics
 (a row a step), samples (types, policies, regimes, grid sizes), metadata (key,
-JSON value), and, for each family, features and registry. A write appends; readers push ranges of
+JSON value), and, for each family, features and registry. Readers push ranges of
 sample_id and column choices down to the files.
+
+A dataset grows by batches. Each batch has folders of its own in its tables, and counts once
+its entry is in the manifest, which is written last and as a whole. Readers see batches of the
+manifest only, so a write that failed between two tables leaves nothing that can be read; the
+same batch written again replaces its files.
 """
 
 from __future__ import annotations
@@ -14,41 +19,87 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridstat.sources.steps import Files
+
 TABLES = ("params", "inputs", "outputs", "metrics", "samples")
 
+_ENTRY = "batch string, tables array<string>, n long, least long, top long"
+
+
+class Manifest:
+    """The committed batches of a dataset: a small JSON file each."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.files = spark, Files(spark, path)
+
+    def batches(self) -> list[dict]:
+        """Entries in order of their names; one small row a batch."""
+        if not any(n.startswith("batch-") for n in self.files.names("manifest")):
+            return []
+        rows = self.spark.read.schema(_ENTRY).json(f"{self.files.folder}/manifest/batch-*.json").collect()
+        return sorted((r.asDict() for r in rows), key=lambda r: r["batch"])
+
+    def commit(self, entry: dict) -> None:
+        self.files.publish(f"manifest/batch-{entry['batch']}.json", json.dumps(entry))
+
+    def read(self, table: str, entries: list[dict]) -> DataFrame:
+        """A table's rows of some batches."""
+        root = f"{self.files.folder}/{table}"
+        paths = [f"{root}/batch={e['batch']}" for e in entries if table in e["tables"]]
+        if not paths:
+            raise ValueError(f"no committed batch has a table {table}")
+        return self.spark.read.parquet(*paths)
+
 
 class DatasetWriter:
-    """Appends batches of a dataset of a fixed number of samples."""
+    """Writes batches of a dataset of a fixed number of samples."""
 
     def __init__(self, spark: SparkSession, path: str, num_samples: int, compression: str = "zstd"):
         self.spark, self.path, self.num_samples, self.compression = spark, path.rstrip("/"), num_samples, compression
+        self.manifest = Manifest(spark, self.path)
 
-    def write_batch(self, **tables: DataFrame) -> None:
-        """Append tables that hold the same samples; ids beyond the dataset's size, or written before, are an error.
+    def write_batch(self, batch: str | None = None, **tables: DataFrame) -> str:
+        """Write tables that hold the same samples as one batch, and commit it; its name.
 
-        `samples` or whatever comes last in TABLES is written last: a batch without it is unfinished, and readers can tell.
+        Ids beyond the dataset's size, or written before, are an error. Without a name it is the number of batches
+        so far: the name of a batch that failed. Writers that work at the same time must name theirs.
         """
         unknown = set(tables) - set(TABLES)
-        if unknown:
+        if unknown or not tables:
             raise ValueError(f"no table {sorted(unknown)}; there are {TABLES}")
-        sets = [t.select("sample_id").distinct() for t in tables.values()]
-        sizes = {name: t.select(F.count_distinct("sample_id").alias("n"), F.max("sample_id").alias("top")).first() for name, t in tables.items()}
-        if len({s["n"] for s in sizes.values()}) > 1 or (len(sets) > 1 and not reduce(lambda a, b: a.intersect(b), sets).count() == next(iter(sizes.values()))["n"]):
+        known = self.manifest.batches()
+        batch = batch if batch is not None else f"{len(known):06d}"
+        if any(e["batch"] == batch for e in known):
+            raise ValueError(f"batch {batch!r} is committed")
+        names = sorted(tables, key=TABLES.index)
+        for name in names:
+            tables[name].write.mode("overwrite").option("compression", self.compression).parquet(f"{self.path}/{name}/batch={batch}")
+        # Checks read what was written, its ids alone.
+        written = {name: self.spark.read.parquet(f"{self.path}/{name}/batch={batch}").select("sample_id").distinct() for name in names}
+        sizes = {name: ids.agg(F.count("*").alias("n"), F.min("sample_id").alias("least"), F.max("sample_id").alias("top")).first() for name, ids in written.items()}
+        size = sizes[names[0]]
+        if len({tuple(s) for s in sizes.values()}) > 1 or (len(names) > 1 and reduce(lambda a, b: a.intersect(b), written.values()).count() != size["n"]):
             raise ValueError("the tables of a batch must hold the same samples")
-        if any(s["top"] is not None and s["top"] >= self.num_samples for s in sizes.values()):
+        if size["top"] is not None and size["top"] >= self.num_samples:
             raise ValueError(f"the dataset has {self.num_samples} samples")
-        for name, t in tables.items():
-            if self._exists(name):
-                known = self.spark.read.parquet(f"{self.path}/{name}").select("sample_id").distinct()
-                if not t.select("sample_id").distinct().join(known, "sample_id", "left_semi").isEmpty():
-                    raise ValueError(f"{name} has some of these samples already")
-        for name, t in sorted(tables.items(), key=lambda x: TABLES.index(x[0])):
-            t.write.mode("append").option("compression", self.compression).parquet(f"{self.path}/{name}")
-
-    def _exists(self, name: str) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(conf).exists(path)
+        # Only batches whose range of ids meets this one's are looked into.
+        near = [e for e in known if e["n"] and size["n"] and e["least"] <= size["top"] and e["top"] >= size["least"]]
+        for e in near:
+            there = self.manifest.read(e["tables"][0], [e]).select("sample_id").where(F.col("sample_id").between(size["least"], size["top"]))
+            if not written[names[0]].join(there, "sample_id", "left_semi").isEmpty():
+                raise ValueError(f"batch {e['batch']!r} has some of these samples already")
+        self.manifest.commit({"batch": batch, "tables": names, "n": size["n"], "least": size["least"], "top": size["top"]})
+        return batch
+
+    def discard_uncommitted(self) -> list[str]:
+        """Delete files of batches that were never committed; only while no other writer works. Their tables and names."""
+        known, gone = {e["batch"] for e in self.manifest.batches()}, []
+        for name in TABLES:
+            for folder in self.manifest.files.names(name):
+                if folder.startswith("batch=") and folder[6:] not in known:
+                    self.manifest.files.delete(f"{name}/{folder}")
+                    gone.append(f"{name}/{folder}")
+        return gone
 
     def write_metadata(self, values: dict) -> None:
         rows = [(k, json.dumps(v, sort_keys=True)) for k, v in values.items()]
@@ -60,9 +111,13 @@ class DatasetReader:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = Manifest(spark, self.path)
 
     def _table(self, name: str, ids: tuple[int, int] | list[int] | None, *columns: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{name}")
+        entries = self.manifest.batches()
+        if isinstance(ids, tuple):  # batches beyond the range aren't opened
+            entries = [e for e in entries if e["n"] and e["least"] < ids[1] and e["top"] >= ids[0]] or entries[:1]
+        df = self.manifest.read(name, entries)
         if isinstance(ids, tuple):
             df = df.where(F.col("sample_id").between(ids[0], ids[1] - 1))
         elif ids is not None:
@@ -90,7 +145,8 @@ class DatasetReader:
         return self._table("samples", ids, *columns)
 
     def num_samples(self) -> int:
-        return self._table("params", None, "sample_id").count()
+        """Samples of the committed batches, as the manifest says: no table is read."""
+        return sum(e["n"] for e in self.manifest.batches())
 
     def shape_info(self) -> DataFrame:
         out = self._table("outputs", None)

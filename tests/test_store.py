@@ -44,6 +44,36 @@ def test_overflow_and_uneven_batches_are_errors(spark, tmp_path):
         w.write_batch(other=b["params"])
 
 
+def test_a_write_that_fails_between_tables_leaves_nothing(spark, tmp_path):
+    """The third table can't be written; the first two are, but no reader sees them, and the batch written again replaces them."""
+    w, r = DatasetWriter(spark, str(tmp_path / "d"), 9), DatasetReader(spark, str(tmp_path / "d"))
+    w.write_batch(**batch(spark, 0, 3))
+    broken = batch(spark, 3, 6)
+    broken["outputs"] = broken["outputs"].withColumn("t", F.expr("assert_true(sample_id < 4)").cast("int"))
+    with pytest.raises(Exception):  # noqa: B017  the task's own error
+        w.write_batch(**broken)
+    assert w.manifest.files.exists("inputs/batch=000001") and not w.manifest.files.exists("samples/batch=000001")
+    assert r.num_samples() == 3 and r.get_inputs().count() == 3 and r.get_outputs().count() == 6
+    assert w.write_batch(**batch(spark, 4, 7)) == "000001"
+    assert r.num_samples() == 6 and sorted(x["sample_id"] for x in r.get_inputs().collect()) == [0, 1, 2, 4, 5, 6]
+    with pytest.raises(ValueError):
+        w.write_batch("000001", **batch(spark, 7, 8))  # committed
+    with pytest.raises(ValueError):
+        w.write_batch("overlap", **batch(spark, 6, 8))  # sample 6 is there
+    assert r.num_samples() == 6 and w.discard_uncommitted() == [f"{t}/batch=overlap" for t in ("params", "inputs", "outputs", "metrics", "samples")]
+    assert w.write_batch("3", **batch(spark, 3, 4)) == "3" and r.get_parameters((3, 4)).count() == 1 and r.get_parameters((8, 9)).count() == 0
+
+
+def test_an_entry_is_there_whole_or_not_at_all(spark, tmp_path):
+    w = DatasetWriter(spark, str(tmp_path / "d"), 9)
+    w.write_batch(params=batch(spark, 0, 1)["params"])
+    with pytest.raises(FileExistsError):
+        w.manifest.commit({"batch": "000000", "tables": [], "n": 0, "least": None, "top": None})
+    assert w.manifest.files.names("manifest") == ["batch-000000.json"] and w.manifest.batches()[0]["n"] == 1
+    with pytest.raises(ValueError):
+        DatasetReader(spark, str(tmp_path / "d")).get_inputs()
+
+
 def test_features_round_trip(spark, tmp_path):
     s = FeatureStore(spark, str(tmp_path / "f"))
     rows = spark.createDataFrame([(0, "a", 1.0), (0, "b", float("nan"))], "sample_id long, feature string, value double")
