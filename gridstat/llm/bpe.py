@@ -55,7 +55,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 CHUNK_CHARS = 1 << 16  # characters of a text that are worked on at once
 CACHED_CHARS = 48  # longer parts are not cached
-CACHED_PARTS = 300_000  # entries of a worker's cache: parts between white space with their pre-tokens
+CACHED_PARTS = 600_000  # entries of a worker's cache: parts between white space with their pre-tokens
 CACHED_NEIGHBOURS = 200_000
 
 #: White space for str.split() that the pre-tokenizer doesn't count as such.
