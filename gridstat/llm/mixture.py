@@ -39,7 +39,7 @@ SEED = 42
 #: Patterns of membership that the flow's network holds.
 MAX_PATTERNS = 100_000
 #: A range of the order with at most so many rows is walked; others are split into so many parts.
-RANGE_ROWS, PARTS = 20_000, 256
+RANGE_ROWS, PARTS = 2_000, 256
 #: Order keys are below this.
 KEYS = 1 << 60
 
