@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gridstat.functions import grids as A
 from gridstat.functions.grids import EPS, Grid, bind, on
+from gridstat.operators.components import sizes_of
 
 Transforms = dict[str, Column]
 
@@ -47,24 +48,6 @@ def _square(v: Column) -> Column:
 # --- transforms
 
 
-def _component_sizes(masks: np.ndarray) -> list[list[float]]:
-    """Sizes of the eight-connected components of each mask, by flooding."""
-    out = []
-    for mask in masks:
-        todo, sizes = {(int(i), int(j)) for i, j in np.argwhere(mask)}, []
-        while todo:
-            stack, n = [todo.pop()], 0
-            while stack:
-                i, j = stack.pop()
-                n += 1
-                near = {(a, b) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1)} & todo
-                todo -= near
-                stack += near
-            sizes.append(float(n))
-        out.append(sizes)
-    return out
-
-
 def _flat(x: np.ndarray) -> list[list[float]]:
     return x.reshape(len(x), -1).tolist()
 
@@ -77,7 +60,7 @@ TRANSFORMS: dict[str, Callable[[np.ndarray], list[list[float]]]] = {
     "row_spectra": lambda x: _flat(np.fft.rfft(x, axis=2).view(np.float64)),
     "singular_values": lambda x: np.linalg.svd(x, compute_uv=False).tolist(),
     "eigenvalues": lambda x: np.linalg.eigvalsh(x)[:, ::-1].tolist(),
-    "component_sizes": _component_sizes,
+    "component_sizes": lambda x: [sizes_of(mask > 0) for mask in x],
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridstat.functions import stats as S
 from gridstat.operators import descriptive as D
+from gridstat.operators import components as T
 from gridstat.operators import grid as G
 from gridstat.plans.descriptive import rounded
 from gridstat.plans.registry import query, r
@@ -233,7 +234,25 @@ FROM e JOIN g USING (sample_id) JOIN r1 USING (sample_id) JOIN r2 USING (sample_
 
 
 kernel_query("grid_scales", G.scales(2), _pyramid_sql())
-kernel_query("grid_components", G.COMPONENTS)
+#: Cells above the median plus half a deviation, what each of them reaches, and the sizes of the sets that reach one another.
+_PARTS_SQL = f"""WITH RECURSIVE {_P}, c AS (SELECT sample_id, median(v) + 0.5 * stddev_samp(v) AS cut FROM p GROUP BY sample_id),
+m AS (SELECT sample_id, y, x, y * 8 + x AS cell FROM p JOIN c USING (sample_id) WHERE v > cut),
+reached AS (SELECT sample_id, cell AS start, y, x FROM m UNION SELECT r.sample_id, r.start, m.y, m.x FROM reached r JOIN m ON m.sample_id = r.sample_id AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1),
+first AS (SELECT sample_id, y, x, min(start) AS root FROM reached GROUP BY ALL), sizes AS (SELECT sample_id, root, count(*) AS n FROM first GROUP BY ALL)"""
+kernel_query(
+    "grid_components", G.COMPONENTS,
+    f"""{_PARTS_SQL} SELECT vec_id AS sample_id, CAST(count(n) AS DOUBLE) AS components, {r("coalesce(max(n), 0) / 64")} AS largest, {r("coalesce(avg(n), 0) / 64")} AS mean_size, {r("coalesce(stddev_pop(n), 0) / 64")} AS std_size
+FROM embeddings LEFT JOIN sizes ON sample_id = vec_id GROUP BY vec_id""",
+)
+
+
+@query("tiled_components", f"{_PARTS_SQL} SELECT sample_id, n, count(*) AS components FROM sizes GROUP BY ALL")
+def tiled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many components of each size a grid has, found in tiles of three by three cells."""
+    cut = R.cells(spark, sf_dir).groupBy("sample_id").agg((F.median("v") + 0.5 * F.stddev_samp("v")).alias("cut"))  # 64 cells a grid
+    f = R.fields(spark, sf_dir).join(cut, "sample_id")
+    tiles = T.tiled(f.select("sample_id", "h", "w", F.struct("data", "cut").alias("both")), "sample_id", F.transform("both.data", lambda v: v > F.col("both.cut")), 3)
+    return T.component_sizes(tiles, "sample_id").groupBy("sample_id", "n").agg(F.count("*").alias("components"))
 
 
 def _box_sql(source: str, target: str, reach: int, pick: str) -> str:
