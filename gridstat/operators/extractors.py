@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridstat.operators import descriptive as D
 from gridstat.operators import grid as G
+from gridstat.sources.config import setting
 
 #: family: its kernels over packed grids.
 FAMILIES: dict[str, list[G.Kernel]] = {}
@@ -52,6 +54,29 @@ def summarize(wide: DataFrame, sample: str, methods: list[str]) -> DataFrame:
     return D.reduce_over(long_features(wide, [c for c in wide.columns if "__" not in c]), [sample, "feature"], "value", methods)
 
 
+@dataclass(frozen=True)
+class SummaryConfig:
+    """A summary by declaration: families of measures, and how they are reduced over a sample's realizations."""
+
+    families: list[str] = setting(["gradients", "spectral", "structural", "physics", "morphological", "multiscale", "distributional"], items=(1, 100))
+    methods: list[str] = setting(["mean", "std", "cv"], among=tuple(D.REDUCTIONS), items=(1, len(D.REDUCTIONS)))
+
+
+def feature_names(config: SummaryConfig) -> list[str]:
+    """Names of a summary's features, in order, before any data is read: family__measure."""
+    return [f"{f}__{c}" for f in config.families for k in get_family(f) for c in k.columns]
+
+
+def feature_count(config: SummaryConfig) -> int:
+    """Numbers of a sample in a summary: features times reductions."""
+    return len(feature_names(config)) * len(config.methods)
+
+
+def summary_of(fields: DataFrame, sample: str, realization: str, config: SummaryConfig) -> DataFrame:
+    """The summary that a declaration asks for: (sample, feature, a column a method)."""
+    return summarize(extract(fields, [sample, realization], config.families), sample, config.methods)
+
+
 #: Reductions over realizations by name, as column builders.
 AGGREGATES: dict[str, Callable[[str], F.Column]] = {
     "mean": F.avg, "variance": F.var_samp, "std": F.stddev_samp, "envelope": lambda c: F.max(c) - F.min(c), "overlay": F.avg,

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstat.functions import stats as S
+from gridstat.operators import ladder as L
 from gridstat.operators import sequence as Q
 from gridstat.plans.descriptive import rounded
-from gridstat.plans.registry import query, r, with_relations
+from gridstat.plans.registry import ORACLE_SQL, query, r, with_relations
 from gridstat.sources import relations as R
 
 KEYS = ["sample_id", "c"]
@@ -203,6 +204,40 @@ def granger_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Q.granger_improvement(R.daily(spark, sf_dir)), ["source", "target"])
 
 
+_CAUSALITY = [("fast", "lagged_asymmetry", "SELECT i AS source, j AS target, asymmetry"), ("medium", "granger_improvement", "SELECT *"), ("full", "transfer_entropy", "SELECT *")]
+
+
+def _causality_sql(level: str) -> str:
+    """The measures up to a level side by side."""
+    most = [name for name, _, _ in _CAUSALITY].index(level)
+    parts = [f"({what} FROM ({ORACLE_SQL[name]}))" for _, name, what in _CAUSALITY[: most + 1]]
+    return f"SELECT * FROM {parts[0]} AS a" + "".join(f" JOIN {p} AS b{i} USING (source, target)" for i, p in enumerate(parts[1:]))
+
+
+def _causality(level: str) -> None:
+    @query(f"causality_{level}", _causality_sql(level))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All measures of the level between the daily series of event types."""
+        d = R.daily(spark, sf_dir)
+        return rounded(L.extract(d, L.plan(L.CAUSALITY, level, L.series_shape(d))), ["source", "target"])
+
+
+for _level in L.LEVELS:
+    _causality(_level)
+
+
+@query(
+    "causality_one_channel",
+    f"{with_relations('daily')} SELECT DISTINCT c AS source, CAST(NULL AS VARCHAR) AS target, CAST('nan' AS DOUBLE) AS asymmetry, CAST('nan' AS DOUBLE) AS improvement FROM daily WHERE c = (SELECT min(c) FROM daily)",
+)
+def causality_one_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One channel alone has no pairs: the columns of its level are there and empty."""
+    d = R.daily(spark, sf_dir)
+    first = d.agg(F.min("c").alias("c"))
+    one = d.join(F.broadcast(first), "c")  # one row
+    return L.extract(one, L.plan(L.CAUSALITY, "medium", L.series_shape(one)))
+
+
 @query(
     "daily_channel_correlation",
     f"""{with_relations("daily")} SELECT a.c AS c1, b.c AS c2, {r("covar_pop(a.y, b.y) / (stddev_samp(a.y) * stddev_samp(b.y) + 1e-8)")} AS correlation FROM daily a JOIN daily b USING (t) WHERE a.c < b.c GROUP BY 1, 2""",
