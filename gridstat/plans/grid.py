@@ -241,8 +241,9 @@ reached AS (SELECT sample_id, cell AS start, y, x FROM m UNION SELECT r.sample_i
 first AS (SELECT sample_id, y, x, min(start) AS root FROM reached GROUP BY ALL), sizes AS (SELECT sample_id, root, count(*) AS n FROM first GROUP BY ALL)"""
 kernel_query(
     "grid_components", G.COMPONENTS,
-    f"""{_PARTS_SQL} SELECT vec_id AS sample_id, CAST(count(n) AS DOUBLE) AS components, {r("coalesce(max(n), 0) / 64")} AS largest, {r("coalesce(avg(n), 0) / 64")} AS mean_size, {r("coalesce(stddev_pop(n), 0) / 64")} AS std_size
+    f"""{_PARTS_SQL} SELECT vec_id AS sample_id, CAST(count(n) AS DOUBLE) AS components, {r("coalesce(max(n), 0) / 64", 12)} AS largest, {r("coalesce(avg(n), 0) / 64", 12)} AS mean_size, {r("coalesce(stddev_pop(n), 0) / 64", 12)} AS std_size
 FROM embeddings LEFT JOIN sizes ON sample_id = vec_id GROUP BY vec_id""",
+    digits=12,  # shares of 64 cells end in a five at six digits
 )
 
 

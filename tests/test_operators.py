@@ -3,7 +3,7 @@
 import math
 
 import numpy as np
-import plain_recurrence as P
+import plain_recurrence as W
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,9 +45,9 @@ def test_sine_has_its_frequency():
 
 
 def test_constant_sequence_recurs_everywhere():
-    rate, determinism, laminarity, entropy = P.recurrence(np.ones(20))
+    rate, determinism, laminarity, entropy = W.recurrence(np.ones(20))
     assert rate == laminarity == 1.0 and determinism > 0.9 and entropy > 0
-    assert math.isnan(P.correlation_dimension(np.ones(20)))
+    assert math.isnan(W.correlation_dimension(np.ones(20)))
 
 
 def plain_nonlinear(y):
@@ -68,17 +68,17 @@ def plain_nonlinear(y):
     return r.mean(), long.sum() / r.sum(), columns[columns >= 2].sum() / r.sum(), -(q * np.log(q)).sum(), slope
 
 
-@pytest.mark.parametrize(("n", "cells"), [(60, 150), (60, 10), (300, 2_000), (2_300, P.BLOCK_CELLS)])
+@pytest.mark.parametrize(("n", "cells"), [(60, 150), (60, 10), (300, 2_000), (2_300, W.BLOCK_CELLS)])
 def test_nonlinear_measures_use_every_point(n, cells):
     y = np.random.default_rng(n).normal(size=n).round(3) + np.sin(np.arange(n) / 5)
-    got = (*P.recurrence(y, cells=cells), P.correlation_dimension(y, cells=cells))
+    got = (*W.recurrence(y, cells=cells), W.correlation_dimension(y, cells=cells))
     assert got == pytest.approx(plain_nonlinear(y), rel=1e-9)
 
 
 def test_ranks_of_tied_distances():
     p = np.array([[0.0], [1], [1], [2], [3], [3], [3]])
     want = np.sort(np.abs(p - p.T)[np.triu_indices(7, 1)])
-    assert [P._ranked(p, k, 2) for k in range(21)] == list(want)
+    assert [W._ranked(p, k, 2) for k in range(21)] == list(want)
 
 
 def test_monotone_sequence_has_one_pattern(spark):
