@@ -155,9 +155,21 @@ def _log_frequencies(counts: DataFrame, languages: list[str], most: int, least:
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     number = {lang: k for k, lang in enumerate(languages)}
     n_by: dict[str, np.ndarray] = {}
-    # One pass for all languages: tasks keep the top of their own rows, so that a language's merge is of bounded size.
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "unit"))
-    for lang, unit, n in counts.where(F.col("n") >= least).select("lang", "unit", "n", top.alias("top")).where(F.col("top") <= most).select("lang", "unit", "n").collect():
+    # How many units have each count says where a language's list ends (a row a different count), so only the units
+    # of the count at its end have to be put in order; those above it are kept where they are.
+    ends: dict[str, tuple[int, int]] = {}
+    above: dict[str, int] = {}
+    for lang, n, units in counts.where(F.col("n") >= least).groupBy("lang", "n").count().orderBy("lang", F.desc("n")).collect():
+        if lang not in ends:
+            if above.get(lang, 0) + units >= most:
+                ends[lang] = (n, most - above.get(lang, 0))
+            above[lang] = above.get(lang, 0) + units
+    last = F.create_map(*[F.lit(x) for lang in languages for x in (lang, ends.get(lang, (least - 1, 0))[0])])[F.col("lang")]
+    room = F.create_map(*[F.lit(x) for lang in languages for x in (lang, ends.get(lang, (0, 0))[1])])[F.col("lang")]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("unit"))
+    kept = counts.where((F.col("n") >= least) & (F.col("n") > last)).select("lang", "unit", "n")
+    tied = counts.where((F.col("n") >= least) & (F.col("n") == last)).withColumn("place", place).where(F.col("place") <= room).select("lang", "unit", "n")
+    for lang, unit, n in kept.unionByName(tied).collect():
         n_by.setdefault(unit, np.zeros(len(languages)))[number[lang]] = n
     totals = np.array([float(total.get(lang, 1)) for lang in languages])
     out = {}
