@@ -61,7 +61,20 @@ def informativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.informativeness(R.features(spark, sf_dir)), ["feature"])
 
 
-@query("greedy_dedup")
+@query(
+    "greedy_dedup",
+    f"""WITH RECURSIVE {_DIRTY}, v AS (SELECT sample_id, feature, CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM dirty),
+m AS (SELECT feature, median(v) AS med FROM v GROUP BY feature), f AS (SELECT sample_id, feature, coalesce(v, med) AS value FROM v JOIN m USING (feature)),
+q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi, count(*) AS total FROM f GROUP BY feature),
+d AS (SELECT feature, value, q1, q3, total, least(floor((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 25), 24) AS bin FROM f JOIN q USING (feature)),
+n AS (SELECT feature, bin, count(*) AS n, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS o, any_value(q3 - q1) AS iqr, any_value(total) AS total FROM d GROUP BY feature, bin),
+i AS (SELECT feature, -sum(n / total * ln(n / total)) * any_value(iqr) * (1 - sum(o) / any_value(total)) AS score FROM n GROUP BY feature),
+r AS (SELECT a.feature AS a, b.feature AS b FROM f a JOIN f b USING (sample_id) JOIN q x ON x.feature = a.feature JOIN q y ON y.feature = b.feature
+  WHERE a.feature <> b.feature AND x.hi > x.lo AND y.hi > y.lo GROUP BY ALL HAVING abs(corr(a.value, b.value)) >= 0.99),
+o AS (SELECT i.feature, row_number() OVER (ORDER BY score DESC, i.feature) AS n, coalesce(c.close, []) AS close FROM i LEFT JOIN (SELECT a AS feature, list(b) AS close FROM r GROUP BY a) c USING (feature)),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS kept UNION ALL SELECT o.n, CASE WHEN list_has_any(kept, close) THEN kept ELSE list_append(kept, o.feature) END FROM walk JOIN o ON o.n = walk.n + 1)
+SELECT unnest(kept) AS feature FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)""",
+)
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = M.fill_missing(dirty(spark, sf_dir))
     return spark.createDataFrame([(f,) for f in M.greedy_dedup(clean, 0.99)], "feature string")

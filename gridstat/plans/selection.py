@@ -205,7 +205,17 @@ def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.diverse(s, 5, 0, "id", "parameters", "features").withColumn("distance", S.rounded("distance"))
 
 
-@query("farthest_points")
+def _farthest_sql(k: int) -> str:
+    """The choice step by step from vector 0, each row with its smallest distance so far."""
+    out = ["WITH x AS (SELECT vec_id AS id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)), c0 AS (SELECT CAST(0 AS BIGINT) AS id)"]
+    for n in range(1, k):
+        before = f"n{n - 1}" if n > 1 else "(SELECT DISTINCT id, CAST('inf' AS DOUBLE) AS near FROM x)"
+        d = f"(SELECT a.id, sqrt(sum(pow(a.v - b.v, 2))) AS d FROM x a JOIN x b USING (i) JOIN c{n - 1} c ON b.id = c.id GROUP BY a.id)"
+        out.append(f"n{n} AS (SELECT o.id, CASE WHEN o.id = (SELECT id FROM c{n - 1}) THEN -1 ELSE least(near, d.d) END AS near FROM {before} o JOIN {d} d USING (id)), c{n} AS (SELECT id FROM n{n} WHERE near >= 0 ORDER BY near DESC, id LIMIT 1)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT {n} AS step, id AS sample_id FROM c{n}" for n in range(k))
+
+
+@query("farthest_points", _farthest_sql(5))
 def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vec"))
     return L.farthest_points(v, 5, 0)
