@@ -241,3 +241,20 @@ def half_frequencies(h: Column, w: Column) -> tuple[Column, Column, Column]:
     fx = cells(h, width, lambda y, x: x / w)
     f = cells(h, width, lambda y, x: F.sqrt(along_y(y) * along_y(y) + (x / w) * (x / w)))
     return fy, fx, f
+
+
+def framed(data: Column, h: Column, w: Column, side: int) -> Column:
+    """A packed grid in the middle of a square of zeros; of an odd difference the larger part follows. A grid whose width is `side` or more stays as it is."""
+    above, before = (F.floor((F.lit(side) - n) / 2).cast("int") for n in (h, w))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    row = lambda i: F.concat(zeros(before), F.slice(data, (i * w + 1).cast("int"), w.cast("int")), zeros(side - w - before))
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), (h - 1).cast("int")), row))
+    return F.when((w >= side) | (h > side), data).otherwise(F.concat(zeros(above * side), inner, zeros((side - h - above) * side)))
+
+
+def gradient_energy(data: Column, w: Column) -> Column:
+    """Sum of squared differences of neighbours, to the right and below; nothing beyond the borders."""
+    n = F.size(data)
+    right = lambda p: F.when((p + 1) % w != 0, F.get(data, p + 1) - F.get(data, p)).otherwise(F.lit(0.0))
+    below = lambda p: F.when(p + w < n, F.get(data, (p + w).cast("int")) - F.get(data, p)).otherwise(F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, p: s + right(p) * right(p) + below(p) * below(p))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.operators import descriptive as D
 from gridstat.plans.registry import query, r, with_relations
@@ -80,6 +81,29 @@ def field_entropy_floor_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.floor_entropy(R.cells(spark, sf_dir), ["sample_id"]), ["sample_id"])
 
 
+@query(
+    "field_entropy_base_2",
+    _bins_sql(32, "floor((v - lo) / (hi - lo + 1e-8) * ({bins} - 1))") + f"SELECT sample_id, {r('-sum(p * log2(p))')} AS bits, {r('-sum(p * log2(p)) / log2(32)')} AS share FROM p GROUP BY sample_id",
+)
+def field_entropy_base_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy in bits, and as a share of what 32 bins can have."""
+    out = D.floor_entropy(R.cells(spark, sf_dir), ["sample_id"], bins=32)
+    bits = F.col("entropy") / F.log(F.lit(2.0))
+    return rounded(out.select("sample_id", bits.alias("bits"), (bits / 5).alias("share")), ["sample_id"])
+
+
+@query(
+    "framed_grids",
+    f"{with_relations('cells')} SELECT sample_id, CAST(169 AS BIGINT) AS cells, {r('sum(v * ((y + 2) * 13 + x + 2))')} AS place, {r('sum(v)')} AS total FROM cells GROUP BY sample_id",
+)
+def framed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids in the middle of 13 x 13 cells: where their values lie, and that nothing was added."""
+    f = R.fields(spark, sf_dir).select("sample_id", A.framed(F.col("data"), F.col("h"), F.col("w"), 13).alias("data"))
+    place = F.aggregate(F.zip_with("data", F.sequence(F.lit(0), F.size("data") - 1), lambda v, p: v * p), F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate("data", F.lit(0.0), lambda s, x: s + x)
+    return f.select("sample_id", F.size("data").cast("long").alias("cells"), S.rounded(place).alias("place"), S.rounded(total).alias("total"))
+
+
 @query(
     "field_norms",
     f"{with_relations('cells')} SELECT sample_id, {r('sum(abs(v))')} AS l1, {r('sqrt(sum(v * v) + 1e-8)')} AS l2, {r('max(abs(v))')} AS linf FROM cells GROUP BY sample_id",

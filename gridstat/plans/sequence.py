@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.operators import ladder as L
 from gridstat.operators import sequence as Q
@@ -161,6 +162,22 @@ for _name, (_sql, _column) in DRIFTS.items():
     query(_name, _drift_sql(_sql))(lambda spark, sf_dir, column=_column: _drift(spark, sf_dir, column()))
 
 
+_GRADIENT = _drift_sql("sum(pow(coalesce(xr - v, 0), 2) + pow(coalesce(yr - v, 0), 2))").replace(
+    "FROM ensemble GROUP BY ALL",
+    "FROM (SELECT *, lead(v) OVER (PARTITION BY sample_id, realization, y ORDER BY x) AS xr, lead(v) OVER (PARTITION BY sample_id, realization, x ORDER BY y) AS yr FROM ensemble) GROUP BY sample_id, realization",
+)
+
+
+@query("drift_gradient_energy", _GRADIENT)
+def drift_gradient_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of the summed squares of differences between neighbouring cells."""
+    f = R.ensemble_fields(spark, sf_dir)
+    s = f.select("sample_id", F.col("realization").alias("t"), A.gradient_energy(F.col("data"), F.col("w")).alias("y"))
+    out, digits = Q.drift(s, ["sample_id"]), {"final_initial_ratio": 3, "monotonicity": 6}
+    return out.select("sample_id", *[S.rounded(c, digits.get(c, 5)).alias(c) for c in out.columns[1:]])
+
+
+
 @query(
     "prediction_error",
     f"""{with_relations("user_series")}, w AS (SELECT sample_id, abs(y - lag(y) OVER o) AS f, abs(lead(y) OVER o - y) AS b FROM user_series WINDOW o AS (PARTITION BY sample_id ORDER BY t))
