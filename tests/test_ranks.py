@@ -19,7 +19,7 @@ def groups():
 SHARES = [0.0, 0.005, 0.25, 0.5, 0.75, 0.95, 1.0]
 
 
-@pytest.mark.parametrize(("small", "parts"), [(100_000, 1024), (50, 256), (600, 16)])
+@pytest.mark.parametrize(("small", "parts"), [(100_000, 1024), (60, 128)])
 def test_quantiles(spark, small, parts):
     every = groups()
     df = spark.createDataFrame([(k, float(x)) for k, xs in every.items() for x in xs] + [("normal", None), ("none", None)], "k string, v double").repartition(7)
