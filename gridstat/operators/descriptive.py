@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstat.functions import grids as A
 from gridstat.functions import stats as S
 from gridstat.functions.grids import EPS, bind
+from gridstat.operators import pairs as W
 from gridstat.operators import ranks as K
 
 
@@ -134,17 +136,43 @@ def ssim_neighbours(df: DataFrame) -> DataFrame:
 def ssim_pairs(fields: DataFrame) -> DataFrame:
     """(sample_id, pairs, ssim): mean structural similarity over all pairs of a sample's packed realizations.
 
-    Means and variances are a realization's own; a pair adds one product of its
-    arrays, and only sums leave a task.
+    Means and variances are a realization's own; a pair adds one product of its arrays. A sample's pairs are
+    dealt over tiles (`operators.pairs`), and only sums leave a task. Grids of a sample have one size.
     """
     own = lambda f: bind(f, F.col("data"))
-    d = fields.select("sample_id", "realization", "data", own(A.mean).alias("m"), own(A.variance).alias("v"))
-    a, b = d.alias("a"), d.alias("b")
-    ma, mb = F.col("a.m"), F.col("b.m")
-    cov = A.dot(F.col("a.data"), F.col("b.data")) / F.size("a.data") - ma * mb
-    s = ((2 * ma * mb + SSIM_C1) * (2 * cov + SSIM_C2)) / ((ma * ma + mb * mb + SSIM_C1) * (F.col("a.v") + F.col("b.v") + SSIM_C2))
-    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.realization") < F.col("b.realization")))
-    return pairs.groupBy(F.col("a.sample_id").alias("sample_id")).agg(F.count("*").alias("pairs"), F.avg(s).alias("ssim"))
+    known = fields.where(F.col("sample_id").isNotNull())
+    d = known.select("sample_id", "realization", F.col("data").cast("array<double>").alias("data"), own(A.mean).alias("m"), own(A.variance).alias("v"))
+
+    def fn(a: W.Block, b: W.Block, same: bool):
+        size = len(a["data"]) // len(a["m"])
+        x, y = (k["data"].reshape(-1, size) for k in (a, b))
+        p, q = x - a["m"][:, None], y - b["m"][:, None]
+        am, bm, av, bv = a["m"][:, None], b["m"][None, :], a["v"][:, None] + SSIM_C2, b["v"][None, :]
+        aa, bb = am * am + SSIM_C1, bm * bm
+        total, n = 0.0, 0
+        for rows, columns, diagonal in W.strips(len(x), len(y), same, 4 * W.STRIP):
+            s = p[rows] @ q[columns].T
+            s *= 2 / size
+            s += SSIM_C2
+            top = am[rows] * bm[:, columns]
+            top *= 2
+            top += SSIM_C1
+            s *= top
+            under = np.add(aa[rows], bb[:, columns], out=top)
+            s /= under
+            s /= np.add(av[rows], bv[:, columns], out=under)
+            if diagonal:
+                s = s[W.upper(rows, columns)]
+            total += float(s.sum())
+            n += s.size
+        if n:
+            yield [[n], [total]]
+
+    whole = d.where(F.col("m").isNotNull() & F.col("v").isNotNull())  # a pair with an unknown grid has no similarity
+    parts = W.mapped(W.tiles(whole, ["realization"], ["data", "m", "v"], ["sample_id"]), "n long, total double", fn, ["sample_id"])
+    means = parts.groupBy("sample_id").agg((F.sum("total") / F.sum("n")).alias("ssim"))
+    sizes = d.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1").select("sample_id", F.expr("n * (n - 1) div 2").alias("pairs"))
+    return sizes.join(means, "sample_id", "left").select("sample_id", "pairs", "ssim")
 
 
 def spatial_flow(fields: DataFrame, keys: list[str], t: str = "t") -> DataFrame:

@@ -236,7 +236,7 @@ p AS (SELECT a.sample_id, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb, list_dot_p
 SELECT sample_id, count(*) AS pairs, {r("avg((2 * ma * mb + 1e-4) * (2 * cab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4)))")} AS ssim FROM p GROUP BY sample_id""",
 )
 def ssim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.ssim_pairs(R.ensemble_fields(spark, sf_dir)), ["sample_id", "pairs"])
+    return rounded(D.ssim_pairs(R.members(spark, sf_dir)), ["sample_id", "pairs"])
 
 
 def _rolled(c: str, dy: int, dx: int) -> str:

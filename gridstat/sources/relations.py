@@ -60,6 +60,15 @@ def ensemble_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("sample_id", (F.row_number().over(w) - 1).alias("realization"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), "data")
 
 
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed grids of each label's realizations, named by their ids: no order of a label's rows, which one task would have to make.
+
+    Rows are dealt over tasks, however few row groups the file has: what follows is work on single rows.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("sample_id"), F.col("vec_id").alias("realization"), F.col("embedding").cast("array<double>").alias("data"))
+    return e.repartition("realization").select("sample_id", "realization", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), "data")
+
+
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_of(ensemble_fields(spark, sf_dir))
 

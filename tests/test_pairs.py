@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from gridstat.operators import descriptive as D
 from gridstat.operators import matrix as M
 from gridstat.operators import pairs as W
 
@@ -84,3 +85,19 @@ def test_double_sums_of_discrepancies(spark, method):
     out = W.sum_of(df, ["a", "b", "c"], terms, pair)
     assert "MapInArrow" in plan(out) and "Cartesian" not in plan(out)
     assert out.first()["s"] == pytest.approx(_double_sum(x, PAIRS[method]), rel=1e-12)
+
+
+def test_similarity_over_pairs_is_dealt_over_tiles(spark):
+    """A sample's pairs don't meet under its one key; a sample of one realization has none."""
+    x = rows(60, 16)
+    df = spark.createDataFrame([(i % 2, i, x[i].tolist()) for i in range(60)] + [(7, 99, x[0].tolist())], "sample_id int, realization long, data array<double>")
+    out = D.ssim_pairs(df)
+    assert "MapInArrow" in plan(out)
+    want = {}
+    for s in (0, 1):
+        v = x[s::2]
+        i, j = np.triu_indices(len(v), 1)
+        m, w, c = v.mean(axis=1), v.var(axis=1, ddof=1), (v[i] * v[j]).mean(axis=1) - v[i].mean(axis=1) * v[j].mean(axis=1)
+        want[s] = ((2 * m[i] * m[j] + 1e-4) * (2 * c + 9e-4) / ((m[i] ** 2 + m[j] ** 2 + 1e-4) * (w[i] + w[j] + 9e-4))).mean()
+    got = {r["sample_id"]: r for r in out.collect()}
+    assert set(got) == {0, 1} and all(got[s]["pairs"] == 435 and got[s]["ssim"] == pytest.approx(want[s], abs=1e-12) for s in want)
