@@ -46,3 +46,14 @@ def test_nan_ranks_with_infinity(spark):
     df = spark.createDataFrame([(x,) for x in [1.0, 2.0, 3.0, float("nan"), float("nan")]], "v double")
     for small in (2, 100):
         assert K.quantiles(df, [], "v", [0.5, 1.0], small).first()["q"] == [3.0, float("inf")]
+
+
+def test_quantiles_of_large_keys_are_a_table(spark):
+    """Their size is known, so a join with few of them leaves the values where they are."""
+    df = spark.range(300).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS v")
+    q = K.quantiles(df, ["k"], "v", [0.5], small=50)
+    assert "Scan parquet" in q._jdf.queryExecution().executedPlan().toString() and "Join" not in q._jdf.queryExecution().executedPlan().toString()
+    joined = df.join(q, "k")
+    joined.count()
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["q"][0]) for r in q.collect()) == [(0, 148.5), (1, 149.5), (2, 150.5)]
