@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstat.operators import tiles as T
+from gridstat.sources.steps import Steps
 
 
 def dominant_frequency(y: np.ndarray) -> tuple[float, float]:
@@ -43,5 +44,7 @@ def frequencies(series: DataFrame, key: str = "sample_id") -> DataFrame:
 
 def nonlinear(series: DataFrame, key: str = "sample_id", block: int = T.BLOCK) -> DataFrame:
     """Recurrence metrics, correlation dimension and dominant frequency of each sequence (key, t, y), t dense from 0."""
+    # Rows in order are made once; both measures of pairs and the frequencies read them.
+    series = Steps(series.sparkSession).write(0, series.select(key, "t", "y"))
     out = T.recurrences(series, key, block=block).join(T.correlation_dimensions(series, key, block=block), key).join(frequencies(series, key), key)
     return out.select(F.col(key).cast("long").alias(key), *COLUMNS)

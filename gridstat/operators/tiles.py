@@ -45,9 +45,11 @@ def blocks(series: DataFrame, key: str, dim: int = 2, delay: int = 1, block: int
 def tiles(packed: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """(key, n, i, j, a, b): all pairs of blocks with i <= j, each a row of its own key."""
     last = F.floor((F.col("n") - 1) / block)
-    rows = packed.select(key, "n", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"), F.col("ys").alias("a"))
-    columns = packed.select(key, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("ys").alias("b"))
-    return rows.join(columns, [key, "i", "j"]).select(key, "n", "i", "j", "a", "b")
+    own = packed.select(key, "n", F.col("block").alias("i"), F.col("block").alias("j"), F.col("ys").alias("a"), F.col("ys").alias("b"))
+    long = packed.where(F.col("n") > block)  # a sequence of one block is its own tile: nothing to meet
+    rows = long.select(key, "n", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"), F.col("ys").alias("a")).where("i < j")
+    columns = long.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("ys").alias("b")).where("i < j")
+    return own.unionByName(rows.join(columns, [key, "i", "j"]).select(key, "n", "i", "j", "a", "b"))
 
 
 class Tile:
@@ -225,7 +227,18 @@ def correlation_dimensions(series: DataFrame, key: str = "sample_id", dim: int =
     """(key, correlation_dimension): slope of log shares of pairs over log radius, between the percentiles 1 and 99 of the distances of different points."""
     steps = Steps(series.sparkSession)
     packed = steps.write(0, blocks(series, key, dim, delay, block))
-    made = tiles(packed, key, block)
+
+    def whole(t: Tile, _: tuple) -> Iterator[tuple]:
+        """The counts of a sequence of one block, whose distances are all here, between its own percentiles."""
+        d = np.sort(t.above())
+        lo, hi = (float(d[int(np.floor(p))] + (d[int(np.ceil(p))] - d[int(np.floor(p))]) * (p - np.floor(p))) for p in ((len(d) - 1) * q / 100 for q in (1, 99))) if len(d) > 1 else (0.0, 0.0)
+        if 0 < lo < hi:
+            below = np.searchsorted(d, np.geomspace(lo, hi, radii), side="left")
+            yield from ((k, int(c), len(d), lo, hi) for k, c in enumerate(below))
+
+    short = tiles(packed.where(F.col("n") <= block), key, block)
+    of_short = _mapped(short, key, "radius int, below long, pairs long, lo double, hi double", dim, delay, block, whole)
+    made = tiles(packed.where(F.col("n") > block), key, block)
     size = steps.write(1, extents(made, key, dim, delay, block))
     at = [(F.col("pairs") - 1) * F.lit(q) / 100 for q in (1, 99)]
     ranks = F.posexplode(F.array(*[r for p in at for r in (F.floor(p), F.ceil(p))])).alias("place", "rank")
@@ -242,6 +255,6 @@ def correlation_dimensions(series: DataFrame, key: str = "sample_id", dim: int =
 
     counted = _mapped(made.join(ends.drop("pairs"), key), key, "radius int, below long", dim, delay, block, fn).groupBy(key, "radius").agg(F.sum("below").alias("below"))
     x = F.log("lo") + (F.log("hi") - F.log("lo")) * F.col("radius") / (radii - 1)
-    lines = counted.join(ends, key).where("below > 0").select(key, x.alias("x"), F.log(F.col("below") / F.col("pairs")).alias("y"))
+    lines = counted.join(ends, key).unionByName(of_short).where("below > 0").select(key, x.alias("x"), F.log(F.col("below") / F.col("pairs")).alias("y"))
     slopes = lines.groupBy(key).agg(F.when(F.count("*") > 1, F.regr_slope("y", "x")).alias("correlation_dimension"))
     return series.select(key).distinct().join(slopes, key, "left")

@@ -81,3 +81,15 @@ def test_frequencies_and_no_rows(spark):
     df = frame(spark, {1: np.sin(2 * np.pi * np.arange(100) / 20)})
     assert C.nonlinear(df).select("dominant_frequency").first()[0] == pytest.approx(0.05)
     assert T.recurrences(df.limit(0)).count() == 0 == T.correlation_dimensions(df.limit(0)).count()
+
+
+def test_sequences_of_one_block_are_measured_whole(spark, monkeypatch):
+    """Their distances are all in one place: nothing of them is counted by ranges over all tasks."""
+    rng = np.random.default_rng(5)
+    seqs = {k: rng.normal(size=20 + k).cumsum() for k in range(6)}
+    real, asked = T._rank_narrowing, []
+    monkeypatch.setattr(T, "_rank_narrowing", lambda made, key, ranks, *a: asked.append(ranks.count()) or real(made, key, ranks, *a))
+    dims = dict(T.correlation_dimensions(frame(spark, seqs)).collect())
+    assert asked == [0]
+    for k, s in seqs.items():
+        same(dims[k], correlation_dimension(s))
