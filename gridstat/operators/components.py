@@ -70,6 +70,8 @@ def _labelled(h: int, w: int, row: np.ndarray, first: np.ndarray, after: np.ndar
 
 
 SIZE, BORDER = 0, 1
+#: Cells of tiles that are looked at together.
+STACK = 1 << 22
 
 _OUT = "ty long, tx long, kind int, component long, y long, x long, n long"
 
@@ -81,24 +83,37 @@ def tile_components(tiles: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                ty, tx, y, x, h, w = (one.column(c)[0].as_py() for c in range(1, 7))
-                mask = one.column(7).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(h, w)
-                found = runs_of(mask)
-                if not len(found[0]):
-                    continue
-                n = np.bincount(found[3], weights=found[2] - found[1]).astype(np.int64)
-                label = _labelled(h, w, *found)
-                edge = np.zeros((h, w), bool)
-                edge[[0, -1]], edge[:, [0, -1]] = True, True
-                by, bx = np.nonzero(edge & (label >= 0))
-                k, b = len(n), len(by)
-                columns = {
-                    "ty": np.full(k + b, ty), "tx": np.full(k + b, tx), "kind": np.repeat([SIZE, BORDER], [k, b]).astype(np.int32), "component": np.r_[np.arange(k), label[by, bx]],
-                    "y": np.r_[np.zeros(k, np.int64), by + y], "x": np.r_[np.zeros(k, np.int64), bx + x], "n": np.r_[n, np.zeros(b, np.int64)],
-                }
-                yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * (k + b), batch.schema.field(0).type), *map(pa.array, columns.values())], names=[key, *columns])
+            h, w = (batch.column(c).to_numpy() for c in (5, 6))
+            for shape in np.unique(np.stack([h, w], axis=1), axis=0):
+                at = np.flatnonzero((h == shape[0]) & (w == shape[1]))
+                many = max(1, STACK // max(1, int(shape.prod())))
+                for first in range(0, len(at), many):
+                    yield from stacked(batch.take(pa.array(at[first : first + many])), int(shape[0]), int(shape[1]))
+
+    def stacked(batch: pa.RecordBatch, h: int, w: int) -> Iterator[pa.RecordBatch]:
+        """Tiles of one shape under one another, an empty row between two, so that no component reaches the next tile."""
+        tiles_ = batch.num_rows
+        mask = np.zeros((tiles_, h + 1, w), bool)
+        mask[:, :h] = batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(tiles_, h, w)
+        row, first, after, label = runs_of(mask.reshape(-1, w))
+        if not len(row):
+            return
+        n = np.bincount(label, weights=after - first).astype(np.int64)
+        of = np.zeros(len(n), np.int64)
+        of[label] = row // (h + 1)  # components are numbered tile after tile
+        number = np.arange(len(n)) - np.searchsorted(of, of)
+        cells = _labelled(tiles_ * (h + 1), w, row, first, after, label).reshape(tiles_, h + 1, w)[:, :h]
+        edge = np.zeros((h, w), bool)
+        edge[[0, -1]], edge[:, [0, -1]] = True, True
+        tile, by, bx = np.nonzero(edge & (cells >= 0))
+        k, b = len(n), len(tile)
+        source = np.r_[of, tile]
+        ty, tx, y, x = (batch.column(c).to_numpy() for c in (1, 2, 3, 4))
+        columns = {
+            "ty": ty[source], "tx": tx[source], "kind": np.repeat([SIZE, BORDER], [k, b]).astype(np.int32), "component": np.r_[number, number[cells[tile, by, bx]]],
+            "y": np.r_[np.zeros(k, np.int64), by + y[tile]], "x": np.r_[np.zeros(k, np.int64), bx + x[tile]], "n": np.r_[n, np.zeros(b, np.int64)],
+        }
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source)), *map(pa.array, columns.values())], names=[key, *columns])
 
     return given.mapInArrow(run, f"{key} {kind}, {_OUT}")
 

@@ -72,3 +72,17 @@ def test_a_large_grid_as_tiles(spark):
     tiles = spark.range(0, 64, 1, 4).mapInPandas(cut, "k int, ty long, tx long, y long, x long, h int, w int, mask array<boolean>")
     got = sorted(r["n"] for r in C.component_sizes(tiles, "k").select("n").collect())
     assert got == sorted(C.sizes_of(mask()))
+
+
+def test_tiles_of_many_shapes_together(spark):
+    """Tiles are looked at many at a time; none reaches into the next, numbers begin anew in each."""
+    rng = np.random.default_rng(8)
+    tiles = [(k, int(h), int(w), rng.random(h * w) < 0.5) for k, (h, w) in enumerate(rng.integers(1, 6, (40, 2)))] + [(40, 3, 3, np.ones(9, bool)), (41, 3, 3, np.zeros(9, bool)), (42, 3, 3, np.ones(9, bool))]
+    df = spark.createDataFrame([(k, 0, 0, 0, 0, h, w, m.tolist()) for k, h, w, m in tiles], "k long, ty long, tx long, y long, x long, h long, w long, mask array<boolean>").coalesce(1)
+    out = C.tile_components(df, "k")
+    got: dict = {}
+    for r in out.where(f"kind = {C.SIZE}").orderBy("k", "component").collect():
+        got.setdefault(r["k"], []).append((r["component"], r["n"]))
+    assert 41 not in got and got[40] == got[42] == [(0, 9)]
+    for k, h, w, m in tiles:
+        assert [n for _, n in got.get(k, [])] == C.sizes_of(m.reshape(h, w)) and [c for c, _ in got.get(k, [])] == list(range(len(got.get(k, []))))
