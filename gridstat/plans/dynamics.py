@@ -62,7 +62,7 @@ def series_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("summary_features")
 def summary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction: per-grid families in one pass, reduced over each label's realizations."""
-    wide = E.extract(R.ensemble_fields(spark, sf_dir), ["sample_id", "realization"], ["gradients", "spectral", "structural", "physics", "morphological", "multiscale", "distributional"])
+    wide = E.extract(R.members(spark, sf_dir), ["sample_id", "realization"], ["gradients", "spectral", "structural", "physics", "morphological", "multiscale", "distributional"])
     out = E.summarize(wide, "sample_id", ["mean", "std", "cv"])
     return out.select("sample_id", "feature", *[S.rounded(c, 5).alias(c) for c in ("mean", "std", "cv")])
 

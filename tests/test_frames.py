@@ -25,3 +25,12 @@ def test_frames_and_gradients(spark, side):
         x = grids[r["i"]]
         np.testing.assert_allclose(r["f"], framed(x, side).ravel())
         assert r["e"] == pytest.approx((np.diff(x, axis=0) ** 2).sum() + (np.diff(x, axis=1) ** 2).sum())
+
+
+def test_members_of_an_ensemble_need_no_order(spark, data):
+    """Realizations named by their ids: a label's rows don't come together in one task."""
+    from gridstat.sources import relations as R
+
+    members = R.members(spark, data)
+    assert "Window" not in members._jdf.queryExecution().executedPlan().toString()
+    assert members.select("sample_id", "realization").distinct().count() == R.ensemble_fields(spark, data).count()
