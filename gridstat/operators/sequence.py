@@ -41,10 +41,14 @@ def differences(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def events(df: DataFrame, keys: list[str], sigmas: float = 2.0) -> DataFrame:
-    """Rising edges above mean plus deviations (spikes), runs of three above one deviation (bursts), sign changes about the mean."""
-    whole = df.groupBy(*keys).agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"))
+    """Rising edges above mean plus deviations (spikes), runs of three above one deviation (bursts), sign changes about the mean.
+
+    A value may equal the mean but for the rounding of its sum, so the sum follows the
+    sequence, not the layout of the input: a window, since an aggregate is free to add parts.
+    """
     w = ordered(keys)
-    d = df.join(whole, keys)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).withColumns({"mu": F.avg("y").over(whole), "sd": F.stddev_samp("y").over(whole)})
     d = d.withColumns({
         "spike": (F.col("y") > F.col("mu") + sigmas * F.col("sd")).cast("int"), "above": (F.col("y") > F.col("mu") + F.col("sd")).cast("int"),
         "sign": F.signum(F.col("y") - F.col("mu")),

@@ -8,6 +8,7 @@ import pandas as pd
 from compare import assert_same
 
 import __spark_entry__ as entry
+from gridstat.operators import sequence as Q
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -37,3 +38,17 @@ def test_trends_of_a_sequence_of_one_event(spark, tmp_path):
     assert_same(got.toPandas(), want)
     one = got.where("n = 1").first()
     assert math.isnan(one["growth_rate"]) and one["trend_strength"] == 0 and one["detrended_variance"] is None
+
+
+def test_value_at_the_mean_whatever_the_order_of_rows(spark, tmp_path):
+    """0.3 is the mean; added up in the sequence's order it comes out above 0.3, backwards it doesn't."""
+    ys = [0.1, 0.4, 0.3, 0.4, 0.3]
+    got, want = both(spark, tmp_path, [(u, m, "click", y) for u in range(20) for m, y in reversed(list(enumerate(ys)))], "series_events")
+    assert_same(got.toPandas(), want)
+    assert {r["crossings"] for r in got.collect()} == {4}
+
+
+def test_events_without_a_user(spark, tmp_path):
+    """Rows without a user are of no sequence; the SQL's join leaves them out."""
+    s = spark.createDataFrame([(k, t, float(t % 3)) for k in (1, None) for t in range(9)], "sample_id long, t long, y double")
+    assert [r["sample_id"] for r in Q.events(s, ["sample_id"]).collect()] == [1]
