@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridstat.operators import descriptive as D
 from gridstat.operators import matrix as M
 from gridstat.operators import pairs as W
+from gridstat.plans import catalogue
 
 
 def plan(df):
@@ -28,6 +30,70 @@ def test_pairwise_distances_are_dealt_over_tiles(spark):
     assert all(got[i, j] == pytest.approx(np.linalg.norm(x[i] - x[j]), abs=1e-12) for i, j in got)
 
 
+def shuffled(spark, df):
+    """(rows, bytes) that the stages of one run hand on."""
+    store, context = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def total():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        found = [stages.apply(k) for k in range(stages.size())]
+        return np.array([(x.shuffleWriteRecords(), x.shuffleWriteBytes()) for x in found]).reshape(-1, 2).sum(axis=0)
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_distances_hand_on_each_vector_once_a_band(spark):
+    """Eight bands, as floats where they are floats; a table of one dimension and many rows has no more of them."""
+    x = np.random.default_rng(5).random((300, 512)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    _, size = shuffled(spark, M.pairwise_distances(df.localCheckpoint(), "id", "v"))
+    assert size < 9 * x.nbytes
+
+    def counts(a, b):
+        yield [[len(a.id)], [len(b.id)], [int((np.searchsorted(b.id, a.id, "right") - len(b.id)).sum())]]
+
+    for n, held, bands in ((30_000, W.HELD, 8), (30_000, 2_500, 12)):
+        one = spark.range(n).select("id", F.array(F.col("id").cast("float")).alias("v"))
+        got = W.of_bands(one, "id", "v", "a long, b long, pairs long", counts, held=held).collect()
+        assert len(got) == bands**2  # in either order, one with itself once
+        assert sum(r["a"] for r in got) == bands * n and -sum(r["pairs"] for r in got) == n * (n - 1) // 2
+
+
+def test_distances_of_odd_rows_are_those_of_the_sql(spark, duck, monkeypatch):
+    """Equal ids are no pair, nor is a null id one; a null vector has null distances. Tiles that share a task and spread over batches."""
+    monkeypatch.setattr(W, "PARTS", 3)
+    x = rows(70, 3).astype(np.float32)
+    given = [(i % 50 - 9, v.tolist() if i % 11 else None) for i, v in enumerate(x)] + [(None, x[0].tolist()), (None, None), (2**62, x[1].tolist())]
+    values = ", ".join(f"({'NULL' if i is None else i}::BIGINT, {'NULL' if v is None else v}::FLOAT[])" for i, v in given)
+    text = catalogue.oracle_sql()["pairwise_distances"].replace("FROM embeddings", f"FROM (VALUES {values}) t(vec_id, embedding)")
+    want = sorted(duck.execute(text).fetchall(), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = M.pairwise_distances(spark.createDataFrame(given, "id long, v array<float>"), "id", "v", digits=6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == want and any(d is None for _, _, d in want)
+
+
+def test_distances_of_vectors_without_a_distance(spark):
+    found = M.pairwise_distances(spark.createDataFrame([(1, [1.0, float("nan")]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v", digits=6)
+    assert np.isnan(found.first()["distance"])
+    assert M.pairwise_distances(spark.createDataFrame([(1, None), (2, None)], "id long, v array<double>"), "id", "v").collect() == [(1, 2, None)]
+    assert M.pairwise_distances(spark.createDataFrame([], "id long, v array<double>"), "id", "v").collect() == []
+    with pytest.raises(Exception, match="different lengths"):
+        M.pairwise_distances(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v").collect()
+
+
+def test_rounding_is_that_of_the_sql(duck):
+    g = np.random.default_rng(2)
+    x = np.concatenate([g.random(5_000) * 3, (g.integers(0, 10**7, 5_000) + 0.5) / 1e6, [0.0, 0.49999999999999994e-6, 1e300, 1e308, 4503599627.370497, np.inf, np.nan]])
+    want = np.array([r[0] for r in duck.execute(f"SELECT round(x, 6) FROM (SELECT unnest({[float(v) for v in x[:-2]]}::DOUBLE[]) AS x)").fetchall()] + [np.inf, np.nan])
+    assert np.array_equal(M._half_up(x, 6), want, equal_nan=True)
+
+
 def test_pairs_of_a_block_in_many_strips():
     n = W.STRIP * 2 + 3
     seen = np.zeros((n, n + 40), int)
